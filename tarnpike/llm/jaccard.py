@@ -332,5 +332,7 @@ def near_duplicates_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     Rows without words or with a null id are groups of their own; repeated rows of one id all stay.
     """
-    keep = jaccard_components(docs, id_col, text_col, k, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(keep, docs[id_col].cast("long") == keep["_dropped"], "left_anti")
+    gone = jaccard_components(docs, id_col, text_col, k, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
+    gone = written(gone)
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == gone["_dropped"], "left_anti")

@@ -4,10 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import table
+from .decontamination import contaminated_spans, contamination
 from .jaccard import jaccard_components
+from .licenses import license_scan
+from .media import media_digests
+from .piece_codec import piece_digests
+from .quality import fit_quality, quality_scores
+from .sharding import assign_shards, table_size, table_sql
+from .token_counts import token_counts
+from .url_filters import judge_urls
+
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+SHARDS = 32
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the piece model, and whether they are more than 4096."""
+    return token_counts(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document."""
+    return assign_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +42,65 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_ngram_jaccard_join,)}
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as an ISO media file, read back and described."""
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every document."""
+    return license_scan(table(spark, sf_dir, "documents")).drop("places")
+
+
+def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's pieces, and whether they decode to the document."""
+    return piece_digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document, learned from the labels of rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return contamination(contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_url_filters, op3_sharding, op4_ngram_jaccard_join, op6_media_columns,
+        op7_license_scans, op8_sentencepiece_codec, op9_quality_classifier, op10_benchmark_decontamination,
+    )
+}
+
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_sharding": f"""
+        SELECT doc_id, t.slot, t.shard
+        FROM (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT % {table_size(SHARDS)} AS slot FROM documents) d
+        JOIN ({table_sql(SHARDS)}) t ON t.slot = d.slot
+    """,
+    "op10_benchmark_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        items AS (
+            SELECT item_id, least(len(w), 13) AS n, unnest(range(greatest(len(w) - 12, least(len(w), 1)))) AS p, w FROM b
+        ),
+        windows AS (SELECT DISTINCT item_id, n, array_to_string(w[p + 1 : p + n], ' ') AS s FROM items),
+        sizes AS (SELECT DISTINCT n FROM windows),
+        places AS (
+            SELECT doc_id, n, p, array_to_string(w[p + 1 : p + n], ' ') AS s
+            FROM (SELECT doc_id, n, w, unnest(range(len(w) - n + 1)) AS p FROM d, sizes WHERE len(w) >= n)
+        ),
+        found AS (SELECT doc_id, item_id, n, p FROM places JOIN windows USING (n, s)),
+        hit AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS word FROM found) GROUP BY doc_id),
+        ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS listed FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+            sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+    """,
+}
