@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._shared import table
 from .decontamination import contaminated_spans, contamination
 from .jaccard import jaccard_components
+from .language_model import language_model_scores
 from .licenses import license_scan
 from .media import media_digests
 from .piece_codec import piece_digests
@@ -42,6 +43,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under a hierarchical Pitman-Yor model of the training documents."""
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as an ISO media file, read back and described."""
     return media_digests(table(spark, sf_dir, "documents"))
@@ -71,7 +77,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_url_filters, op3_sharding, op4_ngram_jaccard_join, op6_media_columns,
+        op1_token_counts, op2_url_filters, op3_sharding, op4_ngram_jaccard_join, op5_lm_scoring, op6_media_columns,
         op7_license_scans, op8_sentencepiece_codec, op9_quality_classifier, op10_benchmark_decontamination,
     )
 }
