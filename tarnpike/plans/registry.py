@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarnpike.plans import market, results
+
 FLAGSHIP = "bars_hourly"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = market.QUERIES | results.QUERIES
+ORACLE_SQL: dict[str, str] = market.ORACLE_SQL | results.ORACLE_SQL
