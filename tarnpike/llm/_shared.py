@@ -4,20 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package where it is not installed on them."""
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if _ROOT not in paths.split(":"):
-        spark.sparkContext.environment["PYTHONPATH"] = f"{_ROOT}:{paths}" if paths else _ROOT
-    return spark
+from tarnpike.functions.session import ready
 
+__all__ = ["ready", "table", "work_dir", "written"]
 
 def work_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one only where the session names none."""

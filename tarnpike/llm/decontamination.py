@@ -11,6 +11,7 @@ each block where they are. Documents are never shuffled.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -223,9 +224,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     place = docs.columns.index(text_col)
     blocks = _blocks(docs, benchmark, item_col, item_text_col, WINDOW, K)
     if len(blocks) > 1:
-        rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-        bad = contamination(contaminated_spans(rows, benchmark, "_row", text_col, item_col, item_text_col), percent).where("contaminated")
-        return rows.join(bad.select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
+        row = f"_row_{uuid.uuid4().hex}"
+        rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+        bad = contamination(contaminated_spans(rows, benchmark, row, text_col, item_col, item_text_col), percent).where("contaminated")
+        return rows.join(bad.select(F.col("doc_id").alias(row)), row, "left_anti").select(*docs.columns)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*blocks[0].value)

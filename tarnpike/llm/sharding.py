@@ -9,6 +9,7 @@ moves few keys when a shard comes or goes. The table has as many rows as slots,
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,9 +65,9 @@ def slot_of(key: Column, size: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, _HEX), 16, 10).cast("long"), F.lit(size).cast("long"))
 
 
-def _as_table(spark: SparkSession, slots: list[int]) -> DataFrame:
+def _as_table(spark: SparkSession, slots: list[int], names: list[str]) -> DataFrame:
     listed = F.split(F.lit(",".join(map(str, slots))), ",")
-    return spark.range(1).select(F.posexplode(listed).alias("_slot", "_shard")).select(F.col("_slot").cast("long"), F.col("_shard").cast("int"))
+    return spark.range(1).select(F.posexplode(listed).alias("slot", "shard")).select(F.col("slot").cast("long").alias(names[0]), F.col("shard").cast("int").alias(names[1]))
 
 
 def assign_shards(df: DataFrame, key_col: str, shards: int | list[str] = 32, shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
@@ -77,9 +78,10 @@ def assign_shards(df: DataFrame, key_col: str, shards: int | list[str] = 32, sha
     """
     names = [f"shard-{i}" for i in range(shards)] if isinstance(shards, int) else list(shards)
     slots = lookup_table(names)
-    table = _as_table(ready(df.sparkSession), slots)
-    rows = df.drop(slot_col, shard_col).withColumn(slot_col, slot_of(df[key_col], len(slots)))
-    return rows.join(F.broadcast(table), rows[slot_col] == table["_slot"]).drop("_slot").withColumnRenamed("_shard", shard_col)
+    at, of = (f"_{x}_{uuid.uuid4().hex}" for x in ("slot", "shard"))  # whatever the columns of df are called
+    rows = df.withColumn(at, slot_of(df[key_col], len(slots))).drop(slot_col, shard_col)
+    placed = rows.join(F.broadcast(_as_table(ready(df.sparkSession), slots, [at, of])), at)
+    return placed.select(*(F.col(c) for c in df.columns if c not in (slot_col, shard_col)), F.col(at).alias(slot_col), F.col(of).alias(shard_col))
 
 
 def write_shards(df: DataFrame, path: str, key_col: str, shards: int | list[str] = 32, files_each: int = 4) -> None:
