@@ -22,11 +22,13 @@ from ._shared import ready, written
 from .words import SPACED, chunks, gram_sets, grams, mix, texts, words
 
 #: labelled rows that the model learns from, at most
-SAMPLE = 5_000
+SAMPLE = 3_000
 WORD_DIM, SHAPE_DIM, CONTEXT_DIM, HIDDEN = 128, 128, 32, 32
 #: words with context vectors; neighbours to either side
 VOCABULARY, REACH = 2_048, 2
 THRESHOLD = 0.3
+#: texts of the sample that the driver takes through numpy at once
+DRIVER_BYTES = 128 << 10
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[0x30:0x3A], _SHAPE[0x41:0x5B], _SHAPE[0x61:0x7B], _SHAPE[0x80:] = ord("0"), ord("A"), ord("a"), 0
@@ -118,7 +120,12 @@ class Model:
 
 def _contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent words of the sample, as sorted hashes, and their context vectors of length 1."""
-    rows, _, _, h = words(data, offsets, SPACED)
+    rows, h = [], []
+    for a, _, d, o in chunks(data, offsets, DRIVER_BYTES):
+        r, _, _, x = words(d, o, SPACED)
+        rows.append((r + a).astype(np.int32))
+        h.append(x)
+    rows, h = np.concatenate(rows or [np.zeros(0, np.int32)]), np.concatenate(h or [np.zeros(0, np.uint64)])
     kinds, times = np.unique(h, return_counts=True)
     keep = np.sort(kinds[np.lexsort((kinds, -times))[:VOCABULARY]])
     out = np.zeros((len(keep), CONTEXT_DIM))
@@ -139,7 +146,7 @@ def train(sample: list[str | None], labels: np.ndarray, seed: int = 11, epochs:
     """Fits the network on four fifths of the sample and the temperature on the rest. One label alone, or no row, gives a constant score."""
     data, offsets = texts(pa.array(sample, pa.string()))
     vocabulary, context = _contexts(data, offsets)
-    parts = [pooled(d, o, vocabulary, context) for _, _, d, o in chunks(data, offsets)]
+    parts = [pooled(d, o, vocabulary, context) for _, _, d, o in chunks(data, offsets, DRIVER_BYTES)]
     dim = WORD_DIM + SHAPE_DIM + CONTEXT_DIM + 64
     x, y = np.concatenate(parts) if parts else np.zeros((0, dim), np.float32), np.asarray(labels, np.float32)
     rng = np.random.default_rng(seed)
