@@ -8,6 +8,7 @@ length, and lands in a bounded cache. Texts are never cut otherwise, and a chara
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -21,8 +22,8 @@ from ._shared import ready
 from .piece_model import BYTE, NORMAL, SPACE, UNKNOWN, USER, PieceModel, read_model
 from .segments import segments
 
-#: segments in a worker's cache; the longest that it keeps; bytes in one lattice batch
-CACHED, LONGEST, LATTICE = 300_000, 64, 1 << 20
+#: segments that a worker keeps before it starts anew; bytes in one lattice batch; characters of texts encoded together
+CACHED, LATTICE, BATCH = 300_000, 1 << 19, 1 << 21
 
 
 @dataclass
@@ -155,9 +156,18 @@ def _lattice(trie: Trie, found: list[bytes]) -> list[tuple[int, ...]]:
 class Codec:
     """Encoding and decoding in one worker."""
 
+    _kept: tuple[str, Codec] | None = None
+
     def __init__(self, trie: Trie):
         self.trie, self.known = trie, {}
 
+    @classmethod
+    def of_worker(cls, key: str, shared) -> Codec:
+        """The worker's codec of this query, with the segments that its earlier tasks met."""
+        if cls._kept is None or cls._kept[0] != key:
+            cls._kept = key, cls(shared.value)
+        return cls._kept[1]
+
     def _new(self, missed: list[str]) -> dict[str, tuple[int, ...]]:
         mark = SPACE.encode()
         raw = [x.replace(" ", SPACE).encode() if x[:1] == "\n" else mark + x.replace(" ", SPACE).encode() for x in missed]
@@ -172,17 +182,28 @@ class Codec:
         return found
 
     def encode(self, text: str) -> list[int]:
+        return next(self.encode_all([text]))
+
+    def encode_all(self, found: list[str]) -> Iterator[list[int]]:
+        """The ids of each text; new segments of about BATCH characters of texts meet the lattice together."""
         if not self.trie.splits:
-            return list(self._new([text])[text]) if text else []
-        cut = segments(text)
-        ids = list(map(self.known.get, cut))
-        if None in ids:
-            new = self._new(list({x for x, y in zip(cut, ids, strict=True) if y is None}))
-            ids = [y if y is not None else new[x] for x, y in zip(cut, ids, strict=True)]
+            yield from (list(self._new([x])[x]) if x else [] for x in found)
+            return
+        a = 0
+        while a < len(found):
+            b, size = a, 0
+            while b < len(found) and (b == a or size + len(found[b]) <= BATCH):
+                size += len(found[b])
+                b += 1
+            cut = [segments(x) for x in found[a:b]]
             if len(self.known) > CACHED:
                 self.known = {}
-            self.known.update((x, y) for x, y in new.items() if len(x) <= LONGEST)
-        return list(chain.from_iterable(ids))
+            missed = set(chain.from_iterable(cut)).difference(self.known)
+            if missed:
+                self.known.update(self._new(list(missed)))
+            get = self.known.__getitem__
+            yield from (list(chain.from_iterable(map(get, x))) for x in cut)
+            a = b
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined; the space that encoding put before goes; bytes that are no UTF-8 become U+FFFD."""
@@ -190,37 +211,37 @@ class Codec:
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
-def _encoded(shared):
+def _encoded(key, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = Codec.of_worker(key, shared)
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([codec.encode(x or "") for x in part.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(codec.encode_all([x or "" for x in part.column(1).to_pylist()])), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return run
 
 
-def _decoded(shared):
+def _decoded(key, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = Codec.of_worker(key, shared)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     return run
 
 
-def _digests(shared):
+def _digests(key, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = Codec.of_worker(key, shared)
         is_byte = np.zeros(len(shared.value.pieces), bool)
         is_byte[shared.value.byte_id[shared.value.byte_id >= 0]] = True
         for batch in batches:
             rows = []
-            for x in batch.column(1).to_pylist():
-                ids = codec.encode(x or "")
+            text = [x or "" for x in batch.column(1).to_pylist()]
+            for x, ids in zip(text, codec.encode_all(text), strict=True):
                 flat = np.array(ids, "<i4")
-                rows.append((len(ids), int(is_byte[flat].sum()), hashlib.sha256(flat.tobytes()).hexdigest(), codec.decode(ids) == (x or "")))
+                rows.append((len(ids), int(is_byte[flat].sum()), hashlib.sha256(flat.tobytes()).hexdigest(), codec.decode(ids) == x))
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "round_trip"])
@@ -230,7 +251,7 @@ def _digests(shared):
 
 def _shared_trie(df: DataFrame, model_path: str):
     with open(model_path, "rb") as f:
-        return ready(df.sparkSession).sparkContext.broadcast(build_trie(read_model(f.read())))
+        return uuid.uuid4().hex, ready(df.sparkSession).sparkContext.broadcast(build_trie(read_model(f.read())))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -244,7 +265,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     Null ids of rows and repeated rows stay as they came; other columns are ignored; an empty table gives an
     empty result. The file may hold a Unigram model; of a BPE model the pieces are taken, scored by Zipf's law over their ranks.
     """
-    return _rows(docs, id_col, text_col).mapInArrow(_encoded(_shared_trie(docs, model_path)), "doc_id long, ids array<int>")
+    return _rows(docs, id_col, text_col).mapInArrow(_encoded(*_shared_trie(docs, model_path)), "doc_id long, ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -253,7 +274,7 @@ def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", i
     Exact for every text without U+2581, which reads as a space.
     """
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return rows.mapInArrow(_decoded(_shared_trie(encoded, model_path)), "doc_id long, text string")
+    return rows.mapInArrow(_decoded(*_shared_trie(encoded, model_path)), "doc_id long, text string")
 
 
 def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,4 +282,4 @@ def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     ids_sha256 is over the ids as little-endian 32-bit integers; round_trip tells whether decoding gives the text back.
     """
-    return _rows(docs, id_col, text_col).mapInArrow(_digests(_shared_trie(docs, model_path)), "doc_id long, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean")
+    return _rows(docs, id_col, text_col).mapInArrow(_digests(*_shared_trie(docs, model_path)), "doc_id long, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean")
