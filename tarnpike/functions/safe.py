@@ -138,6 +138,14 @@ def rank_prev_le(x: str | Column, w: WindowSpec, n: int, least: int) -> Column:
     return F.when(col(x).isNotNull() & (F.size(values) >= least), F.size(F.filter(values, lambda v: v <= col(x))) / F.size(values).cast("double"))
 
 
+def correlation(x: str | Column, y: str | Column, frame: WindowSpec | None = None) -> Column:
+    """Pearson's correlation over rows with both known; null where either does not vary (where the built-in one fails)."""
+    both = col(x).isNotNull() & col(y).isNotNull()
+    a, b = F.when(both, col(x)), F.when(both, col(y))
+    over = (lambda f: f.over(frame)) if frame is not None else (lambda f: f)
+    return sdiv(over(F.covar_pop(a, b)), over(F.stddev_pop(a)) * over(F.stddev_pop(b)))
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Floating columns rounded, without a negative zero."""
     out = {f.name: F.round(F.col(f.name), digits) + F.lit(0.0) for f in df.schema if isinstance(f.dataType, DoubleType)}

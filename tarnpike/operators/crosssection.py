@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnpike.functions.safe import before_n, framed, last_n, mean_n, ordered, rank_prev_le, sdiv, sln
+from tarnpike.functions.safe import before_n, correlation, framed, last_n, mean_n, ordered, rank_prev_le, sdiv, sln
 
 
 def log_returns(panel: DataFrame, value: str, most_days: int = 14, date: str = "date") -> DataFrame:
@@ -33,10 +33,10 @@ def cross_rank(panel: DataFrame, value: str, date: str = "date") -> DataFrame:
 
 
 def dispersion(panel: DataFrame, value: str, smooth: int = 20, least: int = 10, n: int = 500, n_least: int = 125, date: str = "date") -> DataFrame:
-    """(date, dispersion, smoothed, share of days before not above)."""
+    """(date, dispersion, smoothed, share of days before not above). smoothed has 6 digits, so that equal days tie."""
     x = panel.groupBy(date).agg(F.stddev_pop(value).alias("dispersion"))
     w = Window.orderBy(date)
-    return x.withColumn("smoothed", mean_n("dispersion", w, smooth, least)).withColumn("dispersion_pct", rank_prev_le("smoothed", w, n, n_least))
+    return x.withColumn("smoothed", F.round(mean_n("dispersion", w, smooth, least), 6)).withColumn("dispersion_pct", rank_prev_le("smoothed", w, n, n_least))
 
 
 def strength_weights(pairs: list[tuple[str, str, str]]) -> list[tuple[str, str, float]]:
@@ -83,7 +83,7 @@ def rolling_relation(df: DataFrame, y: str, x: str, n: int, keys: list[str], ts:
     r = r.withColumn("_beta", beta)
     return r.withColumns(
         {
-            f"corr_{n}": F.when(F.count("_x").over(f) >= n, F.corr("_x", "_y").over(f)),
+            f"corr_{n}": F.when(F.count("_x").over(f) >= n, correlation("_x", "_y", f)),
             f"beta_{n}": F.when(F.count("_x").over(f) >= n, sdiv(F.covar_samp("_x", "_y").over(f), F.var_samp("_x").over(f))),
             f"lead_{n}": F.lag("_beta").over(w) * F.col(x),
         }

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnpike.functions.safe import sdiv, ssqrt
+from tarnpike.functions.safe import correlation, sdiv, ssqrt
 
 # sample overlap -----------------------------------------------------------------------------------------------------
 
@@ -145,7 +145,7 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     """(keys, n, ic): rank correlation over rows with both known."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     r = both.withColumn("_x", average_rank(x, keys)).withColumn("_y", average_rank(y, keys))
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("ic"))
+    return r.groupBy(*keys).agg(F.count("*").alias("n"), correlation("_x", "_y").alias("ic"))
 
 
 def circular_null(df: DataFrame, x: str, y: str, keys: list[str], ts: str, offsets: list[int]) -> DataFrame:
@@ -153,7 +153,7 @@ def circular_null(df: DataFrame, x: str, y: str, keys: list[str], ts: str, offse
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     r = both.withColumn("_x", average_rank(x, keys)).withColumn("_y", average_rank(y, keys)).withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(ts)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
     left = r.select(*keys, "_n", "_x", F.explode(F.array(*map(F.lit, offsets))).alias("offset"), "_i").withColumn("_j", F.pmod(F.col("_i") + F.col("offset"), F.col("_n")))
-    return left.join(r.select(*keys, F.col("_i").alias("_j"), "_y"), [*keys, "_j"]).groupBy(*keys, "offset").agg(F.corr("_x", "_y").alias("ic"))
+    return left.join(r.select(*keys, F.col("_i").alias("_j"), "_y"), [*keys, "_j"]).groupBy(*keys, "offset").agg(correlation("_x", "_y").alias("ic"))
 
 
 def stability_index(df: DataFrame, x: str, new: Column, bins: int = 10, floor: float = 1e-4) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnpike.functions.safe import schema_with
+from tarnpike.functions.safe import correlation, schema_with
 from tarnpike.operators.evaluation import time_folds
 
 LEARNERS = {
@@ -95,7 +95,7 @@ def mutual_information(df: DataFrame, feature: str, y: str, bins: int = 10) -> D
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r) of all pairs of columns, in one aggregation."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
+    row = df.agg(*(correlation(a, b).alias(f"{a}|{b}") for a, b in pairs))
     long = row.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "r")
     return long.select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "r")
 

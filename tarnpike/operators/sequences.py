@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnpike.functions.safe import before_n, event, framed, last_n, max_n, mean_n, min_n, ordered, rank_le, sdiv, sln, ssqrt, sum_n, zscore_before
+from tarnpike.functions.safe import before_n, correlation, event, framed, last_n, max_n, mean_n, min_n, ordered, rank_le, sdiv, sln, ssqrt, sum_n, zscore_before
 from tarnpike.operators.indicators import W, atr_mean, c, h, l, o, run_length, v
 
 
@@ -118,7 +118,7 @@ def realized_moments(bars: DataFrame, n: int) -> DataFrame:
             f"rkurt_{n}": gated(sdiv(known * p4, p2 * p2)),
             f"jump_share_{n}": gated(F.when(bv.isNotNull(), F.greatest(F.lit(0.0), sdiv(rv - bv, rv)))),
             f"dvol_{n}": gated(F.sqrt(down / F.nullif(known, F.lit(0)))),
-            f"levcorr_{n}": framed(F.corr("_lead", "_abs"), F.col("_abs"), f, least),
+            f"levcorr_{n}": F.when(F.count("_abs").over(f) >= least, correlation("_lead", "_abs", f)),
         }
     ).drop("_rr", "_lead", "_abs")
 
