@@ -421,10 +421,10 @@ def panel_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_PANEL}, d AS (SELECT date, stddev_pop(value) AS dispersion FROM panel GROUP BY 1), s AS (SELECT *, round(CASE WHEN count(dispersion) OVER w >= 10 THEN avg(dispersion) OVER w END, 6) AS smoothed FROM d WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
-    p AS (SELECT *, list_filter(coalesce(list(smoothed) OVER (ORDER BY date ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING), []), lambda v: v IS NOT NULL) AS l FROM s) SELECT date::TIMESTAMP AS date, round(dispersion, 1) + 0.0 AS dispersion, round(smoothed, 1) + 0.0 AS smoothed, round(CASE WHEN smoothed IS NOT NULL AND len(l) >= 50 THEN len(list_filter(l, lambda v: v <= smoothed)) / len(l) END, 3) + 0.0 AS dispersion_pct FROM p""")
+    p AS (SELECT *, list_filter(coalesce(list(smoothed) OVER (ORDER BY date ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING), []), lambda v: v IS NOT NULL) AS l FROM s) SELECT date::TIMESTAMP AS date, round(dispersion, 6) + 0.0 AS dispersion, round(smoothed, 1) + 0.0 AS smoothed, round(CASE WHEN smoothed IS NOT NULL AND len(l) >= 50 THEN len(list_filter(l, lambda v: v <= smoothed)) / len(l) END, 3) + 0.0 AS dispersion_pct FROM p""")
 def dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = crosssection.dispersion(panel(spark, sf_dir), "value", n=100, n_least=50)
-    return x.select(F.col("date").cast("timestamp_ntz").alias("date"), *(F.round(k, d).alias(k) for k, d in (("dispersion", 1), ("smoothed", 1), ("dispersion_pct", 3))))
+    return x.select(F.col("date").cast("timestamp_ntz").alias("date"), *(F.round(k, d).alias(k) for k, d in (("dispersion", 6), ("smoothed", 1), ("dispersion_pct", 3))))
 
 
 #: regions as instruments between four made-up units
