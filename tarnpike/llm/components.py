@@ -21,8 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        # both neighbours' labels and the label of the own label
-        up = lower.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        # the label of the label, from the round before: both sides of this join are shuffled, so that Spark splits the rows of a large component
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         jumped = written(lower.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
         changed = jumped.where("label <> old").limit(1).count()
         labels = jumped.select("node", "label")
