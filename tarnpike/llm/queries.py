@@ -84,7 +84,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+_SPACED = _WORDS.replace(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x20\x09-\x0D]+")
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) END AS grams
+            FROM d
+        ),
+        listed AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM sets),
+        links AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM listed a JOIN listed b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+        ),
+        reached AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT y, root FROM reached JOIN links ON x = doc_id)
+        SELECT doc_id, len(grams)::BIGINT AS n_shingles, component_id FROM sets JOIN (SELECT doc_id, min(root) AS component_id FROM reached GROUP BY 1) USING (doc_id)
+    """,
     "op3_sharding": f"""
         SELECT doc_id, t.slot, t.shard
         FROM (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT % {table_size(SHARDS)} AS slot FROM documents) d
