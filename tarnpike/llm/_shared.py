@@ -11,21 +11,30 @@ from tarnpike.functions.session import ready
 
 __all__ = ["ready", "table", "work_dir", "written"]
 
+_own: list[str] = []
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share; a temporary one, of this process, only where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tarnpike-")
-        spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="tarnpike-"))
+    return _own[0]
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The table goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tarnpike-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(schema).parquet(path)
 
 
