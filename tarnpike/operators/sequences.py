@@ -36,8 +36,8 @@ def volspike_body(bars: DataFrame, w: int, size: float = 2.0, body: float = 0.6)
 
 
 def run_momentum(bars: DataFrame, r: int, w: int) -> DataFrame:
-    x = run_length(atr_mean(bars, w), c() - o(), "_run")
-    return x.withColumn(f"run_momentum_{r}_{w}", event(sdiv(c() - F.lag("close", r).over(W()), F.col(f"atr_mean_{w}")), F.abs(F.col("_run")) >= r)).drop("_run")
+    x = run_length(atr_mean(bars, w), c() - o(), "_len")
+    return x.withColumn(f"run_momentum_{r}_{w}", event(sdiv(c() - F.lag("close", r).over(W()), F.col(f"atr_mean_{w}")), F.abs(F.col("_len")) >= r)).drop("_len")
 
 
 def break_retest(bars: DataFrame, m: int, w: int, near: float = 0.25) -> DataFrame:

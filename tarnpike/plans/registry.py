@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnpike.plans import market, reports, results
+from tarnpike.plans import features, market, reports, results
 
 FLAGSHIP = "bars_hourly"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = market.QUERIES | results.QUERIES | reports.QUERIES
-ORACLE_SQL: dict[str, str] = market.ORACLE_SQL | results.ORACLE_SQL | reports.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = market.QUERIES | results.QUERIES | reports.QUERIES | features.QUERIES
+ORACLE_SQL: dict[str, str] = market.ORACLE_SQL | results.ORACLE_SQL | reports.ORACLE_SQL | features.ORACLE_SQL

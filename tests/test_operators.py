@@ -285,3 +285,55 @@ def test_stateful_runs(spark, tmp_path):
     q = streams.stream_runs(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "k", "ts", "v", 4.0).writeStream.outputMode("update").format("memory").queryName("runs").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [tuple(r) for r in spark.table("runs").collect()] == [("a", 1, 2)]
+
+
+def test_file_labels(spark):
+    from tarnpike.operators import families
+
+    x = spark.createDataFrame([(1, 1), (2, -1), (3, 0), (4, None)], "ts int, label int")
+    got = {r.ts: tuple(r)[1:] for r in families.file_labels(x).collect()}
+    assert got == {1: (1, 0, 1, 0), 2: (0, 1, 0, 1), 3: (0, 0, 0, 0), 4: (None,) * 4}
+    for bad in (x.withColumn("label", F.lit(3)), x.unionByName(x), x.drop("label")):
+        with pytest.raises(ValueError):
+            families.file_labels(bad)
+
+
+def test_regime_filter(spark):
+    from tarnpike.operators import families
+
+    x = spark.createDataFrame([(1, 0), (0, 1), (-1, -1), (None, None)], "regime_trend int, regime_volatility int")
+    assert families.regime_filter(x, ["uptrend", "high_volatility"]).count() == 2
+    assert [r[0] for r in x.select(families.signal_mask(x, -1, True)).collect()] == [False, False, True, False]
+    with pytest.raises(ValueError):
+        families.regime_filter(x, ["sideways"])
+
+
+def test_run_names_and_checks(spark):
+    from tarnpike.operators import research
+
+    x = spark.createDataFrame([("alpha_wf03_s7__bt2024",), ("beta",), ("g_s1_wf12",)], "name string")
+    got = [(r.base, r.fold, r.seed, r.test) for r in research.run_name_parts(x, "name").collect()]
+    assert got == [("alpha", 3, 7, "2024"), ("beta", None, None, None), ("g", 12, 1, None)]
+    y = spark.createDataFrame([(20, 85.0, -1.0, 40.0)], "trades int, win_rate double, total_pips double, stop_share double")
+    assert {r.check: r.status for r in research.health_checks(y).collect()} == {"trades": "WARN", "win_rate": "WARN", "pips": "FAIL", "stops": "WARN"}
+    z = spark.createDataFrame([(1, '{"a": {"b": 1, "c": "x"}, "d": 2.5, "e": "NaN"}'), (2, None), (3, "no json")], "id int, j string")
+    assert {(r.id, r.metric, r.value) for r in research.flat_metrics(z, ["id"], "j").collect()} == {(1, "a/b", 1.0), (1, "d", 2.5)}
+
+
+def test_tune_multiplier():
+    from tarnpike.operators import research
+
+    m, got = research.tune_multiplier(lambda k: max(0.0, 1 - k / 4), 0.1, 4.0, 0.03, 0.15)
+    assert 0.03 <= got <= 0.15 and got == pytest.approx(1 - m / 4)
+
+
+def test_correlation_of_constants_is_null(spark):
+    x = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (None, 4.0)], "a double, b double")
+    assert x.agg(safe.correlation("a", "b")).first()[0] is None
+
+
+def test_half_spread_without_mid(spark):
+    from tarnpike.operators import families
+
+    b = make(spark, [1.0, 2.0]).withColumn("mid", F.lit(None).cast("double"))
+    assert values(families.half_spread(b, 0.5), "half_spread") == [0.5, 0.5]
