@@ -204,12 +204,13 @@ def stationarity_verdict(stats: DataFrame, df_level: float = -2.86, kpss_level:
 def health_checks(summary: DataFrame) -> DataFrame:
     """(check, status) of one row with trades, win_rate (percent), total_pips and stop_share (percent)."""
     t, w, p, s = (F.col(k) for k in ("trades", "win_rate", "total_pips", "stop_share"))
-    rows = F.array(
-        F.struct(F.lit("trades").alias("check"), F.when(t >= 30, "PASS").when(t >= 15, "WARN").otherwise("FAIL").alias("status")),
-        F.struct(F.lit("win_rate"), F.when(w.between(50, 75), "PASS").when(w > 80, "WARN").otherwise("FAIL")),
-        F.struct(F.lit("pips"), F.when(p > 0, "PASS").otherwise("FAIL")),
-        F.struct(F.lit("stops"), F.when(s <= 30, "PASS").when(s <= 50, "WARN").otherwise("FAIL")),
-    )
+    status = {
+        "trades": F.when(t >= 30, "PASS").when(t >= 15, "WARN").otherwise("FAIL"),
+        "win_rate": F.when(w.between(50, 75), "PASS").when(w > 80, "WARN").otherwise("FAIL"),
+        "pips": F.when(p > 0, "PASS").otherwise("FAIL"),
+        "stops": F.when(s <= 30, "PASS").when(s <= 50, "WARN").otherwise("FAIL"),
+    }
+    rows = F.array(*(F.struct(F.lit(k).alias("check"), x.alias("status")) for k, x in status.items()))
     return summary.select(F.explode(rows).alias("r")).select("r.check", "r.status")
 
 
