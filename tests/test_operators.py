@@ -222,6 +222,20 @@ def test_simulator(spark):
     assert simulation.simulate(scored(spark, [10.0]), {"a": r}).collect()[0].exit_reason == "end_of_data"
 
 
+def test_simulator_exits(spark):
+    base = dict(stop=20, target=50, trail=100, breakeven=100, pip=1.0, most_bars=10)
+    first = lambda df, **k: simulation.simulate(df, {"a": simulation.Rules(**base | k)}).orderBy("open_time").first()
+    up = scored(spark, [10, 15, 30, 25, 9])
+    assert first(up, harvest=4).exit_reason == "harvest" and first(up, most_bars=2).exit_reason == "time"
+    assert first(up.withColumns({"regime": F.lit(1), "atr": F.lit(2.0)}), chandelier=2).exit_reason == "chandelier"
+    assert (lambda t: (t.exit_reason, t.pips))(first(up, retest=5)) == ("retest", 0.0)
+    assert first(up, trail=4).exit_reason == "trail" and first(up, fast_reversal=0.9).exit_reason == "fast_reversal"
+    friday = up.withColumn("ts", F.col("ts") + F.expr("interval 4 days 20 hours"))
+    assert first(friday, weekend=20).exit_reason == "weekend"
+    moved = first(scored(spark, [10, 16, 12, 8]), breakeven=5)
+    assert (moved.exit_reason, moved.pips) == ("stop", 0.0)
+
+
 def test_costs_are_symmetric(spark):
     rows = [("BUY", 1.0, 1.01, 100.0, T0, T0), ("SELL", 1.01, 1.0, 100.0, T0, T0)]
     x = spark.createDataFrame(rows, "action string, open_price double, close_price double, notional double, open_time timestamp_ntz, close_time timestamp_ntz")
