@@ -116,3 +116,19 @@ def with_halo(df: DataFrame, keys: list[str], chunk: Column, rows: int, ts: str
     tail = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(F.desc(ts)))
     carried = marked.withColumn("_tail", tail).where(F.col("_tail") <= rows).join(following.where("_next is not null"), [*keys, "_chunk"]).withColumn("_chunk", F.col("_next")).drop("_next", "_tail")
     return marked.withColumn("_halo", F.lit(0)).unionByName(carried.withColumn("_halo", F.lit(1)))
+
+
+def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool = False, parts: int = 64) -> DataFrame:
+    """With ``<name>_run`` for each of ``sums``: its total over rows up to the current one in the order of one column, which has no repeats.
+
+    One order over a whole table without one task for it: quantiles cut the column into ``parts`` ranges, each is summed by itself, and gets
+    the total of the ranges before it (``parts`` rows, broadcast).
+    """
+    edges = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)]).alias("_edges"))
+    x = df.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")
+    direction = F.desc if descending else F.asc
+    before = Window.orderBy(direction("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = x.groupBy("_range").agg(*(F.sum(s).alias(s) for s in sums)).select("_range", *(F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_before_{s}") for s in sums))
+    within = Window.partitionBy("_range").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = x.withColumns({f"{s}_run": F.sum(s).over(within) for s in sums}).join(F.broadcast(ranges), "_range")
+    return out.withColumns({f"{s}_run": F.col(f"{s}_run") + F.col(f"_before_{s}") for s in sums}).drop("_range", *(f"_before_{s}" for s in sums))

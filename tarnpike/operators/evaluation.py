@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnpike.functions.safe import correlation, sdiv, ssqrt
+from tarnpike.operators.align import running_totals
 
 # sample overlap -----------------------------------------------------------------------------------------------------
 
@@ -62,8 +63,11 @@ def auc(df: DataFrame, y: str, score: str, keys: list[str] | None = None) -> Dat
     """(keys, n, positives, auc) by rank sums with average ranks. Scores are counted first, so ties cost one row each."""
     k = keys or []
     g = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(*k, score).agg(F.count("*").alias("_n"), F.sum(y).alias("_p"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*k).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    g = g.withColumn("_r", F.col("_p") * (below + (F.col("_n") + 1) / 2.0))
+    if k:
+        g = g.withColumn("_n_run", F.sum("_n").over(Window.partitionBy(*k).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        g = running_totals(g, score, ["_n"])
+    g = g.withColumn("_r", F.col("_p") * (F.col("_n_run") - F.col("_n") + (F.col("_n") + 1) / 2.0))
     x = g.groupBy(*k).agg(F.sum("_n").alias("n"), F.sum("_p").alias("positives"), F.sum("_r").alias("_r"))
     p, q = F.col("positives").cast("double"), F.col("n") - F.col("positives").cast("double")
     return x.select(*k, "n", "positives", sdiv(F.col("_r") - p * (p + 1) / 2, p * q).alias("auc"))
@@ -86,9 +90,8 @@ def threshold_sweep(df: DataFrame, y: str, score: str, thresholds: list[float])
 def threshold_at_recall(df: DataFrame, y: str, score: str, recall: float) -> DataFrame:
     """(threshold, precision, recall): of the thresholds that keep the recall, the most precise; of those the highest."""
     g = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("_n"), F.sum(y).alias("_p"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    c = g.withColumn("_cn", F.sum("_n").over(w)).withColumn("_cp", F.sum("_p").over(w)).crossJoin(g.agg(F.sum("_p").alias("_all")))
-    x = c.select(F.col(score).alias("threshold"), (F.col("_cp") / F.col("_cn")).alias("precision"), sdiv(F.col("_cp").cast("double"), F.col("_all").cast("double")).alias("recall")).where(F.col("recall") >= recall)
+    c = running_totals(g, score, ["_n", "_p"], descending=True).crossJoin(F.broadcast(g.agg(F.sum("_p").alias("_all"))))
+    x = c.select(F.col(score).alias("threshold"), (F.col("_p_run") / F.col("_n_run")).alias("precision"), sdiv(F.col("_p_run").cast("double"), F.col("_all").cast("double")).alias("recall")).where(F.col("recall") >= recall)
     return x.orderBy(F.desc("precision"), F.desc("threshold")).limit(1)
 
 
@@ -170,9 +173,8 @@ def stability_index(df: DataFrame, x: str, new: Column, bins: int = 10, floor: f
 def kolmogorov_smirnov(df: DataFrame, x: str, new: Column) -> DataFrame:
     """The largest distance between the distribution functions of two parts of a table."""
     g = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count_if(new).alias("_b"), F.count_if(~new).alias("_a"))
-    w = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    c = g.select(F.sum("_a").over(w).alias("_ca"), F.sum("_b").over(w).alias("_cb")).crossJoin(F.broadcast(g.agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))))
-    return c.agg(F.max(F.abs(F.col("_ca") / F.col("_na") - F.col("_cb") / F.col("_nb"))).alias("ks"), F.max("_na").alias("n_old"), F.max("_nb").alias("n_new"))
+    c = running_totals(g, x, ["_a", "_b"]).crossJoin(F.broadcast(g.agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))))
+    return c.agg(F.max(F.abs(F.col("_a_run") / F.col("_na") - F.col("_b_run") / F.col("_nb"))).alias("ks"), F.max("_na").alias("n_old"), F.max("_nb").alias("n_new"))
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:

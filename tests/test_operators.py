@@ -351,3 +351,17 @@ def test_half_spread_without_mid(spark):
 
     b = make(spark, [1.0, 2.0]).withColumn("mid", F.lit(None).cast("double"))
     assert values(families.half_spread(b, 0.5), "half_spread") == [0.5, 0.5]
+
+
+@pytest.mark.parametrize("down", [False, True])
+def test_running_totals(spark, down):
+    rng = np.random.default_rng(3)
+    x = pd.DataFrame({"k": rng.permutation(500).astype(float), "v": rng.integers(0, 9, 500)})
+    got = align.running_totals(spark.createDataFrame(x), "k", ["v"], descending=down, parts=7).toPandas().sort_values("k", ascending=not down)
+    assert (got.v_run.to_numpy() == x.sort_values("k", ascending=not down).v.cumsum().to_numpy()).all()
+    assert align.running_totals(spark.createDataFrame(x).limit(0), "k", ["v"]).count() == 0
+
+
+def test_auc_without_keys(spark):
+    x = spark.createDataFrame([(0, 0.1), (0, 0.4), (1, 0.35), (1, 0.8), (1, 0.4)], "y int, s double")
+    assert evaluation.auc(x, "y", "s").first().auc == pytest.approx((1 + 2 + 1.5) / 6)
