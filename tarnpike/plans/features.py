@@ -33,7 +33,7 @@ def ev(score: str, cond: str) -> str:
 
 
 def r5(x: str, name: str) -> str:
-    return f"round({x}, 5) + 0.0 AS {name}"
+    return f"round(({x})::DOUBLE, 5) + 0.0 AS {name}"
 
 
 @query(f"""WITH {with_atr(20)}, x AS (SELECT *, {mean('close', 8)} AS f, {mean('close', 20)} AS s FROM a)

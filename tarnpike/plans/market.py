@@ -338,7 +338,7 @@ def imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {with_atr(14)}, x AS (SELECT *, {lag('atr')} AS p, {gated('max(high)', 'high', prev(14), 14)} AS t, {gated('min(low)', 'low', prev(14), 14)} AS l FROM a),
     y AS (SELECT *, (close - {lag('close')}) / nullif(p, 0) AS j, CASE WHEN close > t THEN t END AS bt, CASE WHEN close < l THEN l END AS bl, (high - greatest(open, close)) / nullif(high - low, 0) AS uw, (least(open, close) - low) / nullif(high - low, 0) AS lw FROM x),
     z AS (SELECT *, (abs(j) >= 2.0)::INT AS k, last_value(bt IGNORE NULLS) OVER ({BY} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS lu, last_value(bl IGNORE NULLS) OVER ({BY} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS ld FROM y)
-    SELECT symbol, ts, {r(_event('-j', 'k = 1'), 'jump_reversion_14')}, round(CASE WHEN k IS NOT NULL THEN sum(k * sign(j)) OVER {over(5)} END, 6) + 0.0 AS jump_follow_5_14,
+    SELECT symbol, ts, {r(_event('-j', 'k = 1'), 'jump_reversion_14')}, round((CASE WHEN k IS NOT NULL THEN sum(k * sign(j)) OVER {over(5)} END)::DOUBLE, 6) + 0.0 AS jump_follow_5_14,
     CASE WHEN atr IS NULL THEN NULL WHEN low <= lu + 0.25 * atr AND close > lu THEN 1 WHEN high >= ld - 0.25 * atr AND close < ld THEN -1 ELSE 0 END AS break_retest_6_14, CASE WHEN atr IS NULL THEN NULL WHEN close < lu THEN -1 WHEN close > ld THEN 1 ELSE 0 END AS failed_break_6_14,
     {r(_event('CASE WHEN uw >= 0.6 THEN -uw WHEN lw >= 0.6 THEN lw WHEN uw IS NOT NULL THEN 0 END', 'high - low >= 1.5 * atr'), 'spike_wick_14')} FROM z""")
 def jumps_and_retests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ def div(a: str, b: str) -> str:
 
 
 def r(x: str, name: str) -> str:
-    return f"round({x}, 6) + 0.0 AS {name}"
+    return f"round(({x})::DOUBLE, 6) + 0.0 AS {name}"
 
 
 #: true range, and bars with it
