@@ -7,9 +7,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnpike.functions.session import ready
+from tarnpike.functions.session import ready as _findable
+
+#: rows of texts that a Python worker gets at once, unless the session says otherwise
+BATCH_ROWS = 2_000
+_WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20)}
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Workers find this package, take texts in small batches and give memory back that they no longer use."""
+    _findable(spark)
+    for name, value in _WORKER.items():
+        spark.sparkContext.environment.setdefault(name, value)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) >= 10_000:  # Spark's default; texts are longer than rows of numbers
+        spark.conf.set(rows, BATCH_ROWS)
+    return spark
 
-__all__ = ["ready", "table", "work_dir", "written"]
 
 _own: list[str] = []
 

@@ -102,7 +102,7 @@ def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h.view(np.uint64).ravel(), s1[local], n[local]
 
 
-def _postings(k: int, t: int, blocks: int, flush: int = 16 * CHUNK_BYTES):
+def _postings(k: int, t: int, blocks: int, flush: int = 10 * CHUNK_BYTES):
     def out(held: list) -> Iterator[pa.RecordBatch]:
         if not held:
             return

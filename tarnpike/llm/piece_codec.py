@@ -23,7 +23,7 @@ from .piece_model import BYTE, NORMAL, SPACE, UNKNOWN, USER, PieceModel, read_mo
 from .segments import segments
 
 #: segments that a worker keeps before it starts anew; bytes in one lattice batch; characters of texts encoded together
-CACHED, LATTICE, BATCH = 300_000, 1 << 19, 1 << 21
+CACHED, LATTICE, BATCH = 200_000, 1 << 19, 1 << 21
 
 
 @dataclass

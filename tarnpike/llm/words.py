@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20  # texts handled by one numpy pass; a longer text is a pass of its own
+CHUNK_BYTES = 1 << 20  # texts handled by one numpy pass; a longer text is a pass of its own
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
