@@ -365,3 +365,36 @@ def test_running_totals(spark, down):
 def test_auc_without_keys(spark):
     x = spark.createDataFrame([(0, 0.1), (0, 0.4), (1, 0.35), (1, 0.8), (1, 0.4)], "y int, s double")
     assert evaluation.auc(x, "y", "s").first().auc == pytest.approx((1 + 2 + 1.5) / 6)
+
+
+def test_calendar_and_bar_files(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("Name,Start,Impact,Currency\nRates,01/10/2024 13:45:00,HIGH,EUR\nRates,01/10/2024 13:45:00,HIGH,EUR\nBad,soon,LOW,USD\n")
+    got = src.read_calendar(spark, str(tmp_path / "c.csv")).collect()
+    assert [(r.name, r.ts) for r in got] == [("Rates", dt.datetime(2024, 1, 10, 13, 45))]
+    b = make(spark, [1.0, 2.0, 3.0])
+    src.write_bars(b, str(tmp_path / "bars"))
+    back = spark.read.parquet(str(tmp_path / "bars"))
+    assert back.where("symbol = 'A' and month = '2024-01'").count() == 3
+    assert src.before_holdout(b, "ts", "2024-01-01 01:00:00").count() == 1 and src.before_holdout(b, "ts", "2024-01-01 01:00:00", unsealed=True).count() == 3
+
+
+def test_event_clock_edges(spark):
+    from tarnpike.operators import research
+
+    day = lambda d: dt.datetime(2024, 1, d)
+    b = spark.createDataFrame([("A", day(d) + dt.timedelta(hours=3)) for d in (8, 10, 11)], "symbol string, ts timestamp_ntz")
+    e = spark.createDataFrame([(day(1),), (day(10),), (None,)], "day timestamp_ntz")
+    got = [tuple(r) for r in research.event_clock(b, e, "x").orderBy("ts").select("x_until", "x_since", "x_cycle").collect()]
+    assert got[0] == pytest.approx((2, 7, 7 / 9)) and got[1] == (0, 0, 1.0) and got[2] == (None, 1, None)
+
+
+def test_conflicts_and_upsert(spark):
+    x = spark.createDataFrame([(1, 1.0), (1, 1.0), (2, 1.0), (2, 2.0), (3, None), (3, 1.0), (4, None), (4, None)], "k int, v double")
+    assert {r.k for r in src.conflicts(x, ["k"], ["v"]).collect()} == {2, 3}
+    old, new = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, v double"), spark.createDataFrame([(2, None), (3, 3.0)], "k int, v double")
+    assert {(r.k, r.v) for r in src.upsert(old, new, ["k"]).collect()} == {(1, 1.0), (2, 2.0), (3, 3.0)}
+
+
+def test_no_nan(spark):
+    x = spark.createDataFrame([(float("nan"), 1), (float("inf"), 2), (1.5, 3)], "a double, b int")
+    assert [r.a for r in safe.no_nan(x).orderBy("b").collect()] == [None, None, 1.5]
