@@ -24,8 +24,9 @@ def _first(window: Column, hit) -> Column:
     return F.coalesce(F.array_position(F.transform(window, lambda b: F.coalesce(hit(b), F.lit(False))), True), F.lit(0))
 
 
-def barrier_race(bars: DataFrame, horizon: int, target: str = "target", stop: str = "stop") -> DataFrame:
-    """Which barrier the next ``horizon`` bars reach first; the stop is tested before the target in a bar.
+def barrier_race(bars: DataFrame, horizon: int, target: str = "target", stop: str = "stop", arm: str | None = None) -> DataFrame:
+    """Which barrier the next ``horizon`` bars reach first; the stop is tested before the target in a bar. With a column ``arm`` above 0 the race begins
+    after the first bar that moves that far either way; before it, and in that bar, neither barrier counts.
 
     long and short are 1 if the target comes first, else 0; t1_long and t1_short are the time of the deciding bar, or of the last bar seen;
     null for a symbol's last bar. The window is one array by row: for horizons of a few hundred bars see ``barrier_race_fast``.
@@ -33,10 +34,19 @@ def barrier_race(bars: DataFrame, horizon: int, target: str = "target", stop: st
     ahead = F.collect_list(F.struct("high", "low", "ts")).over(after_n(W(), horizon))
     x = bars.withColumn("_w", ahead)
     t, s = F.col(target), F.col(stop)
+    run = F.col("_w")
+    if arm is None:
+        x = x.withColumn("_off", F.lit(0).cast("long"))
+    else:
+        a = F.coalesce(F.col(arm), F.lit(0.0))
+        moved = _first(run, lambda b: (b["high"] >= c() + a) | (b["low"] <= c() - a)).cast("long")
+        x = x.withColumn("_off", F.when(a <= 0, F.lit(0)).when(moved == 0, F.size(run)).otherwise(moved))  # bars that do not count
+    racing = F.filter(run, lambda b, i: i >= F.col("_off")) if arm else run
+    place = lambda hit: F.when(_first(racing, hit) > 0, _first(racing, hit) + F.col("_off")).otherwise(0)
     x = x.withColumns(
         {
-            "_lt": _first(F.col("_w"), lambda b: b["high"] >= c() + t), "_ls": _first(F.col("_w"), lambda b: b["low"] <= c() - s),
-            "_st": _first(F.col("_w"), lambda b: b["low"] <= c() - t), "_ss": _first(F.col("_w"), lambda b: b["high"] >= c() + s),
+            "_lt": place(lambda b: b["high"] >= c() + t), "_ls": place(lambda b: b["low"] <= c() - s),
+            "_st": place(lambda b: b["low"] <= c() - t), "_ss": place(lambda b: b["high"] >= c() + s),
         }
     )
 
@@ -44,14 +54,14 @@ def barrier_race(bars: DataFrame, horizon: int, target: str = "target", stop: st
         won = (win > 0) & ((lose == 0) | (win < lose))
         end = F.when(won, win).when(lose > 0, lose).otherwise(F.size("_w"))
         known = t.isNotNull() & s.isNotNull()
-        return F.when(known, won.cast("int")), F.when(known & (end > 0), F.get(F.col("_w"), end - 1)["ts"])
+        return F.when(known, won.cast("int")), F.when(known & (end > 0), F.get(F.col("_w"), (end - 1).cast("int"))["ts"])
 
     long, t1_long = outcome(F.col("_lt"), F.col("_ls"))
     short, t1_short = outcome(F.col("_st"), F.col("_ss"))
-    return x.withColumns({"long": long, "t1_long": t1_long, "short": short, "t1_short": t1_short}).drop("_w", "_lt", "_ls", "_st", "_ss")
+    return x.withColumns({"long": long, "t1_long": t1_long, "short": short, "t1_short": t1_short}).drop("_w", "_off", "_lt", "_ls", "_st", "_ss")
 
 
-def barrier_race_fast(bars: DataFrame, horizon: int, target: str = "target", stop: str = "stop", block: int = 20_000) -> DataFrame:
+def barrier_race_fast(bars: DataFrame, horizon: int, target: str = "target", stop: str = "stop", arm: str | None = None, block: int = 20_000) -> DataFrame:
     """The same labels long and short by numpy over sliding windows, a symbol at a time in blocks of rows: for long horizons."""
     schema = schema_with(bars, long="int", short="int")
 
@@ -67,7 +77,13 @@ def barrier_race_fast(bars: DataFrame, horizon: int, target: str = "target", sto
             h = np.lib.stride_tricks.sliding_window_view(hi[a + 1 : b + horizon], horizon)
             low = np.lib.stride_tricks.sliding_window_view(lo[a + 1 : b + horizon], horizon)
             base, tt, ss = close[a:b, None], t[a:b, None], s[a:b, None]
-            first = lambda m: np.where(m.any(1), m.argmax(1), horizon)
+            open_ = True
+            if arm is not None:
+                d = np.nan_to_num(pdf[arm].to_numpy(float)[a:b, None])
+                moved = (h >= base + d) | (low <= base - d)
+                from_ = np.where(d[:, 0] <= 0, -1, np.where(moved.any(1), moved.argmax(1), horizon))
+                open_ = np.arange(horizon) > from_[:, None]
+            first = lambda m: np.where((m & open_).any(1), (m & open_).argmax(1), horizon)  # noqa: B023, E731
             out["long"][a:b] = first(h >= base + tt) < first(low <= base - ss)
             out["short"][a:b] = first(low <= base - tt) < first(h >= base + ss)
         for k, x in out.items():

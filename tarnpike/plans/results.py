@@ -53,6 +53,15 @@ def triple_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.barrier_race(targeted(spark, sf_dir), 12).select("symbol", "ts", "long", "short", "t1_long", "t1_short")
 
 
+@query(f"""WITH {with_atr(14)}, g AS (SELECT *, coalesce(list({{'h': high, 'l': low}}) OVER {ahead(12)}, []) AS w0 FROM a), m AS (SELECT *, coalesce(list_position(list_transform(w0, lambda b: coalesce(b.h >= close + 0.4 * atr OR b.l <= close - 0.4 * atr, false)), true), 0) AS mv FROM g), k AS (SELECT *, CASE WHEN mv = 0 THEN [] ELSE w0[mv + 1:] END AS w FROM m),
+    f AS (SELECT *, coalesce(list_position(list_transform(w, lambda b: coalesce(b.h >= close + atr, false)), true), 0) AS lt, coalesce(list_position(list_transform(w, lambda b: coalesce(b.l <= close - 0.5 * atr, false)), true), 0) AS ls, coalesce(list_position(list_transform(w, lambda b: coalesce(b.l <= close - atr, false)), true), 0) AS st, coalesce(list_position(list_transform(w, lambda b: coalesce(b.h >= close + 0.5 * atr, false)), true), 0) AS ss FROM k)
+    SELECT symbol, ts, CASE WHEN atr IS NOT NULL THEN (lt > 0 AND (ls = 0 OR lt < ls))::INT END AS long, CASE WHEN atr IS NOT NULL THEN (st > 0 AND (ss = 0 OR st < ss))::INT END AS short FROM f""")
+def triple_barrier_armed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The race that begins after a first move of 0.4 true ranges."""
+    x = targeted(spark, sf_dir).withColumn("arm", 0.4 * F.col("atr_mean_14"))
+    return labels.barrier_race(x, 12, arm="arm").select("symbol", "ts", "long", "short")
+
+
 @query(f"{_RACE_SQL} FROM o")
 def triple_barrier_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The race over numpy windows, for long horizons."""

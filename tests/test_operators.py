@@ -398,3 +398,11 @@ def test_conflicts_and_upsert(spark):
 def test_no_nan(spark):
     x = spark.createDataFrame([(float("nan"), 1), (float("inf"), 2), (1.5, 3)], "a double, b int")
     assert [r.a for r in safe.no_nan(x).orderBy("b").collect()] == [None, None, 1.5]
+
+
+def test_armed_race_in_both_forms(spark):
+    b = random_bars(spark).withColumns({"target": F.lit(2.0), "stop": F.lit(1.5), "arm": F.when(F.hour("ts") % 3 == 0, 0.0).when(F.hour("ts") % 3 == 1, 1.2)})
+    for h in (1, 6):
+        slow, fast = (values(f(b, h, arm="arm"), "long", "short") for f in (labels.barrier_race, labels.barrier_race_fast))
+        assert slow == fast
+    assert values(labels.barrier_race(b, 6, arm="arm"), "long") != values(labels.barrier_race(b, 6), "long")
