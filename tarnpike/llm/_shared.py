@@ -11,7 +11,7 @@ from tarnpike.functions.session import ready as _findable
 
 #: rows of texts that a Python worker gets at once, unless the session says otherwise
 BATCH_ROWS = 2_000
-_WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20)}
+_WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ready(spark: SparkSession) -> SparkSession:
