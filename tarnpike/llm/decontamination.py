@@ -44,6 +44,15 @@ def winnowed(rows: np.ndarray, g: np.ndarray, size: int) -> np.ndarray:
 class Index:
     """The items of one block: their words, and fingerprints by length of gram."""
 
+    _kept: tuple[str, Index] | None = None
+
+    @classmethod
+    def of_worker(cls, key: str, shared) -> Index:
+        """The worker's index of this block, built for its first task."""
+        if cls._kept is None or cls._kept[0] != key:
+            cls._kept = key, cls(*shared.value)
+        return cls._kept[1]
+
     def __init__(self, ids: list[int], items: list[str], window: int, k: int):
         data, offsets = texts(pa.array(items, pa.string()))
         rows, _, _, self.words = words(data, offsets, ALNUM)
@@ -159,9 +168,9 @@ _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 _SPANS = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
 
 
-def _marks(shared):
+def _marks(key: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*shared.value)
+        index = Index.of_worker(key, shared)
         for batch in batches:
             for a, b, n, spans, pairs in _found(index, batch.column(1)):
                 span = pa.StructArray.from_arrays([pa.array(spans[1], pa.int64()), pa.array(spans[2], pa.int64())], fields=list(_SPAN))
@@ -174,7 +183,7 @@ def _marks(shared):
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, window: int, k: int) -> list:
-    """The benchmark as broadcast blocks. Each holds BLOCK_BYTES of text at most, but for an item that alone has more."""
+    """The benchmark as (key, broadcast block). Each holds BLOCK_BYTES of text at most, but for an item that alone has more."""
     spark = ready(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
@@ -183,7 +192,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str,
     for b in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b)
         rows = part.collect()
-        out.append(spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows], window, k)))
+        out.append((uuid.uuid4().hex, spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows], window, k))))
     return out
 
 
@@ -198,10 +207,10 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     blocks = _blocks(docs, benchmark, item_col, item_text_col, window, k)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if len(blocks) == 1:
-        return rows.mapInArrow(_marks(blocks[0]), _SPANS)
+        return rows.mapInArrow(_marks(*blocks[0]), _SPANS)
     # one pass over the documents for each block; spans of the blocks meet row by row
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
-    parts = [rows.select("row", "text").mapInArrow(_marks(b), _SPANS) for b in blocks]
+    parts = [rows.select("row", "text").mapInArrow(_marks(*b), _SPANS) for b in blocks]
     all_ = parts[0]
     for p in parts[1:]:
         all_ = all_.unionByName(p)
@@ -230,7 +239,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
         return rows.join(bad.select(F.col("doc_id").alias(row)), row, "left_anti").select(*docs.columns)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*blocks[0].value)
+        index = Index.of_worker(*blocks[0])
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for a, b, n, spans, _ in _found(index, batch.column(place)):
