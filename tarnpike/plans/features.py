@@ -84,9 +84,9 @@ def turn_of_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {BARS}, d AS (SELECT symbol, ts::DATE AS d, sum(CASE WHEN hour(ts) BETWEEN 8 AND 15 THEN volume ELSE 0 END) / nullif(sum(volume), 0) AS s FROM bars GROUP BY 1, 2), w AS (SELECT symbol, d, lag(s) OVER (PARTITION BY symbol ORDER BY d) - CASE WHEN count(s) OVER q >= 4 THEN avg(s) OVER q END AS x FROM d WINDOW q AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 9 PRECEDING AND 2 PRECEDING))
-    SELECT b.symbol, b.ts, {r5('x', 'vshare_london')} FROM bars b JOIN w ON w.symbol = b.symbol AND w.d = b.ts::DATE""")
+    SELECT b.symbol, b.ts, round(x, 8) + 0.0 AS vshare_london FROM bars b JOIN w ON w.symbol = b.symbol AND w.d = b.ts::DATE""")
 def day_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(families.day_shares(bars(spark, sf_dir), (8, 16), 8, "vshare_london"), "vshare_london", digits=5)
+    return shown(families.day_shares(bars(spark, sf_dir), (8, 16), 8, "vshare_london"), "vshare_london", digits=8)
 
 
 @query(f"""WITH {BARS}, x AS (SELECT *, close - {lag('close')} AS d, (close - low) / nullif(high - low, 0) AS q, {div('volume - ' + gated('avg(volume)', 'volume', prev(24), 12), gated('stddev_samp(volume)', 'volume', prev(24), 12))} AS z FROM bars), y AS (SELECT *, {div('d - ' + gated('avg(d)', 'd', prev(24), 12), gated('stddev_samp(d)', 'd', prev(24), 12))} AS m, CASE WHEN q >= 0.75 THEN 1.0 WHEN q <= 0.25 THEN -1.0 WHEN q IS NOT NULL THEN 0.0 END AS side FROM x)
