@@ -1,9 +1,9 @@
 """License scans: a positional index of rare licence words, in DataFrame functions alone.
 
-Licence notices are short word templates. An index holds, for each template word, where it stands in which template.
-Of the licence words that a text has, the rarest in the corpus are looked up; each posting says at which place
-the template would begin in the text; at every such place the template is laid over the text, and its label counts
-if enough of its weight agrees and its mandatory phrase is there. All of it happens within a row: nothing is shuffled
+Licence notices are short word templates. An index holds, for the rarest words of each template, where they stand in it: so many that
+the others alone never have the weight that must agree. Each template whose mandatory phrase a text has is looked up by every indexed word
+of the text; a posting says at which place the template would begin; at every such place it is laid over the text, and its label counts
+if enough of its weight agrees. So every place of every template is found. All of it happens within a row: nothing is shuffled
 but the document counts of the templates' words.
 """
 
@@ -43,8 +43,8 @@ TEMPLATES = [
     ("proprietary", "copyright all rights reserved unauthorized copying of this file is strictly prohibited", "unauthorized copying"),
 ]
 
-#: words looked up for a text, the rarest first; share of a template's weight that must agree
-LOOKED_UP, AGREES = 6, 0.7
+#: share of a template's weight that must agree
+AGREES = 0.7
 _STEP = 1 << 32  # a candidate is template * _STEP + start + _BEFORE
 _BEFORE = 1 << 8
 
@@ -68,6 +68,18 @@ def document_counts(docs: DataFrame, text_col: str, vocabulary: list[str]) -> tu
     return counts, counts.pop("", 0)
 
 
+def _indexed(ws: list[str], idf: dict[str, float]) -> dict[str, list[int]]:
+    """{word: places in the template} of its rarest words, until the weight of the others is less than what must agree."""
+    places: dict[str, list[int]] = {}
+    rest = total = sum(idf[w] for w in ws)
+    for w in sorted(set(ws), key=lambda w: (-idf[w], w)):
+        if rest < (AGREES - 1e-5) * total:
+            break
+        places[w] = [p for p, x in enumerate(ws) if x == w]
+        rest -= idf[w] * len(places[w])
+    return places
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places) for every row.
 
@@ -84,36 +96,33 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     vocabulary = sorted({w for t in cut for w in t})
     counts, total = document_counts(rows, "text", vocabulary)
     idf = {w: math.log((total + 1) / (counts.get(w, 0) + 1)) + 1e-3 for w in vocabulary}
-    # a template is indexed by its rarer half; the whole of it is laid over the text
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for t, ws in enumerate(cut):
-        for w in sorted(set(ws), key=lambda w: (-idf[w], w))[: max(2, len(set(ws)) // 2)]:
-            postings.setdefault(w, []).extend((t, p) for p, x in enumerate(ws) if x == w)
-    indexed = sorted(postings)
-    weight = F.create_map(*(F.lit(x) for w in indexed for x in (w, idf[w])))
-    lookup = F.create_map(*(x for w in indexed for x in (F.lit(w), F.array(*(F.lit(t * _STEP + _BEFORE - p) for t, p in postings[w])))))
+    # postings of each template by word: a place without any of them agrees in less than AGREES
+    lookup = F.array(*(F.create_map(*(x for w, at in _indexed(ws, idf).items() for x in (F.lit(w), F.array(*(F.lit(t * _STEP + _BEFORE - p) for p in at))))) for t, ws in enumerate(cut)))
+    indexed = F.array(*(F.array(*(F.lit(w) for w in _indexed(ws, idf))) for ws in cut))
     laid = F.array(*(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(w).alias("w"), F.lit(idf[w] / sum(idf[x] for x in ws)).alias("part")) for p, w in enumerate(ws))) for ws in cut))
-    phrase = F.array(*(F.lit(f" {p} ") for _, _, p in templates))
     label = F.array(*(F.lit(x) for x, _, _ in templates))
 
     base = "(?: " + "| ".join(BASE) + ")(?= )"
     a = rows.select("doc_id", _words(F.col("text")).alias("norm"))
     a = a.withColumn("words", F.split(F.trim("norm"), " ")).withColumn("n_base", F.regexp_count("norm", F.lit(base)).cast("long"))
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda h: h["w"].isin(indexed))
-    b = a.withColumn("hits", hits)
-    rare = F.slice(F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.concat(F.lpad(F.format_number(F.lit(1e6) - F.element_at(weight, h["w"]) * 1e4, 0), 12, "0"), F.lit(" "), h["w"])))), 1, LOOKED_UP)
-    c = b.withColumn("rare", F.when(F.size("hits") == 0, F.array().cast("array<string>")).otherwise(F.transform(rare, lambda x: F.substring_index(x, " ", -1))))
-    starts = F.flatten(F.transform(F.filter("hits", lambda h: F.array_contains("rare", h["w"])), lambda h: F.transform(F.element_at(lookup, h["w"]), lambda x: x + h["i"])))
-    d = c.withColumn("starts", F.when(F.size("rare") == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(starts)))
+    held = F.filter(F.array(*(F.when(F.contains(F.col("norm"), F.lit(f" {p} ")), F.lit(t)) for t, (_, _, p) in enumerate(templates))), lambda t: t.isNotNull())
+    b = a.withColumn("held", held)
+    wanted = F.array_distinct(F.flatten(F.transform("held", lambda t: F.get(indexed, t))))
+    c = b.withColumn("wanted", F.when(F.size("held") == 0, F.array().cast("array<string>")).otherwise(wanted))
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda h: F.array_contains("wanted", h["w"]))
+    c = c.withColumn("hits", F.when(F.size("wanted") == 0, F.array().cast("array<struct<i:int,w:string>>")).otherwise(hits))
+    none = F.array().cast("array<bigint>")
+    starts = F.flatten(F.transform("hits", lambda h: F.flatten(F.transform("held", lambda t: F.transform(F.coalesce(F.element_at(F.get(lookup, t), h["w"]), none), lambda x: x + h["i"])))))
+    d = c.withColumn("starts", F.when(F.size("hits") == 0, none).otherwise(F.array_distinct(starts)))
 
     def agreeing(s: Column) -> Column:
         of, begin = F.shiftright(s, 32).cast("int"), (s.bitwiseAND(_STEP - 1) - _BEFORE).cast("int")
         here = lambda e: (begin + e["p"] >= 0) & (F.get("words", F.greatest(begin + e["p"], F.lit(0))) == e["w"])
         share = F.aggregate(F.get(laid, of), F.lit(0.0), lambda x, e: x + F.when(here(e), e["part"]).otherwise(0.0))
-        return F.struct(F.get(label, of).alias("label"), begin.alias("word"), F.round(share, 6).alias("share"), F.contains(F.col("norm"), F.get(phrase, of)).alias("phrase"))
+        return F.struct(F.get(label, of).alias("label"), begin.alias("word"), F.round(share, 6).alias("share"))
 
-    laid_over = F.filter(F.transform("starts", agreeing), lambda x: x["phrase"] & (x["share"] >= AGREES))
-    e = d.withColumn("places", F.when(F.size("starts") == 0, F.array().cast("array<struct<label:string,word:int,share:double,phrase:boolean>>")).otherwise(laid_over))
+    laid_over = F.filter(F.transform("starts", agreeing), lambda x: x["share"] >= AGREES)
+    e = d.withColumn("places", F.when(F.size("starts") == 0, F.array().cast("array<struct<label:string,word:int,share:double>>")).otherwise(laid_over))
     own = F.filter(F.array(*(F.when(F.contains(F.col("norm"), F.lit(f" {p} ")), F.lit(x)) for p, x in BASE.items())), lambda x: x.isNotNull())
     f = e.withColumn("own", F.array_sort(F.array_distinct(own)))
     before_first = F.element_at(F.split("norm", base, 2), 1)

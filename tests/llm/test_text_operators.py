@@ -407,6 +407,38 @@ def test_licence_notices(spark):
     assert all(got[i].labels == "" and got[i].score == 0 for i in range(len(notices), len(texts_)))
 
 
+def notices_by_hand(texts_):
+    """Labels, score and places of each text: every template laid over it at every place."""
+    cut = [t.split() for _, t, _ in licenses.TEMPLATES]
+    split = [alnum(t) for t in texts_]
+    counts = Counter(w for ws in split for w in set(ws))
+    idf = {w: math.log((len(texts_) + 1) / (counts[w] + 1)) + 1e-3 for ws in cut for w in ws}
+    for w in split:
+        joined = f" {' '.join(w)} "
+        labels, places, best = {x for p, x in licenses.BASE.items() if f" {p} " in joined}, [], 0.0
+        for ws, (name, _, phrase) in zip(cut, licenses.TEMPLATES, strict=True):
+            for b in range(-len(ws) + 1, len(w)):
+                share = sum(idf[x] for p, x in enumerate(ws) if 0 <= b + p < len(w) and w[b + p] == x) / sum(idf[x] for x in ws)
+                if round(share, 6) >= licenses.AGREES and f" {phrase} " in joined:
+                    places.append((name, b))
+                    best = max(best, share)
+        yield ",".join(sorted(labels | {name for name, _ in places})), round(min(best, 1.0), 6) if places else float(bool(labels)), Counter(places)
+
+
+def test_several_notices_in_a_text(spark):
+    r = random.Random(7)
+    notices = [t for _, t, _ in licenses.TEMPLATES]
+    prose = "the and of to in is for with this file use without software under version provided public domain source".split()
+    words_ = lambda n: " ".join(r.choice(prose) for _ in range(n))
+    damaged = lambda t: " ".join(w if r.random() < 0.9 else "x" for w in t.split())
+    texts_ = [words_(30)] * 60 + [" ".join(f"{words_(r.randint(0, 40))} {t}" for t in pair) for pair in ((a, b) for a in notices for b in notices if a != b)]
+    texts_ += [" ".join(f"{damaged(t)} {words_(20)}" for t in r.sample(notices, 5)) for _ in range(60)] + [" ".join(notices)]
+    got = {x.doc_id: x for x in licenses.license_scan(docs_of(spark, texts_)).collect()}
+    for i, (labels, score, places) in enumerate(notices_by_hand(texts_)):
+        assert (got[i].labels, Counter((p.label, p.word) for p in got[i].places)) == (labels, places)
+        assert got[i].score == pytest.approx(score, abs=1e-6)
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 
