@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnpike.functions.safe import correlation, schema_with
+from tarnpike.operators.align import running_totals
 from tarnpike.operators.evaluation import time_folds
 
 LEARNERS = {
@@ -41,10 +42,15 @@ def scores(model: PipelineModel, df: DataFrame, features: list[str], out: str =
 
 
 def out_of_fold(df: DataFrame, features: list[str], y: str, order: str, folds: int, embargo: int, learner: str = "logistic") -> DataFrame:
-    """(all columns, fold, score): each fold is scored by a model of the rows before it, less the embargo. Folds with one class are skipped."""
-    n = df.withColumn("_rn", F.row_number().over(Window.orderBy(order)) - 1)
+    """(all columns, fold, score): each fold is scored by a model of the rows before it, less the embargo. Folds with one class are skipped.
+
+    Folds and the embargo count distinct values of ``order``, so rows of one time, as those of several symbols, are in one fold.
+    """
+    times = df.select(F.col(order).alias("_time")).distinct().withColumn("_rn", F.lit(1))
+    places = running_totals(times, "_time", ["_rn"]).select("_time", (F.col("_rn_run") - 1).alias("_rn"))
+    n = df.join(places, F.col(order).eqNullSafe(F.col("_time"))).drop("_time")
     parts = []
-    for f in time_folds(df, folds, embargo, order).collect():  # as many rows as folds
+    for f in time_folds(times, folds, embargo, "_time").collect():  # as many rows as folds
         train = n.where(F.col("_rn") <= f.train_until)
         if train.select(y).where(F.col(y).isNotNull()).distinct().count() < 2:
             continue

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -358,16 +359,20 @@ def simulated_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direction of daily bars from two ranges, each fold scored by a model of earlier rows."""
     d = labels.direction_horizon(indicators.bar_shape(src.order_bars(spark, sf_dir)), 1, 0.0).withColumn("y", (F.col("direction") > 0).cast("int"))
-    x = d.where("symbol = '1-URGENT' and y is not null").select("ts", "close_vs_range", "body_ratio", "volume", "y")
-    return models.out_of_fold(x, ["close_vs_range", "body_ratio", "volume"], "y", "ts", 3, 5).select("ts", "fold", "y", F.round("score", 4).alias("score"))
+    x = d.where("y is not null").select("symbol", "ts", "close_vs_range", "body_ratio", "volume", "y")
+    return models.out_of_fold(x, ["close_vs_range", "body_ratio", "volume"], "y", "ts", 3, 5).select("symbol", "ts", "fold", "y", F.round("score", 4).alias("score"))
 
 
 @query()
 def regime_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = indicators.efficiency(src.order_bars(spark, sf_dir).where("symbol = '1-URGENT'"), 20).withColumn("rng", F.ln(F.col("high") / F.col("low")))
+    """A mixture for each symbol; its states count within the symbol."""
+    d = indicators.efficiency(src.order_bars(spark, sf_dir), 20).withColumn("rng", F.ln(F.col("high") / F.col("low")))
     x = d.where("efficiency_20 is not null")
-    m = models.fit_regimes(x, ["efficiency_20", "rng"], 3)
-    return models.dwell_times(models.regime_states(m, x, ["efficiency_20", "rng"]), "state", ["symbol"], "ts")
+    features, states = ["efficiency_20", "rng"], []
+    for r in x.na.drop(subset=features).select("symbol").distinct().orderBy("symbol").collect():  # a row for each symbol
+        own = x.where(F.col("symbol").eqNullSafe(F.lit(r.symbol)))
+        states.append(models.regime_states(models.fit_regimes(own, features, 3), own, features))
+    return models.dwell_times(reduce(DataFrame.unionByName, states), "state", ["symbol"], "ts")
 
 
 @query()

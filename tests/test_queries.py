@@ -28,3 +28,13 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert registry.FLAGSHIP in entry.queries()
+
+
+def test_models_score_every_symbol(spark, duck):
+    symbols = {x for (x,) in duck.sql("SELECT DISTINCT o_orderpriority FROM orders").fetchall()}
+    scored = registry.QUERIES["out_of_fold_scores"](spark, SF).toPandas()
+    assert set(scored.symbol) == symbols and not scored.duplicated(["symbol", "ts"]).any()
+    assert (scored.groupby("ts").fold.nunique() == 1).all()
+    states = registry.QUERIES["regime_mixture"](spark, SF).toPandas()
+    assert set(states.symbol) == symbols
+    assert states.groupby("symbol").share.sum().to_numpy() == pytest.approx(1.0)
