@@ -87,10 +87,18 @@ def permutation_importance(df: DataFrame, features: list[str], y: str, model: Pi
     return sorted(out, key=lambda x: (-x[1], x[0]))
 
 
-def mutual_information(df: DataFrame, feature: str, y: str, bins: int = 10) -> DataFrame:
-    """(feature, n, mi) in nats between quantile bins of a feature and a label, over rows that differ from the one before in either: an estimate by counts."""
+def mutual_information(df: DataFrame, feature: str, y: str, bins: int = 10, keys: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """(feature, n, mi) in nats between quantile bins of a feature and a label: an estimate by counts.
+
+    With an order, over rows that differ from the one before of their ``keys`` in either; without one, over every row.
+    """
+    known = F.col(feature).isNotNull() & F.col(y).isNotNull()
+    if order:
+        w = Window.partitionBy(*(keys or [])).orderBy(order)
+        same = F.col(feature).eqNullSafe(F.lag(feature).over(w)) & F.col(y).eqNullSafe(F.lag(y).over(w))
+        df = df.where(known).withColumn("_same", same).where(~F.col("_same")).drop("_same")
     edges = df.agg(F.array_distinct(F.percentile(feature, [i / bins for i in range(1, bins)])).alias("_e"))
-    x = df.where(F.col(feature).isNotNull() & F.col(y).isNotNull()).crossJoin(F.broadcast(edges)).withColumn("_b", F.size(F.filter(F.col("_e"), lambda e: e < F.col(feature))))
+    x = df.where(known).crossJoin(F.broadcast(edges)).withColumn("_b", F.size(F.filter(F.col("_e"), lambda e: e < F.col(feature))))
     g = x.groupBy("_b", y).agg(F.count("*").alias("_n"))
     all_, row, colm = Window.partitionBy(), Window.partitionBy("_b"), Window.partitionBy(y)
     n = F.sum("_n").over(all_)

@@ -274,6 +274,15 @@ def test_permutation_importance_finds_the_feature(spark):
     assert groups["a"] == groups["c"] != groups["b"]
 
 
+def test_mutual_information_counts_runs_once(spark):
+    rows = [(k, i, float(v), y) for k, runs in (("a", ((1, 0, 5), (2, 1, 1), (1, 0, 3), (1, 1, 2))), ("b", ((1, 1, 4), (2, 1, 2)))) for i, (v, y) in enumerate((v, y) for v, y, n in runs for _ in range(n))]
+    df = spark.createDataFrame(rows, "k string, i int, x double, y int")
+    once = spark.createDataFrame([(1.0, 0), (2.0, 1), (1.0, 0), (1.0, 1), (1.0, 1), (2.0, 1)], "x double, y int")
+    got, want = models.mutual_information(df, "x", "y", 2, ["k"], "i").first(), models.mutual_information(once, "x", "y", 2).first()
+    assert got.n == want.n == 6 and got.mi == pytest.approx(want.mi)
+    assert models.mutual_information(df, "x", "y", 2).first().n == 17
+
+
 def test_nearest_fingerprints(spark):
     p = models.fingerprints(random_bars(spark), "close", ["symbol"], "ts", 20, 10)
     near = models.nearest_fingerprints(p, ["mean", "std"], F.col("window_id") == 0, 3).collect()
