@@ -1,102 +1,196 @@
-"""LM scoring: a hierarchical Pitman-Yor model sampled by Gibbs, with all counts kept apart by word.
+"""LM scoring: a hierarchical Pitman-Yor model whose contexts are the words before, sampled by Gibbs.
 
-The root restaurant serves words; below it, one restaurant for each context serves the words that follow. A context is the class
-of the word before, one of CONTEXTS - 1 by hash, or the begin of a text; all share the root as parent. Every table of a context's
-restaurant is a customer of the root's.
+The root restaurant serves words; below it, one restaurant for each previous word (and for the begin of a text) serves the words that
+follow it. All share the root as parent: every table of a context's restaurant is a customer of the root's.
 
-Restaurants meet only in their totals. So words are dealt over buckets by hash; a bucket holds, for each of its words, the customers
-by context. One Gibbs sweep seats the customers of every word again, given the totals of the sweep before, and adds up the new ones: a pass
-over the buckets that returns CONTEXTS numbers. Random numbers are hashes of word, context, sweep and customer, so a lost task
-repeats itself exactly, and the seating of a sweep is a function of the totals so far, never stored.
+*Placement.* A bucket holds whole restaurants: contexts are dealt by hash, so customers and tables of a restaurant meet in one place. The
+root is dealt by word. Between the two go messages: a bucket tells how many tables it has of each of its words, a root part answers with
+the word's share. Lists of words travel once; later messages are numbers in the same order. A restaurant holds one number for
+each distinct word that follows, so its size is bounded by the vocabulary, however often its context occurs.
 
-Texts are scored in two tiers. The predictive probabilities of the FREQUENT most frequent words are broadcast
-(FREQUENT * CONTEXTS floats, whatever the input). All other tokens go to their word's bucket, packed; sums by text come back.
+*Sampling.* A dish with one customer has one table; the others are drawn again in every sweep from their conditional distribution given
+the tables of the rest of the restaurant and the parent's share: generalised Stirling numbers for up to EXACT customers, beyond that one
+customer after another, in runs. Strengths of both levels are drawn from a grid given the seating; discounts follow from
+how many are seen once and twice. Random numbers depend on sweep and bucket alone, so a lost task repeats itself exactly.
+
+*Scoring.* Tokens are packed by the bucket of their context. Known pairs, and known words after any context, are scored there; words that
+the bucket does not have go on to their root part with the weight that backs off. Sums by text come back in packs of one flush of texts.
+A bucket with many tokens is scored by several tasks, each with the bucket's model.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import ready, written
 from .words import CHUNK_BYTES, SPACED, chunks, mix, texts, words
 
-CONTEXTS, FREQUENT = 256, 16_384
-BEGIN = CONTEXTS - 1
-#: sweeps, of which the first BURN_IN do not count in averages; strength of both levels
-SWEEPS, BURN_IN, STRENGTH = 4, 1, 1.0
-#: bytes of text for each bucket of words, about; and the fewest buckets
-BUCKET_BYTES, LEAST_BUCKETS = 24 << 20, 32
+#: sweeps, of which the first BURN_IN do not count in averages; parts of a sweep between which restaurants' totals are taken anew
+SWEEPS, BURN_IN, PARTS = 5, 2, 4
+#: customers of a dish up to which its tables are drawn from the exact conditional distribution
+EXACT = 64
+#: bytes of text for each bucket of contexts, about; the fewest buckets; buckets for each part of the root
+BUCKET_BYTES, LEAST_BUCKETS, PER_ROOT = 24 << 20, 32, 4
+#: strengths to draw from
+STRENGTHS = np.logspace(-2, 4, 49)
+#: bytes of text and tokens that a task packs at once
+FLUSH, FLUSH_TOKENS = 12 * CHUNK_BYTES, 3 << 20
 END = np.uint64(0x3C6EF372FE94F82B)  # the token after a text's last word
+BEGIN = np.uint64(0x6A09E667F3BCC909)  # the context of its first
+
+_ID = 22  # bits of a word's number within a flush
+_MESSAGE = "key long, kind int, sender long, payload binary"
+_NAMES = ["key", "kind", "sender", "payload"]
+PAIRS, SHARED, SEATS, LISTED, TABLES, SHARES, OFTEN, WORDS, ROOT, SUMS, TOKENS, DOCS, SENT_ON, SCORED = range(14)
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed run of byte planes; whole numbers in as few bytes as the largest needs."""
+    head, body = [np.uint32(len(arrays)).tobytes()], []
+    for a in arrays:
+        if a.dtype.kind in "iu" and a.dtype != np.uint64:
+            top = int(a.max(initial=0))
+            a = a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
+        head.append(a.dtype.str.encode().ljust(4) + np.int64(len(a)).tobytes())
+        body.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(head + body))
+
+
+def _unpack(raw: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    at, out = 4 + 12 * n, []
+    for i in range(n):
+        kind = np.dtype(raw[4 + 12 * i : 8 + 12 * i].decode().strip())
+        size = int(np.frombuffer(raw[8 + 12 * i : 16 + 12 * i], np.int64)[0])
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        a = np.ascontiguousarray(planes.T).view(kind).ravel()
+        out.append(a.astype(np.int64) if kind.kind in "iu" and kind != np.uint64 else a)
+        at += size * kind.itemsize
+    return out
+
+
+def _steps(a: np.ndarray) -> np.ndarray:
+    return np.diff(a, prepend=0)
+
+
+def _message(key: int, kind: int, sender: int, *arrays: np.ndarray) -> tuple:
+    return key, kind, sender, _pack(*arrays)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], _NAMES)
+
+
+def _grouped(step):
+    """Messages of one key, by kind and in the order of their senders, to further messages."""
+
+    def run(table: pa.Table) -> pa.Table:
+        got: dict[int, list[tuple[int, list[np.ndarray]]]] = defaultdict(list)
+        order = np.argsort(np.asarray(table.column("sender")), kind="stable")
+        kinds, senders, raw = (table.column(c) for c in ("kind", "sender", "payload"))
+        for i in order.tolist():
+            got[kinds[i].as_py()].append((senders[i].as_py(), raw[i].as_py()))
+        return pa.Table.from_batches([_batch(list(step(table.column("key")[0].as_py(), got)))])
+
+    return run
+
+
+def _stepped(messages: DataFrame, step) -> DataFrame:
+    return messages.groupBy("key").applyInArrow(_grouped(step), _MESSAGE)
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, token, context) of the words of each text and the end after them."""
+    """(row, token, whether it is the first of its row): the words of each text and the end after them."""
     n = len(offsets) - 1
     rows, _, _, h = words(data, offsets, SPACED)
-    h = h + (h == END)
+    h = h + (h == END) + (h == BEGIN)
     last = np.cumsum(np.bincount(rows, minlength=n) + 1) - 1  # where the ends go
-    token = np.empty(len(h) + n, np.uint64)
-    of = np.empty(len(h) + n, np.int64)
+    token, of = np.empty(len(h) + n, np.uint64), np.empty(len(h) + n, np.int64)
     is_end = np.zeros(len(token), bool)
     is_end[last] = True
     token[is_end], token[~is_end] = END, h
     of[is_end], of[~is_end] = np.arange(n), rows
-    context = np.empty(len(token), np.uint8)
-    context[1:] = (mix(token[:-1]) % np.uint64(CONTEXTS - 1)).astype(np.uint8)
-    first = np.append(0, last[:-1] + 1) if n else last
-    context[first] = BEGIN
-    return of, token, context
+    first = np.zeros(len(token), bool)
+    first[0 if n else slice(0)] = n > 0
+    first[1:] = is_end[:-1]
+    return of, token, first
 
 
-def _planes(x: np.ndarray) -> bytes:
-    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+def _part_of(h: np.ndarray, salt: int, parts: int) -> np.ndarray:
+    return (mix(h ^ np.uint64(salt)) % np.uint64(parts)).astype(np.int64)
 
 
-def _from_planes(raw: bytes, n: int, at: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64).ravel()
+def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return _part_of(h, 0x243F6A8885A308D3, buckets)
 
 
-def _row(names: list[str], kinds: list[pa.DataType], *values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds, strict=True)], names)
+def _root_of(h: np.ndarray, roots: int) -> np.ndarray:
+    return _part_of(h, 0x13198A2E03707344, roots)
 
 
-_PACKED = (["bucket", "payload"], [pa.int32(), pa.binary()])
+def _numbered(held: list, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, keys): the words of held tokens and the begin; for each token bucket, context and word in one number."""
+    token, first = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+    kinds, w = np.unique(token, return_inverse=True)
+    u = np.empty(len(w), np.int64)
+    u[1:] = w[:-1]
+    u[first] = len(kinds)
+    hashes = np.append(kinds, BEGIN)
+    bucket = _bucket_of(hashes, buckets)
+    return hashes, (bucket[u] << (2 * _ID)) | (u << _ID) | w
 
 
-def _counted(buckets: int, flush: int = 12 * CHUNK_BYTES):
-    """Training texts to packed counts of (token, context): token planes, contexts, counts; sorted, by bucket."""
+def _by_bucket(hashes: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of sorted keys: (bucket, where, hashes used, contexts, words) with contexts and words as numbers among those used."""
+    bucket = keys >> (2 * _ID)
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else []
+    place = np.zeros(len(hashes), np.int64)
+    mask = (1 << _ID) - 1
+    for a, b in zip(starts, np.append(starts[1:], len(keys)) if len(keys) else [], strict=True):
+        u, w = (keys[a:b] >> _ID) & mask, keys[a:b] & mask
+        on = np.zeros(len(hashes), bool)
+        on[u], on[w] = True, True
+        used = np.flatnonzero(on)
+        place[used] = np.arange(len(used))
+        yield int(bucket[a]), slice(a, b), hashes[used], place[u], place[w]
+
+
+def _counted(buckets: int):
+    """Training texts to counts of (context, word), by bucket."""
 
     def out(held: list) -> Iterator[pa.RecordBatch]:
-        token, context = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((context, token, token % np.uint64(buckets)))
-        token, context = token[order], context[order]
-        new = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (context[1:] != context[:-1])))
-        count = np.diff(np.append(new, len(token))).astype(np.uint32)
-        token, context = token[new], context[new]
-        ends = np.searchsorted(token % np.uint64(buckets), np.arange(buckets + 1, dtype=np.uint64))
-        for b in range(buckets):
-            part = slice(ends[b], ends[b + 1])
-            m = ends[b + 1] - ends[b]
-            if m:
-                yield _row(*_PACKED, b, np.int64(m).tobytes() + _planes(token[part]) + context[part].tobytes() + count[part].tobytes())
+        hashes, keys = _numbered(held, buckets)
+        keys.sort()
+        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        count = np.diff(np.append(new, len(keys)))
+        for b, where, used, u, w in _by_bucket(hashes, keys[new]):
+            yield _batch([_message(b, PAIRS, 0, used, _steps(u), w, count[where])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, many = [], 0, 0
         for batch in batches:
             data, offsets = texts(batch.column(0))
             for _, _, d, o in chunks(data, offsets):
-                _, token, context = _tokens(d, o)
-                held.append((token, context))
-                size += len(d) + 8 * len(o)
-                if size > flush:
+                _, token, first = _tokens(d, o)
+                if held and many + len(token) > FLUSH_TOKENS:
                     yield from out(held)
-                    held, size = [], 0
+                    held, size, many = [], 0, 0
+                held.append((token, first))
+                size, many = size + len(d), many + len(token)
+                if size > FLUSH:
+                    yield from out(held)
+                    held, size, many = [], 0, 0
         if held:
             yield from out(held)
 
@@ -104,146 +198,243 @@ def _counted(buckets: int, flush: int = 12 * CHUNK_BYTES):
 
 
 @dataclass
-class Bucket:
-    """The words of a bucket, sorted, and their customers by context: pairs first[i] to first[i + 1] are word i's."""
-
-    word: np.ndarray
-    first: np.ndarray
-    context: np.ndarray
+class Restaurants:
+    """The restaurants of one bucket: pairs sorted by context and word."""
+
+    words: np.ndarray  #: hashes, by part of the root and hash
+    by_root: np.ndarray  #: how many words each part of the root has
+    contexts: np.ndarray  #: hashes, sorted
+    follow: np.ndarray  #: how many words each context has
+    word: np.ndarray  #: of each pair, as a place in ``words``
     count: np.ndarray
 
-    def packed(self) -> bytes:
-        return np.array([len(self.word), len(self.count)], np.int64).tobytes() + _planes(self.word) + self.first.astype(np.int64).tobytes() + self.context.astype(np.uint8).tobytes() + self.count.astype(np.int64).tobytes()
-
-    @staticmethod
-    def unpacked(raw: bytes) -> Bucket:
-        v, m = (int(x) for x in np.frombuffer(raw, np.int64, 2))
-        at = 16 + 8 * v
-        first = np.frombuffer(raw[at : at + 8 * (v + 1)], np.int64)
-        at += 8 * (v + 1)
-        return Bucket(_from_planes(raw, v, 16), first, np.frombuffer(raw, np.uint8, m, at), np.frombuffer(raw[at + m : at + 9 * m], np.int64))
-
     @property
-    def total(self) -> np.ndarray:
-        return np.add.reduceat(self.count, self.first[:-1]) if len(self.word) else np.zeros(0, np.int64)
-
-
-def _merged(table: pa.Table) -> pa.Table:
-    parts = []
-    for x in table.column("payload"):
-        raw = x.as_py()
-        m = int(np.frombuffer(raw, np.int64, 1)[0])
-        parts.append((_from_planes(raw, m, 8), np.frombuffer(raw, np.uint8, m, 8 + 8 * m), np.frombuffer(raw[8 + 9 * m :], np.uint32)))
-    token, context, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((context, token))
-    token, context, count = token[order], context[order], count[order].astype(np.int64)
-    new = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (context[1:] != context[:-1])))
-    count, token, context = np.add.reduceat(count, new), token[new], context[new]
-    first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    bucket = Bucket(token[first], np.append(first, len(token)), context, count)
-    return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "payload": pa.array([bucket.packed()], pa.binary())})
+    def context(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.contexts)), self.follow)
+
+    def packed(self) -> list[np.ndarray]:
+        return [self.words, self.by_root, self.contexts, self.follow, self.word, self.count]
+
+
+def _merged(roots: int):
+    """Counts of a bucket's pairs: its restaurants, the seats of dishes with several customers, and lists of words for the root."""
+
+    def step(bucket: int, got: dict) -> Iterator[tuple]:
+        parts = [_unpack(raw) for _, raw in got[PAIRS]]
+        kinds, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        base = np.cumsum([0] + [len(p[0]) for p in parts])
+        u = np.concatenate([place[b : b + len(p[0])][np.cumsum(p[1])] for b, p in zip(base, parts, strict=False)])
+        w = np.concatenate([place[b : b + len(p[0])][p[2]] for b, p in zip(base, parts, strict=False)])
+        count = np.concatenate([p[3] for p in parts])
+        key = (u << 32) | w
+        order = np.argsort(key)
+        new = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        count, u, w = np.add.reduceat(count[order], new), u[order][new], w[order][new]
+        follows = np.zeros(len(kinds), bool)
+        follows[w] = True
+        listed = np.flatnonzero(follows)
+        root = _root_of(kinds[listed], roots)
+        listed = listed[np.argsort(root, kind="stable")]
+        at = np.zeros(len(kinds), np.int64)
+        at[listed] = np.arange(len(listed))
+        order = np.argsort((u << 32) | at[w])
+        u, w, count = u[order], at[w[order]], count[order]
+        first = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+        by_root = np.bincount(root, minlength=roots)
+        r = Restaurants(kinds[listed], by_root, kinds[u[first]], np.diff(np.append(first, len(u))), w, count)
+        yield _message(bucket, SHARED, bucket, *r.packed())
+
+        context = r.context
+        size, several = np.bincount(context, weights=count).astype(np.int64), count > 1
+        alone = np.bincount(context, weights=~several).astype(np.int64)
+        use = np.flatnonzero(alone < r.follow)  # contexts with a dish to draw
+        to = np.zeros(len(size), np.int64)
+        to[use] = np.arange(len(use))
+        others = np.bincount(size[alone == r.follow]) if len(use) < len(size) else np.zeros(0, np.int64)
+        tables = np.bincount(w[~several], minlength=len(listed))
+        yield _message(bucket, SEATS, bucket, size[use], alone[use], others, to[context[several]], w[several], count[several], tables, by_root, np.ones(int(several.sum()), np.int64))
+        often, held = np.bincount(w, weights=count, minlength=len(listed)).astype(np.int64), np.bincount(w, minlength=len(listed))
+        ends = np.cumsum(by_root)
+        for i in np.flatnonzero(by_root):
+            part = slice(ends[i] - by_root[i], ends[i])
+            yield _message(int(i), LISTED, bucket, r.words[part], often[part], held[part])
+        once, twice = int((count == 1).sum()), int((count == 2).sum())
+        yield _message(-1, SUMS, bucket, np.array([once, twice, count.sum()], np.float64))
+
+    return step
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    shift = np.log(np.prod([x + i for i in range(8)], axis=0))
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+
+
+def _stirling(discount: float) -> np.ndarray:
+    """Logs of the generalised Stirling numbers S(c, t) up to EXACT: how seatings of c customers at t tables weigh."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[0, 0] = 0.0
+    for c in range(1, EXACT + 1):
+        stay = c - 1 - discount * np.arange(EXACT + 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            grown = np.where(stay > 0, out[c - 1] + np.log(np.maximum(stay, 1e-300)), -np.inf)
+        out[c] = np.logaddexp(grown, np.append(-np.inf, out[c - 1][:-1]))
+    return out
+
+
+def _drawn(rng, count: np.ndarray, others: np.ndarray, share: np.ndarray, strength: float, discount: float, stirling: np.ndarray) -> np.ndarray:
+    """Tables of each dish, drawn given the tables of its restaurant's other dishes and the parent's share of the dish."""
+    out = np.ones(len(count), np.int64)
+    uniform = rng.random(len(count))
+    for c in np.unique(count[(count > 1) & (count <= EXACT)]).tolist():
+        every = np.flatnonzero(count == c)
+        t = np.arange(c)
+        for a in range(0, len(every), max(1, (1 << 20) // c)):
+            own = every[a : a + max(1, (1 << 20) // c)]
+            log = np.cumsum(np.log(strength + discount * (others[own][:, None] + t)), axis=1)
+            log += stirling[c, 1 : c + 1] + (t + 1) * np.log(share[own])[:, None]
+            up = np.cumsum(np.exp(log - log.max(axis=1, keepdims=True)), axis=1)
+            out[own] = 1 + (up[:, :-1] < uniform[own][:, None] * up[:, -1:]).sum(axis=1)
+    on = np.flatnonzero(count > EXACT)
+    tables, seated = np.ones(len(on)), np.ones(len(on))
+    while True:  # customers one after another, beyond 16 in runs of a sixteenth
+        left = np.flatnonzero(seated < count[on])
+        if not len(left):
+            break
+        run = np.minimum(count[on[left]] - seated[left], np.maximum(1, np.floor(seated[left] / 16)))
+        weight = (strength + discount * (others[on[left]] + tables[left])) * share[on[left]]
+        fresh = weight / (weight + seated[left] - discount * tables[left])
+        tables[left] += np.minimum(run, np.floor(run * fresh + rng.random(len(left))))
+        seated[left] += run
+    out[on] = tables.astype(np.int64)
+    return out
+
+
+def _strength_logs(customers: np.ndarray, tables: np.ndarray, times: np.ndarray, discount: float) -> np.ndarray:
+    """For each of STRENGTHS the log likelihood of restaurants with so many customers at so many tables."""
+    s = STRENGTHS[:, None]
+    open_ = (tables - 1) * np.log(discount) + _log_gamma(s / discount + tables) - _log_gamma(s / discount + 1)
+    return ((open_ - _log_gamma(s + customers) + _log_gamma(s + 1)) * times).sum(axis=1)
 
 
 @dataclass
-class Totals:
-    """What restaurants know of each other after a sweep."""
+class Level:
+    """What one sweep knows of both levels."""
 
-    tables: np.ndarray  #: of each context's restaurant
+    strength: float
+    root_strength: float
     customers: float  #: of the root
-    root_tables: float
+    tables: float
 
 
 @dataclass
-class Fixed:
-    """Counts over the training texts, and the discounts of both levels."""
-
+class Setting:
     tokens: int
     kinds: int
-    customers: np.ndarray  #: of each context's restaurant
     discount: float
     root_discount: float
+    levels: list[Level] = field(default_factory=list)  #: one for the start and one after each sweep
 
     @property
-    def base(self) -> float:
-        return 1.0 / (self.kinds + 1)
-
-
-def _uniform(word: np.ndarray, context: np.ndarray, salt: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = mix(word + np.uint64(0x9E3779B97F4A7C15) * (context.astype(np.uint64) + np.uint64(512 * salt)))
-    return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
-
-
-def _seat(word, context, count, new_weight, discount: float, salt: int) -> np.ndarray:
-    """Tables after seating ``count`` customers of each dish, one after another; beyond the first 16, in runs of a sixteenth."""
-    tables, seated = np.ones(len(count)), np.ones(len(count))
-    on = np.flatnonzero(count > 1)
-    step = 0
-    while len(on):
-        run = np.minimum(count[on] - seated[on], np.maximum(1, np.floor(seated[on] / 16)))
-        fresh = new_weight[on] / (new_weight[on] + seated[on] - discount * tables[on])
-        tables[on] += np.floor(run * fresh + _uniform(word[on], context[on], salt + step))
-        seated[on] += run
-        on = on[seated[on] < count[on]]
-        step += 1
-    return tables
-
-
-def _sweeps(bucket: Bucket, fixed: Fixed, history: list[Totals]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """After each sweep: tables by pair; customers and tables of each word in the root."""
-    lengths = np.diff(bucket.first)
-    word = np.repeat(bucket.word, lengths)
-    customers, tables = lengths.astype(np.float64), np.ones(len(lengths))
-    root = np.full(len(lengths), CONTEXTS)
-    for s, totals in enumerate(history):
-        parent = _root_share(customers, tables, totals, fixed)
-        weight = (STRENGTH + fixed.discount * totals.tables)[bucket.context] * np.repeat(parent, lengths)
-        pairs = _seat(word, bucket.context, bucket.count, weight, fixed.discount, 4096 * s)
-        customers = np.add.reduceat(pairs, bucket.first[:-1]) if len(lengths) else customers
-        fresh = (STRENGTH + fixed.root_discount * totals.root_tables) * fixed.base
-        tables = _seat(bucket.word, root, customers, np.full(len(lengths), fresh), fixed.root_discount, 4096 * s + 2048)
-        yield pairs, customers, tables
-
-
-def _root_share(customers, tables, totals: Totals, fixed: Fixed):
-    return (customers - fixed.root_discount * tables + (STRENGTH + fixed.root_discount * totals.root_tables) * fixed.base) / (STRENGTH + totals.customers)
-
-
-def _summed(words_: DataFrame, of) -> dict[tuple[int, int], float]:
-    """Sums by (kind, place) over all buckets of what ``of`` returns for each: {kind: numbers}. CONTEXTS places for each kind at most."""
+    def counted(self) -> list[Level]:
+        return self.levels[1 + BURN_IN :]
+
+    def share(self, x: np.ndarray, level: Level) -> np.ndarray:
+        """The root's probability of words with customers less discounted tables ``x``."""
+        fresh = level.root_strength + self.root_discount * level.tables
+        return (x + fresh / (self.kinds + 1)) / (level.root_strength + level.customers)
+
+
+def _seated(setting: Setting, sweep: int):
+    """One sweep over the restaurants of a bucket."""
+    level, d = setting.levels[-1], setting.discount
+
+    def step(bucket: int, got: dict) -> Iterator[tuple]:
+        size, alone, others, context, word, count, tables, by_root, seats, *kept = _unpack(got[SEATS][0][1])
+        share = setting.share(np.concatenate([_unpack(raw)[0] for _, raw in got[SHARES]] or [np.zeros(0)]).astype(np.float64), level)
+        rng = np.random.default_rng([sweep, bucket, 1])
+        stirling, turn = _stirling(d), rng.integers(0, PARTS, len(count))
+        for i in range(PARTS):
+            own = np.flatnonzero(turn == i)
+            total = alone + np.bincount(context, weights=seats, minlength=len(size))
+            seats[own] = _drawn(rng, count[own], total[context[own]] - seats[own], share[word[own]], level.strength, d, stirling)
+        if sweep >= BURN_IN:
+            kept.append(seats)
+        yield _message(bucket, SEATS, bucket, size, alone, others, context, word, count, tables, by_root, seats, *kept)
+        now = tables + np.bincount(word, weights=seats, minlength=len(tables)).astype(np.int64)
+        ends = np.cumsum(by_root)
+        for i in np.flatnonzero(by_root):
+            yield _message(int(i), TABLES, bucket, now[ends[i] - by_root[i] : ends[i]])
+        total = (alone + np.bincount(context, weights=seats, minlength=len(size))).astype(np.int64)
+        pairs, times = np.unique((size << 32) | total, return_counts=True)
+        single = np.flatnonzero(others)
+        logs = _strength_logs(pairs >> 32, pairs & 0xFFFFFFFF, times, d) + _strength_logs(single, single, others[single], d)
+        yield _message(-1, SUMS, bucket, logs)
+
+    return step
+
+
+def _opened(root: int, got: dict) -> Iterator[tuple]:
+    """A part of the root: its words, and for each bucket where the bucket's words are."""
+    parts = [(b, *_unpack(raw)) for b, raw in got[LISTED]]
+    kinds, place = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+    often = np.bincount(place, weights=np.concatenate([p[2] for p in parts])).astype(np.int64)
+    customers = np.bincount(place, weights=np.concatenate([p[3] for p in parts])).astype(np.int64)
+    lengths = np.array([len(p[1]) for p in parts])
+    starts = np.cumsum(lengths) - lengths
+    steps = _steps(place)
+    steps[starts] = place[starts]
+    yield _message(root, WORDS, root, kinds, often)
+    yield _message(root, ROOT, root, np.array([p[0] for p in parts]), lengths, steps, np.ones(len(kinds), np.int64))
+    for b, a, n in zip([p[0] for p in parts], starts, lengths, strict=True):
+        at = place[a : a + n]
+        yield _message(b, OFTEN, root, often[at])
+        yield _message(b, SHARES, root, (customers[at] - 0.5).astype(np.float32))  # a table each; the discount is not yet known
+    yield _message(-1, SUMS, root, np.array([len(kinds), (customers == 1).sum(), (customers == 2).sum(), customers.sum()], np.float64))
+
+
+def _places(lengths: np.ndarray, steps: np.ndarray) -> list[np.ndarray]:
+    ends = np.cumsum(lengths)
+    return [np.cumsum(steps[e - n : e]) for n, e in zip(lengths, ends, strict=True)]
+
+
+def _rooted(setting: Setting, sweep: int):
+    """One sweep over a part of the root."""
+    level, d = setting.levels[-1], setting.root_discount
+
+    def step(root: int, got: dict) -> Iterator[tuple]:
+        buckets, lengths, steps, tables, *kept = _unpack(got[ROOT][0][1])
+        place = _places(lengths, steps)
+        customers = np.zeros(len(tables))
+        for at, (_, raw) in zip(place, got[TABLES], strict=True):  # both in the order of buckets; a bucket has a word once
+            customers[at] += _unpack(raw)[0]
+        rng = np.random.default_rng([sweep, root, 2])
+        base = np.full(len(tables), 1.0 / (setting.kinds + 1))
+        tables = _drawn(rng, customers.astype(np.int64), level.tables - tables, base, level.root_strength, d, _stirling(d))
+        x = (customers - d * tables).astype(np.float32)
+        if sweep >= BURN_IN:
+            kept.append(x)
+        yield _message(root, ROOT, root, buckets, lengths, steps, tables, *kept)
+        for b, at in zip(buckets.tolist(), place, strict=True):
+            yield _message(b, SHARES, root, *([k[at] for k in kept] if sweep == SWEEPS - 1 else [x[at]]))
+        yield _message(-1, SUMS, root, np.array([customers.sum(), tables.sum()], np.float64))
+
+    return step
+
+
+def _summed(messages: DataFrame) -> np.ndarray:
+    """The sum of all SUMS messages: added up within partitions, then on the driver. Empty without any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        total = None
         for batch in batches:
             for x in batch.column(0):
-                for kind, numbers in of(Bucket.unpacked(x.as_py())).items():
-                    sums[kind] = sums.get(kind, 0) + numbers
-        rows = [(k, i, float(v)) for k, numbers in sums.items() for i, v in enumerate(numbers)]
-        kind, place, value = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(place, pa.int32()), pa.array(value, pa.float64())], ["kind", "place", "value"])
-
-    found = words_.select("payload").mapInArrow(run, "kind int, place int, value double").groupBy("kind", "place").agg(F.sum("value").alias("value")).collect()
-    return {(r.kind, r.place): r.value for r in found}
-
-
-def _per_context(bucket: Bucket, of: np.ndarray) -> np.ndarray:
-    return np.bincount(bucket.context, weights=of, minlength=CONTEXTS)
-
+                a = _unpack(x.as_py())[0]
+                total = a if total is None else total + a
+        yield pa.RecordBatch.from_arrays([pa.array([] if total is None else [total.tolist()], pa.list_(pa.float64()))], ["sums"])
 
-def _first_totals(bucket: Bucket) -> dict[int, np.ndarray]:
-    total, pair = bucket.total, bucket.count
-    n = len(bucket.word)
-    counts = np.array([total.sum(), n, (total == 1).sum(), (total == 2).sum(), (pair == 1).sum(), (pair == 2).sum()], np.float64)
-    return {0: counts, 1: _per_context(bucket, pair), 2: _per_context(bucket, np.ones(len(pair))), 3: np.array([len(pair), n], np.float64)}
-
-
-def _after(fixed: Fixed, history: list[Totals]):
-    def of(bucket: Bucket) -> dict[int, np.ndarray]:
-        for pairs, customers, tables in _sweeps(bucket, fixed, history):  # noqa: B007  the last counts
-            pass
-        return {2: _per_context(bucket, pairs), 3: np.array([customers.sum(), tables.sum()])}
-
-    return of
+    rows = messages.where(F.col("kind") == SUMS).select("payload").mapInArrow(run, "sums array<double>").collect()
+    return np.sum([r.sums for r in sorted(rows, key=lambda r: r.sums)], axis=0) if rows else np.zeros(0)
 
 
 def _discount(once: float, twice: float) -> float:
@@ -251,179 +442,214 @@ def _discount(once: float, twice: float) -> float:
     return float(np.clip(once / (once + 2 * twice), 0.05, 0.95)) if once + twice > 0 else 0.5
 
 
+def _of_kind(messages: DataFrame, *kinds: int) -> DataFrame:
+    return messages.where(F.col("kind").isin(*kinds))
+
+
 @dataclass
 class Sampled:
-    """Predictive probabilities, averaged over the sweeps that count."""
-
-    fixed: Fixed
-    history: list[Totals]  #: the totals before each sweep, and after the last
-
-    def _pick(self) -> list[int]:
-        return list(range(BURN_IN, SWEEPS))
-
-    def back_off(self) -> np.ndarray:
-        """By counted sweep and context: what goes to the root's share."""
-        after = [self.history[s + 1] for s in self._pick()]
-        return np.stack([(STRENGTH + self.fixed.discount * t.tables) / (STRENGTH + self.fixed.customers) for t in after])
-
-    def unknown(self) -> np.ndarray:
-        """By context: the probability of one word that no training text has."""
-        after = [self.history[s + 1] for s in self._pick()]
-        return np.mean([b * _root_share(0.0, 0.0, t, self.fixed) for b, t in zip(self.back_off(), after, strict=True)], axis=0)
-
-    def of(self, bucket: Bucket) -> tuple[np.ndarray, np.ndarray]:
-        """For each word the root's share by counted sweep; for each pair what its own restaurant adds."""
-        own, root, after = 0.0, [], self.history[1:]
-        for s, (pairs, customers, tables) in enumerate(_sweeps(bucket, self.fixed, self.history[:-1])):
-            if s >= BURN_IN:
-                own = own + (bucket.count - self.fixed.discount * pairs) / (STRENGTH + self.fixed.customers)[bucket.context]
-                root.append(_root_share(customers, tables, after[s], self.fixed))
-        return np.stack(root), own / len(root)
-
-
-def sample_model(words_: DataFrame) -> Sampled:
-    """Gibbs sampling over the buckets; the driver gets totals by context only."""
-    x = _summed(words_, _first_totals)
-    get = lambda k, n: np.array([x.get((k, i), 0.0) for i in range(n)])
-    c = get(0, 6)
-    fixed = Fixed(int(c[0]), int(c[1]), get(1, CONTEXTS), _discount(c[4], c[5]), _discount(c[2], c[3]))
-    history = [Totals(get(2, CONTEXTS), x.get((3, 0), 0.0), x.get((3, 1), 0.0))]
-    for _ in range(SWEEPS):
-        y = _summed(words_, _after(fixed, list(history)))
-        history.append(Totals(np.array([y.get((2, i), 0.0) for i in range(CONTEXTS)]), y.get((3, 0), 0.0), y.get((3, 1), 0.0)))
-    return Sampled(fixed, history)
-
-
-def _frequent(words_: DataFrame, model: Sampled, shared) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent words as sorted hashes, their counts, and log10 of their probability in every context."""
-
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(0):
-                bucket = Bucket.unpacked(x.as_py())
-                total = bucket.total
-                best = np.argpartition(-total, FREQUENT - 1)[:FREQUENT] if len(total) > FREQUENT else np.arange(len(total))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.word[best].view(np.int64)), pa.array(total[best])], ["word", "n"])
-
-    rows = words_.select("payload").mapInArrow(top, "word long, n long").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    kept = np.sort(np.array([r.word for r in rows], np.int64).view(np.uint64))
-    if not len(kept):
-        return kept, np.zeros(0, np.int64), np.zeros((0, CONTEXTS), np.float32)
-    chosen = words_.sparkSession.sparkContext.broadcast(kept)
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    setting: Setting
+    buckets: DataFrame  #: by bucket: SHARED, OFTEN, SEATS with the seatings that count and SHARES of these sweeps
+    root: DataFrame  #: by part of the root: WORDS and ROOT
+
+
+def _strength(logs: np.ndarray, seed: list[int]) -> float:
+    p = np.exp(logs - logs.max())
+    return float(np.random.default_rng(seed).choice(STRENGTHS, p=p / p.sum()))
+
+
+def sample_model(counts: DataFrame, roots: int) -> Sampled:
+    """Gibbs sampling over buckets and root parts; the driver gets sums alone."""
+    merged = written(_stepped(counts, _merged(roots)))
+    opened = written(_stepped(_of_kind(merged, LISTED), _opened))
+    a, b = _summed(merged), _summed(opened)
+    once, twice, tokens = a if len(a) else (0, 0, 0)
+    kinds, root_once, root_twice, customers = b if len(b) else (0, 0, 0, 0)
+    setting = Setting(int(tokens), int(kinds), _discount(once, twice), _discount(root_once, root_twice))
+    setting.levels.append(Level(1.0, 1.0, float(customers), float(kinds)))
+    seats, root, shares = _of_kind(merged, SEATS), _of_kind(opened, ROOT), _of_kind(opened, SHARES)
+    for sweep in range(SWEEPS if tokens else 0):
+        seated = written(_stepped(seats.unionByName(shares), _seated(setting, sweep)))
+        rooted = written(_stepped(root.unionByName(_of_kind(seated, TABLES)), _rooted(setting, sweep)))
+        customers, tables = _summed(rooted)
+        root_logs = _strength_logs(np.array([customers]), np.array([tables]), np.ones(1), setting.root_discount)
+        setting.levels.append(Level(_strength(_summed(seated), [sweep, 3]), _strength(root_logs, [sweep, 4]), customers, tables))
+        seats, root, shares = _of_kind(seated, SEATS), _of_kind(rooted, ROOT), _of_kind(rooted, SHARES)
+    if not tokens:
+        setting.levels += [setting.levels[0]] * SWEEPS
+    buckets = _of_kind(merged, SHARED).unionByName(_of_kind(opened, OFTEN)).unionByName(seats).unionByName(shares)
+    return Sampled(setting, buckets, _of_kind(opened, WORDS).unionByName(root))
+
+
+def _turn(flush: int) -> int:
+    return flush ^ (flush >> 32)
+
+
+def _crowded(buckets: DataFrame, number: int) -> dict[int, int]:
+    """How many tasks score the tokens of a bucket, for those of more than twice the average."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.column(0):
-                bucket = Bucket.unpacked(x.as_py())
-                own = np.flatnonzero(np.isin(bucket.word, chosen.value, assume_unique=True))
-                root, adds = shared.value.of(bucket)
-                back = shared.value.back_off()
-                total = bucket.total
-                for i in own:
-                    p = (root[:, i][:, None] * back).mean(0)
-                    part = slice(bucket.first[i], bucket.first[i + 1])
-                    p[bucket.context[part]] += adds[part]
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket.word[i].astype(np.int64)]), pa.array([total[i]]), pa.array([np.log10(p).astype(np.float32).tobytes()], pa.binary())], ["word", "n", "p"])
-
-    found = words_.select("payload").mapInArrow(full, "word long, n long, p binary").collect()
-    at = np.searchsorted(kept, np.array([r.word for r in found], np.int64).view(np.uint64))
-    n, p = np.zeros(len(kept), np.int64), np.zeros((len(kept), CONTEXTS), np.float32)
-    for i, r in zip(at, found, strict=True):
-        n[i], p[i] = r.n, np.frombuffer(r.p, np.float32)
-    return kept, n, p
-
-
-_PARTIAL = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, bucket int, payload binary"
-
-
-def _scored(table, fixed: Fixed, buckets: int, flush: int = 12 * CHUNK_BYTES):
-    """Texts to partial scores of frequent tokens (one row each) and packed other tokens, by bucket."""
-    names = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "bucket", "payload"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary()]
-    floor = np.log10(fixed.tokens + fixed.kinds + 1)
+            tokens = [int(_unpack(x.as_py())[5].sum()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64())], ["key", "tokens"])
+
+    rows = _of_kind(buckets, SHARED).select("key", "payload").mapInArrow(run, "key long, tokens long").collect()
+    fair = max(1.0, sum(r.tokens for r in rows) / number)
+    return {r.key: int(np.ceil(r.tokens / fair)) for r in rows if r.tokens > 2 * fair}
 
-    def out(held: list) -> Iterator[pa.RecordBatch]:
-        ids = np.concatenate([x[0] for x in held])
-        base = np.cumsum([0] + [len(x[0]) for x in held])
-        of = np.concatenate([x[1] + b for x, b in zip(held, base, strict=False)])
-        token, context = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
-        order = np.lexsort((token, token % np.uint64(buckets)))
-        token, context, of = token[order], context[order], of[order]
-        ends = np.searchsorted(token % np.uint64(buckets), np.arange(buckets + 1, dtype=np.uint64))
-        for b in range(buckets):
-            part = slice(ends[b], ends[b + 1])
-            m = int(ends[b + 1] - ends[b])
-            if m:
-                used, local = np.unique(of[part], return_inverse=True)
-                raw = np.array([m, len(used)], np.int64).tobytes() + _planes(token[part]) + context[part].tobytes() + local.astype(np.uint16).tobytes() + ids[used].tobytes()
-                yield _row(names, kinds, None, None, None, None, None, None, b, raw)
+
+def _packed_texts(buckets: int, parts: dict[int, int]):
+    """Texts (doc_id, text) to packed tokens by bucket, and a list of each flush's texts. A bucket has ``parts`` keys, b, b + buckets, ..."""
+
+    def out(held: list, ids: list, flush: int) -> Iterator[pa.RecordBatch]:
+        hashes, keys = _numbered(held, buckets)
+        base = np.cumsum([0] + [len(x) for x in ids])
+        of = np.concatenate([x[2] + b for x, b in zip(held, base, strict=False)])
+        tokens = np.bincount(of, minlength=base[-1])
+        order = np.argsort(keys)
+        keys, of = keys[order], of[order]
+        for b, where, used, u, w in _by_bucket(hashes, keys):
+            yield _batch([_message(b + buckets * (_turn(flush) % parts.get(b, 1)), TOKENS, flush, used, _steps(u), w, of[where])])
+        column = pa.concat_arrays(ids)
+        yield _batch([_message(_turn(flush) % buckets, DOCS, flush, np.asarray(column.fill_null(0)).view(np.uint64), np.asarray(column.is_null()).astype(np.uint8), tokens)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_, counts, logs = table.value
-        base_logs = np.log10(counts + 1.0) - floor
-        held, size, many = [], 0, 0
+        flush = TaskContext.get().partitionId() << 32
+        held, ids, size, many = [], [], 0, 0
         for batch in batches:
-            data, offsets = texts(batch.column(2))
-            row = np.asarray(batch.column(0))
+            data, offsets = texts(batch.column(1))
             for a, b, d, o in chunks(data, offsets):
-                for lo in range(a, b, 30_000):  # payloads number their texts with 16 bits
-                    hi = min(b, lo + 30_000)
-                    if held and (many + hi - lo > 60_000 or size > flush):
-                        yield from out(held)
-                        held, size, many = [], 0, 0
-                    oo = o[lo - a : hi - a + 1]
-                    of, token, context = _tokens(d[oo[0] : oo[-1]], oo - oo[0])
-                    n = hi - lo
-                    at = np.minimum(np.searchsorted(words_, token), max(len(words_) - 1, 0))
-                    known = words_[at] == token if len(words_) else np.zeros(len(token), bool)
-                    k = at[known]
-                    sums = [np.bincount(of[known], weights=w, minlength=n) for w in (base_logs[k], logs[k, context[known]])]
-                    cols = [row[lo:hi], batch.column(1).slice(lo, n), np.bincount(of, minlength=n), np.bincount(of[known], minlength=n), *sums]
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k_) for c, k_ in zip(cols, kinds, strict=False)] + [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-                    held.append((row[lo:hi], of[~known], token[~known], context[~known]))
-                    many += n
-                    size += int(oo[-1] - oo[0])
+                of, token, first = _tokens(d, o)
+                if held and many + len(token) > FLUSH_TOKENS:
+                    yield from out(held, ids, flush)
+                    held, ids, size, many, flush = [], [], 0, 0, flush + 1
+                held.append((token, first, of))
+                ids.append(batch.column(0).slice(a, b - a))
+                size, many = size + len(d), many + len(token)
+                if size > FLUSH:
+                    yield from out(held, ids, flush)
+                    held, ids, size, many, flush = [], [], 0, 0, flush + 1
         if held:
-            yield from out(held)
+            yield from out(held, ids, flush)
 
     return run
 
 
-def _met(shared):
-    """A bucket's tokens with its words: sums by text."""
-
-    def run(tokens: pa.Table, words_: pa.Table) -> pa.Table:
-        model: Sampled = shared.value
-        fixed = model.fixed
-        floor = np.log10(fixed.tokens + fixed.kinds + 1)
-        unknown, back = model.unknown(), model.back_off()
-        bucket = Bucket.unpacked(words_.column("payload")[0].as_py()) if len(words_) else Bucket(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int64))
-        root, adds = model.of(bucket) if len(bucket.word) else (np.zeros((len(back), 0)), np.zeros(0))
-        pair = np.repeat(np.arange(len(bucket.word)), np.diff(bucket.first)) * CONTEXTS + bucket.context
-        total = bucket.total
-        rows, parts = [], []
-        for x in tokens.column("payload"):
-            raw = x.as_py()
-            m, u = (int(v) for v in np.frombuffer(raw, np.int64, 2))
-            token, at = _from_planes(raw, m, 16), 16 + 8 * m
-            context = np.frombuffer(raw, np.uint8, m, at)
-            local = np.frombuffer(raw[at + m : at + 3 * m], np.uint16)
-            p, seen = unknown[context].copy(), np.zeros(m, np.int64)
-            if len(bucket.word):
-                i = np.minimum(np.searchsorted(bucket.word, token), len(bucket.word) - 1)
-                known = bucket.word[i] == token
-                i, c = i[known], context[known]
-                q = (root[:, i] * back[:, c]).mean(0)
-                j = np.minimum(np.searchsorted(pair, i * CONTEXTS + c), len(pair) - 1)
-                p[known] = q + np.where(pair[j] == i * CONTEXTS + c, adds[j], 0.0)
-                seen[known] = total[i]
-            rows.append(np.frombuffer(raw[at + 3 * m :], np.int64))
-            parts.append(np.stack([np.bincount(local, weights=w, minlength=u) for w in ((seen > 0).astype(float), np.log10(seen + 1.0) - floor, np.log10(p))]))
-        sums = np.concatenate(parts, axis=1) if parts else np.zeros((3, 0))
-        rows = rows or [np.zeros(0, np.int64)]
-        return pa.table({"row": np.concatenate(rows), "n_known": sums[0].astype(np.int64), "base_score": sums[1], "score": sums[2]})
-
-    return run
+class _Bucket:
+    """A bucket's restaurants with averaged probabilities."""
+
+    def __init__(self, setting: Setting, got: dict):
+        empty = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3]
+        r = Restaurants(*(_unpack(got[SHARED][0][1]) if got[SHARED] else empty))
+        seats = _unpack(got[SEATS][0][1])[9:] if got[SEATS] else []
+        answers = [_unpack(raw) for _, raw in got[SHARES]]
+        d, levels = setting.discount, setting.counted
+        self.context, self.word = r.contexts, np.sort(r.words)
+        self.place = np.argsort(r.words)
+        context = r.context
+        self.key = (context << 32) | r.word
+        several = r.count > 1
+        size = np.bincount(context, weights=r.count, minlength=len(r.contexts))
+        self.back, self.share = [], []
+        own = np.zeros(len(r.count))
+        for s, level in enumerate(levels if got[SHARED] else []):
+            tables = np.ones(len(r.count))
+            tables[several] = seats[s]
+            x = np.concatenate([a[s] for a in answers]).astype(np.float64)
+            share = setting.share(x, level)
+            back = (level.strength + d * np.bincount(context, weights=tables, minlength=len(size))) / (level.strength + size)
+            own += (r.count - d * tables) / (level.strength + size[context]) + back[context] * share[r.word]
+            self.back.append(back)
+            self.share.append(share)
+        self.log = np.log10(own / max(1, len(levels)))
+
+
+def _bucket_scores(setting: Setting, roots: int):
+    floor = np.log10(setting.tokens + setting.kinds + 1)
+    many = len(setting.counted)
+
+    def step(key: int, got: dict) -> Iterator[tuple]:
+        for flush, raw in got[DOCS]:
+            yield flush, DOCS, flush, raw
+        if not got[TOKENS]:
+            return
+        bucket = _Bucket(setting, got)
+        often = np.concatenate([_unpack(raw)[0] for _, raw in got[OFTEN]]) if got[OFTEN] else np.zeros(0, np.int64)
+        base_log = np.log10(often + 1.0) - floor
+        for flush, raw in got[TOKENS]:
+            used, u, w, of = _unpack(raw)
+            u = np.cumsum(u)
+            as_context, as_word = (_find(found, used) for found in (bucket.context, bucket.word))
+            as_word = np.where(as_word >= 0, bucket.place[as_word], -1) if len(bucket.place) else as_word
+            c, x = as_context[u], as_word[w]
+            here = x >= 0
+            score, base = np.zeros(len(c)), np.zeros(len(c))
+            pair = np.where(here & (c >= 0), _find(bucket.key, (c << 32) | x), -1)
+            seen = pair >= 0
+            score[seen] = bucket.log[pair[seen]]
+            weight = np.ones((many, len(c)), np.float32)
+            for s, back in enumerate(bucket.back):
+                weight[s, c >= 0] = back[c[c >= 0]]
+            back_off = here & ~seen
+            if back_off.any():
+                score[back_off] = np.log10(sum(weight[s, back_off] * bucket.share[s][x[back_off]] for s in range(many)) / many)
+            base[here] = base_log[x[here]]
+            texts_, of_text = np.unique(of, return_inverse=True)
+            known = np.bincount(of_text, weights=here, minlength=len(texts_)).astype(np.int64)
+            yield _message(flush, SCORED, key, texts_, known, np.bincount(of_text, weights=base, minlength=len(texts_)), np.bincount(of_text, weights=score, minlength=len(texts_)).astype(np.float32))
+            away = np.flatnonzero(~here)
+            part = _root_of(used[w[away]], roots)
+            for r in np.unique(part).tolist():
+                on = away[part == r]
+                yield _message(r, SENT_ON, flush, used[w[on]], of[on], *weight[:, on])
+
+    return step
+
+
+def _find(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where each of ``x`` is in ``sorted_``, or -1."""
+    if not len(sorted_):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return np.where(sorted_[at] == x, at, -1)
+
+
+def _root_scores(setting: Setting):
+    floor, levels = np.log10(setting.tokens + setting.kinds + 1), setting.counted
+
+    def step(root: int, got: dict) -> Iterator[tuple]:
+        kinds, often = _unpack(got[WORDS][0][1]) if got[WORDS] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        kept = _unpack(got[ROOT][0][1])[4:] if got[ROOT] else []
+        for flush, raw in got[SENT_ON]:
+            h, of, *weight = _unpack(raw)
+            at = _find(kinds, h)
+            known = at >= 0
+            p = np.zeros(len(h))
+            for s, level in enumerate(levels):
+                x = np.zeros(len(h))
+                if len(kinds):
+                    x[known] = kept[s][at[known]]
+                p += weight[s] * setting.share(x, level)
+            count = np.zeros(len(h))
+            count[known] = often[at[known]]
+            texts_, of_text = np.unique(of, return_inverse=True)
+            sums = (np.bincount(of_text, weights=v, minlength=len(texts_)) for v in (np.log10(count + 1) - floor, np.log10(p / len(levels))))
+            yield _message(flush, SCORED, -1 - root, texts_, np.bincount(of_text, weights=known, minlength=len(texts_)).astype(np.int64), *sums)
+
+    return step
+
+
+def _by_text(table: pa.Table) -> pa.Table:
+    """All messages of a flush: one row for each of its texts."""
+    kinds, senders, payload = (table.column(c).to_pylist() for c in ("kind", "sender", "payload"))
+    ids, null, tokens = _unpack(payload[kinds.index(DOCS)])
+    known, base, score = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))
+    for _, i in sorted((s, i) for i, (k, s) in enumerate(zip(kinds, senders, strict=True)) if k == SCORED):
+        at, *sums = _unpack(payload[i])
+        known[at] += sums[0]
+        base[at] += sums[1]
+        score[at] += sums[2]
+    return pa.table({"doc_id": pa.array(ids.view(np.int64), mask=null.astype(bool)), "n_tokens": tokens, "n_known": known, "base_score": base, "score": score})
 
 
 def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
@@ -438,22 +664,19 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     as often as they come. Other columns are ignored; an empty table gives an empty result; without training rows every probability is 1.
     Words are held as 64-bit hashes.
     """
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held, F.lit(False))
     size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES)
-    counts = rows.where("doc_id is not null").where(~out).select("text").mapInArrow(_counted(buckets), "bucket int, payload binary")
-    words_ = written(counts.groupBy("bucket").applyInArrow(_merged, "bucket int, payload binary"))
-    model = sample_model(words_)
-    shared = spark.sparkContext.broadcast(model)
-    table = spark.sparkContext.broadcast(_frequent(words_, model, shared))
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    partial = written(numbered.mapInArrow(_scored(table, model.fixed, buckets), _PARTIAL))
-    others = partial.where("bucket is not null").select("bucket", "payload")
-    met = others.groupBy("bucket").cogroup(words_.groupBy("bucket")).applyInArrow(_met(shared), "row long, n_known long, base_score double, score double")
-    frequent = partial.where("bucket is null").select("row", "doc_id", "n_tokens", "n_known", "base_score", "score")
-    none = F.lit(None).cast("long")
-    both = frequent.unionByName(met.select("row", none.alias("doc_id"), none.alias("n_tokens"), "n_known", "base_score", "score"))
-    summed = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-    return summed.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.fixed.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    roots = max(1, buckets // PER_ROOT)
+    model = sample_model(rows.where("doc_id is not null").where(~out).select("text").mapInArrow(_counted(buckets), _MESSAGE), roots)
+    setting, parts = model.setting, _crowded(model.buckets, buckets)
+    times = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in parts.items() for x in pair)), F.col("key")), F.lit(1)) if parts else F.lit(1)
+    copies = model.buckets.select(F.explode(F.transform(F.sequence(F.lit(0), times - 1), lambda i: F.col("key") + buckets * i)).alias("key"), "kind", "sender", "payload")
+    packed = rows.mapInArrow(_packed_texts(buckets, parts), _MESSAGE)
+    scored = written(_stepped(packed.unionByName(copies), _bucket_scores(setting, roots)))
+    at_root = _stepped(model.root.unionByName(_of_kind(scored, SENT_ON)), _root_scores(setting))
+    every = _of_kind(scored, DOCS, SCORED).unionByName(at_root)
+    summed = every.groupBy("key").applyInArrow(_by_text, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return summed.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(setting.tokens).cast("long").alias("train_tokens"), "base_score", "score")
