@@ -314,25 +314,126 @@ def test_language_model(spark, documents):
     assert total("score", True) > total("base_score", True) and total("score", False) > total("base_score", False)
 
 
-def test_language_model_tiers_agree(spark, documents, monkeypatch):
-    a = {r.doc_id: r.score for r in language_model.language_model_scores(documents).collect()}
-    monkeypatch.setattr(language_model, "FREQUENT", 3)
-    b = {r.doc_id: r.score for r in language_model.language_model_scores(documents).collect()}
-    assert a == pytest.approx(b, rel=1e-4)
-
-
-def test_probabilities_add_up(spark, documents):
-    rows = documents.select("text")
-    counted = rows.mapInArrow(language_model._counted(32), "bucket int, payload binary").groupBy("bucket").applyInArrow(language_model._merged, "bucket int, payload binary").cache()
-    model = language_model.sample_model(counted)
-    total = model.unknown()
-    for r in counted.collect():
-        bucket = language_model.Bucket.unpacked(r.payload)
-        root, own = model.of(bucket)
-        total = total + np.mean([root[s].sum() * b for s, b in enumerate(model.back_off())], axis=0) + np.bincount(bucket.context, weights=own, minlength=256)
-        for pairs, customers, tables in language_model._sweeps(bucket, model.fixed, model.history[:-1]):
-            assert (pairs >= 1).all() and (pairs <= bucket.count).all() and (tables >= 1).all() and (tables <= customers).all()
-    assert total == pytest.approx(np.ones(256), abs=1e-9)
+def _sampled(docs, buckets=32, roots=8):
+    texts_ = docs.where("crc32(cast(doc_id as string)) % 7 <> 2").select(F.coalesce("text", F.lit("")).alias("text"))
+    return language_model.sample_model(texts_.mapInArrow(language_model._counted(buckets), language_model._MESSAGE), roots)
+
+
+@pytest.fixture(scope="module")
+def seatings(documents):
+    """The sampled model as plain dictionaries: per counted sweep customers and tables by context and word, and the root's."""
+    model = _sampled(documents)
+    unpack, n = language_model._unpack, language_model.SWEEPS - language_model.BURN_IN
+    kinds = {"S": language_model.SHARED, "T": language_model.SEATS, "W": language_model.WORDS, "R": language_model.ROOT}
+    got = {(r.kind, r.key): unpack(r.payload) for x in (model.buckets, model.root) for r in x.where(F.col("kind").isin(*kinds.values())).collect()}
+    pairs, root, often = [{} for _ in range(n)], [{} for _ in range(n)], {}
+    for (kind, key), a in got.items():
+        if kind == kinds["S"]:
+            r, seats = language_model.Restaurants(*a), got[kinds["T"], key][9:]
+            for s in range(n):
+                at = 0
+                for u, w, c in zip(r.contexts[r.context].tolist(), r.words[r.word].tolist(), r.count.tolist()):
+                    pairs[s].setdefault(u, {})[w] = (c, int(seats[s][at]) if c > 1 else 1)
+                    at += c > 1
+        if kind == kinds["W"]:
+            often.update(zip(a[0].tolist(), a[1].tolist()))
+            for s in range(n):
+                root[s].update(zip(a[0].tolist(), got[kinds["R"], key][4 + s].tolist()))
+    return model.setting, pairs, root, often
+
+
+def test_language_model_by_hand(spark, documents, seatings):
+    setting, pairs, root, often = seatings
+    levels, d = setting.counted, setting.discount
+
+    def probability(u, w):
+        p = 0.0
+        for level, below, shares in zip(levels, pairs, root, strict=True):
+            own = below.get(u, {})
+            customers, tables = sum(c for c, _ in own.values()), sum(t for _, t in own.values())
+            base = (shares.get(w, 0.0) + (level.root_strength + setting.root_discount * level.tables) / (setting.kinds + 1)) / (level.root_strength + level.customers)
+            c, t = own.get(w, (0, 0))
+            p += (c - d * t + (level.strength + d * tables) * base) / (level.strength + customers)
+        return p / len(levels)
+
+    rows = {r.doc_id: r for r in language_model.language_model_scores(documents).collect()}
+    for r in documents.orderBy("doc_id").limit(40).collect():
+        _, token, first = language_model._tokens(*words.texts(pa.array([r.text])))
+        w = token.tolist()
+        u = [int(language_model.BEGIN), *w[:-1]]
+        assert first.tolist() == [True] + [False] * (len(w) - 1)
+        assert rows[r.doc_id].score == pytest.approx(sum(math.log10(probability(*x)) for x in zip(u, w, strict=True)), rel=1e-5)
+        assert rows[r.doc_id].base_score == pytest.approx(sum(math.log10((often.get(x, 0) + 1) / (setting.tokens + setting.kinds + 1)) for x in w), rel=1e-9)
+    # every context's probabilities, with one word that no text has, add up to one
+    for u in [*list(pairs[0])[:20], 12345]:
+        assert sum(probability(u, w) for w in [*often, 1]) == pytest.approx(1.0, abs=1e-6)
+
+
+def test_language_model_seatings_are_valid(seatings):
+    setting, pairs, root, often = seatings
+    for below, level, shares in zip(pairs, setting.counted, root, strict=True):
+        customers = Counter()
+        for own in below.values():
+            assert all(1 <= t <= c for c, t in own.values())
+            customers.update({w: t for w, (c, t) in own.items()})
+        assert sum(customers.values()) == level.customers and set(customers) == set(often) == set(shares)
+        tables = {w: (customers[w] - x) / setting.root_discount for w, x in shares.items()}
+        assert all(abs(t - round(t)) < 0.01 * t and 1 <= round(t) <= customers[w] for w, t in tables.items())
+    assert len({level.strength for level in setting.levels}) > 1  # drawn
+
+
+def _partitions(n):
+    if n == 0:
+        yield []
+        return
+    for p in _partitions(n - 1):
+        yield [*p, 1]
+        for i in range(len(p)):
+            yield [*p[:i], p[i] + 1, *p[i + 1 :]]
+
+
+def test_tables_are_drawn_from_the_posterior():
+    strength, discount, others, share = 1.7, 0.4, 5, 0.23
+    rising = lambda n: math.prod(i - discount for i in range(1, n))
+    stirling = language_model._stirling(discount)
+    for c in (2, 3, 5):
+        weight = Counter()
+        for p in _partitions(c):
+            weight[len(p)] += math.prod(map(rising, p))
+        assert [math.exp(x) for x in stirling[c, 1 : c + 1]] == pytest.approx([weight[t] for t in range(1, c + 1)])
+        exact = np.array([weight[t] * share**t * math.prod(strength + discount * (others + k) for k in range(t)) for t in range(1, c + 1)])
+        n = 40_000
+        drawn = language_model._drawn(np.random.default_rng(c), np.full(n, c), np.full(n, others), np.full(n, share), strength, discount, stirling)
+        assert np.bincount(drawn, minlength=c + 1)[1:] / n == pytest.approx(exact / exact.sum(), abs=0.012)
+    many = language_model._drawn(np.random.default_rng(1), np.full(50, 5000), np.full(50, others), np.full(50, share), strength, discount, stirling)
+    assert ((many >= 1) & (many <= 5000)).all() and 1 < many.mean() < 200
+    assert language_model._log_gamma(np.array([0.01, 1.0, 7.5, 1e6])) == pytest.approx([math.lgamma(x) for x in (0.01, 1.0, 7.5, 1e6)], rel=1e-9, abs=1e-9)
+
+
+def test_language_model_hot_pair_and_flushes(spark, monkeypatch):
+    """One pair of words in most places: its bucket is scored by several tasks, and flushes of any size give the same scores."""
+    rng = random.Random(5)
+    rows = docs_of(spark, [" ".join("hot pair" if rng.random() < 0.8 else rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(60)) for _ in range(300)]).repartition(6)
+    seen = []
+    crowded = language_model._crowded
+    monkeypatch.setattr(language_model, "_crowded", lambda *a: seen.append(crowded(*a)) or seen[-1])
+    a = {r.doc_id: r[1:] for r in language_model.language_model_scores(rows).collect()}
+    assert seen[0] and max(seen[0].values()) > 2
+    monkeypatch.setattr(language_model, "_crowded", lambda *_: {})
+    b = {r.doc_id: r[1:] for r in language_model.language_model_scores(rows).collect()}
+    assert all(a[i] == pytest.approx(b[i], rel=1e-6) for i in a)
+
+
+def test_a_repeated_text_scores_apart(spark):
+    """A text that the training texts have twice is likelier than one that they have once."""
+    rng = random.Random(9)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 3000}"
+    texts_ = [" ".join(word() for _ in range(80)) for _ in range(260)]
+    twice = [i for i in range(0, 60) if zlib.crc32(str(i).encode()) % 7 != 2 and zlib.crc32(str(i + 260).encode()) % 7 != 2]
+    rows = docs_of(spark, texts_ + texts_[:60])
+    got = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in language_model.language_model_scores(rows).collect()}
+    once = [got[i] for i in range(60, 260) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert np.mean([got[i] > x for i in twice for x in once]) > 0.85  # area under the curve
 
 
 def test_language_model_edges(spark, odd, empty):
