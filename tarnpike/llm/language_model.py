@@ -39,7 +39,9 @@ SWEEPS, BURN_IN, PARTS = 5, 2, 4
 #: customers of a dish up to which its tables are drawn from the exact conditional distribution
 EXACT = 64
 #: bytes of text for each bucket of contexts, about; the fewest buckets; buckets for each part of the root
-BUCKET_BYTES, LEAST_BUCKETS, PER_ROOT = 24 << 20, 32, 4
+BUCKET_BYTES, LEAST_BUCKETS, PER_ROOT = 16 << 20, 32, 4
+#: frequent words that messages name by number, picked from about so many bytes of texts; they change the size of messages alone
+COMMON, COMMON_BYTES = 65_536, 16 << 20
 #: strengths to draw from
 STRENGTHS = np.logspace(-2, 4, 49)
 #: bytes of text and tokens that a task packs at once
@@ -50,7 +52,7 @@ BEGIN = np.uint64(0x6A09E667F3BCC909)  # the context of its first
 _ID = 22  # bits of a word's number within a flush
 _MESSAGE = "key long, kind int, sender long, payload binary"
 _NAMES = ["key", "kind", "sender", "payload"]
-PAIRS, SHARED, SEATS, LISTED, TABLES, SHARES, OFTEN, WORDS, ROOT, SUMS, TOKENS, DOCS, SENT_ON, SCORED = range(14)
+PAIRS, SHARED, SEATS, STATE, LISTED, TABLES, SHARES, OFTEN, WORDS, ROOT, SUMS, TOKENS, DOCS, SENT_ON, SCORED = range(15)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -80,7 +82,22 @@ def _unpack(raw: bytes) -> list[np.ndarray]:
 
 
 def _steps(a: np.ndarray) -> np.ndarray:
-    return np.diff(a, prepend=0)
+    return np.diff(a, prepend=a.dtype.type(0))
+
+
+def _coded(h: np.ndarray, common: np.ndarray) -> list[np.ndarray]:
+    """Hashes as numbers of common words and steps between the others; smallest if ``h`` is sorted."""
+    at = _find(common, h)
+    is_common = at >= 0
+    return [is_common.astype(np.uint8), _steps(at[is_common]) & 0xFFFFFF, _steps(h[~is_common])]
+
+
+def _decoded(coded: list[np.ndarray], common: np.ndarray) -> np.ndarray:
+    is_common = coded[0] > 0
+    out = np.empty(len(is_common), np.uint64)
+    out[is_common] = common[np.cumsum(coded[1]) & 0xFFFFFF]
+    out[~is_common] = np.cumsum(coded[2], dtype=np.uint64)
+    return out
 
 
 def _message(key: int, kind: int, sender: int, *arrays: np.ndarray) -> tuple:
@@ -166,7 +183,7 @@ def _by_bucket(hashes: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, slic
         yield int(bucket[a]), slice(a, b), hashes[used], place[u], place[w]
 
 
-def _counted(buckets: int):
+def _counted(buckets: int, common):
     """Training texts to counts of (context, word), by bucket."""
 
     def out(held: list) -> Iterator[pa.RecordBatch]:
@@ -175,7 +192,7 @@ def _counted(buckets: int):
         new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         count = np.diff(np.append(new, len(keys)))
         for b, where, used, u, w in _by_bucket(hashes, keys[new]):
-            yield _batch([_message(b, PAIRS, 0, used, _steps(u), w, count[where])])
+            yield _batch([_message(b, PAIRS, 0, *_coded(used, common.value), _steps(u), w, count[where])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, many = [], 0, 0
@@ -212,20 +229,25 @@ class Restaurants:
     def context(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.contexts)), self.follow)
 
-    def packed(self) -> list[np.ndarray]:
-        return [self.words, self.by_root, self.contexts, self.follow, self.word, self.count]
+    def packed(self, common: np.ndarray) -> list[np.ndarray]:
+        return [*_coded(self.words, common), self.by_root, *_coded(self.contexts, common), self.follow, self.word, self.count]
 
+    @staticmethod
+    def unpacked(raw: bytes, common: np.ndarray) -> Restaurants:
+        a = _unpack(raw)
+        return Restaurants(_decoded(a[:3], common), a[3], _decoded(a[4:7], common), *a[7:])
 
-def _merged(roots: int):
+
+def _merged(roots: int, common):
     """Counts of a bucket's pairs: its restaurants, the seats of dishes with several customers, and lists of words for the root."""
 
     def step(bucket: int, got: dict) -> Iterator[tuple]:
         parts = [_unpack(raw) for _, raw in got[PAIRS]]
-        kinds, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        kinds, place = np.unique(np.concatenate([_decoded(p[:3], common.value) for p in parts]), return_inverse=True)
         base = np.cumsum([0] + [len(p[0]) for p in parts])
-        u = np.concatenate([place[b : b + len(p[0])][np.cumsum(p[1])] for b, p in zip(base, parts, strict=False)])
-        w = np.concatenate([place[b : b + len(p[0])][p[2]] for b, p in zip(base, parts, strict=False)])
-        count = np.concatenate([p[3] for p in parts])
+        u = np.concatenate([place[b : b + len(p[0])][np.cumsum(p[3])] for b, p in zip(base, parts, strict=False)])
+        w = np.concatenate([place[b : b + len(p[0])][p[4]] for b, p in zip(base, parts, strict=False)])
+        count = np.concatenate([p[5] for p in parts])
         key = (u << 32) | w
         order = np.argsort(key)
         new = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
@@ -242,7 +264,7 @@ def _merged(roots: int):
         first = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
         by_root = np.bincount(root, minlength=roots)
         r = Restaurants(kinds[listed], by_root, kinds[u[first]], np.diff(np.append(first, len(u))), w, count)
-        yield _message(bucket, SHARED, bucket, *r.packed())
+        yield _message(bucket, SHARED, bucket, *r.packed(common.value))
 
         context = r.context
         size, several = np.bincount(context, weights=count).astype(np.int64), count > 1
@@ -252,12 +274,13 @@ def _merged(roots: int):
         to[use] = np.arange(len(use))
         others = np.bincount(size[alone == r.follow]) if len(use) < len(size) else np.zeros(0, np.int64)
         tables = np.bincount(w[~several], minlength=len(listed))
-        yield _message(bucket, SEATS, bucket, size[use], alone[use], others, to[context[several]], w[several], count[several], tables, by_root, np.ones(int(several.sum()), np.int64))
+        yield _message(bucket, SEATS, bucket, size[use], alone[use], others, to[context[several]], w[several], count[several], tables, by_root)
+        yield _message(bucket, STATE, bucket, np.ones(int(several.sum()), np.int64))
         often, held = np.bincount(w, weights=count, minlength=len(listed)).astype(np.int64), np.bincount(w, minlength=len(listed))
         ends = np.cumsum(by_root)
         for i in np.flatnonzero(by_root):
             part = slice(ends[i] - by_root[i], ends[i])
-            yield _message(int(i), LISTED, bucket, r.words[part], often[part], held[part])
+            yield _message(int(i), LISTED, bucket, *_coded(r.words[part], common.value), often[part], held[part])
         once, twice = int((count == 1).sum()), int((count == 2).sum())
         yield _message(-1, SUMS, bucket, np.array([once, twice, count.sum()], np.float64))
 
@@ -350,7 +373,8 @@ def _seated(setting: Setting, sweep: int):
     level, d = setting.levels[-1], setting.discount
 
     def step(bucket: int, got: dict) -> Iterator[tuple]:
-        size, alone, others, context, word, count, tables, by_root, seats, *kept = _unpack(got[SEATS][0][1])
+        size, alone, others, context, word, count, tables, by_root = _unpack(got[SEATS][0][1])
+        seats = _unpack(got[STATE][0][1])[0]
         share = setting.share(np.concatenate([_unpack(raw)[0] for _, raw in got[SHARES]] or [np.zeros(0)]).astype(np.float64), level)
         rng = np.random.default_rng([sweep, bucket, 1])
         stirling, turn = _stirling(d), rng.integers(0, PARTS, len(count))
@@ -358,9 +382,7 @@ def _seated(setting: Setting, sweep: int):
             own = np.flatnonzero(turn == i)
             total = alone + np.bincount(context, weights=seats, minlength=len(size))
             seats[own] = _drawn(rng, count[own], total[context[own]] - seats[own], share[word[own]], level.strength, d, stirling)
-        if sweep >= BURN_IN:
-            kept.append(seats)
-        yield _message(bucket, SEATS, bucket, size, alone, others, context, word, count, tables, by_root, seats, *kept)
+        yield _message(bucket, STATE, sweep, seats)
         now = tables + np.bincount(word, weights=seats, minlength=len(tables)).astype(np.int64)
         ends = np.cumsum(by_root)
         for i in np.flatnonzero(by_root):
@@ -374,28 +396,33 @@ def _seated(setting: Setting, sweep: int):
     return step
 
 
-def _opened(root: int, got: dict) -> Iterator[tuple]:
+def _opened(common):
     """A part of the root: its words, and for each bucket where the bucket's words are."""
-    parts = [(b, *_unpack(raw)) for b, raw in got[LISTED]]
-    kinds, place = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
-    often = np.bincount(place, weights=np.concatenate([p[2] for p in parts])).astype(np.int64)
-    customers = np.bincount(place, weights=np.concatenate([p[3] for p in parts])).astype(np.int64)
-    lengths = np.array([len(p[1]) for p in parts])
-    starts = np.cumsum(lengths) - lengths
-    steps = _steps(place)
-    steps[starts] = place[starts]
-    yield _message(root, WORDS, root, kinds, often)
-    yield _message(root, ROOT, root, np.array([p[0] for p in parts]), lengths, steps, np.ones(len(kinds), np.int64))
-    for b, a, n in zip([p[0] for p in parts], starts, lengths, strict=True):
-        at = place[a : a + n]
-        yield _message(b, OFTEN, root, often[at])
-        yield _message(b, SHARES, root, (customers[at] - 0.5).astype(np.float32))  # a table each; the discount is not yet known
-    yield _message(-1, SUMS, root, np.array([len(kinds), (customers == 1).sum(), (customers == 2).sum(), customers.sum()], np.float64))
+
+    def step(root: int, got: dict) -> Iterator[tuple]:
+        parts = [(b, _decoded(a[:3], common.value), *a[3:]) for b, a in ((b, _unpack(raw)) for b, raw in got[LISTED])]
+        kinds, place = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+        often = np.bincount(place, weights=np.concatenate([p[2] for p in parts])).astype(np.int64)
+        customers = np.bincount(place, weights=np.concatenate([p[3] for p in parts])).astype(np.int64)
+        lengths = np.array([len(p[1]) for p in parts])
+        starts = np.cumsum(lengths) - lengths
+        steps = _steps(place)
+        steps[starts] = place[starts]
+        yield _message(root, WORDS, root, *_coded(kinds, common.value), often)
+        yield _message(root, ROOT, root, np.array([p[0] for p in parts]), lengths, steps & 0xFFFFFFFF)
+        yield _message(root, STATE, root, np.ones(len(kinds), np.int64))
+        for b, a, n in zip([p[0] for p in parts], starts, lengths, strict=True):
+            at = place[a : a + n]
+            yield _message(b, OFTEN, root, often[at])
+            yield _message(b, SHARES, root, (customers[at] - 0.5).astype(np.float32))  # a table each; the discount is not yet known
+        yield _message(-1, SUMS, root, np.array([len(kinds), (customers == 1).sum(), (customers == 2).sum(), customers.sum()], np.float64))
+
+    return step
 
 
 def _places(lengths: np.ndarray, steps: np.ndarray) -> list[np.ndarray]:
     ends = np.cumsum(lengths)
-    return [np.cumsum(steps[e - n : e]) for n, e in zip(lengths, ends, strict=True)]
+    return [np.cumsum(steps[e - n : e]) & 0xFFFFFFFF for n, e in zip(lengths, ends, strict=True)]
 
 
 def _rooted(setting: Setting, sweep: int):
@@ -403,7 +430,8 @@ def _rooted(setting: Setting, sweep: int):
     level, d = setting.levels[-1], setting.root_discount
 
     def step(root: int, got: dict) -> Iterator[tuple]:
-        buckets, lengths, steps, tables, *kept = _unpack(got[ROOT][0][1])
+        buckets, lengths, steps = _unpack(got[ROOT][0][1])
+        tables = _unpack(got[STATE][0][1])[0]
         place = _places(lengths, steps)
         customers = np.zeros(len(tables))
         for at, (_, raw) in zip(place, got[TABLES], strict=True):  # both in the order of buckets; a bucket has a word once
@@ -412,11 +440,9 @@ def _rooted(setting: Setting, sweep: int):
         base = np.full(len(tables), 1.0 / (setting.kinds + 1))
         tables = _drawn(rng, customers.astype(np.int64), level.tables - tables, base, level.root_strength, d, _stirling(d))
         x = (customers - d * tables).astype(np.float32)
-        if sweep >= BURN_IN:
-            kept.append(x)
-        yield _message(root, ROOT, root, buckets, lengths, steps, tables, *kept)
+        yield _message(root, STATE, sweep, tables, x)
         for b, at in zip(buckets.tolist(), place, strict=True):
-            yield _message(b, SHARES, root, *([k[at] for k in kept] if sweep == SWEEPS - 1 else [x[at]]))
+            yield _message(b, SHARES, (sweep << 32) + root, x[at])
         yield _message(-1, SUMS, root, np.array([customers.sum(), tables.sum()], np.float64))
 
     return step
@@ -449,8 +475,8 @@ def _of_kind(messages: DataFrame, *kinds: int) -> DataFrame:
 @dataclass
 class Sampled:
     setting: Setting
-    buckets: DataFrame  #: by bucket: SHARED, OFTEN, SEATS with the seatings that count and SHARES of these sweeps
-    root: DataFrame  #: by part of the root: WORDS and ROOT
+    buckets: DataFrame  #: by bucket: SHARED, OFTEN, and STATE and SHARES of the sweeps that count
+    root: DataFrame  #: by part of the root: WORDS, and STATE of these sweeps
 
 
 def _strength(logs: np.ndarray, seed: list[int]) -> float:
@@ -458,27 +484,30 @@ def _strength(logs: np.ndarray, seed: list[int]) -> float:
     return float(np.random.default_rng(seed).choice(STRENGTHS, p=p / p.sum()))
 
 
-def sample_model(counts: DataFrame, roots: int) -> Sampled:
+def sample_model(counts: DataFrame, roots: int, common) -> Sampled:
     """Gibbs sampling over buckets and root parts; the driver gets sums alone."""
-    merged = written(_stepped(counts, _merged(roots)))
-    opened = written(_stepped(_of_kind(merged, LISTED), _opened))
+    merged = written(_stepped(counts, _merged(roots, common)))
+    opened = written(_stepped(_of_kind(merged, LISTED), _opened(common)))
     a, b = _summed(merged), _summed(opened)
     once, twice, tokens = a if len(a) else (0, 0, 0)
     kinds, root_once, root_twice, customers = b if len(b) else (0, 0, 0, 0)
     setting = Setting(int(tokens), int(kinds), _discount(once, twice), _discount(root_once, root_twice))
     setting.levels.append(Level(1.0, 1.0, float(customers), float(kinds)))
-    seats, root, shares = _of_kind(merged, SEATS), _of_kind(opened, ROOT), _of_kind(opened, SHARES)
+    buckets, root = _of_kind(merged, SHARED).unionByName(_of_kind(opened, OFTEN)), _of_kind(opened, WORDS)
+    seats, lists = _of_kind(merged, SEATS), _of_kind(opened, ROOT)
+    state, root_state, shares = _of_kind(merged, STATE), _of_kind(opened, STATE), _of_kind(opened, SHARES)
     for sweep in range(SWEEPS if tokens else 0):
-        seated = written(_stepped(seats.unionByName(shares), _seated(setting, sweep)))
-        rooted = written(_stepped(root.unionByName(_of_kind(seated, TABLES)), _rooted(setting, sweep)))
+        seated = written(_stepped(seats.unionByName(state).unionByName(shares), _seated(setting, sweep)))
+        rooted = written(_stepped(lists.unionByName(root_state).unionByName(_of_kind(seated, TABLES)), _rooted(setting, sweep)))
         customers, tables = _summed(rooted)
         root_logs = _strength_logs(np.array([customers]), np.array([tables]), np.ones(1), setting.root_discount)
         setting.levels.append(Level(_strength(_summed(seated), [sweep, 3]), _strength(root_logs, [sweep, 4]), customers, tables))
-        seats, root, shares = _of_kind(seated, SEATS), _of_kind(rooted, ROOT), _of_kind(rooted, SHARES)
+        state, root_state, shares = _of_kind(seated, STATE), _of_kind(rooted, STATE), _of_kind(rooted, SHARES)
+        if sweep >= BURN_IN:
+            buckets, root = buckets.unionByName(state).unionByName(shares), root.unionByName(root_state)
     if not tokens:
         setting.levels += [setting.levels[0]] * SWEEPS
-    buckets = _of_kind(merged, SHARED).unionByName(_of_kind(opened, OFTEN)).unionByName(seats).unionByName(shares)
-    return Sampled(setting, buckets, _of_kind(opened, WORDS).unionByName(root))
+    return Sampled(setting, buckets, root)
 
 
 def _turn(flush: int) -> int:
@@ -490,7 +519,7 @@ def _crowded(buckets: DataFrame, number: int) -> dict[int, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [int(_unpack(x.as_py())[5].sum()) for x in batch.column(1)]
+            tokens = [int(_unpack(x.as_py())[-1].sum()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64())], ["key", "tokens"])
 
     rows = _of_kind(buckets, SHARED).select("key", "payload").mapInArrow(run, "key long, tokens long").collect()
@@ -498,7 +527,7 @@ def _crowded(buckets: DataFrame, number: int) -> dict[int, int]:
     return {r.key: int(np.ceil(r.tokens / fair)) for r in rows if r.tokens > 2 * fair}
 
 
-def _packed_texts(buckets: int, parts: dict[int, int]):
+def _packed_texts(buckets: int, parts: dict[int, int], common):
     """Texts (doc_id, text) to packed tokens by bucket, and a list of each flush's texts. A bucket has ``parts`` keys, b, b + buckets, ..."""
 
     def out(held: list, ids: list, flush: int) -> Iterator[pa.RecordBatch]:
@@ -509,7 +538,7 @@ def _packed_texts(buckets: int, parts: dict[int, int]):
         order = np.argsort(keys)
         keys, of = keys[order], of[order]
         for b, where, used, u, w in _by_bucket(hashes, keys):
-            yield _batch([_message(b + buckets * (_turn(flush) % parts.get(b, 1)), TOKENS, flush, used, _steps(u), w, of[where])])
+            yield _batch([_message(b + buckets * (_turn(flush) % parts.get(b, 1)), TOKENS, flush, *_coded(used, common.value), _steps(u), w, of[where])])
         column = pa.concat_arrays(ids)
         yield _batch([_message(_turn(flush) % buckets, DOCS, flush, np.asarray(column.fill_null(0)).view(np.uint64), np.asarray(column.is_null()).astype(np.uint8), tokens)])
 
@@ -538,11 +567,12 @@ def _packed_texts(buckets: int, parts: dict[int, int]):
 class _Bucket:
     """A bucket's restaurants with averaged probabilities."""
 
-    def __init__(self, setting: Setting, got: dict):
-        empty = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3]
-        r = Restaurants(*(_unpack(got[SHARED][0][1]) if got[SHARED] else empty))
-        seats = _unpack(got[SEATS][0][1])[9:] if got[SEATS] else []
-        answers = [_unpack(raw) for _, raw in got[SHARES]]
+    def __init__(self, setting: Setting, got: dict, common: np.ndarray):
+        none, no_words = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        r = Restaurants.unpacked(got[SHARED][0][1], common) if got[SHARED] else Restaurants(no_words, none, no_words, none, none, none)
+        seats = [_unpack(raw)[0] for _, raw in got[STATE]]  # in the order of sweeps; answers of a sweep in the order of the root's parts
+        answers = [_unpack(raw)[0] for _, raw in got[SHARES]]
+        parts = len(answers) // max(1, len(seats))
         d, levels = setting.discount, setting.counted
         self.context, self.word = r.contexts, np.sort(r.words)
         self.place = np.argsort(r.words)
@@ -555,7 +585,7 @@ class _Bucket:
         for s, level in enumerate(levels if got[SHARED] else []):
             tables = np.ones(len(r.count))
             tables[several] = seats[s]
-            x = np.concatenate([a[s] for a in answers]).astype(np.float64)
+            x = np.concatenate(answers[s * parts : (s + 1) * parts]).astype(np.float64)
             share = setting.share(x, level)
             back = (level.strength + d * np.bincount(context, weights=tables, minlength=len(size))) / (level.strength + size)
             own += (r.count - d * tables) / (level.strength + size[context]) + back[context] * share[r.word]
@@ -564,7 +594,7 @@ class _Bucket:
         self.log = np.log10(own / max(1, len(levels)))
 
 
-def _bucket_scores(setting: Setting, roots: int):
+def _bucket_scores(setting: Setting, roots: int, common):
     floor = np.log10(setting.tokens + setting.kinds + 1)
     many = len(setting.counted)
 
@@ -573,12 +603,12 @@ def _bucket_scores(setting: Setting, roots: int):
             yield flush, DOCS, flush, raw
         if not got[TOKENS]:
             return
-        bucket = _Bucket(setting, got)
+        bucket = _Bucket(setting, got, common.value)
         often = np.concatenate([_unpack(raw)[0] for _, raw in got[OFTEN]]) if got[OFTEN] else np.zeros(0, np.int64)
         base_log = np.log10(often + 1.0) - floor
         for flush, raw in got[TOKENS]:
-            used, u, w, of = _unpack(raw)
-            u = np.cumsum(u)
+            *used, u, w, of = _unpack(raw)
+            used, u = _decoded(used, common.value), np.cumsum(u)
             as_context, as_word = (_find(found, used) for found in (bucket.context, bucket.word))
             as_word = np.where(as_word >= 0, bucket.place[as_word], -1) if len(bucket.place) else as_word
             c, x = as_context[u], as_word[w]
@@ -601,7 +631,8 @@ def _bucket_scores(setting: Setting, roots: int):
             part = _root_of(used[w[away]], roots)
             for r in np.unique(part).tolist():
                 on = away[part == r]
-                yield _message(r, SENT_ON, flush, used[w[on]], of[on], *weight[:, on])
+                kinds, at = np.unique(used[w[on]], return_inverse=True)
+                yield _message(r, SENT_ON, flush, *_coded(kinds, common.value), at, of[on], *weight[:, on])
 
     return step
 
@@ -614,15 +645,15 @@ def _find(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_[at] == x, at, -1)
 
 
-def _root_scores(setting: Setting):
+def _root_scores(setting: Setting, common):
     floor, levels = np.log10(setting.tokens + setting.kinds + 1), setting.counted
 
     def step(root: int, got: dict) -> Iterator[tuple]:
-        kinds, often = _unpack(got[WORDS][0][1]) if got[WORDS] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        kept = _unpack(got[ROOT][0][1])[4:] if got[ROOT] else []
+        *kinds, often = _unpack(got[WORDS][0][1]) if got[WORDS] else [*_coded(np.zeros(0, np.uint64), common.value), np.zeros(0, np.int64)]
+        kinds, kept = _decoded(kinds, common.value), [_unpack(raw)[1] for _, raw in got[STATE]]
         for flush, raw in got[SENT_ON]:
-            h, of, *weight = _unpack(raw)
-            at = _find(kinds, h)
+            a, b, c, h, of, *weight = _unpack(raw)
+            at = _find(kinds, _decoded([a, b, c], common.value))[h]
             known = at >= 0
             p = np.zeros(len(h))
             for s, level in enumerate(levels):
@@ -652,6 +683,25 @@ def _by_text(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids.view(np.int64), mask=null.astype(bool)), "n_tokens": tokens, "n_known": known, "base_score": base, "score": score})
 
 
+def _common(texts_: DataFrame, size: int) -> np.ndarray:
+    """Sorted hashes of frequent words of a sample of texts, COMMON at most: numbers for messages, of no effect on scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for batch in batches:
+            data, offsets = texts(batch.column(0))
+            found += [np.unique(_tokens(d, o)[1], return_counts=True) for _, _, d, o in chunks(data, offsets)]
+        kinds, place = np.unique(np.concatenate([x[0] for x in found] or [np.zeros(0, np.uint64)]), return_inverse=True)
+        times = np.bincount(place, weights=np.concatenate([x[1] for x in found] or [np.zeros(0)]), minlength=len(kinds))
+        on = times > 1
+        yield pa.RecordBatch.from_arrays([pa.array(kinds[on].view(np.int64)), pa.array(times[on].astype(np.int64))], ["word", "times"])
+
+    share = COMMON_BYTES / max(size, 1)
+    sample = texts_ if share >= 1 else texts_.sample(share, seed=1)
+    rows = sample.mapInArrow(run, "word long, times long").groupBy("word").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "word").limit(COMMON).collect()
+    return np.sort(np.array([r.word for r in rows], np.int64).view(np.uint64))
+
+
 def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
@@ -670,13 +720,14 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES)
     roots = max(1, buckets // PER_ROOT)
-    model = sample_model(rows.where("doc_id is not null").where(~out).select("text").mapInArrow(_counted(buckets), _MESSAGE), roots)
+    common = docs.sparkSession.sparkContext.broadcast(_common(rows.select("text"), size))
+    model = sample_model(rows.where("doc_id is not null").where(~out).select("text").mapInArrow(_counted(buckets, common), _MESSAGE), roots, common)
     setting, parts = model.setting, _crowded(model.buckets, buckets)
     times = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in parts.items() for x in pair)), F.col("key")), F.lit(1)) if parts else F.lit(1)
     copies = model.buckets.select(F.explode(F.transform(F.sequence(F.lit(0), times - 1), lambda i: F.col("key") + buckets * i)).alias("key"), "kind", "sender", "payload")
-    packed = rows.mapInArrow(_packed_texts(buckets, parts), _MESSAGE)
-    scored = written(_stepped(packed.unionByName(copies), _bucket_scores(setting, roots)))
-    at_root = _stepped(model.root.unionByName(_of_kind(scored, SENT_ON)), _root_scores(setting))
+    packed = rows.mapInArrow(_packed_texts(buckets, parts, common), _MESSAGE)
+    scored = written(_stepped(packed.unionByName(copies), _bucket_scores(setting, roots, common)))
+    at_root = _stepped(model.root.unionByName(_of_kind(scored, SENT_ON)), _root_scores(setting, common))
     every = _of_kind(scored, DOCS, SCORED).unionByName(at_root)
     summed = every.groupBy("key").applyInArrow(_by_text, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return summed.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(setting.tokens).cast("long").alias("train_tokens"), "base_score", "score")
