@@ -35,7 +35,7 @@ from ._shared import ready, written
 from .words import CHUNK_BYTES, SPACED, chunks, mix, texts, words
 
 #: sweeps, of which the first BURN_IN do not count in averages; parts of a sweep between which restaurants' totals are taken anew
-SWEEPS, BURN_IN, PARTS = 5, 2, 4
+SWEEPS, BURN_IN, PARTS = 4, 1, 4
 #: customers of a dish up to which its tables are drawn from the exact conditional distribution
 EXACT = 64
 #: bytes of text for each bucket of contexts, about; the fewest buckets; buckets for each part of the root
@@ -537,8 +537,11 @@ def _packed_texts(buckets: int, parts: dict[int, int], common):
         tokens = np.bincount(of, minlength=base[-1])
         order = np.argsort(keys)
         keys, of = keys[order], of[order]
-        for b, where, used, u, w in _by_bucket(hashes, keys):
-            yield _batch([_message(b + buckets * (_turn(flush) % parts.get(b, 1)), TOKENS, flush, *_coded(used, common.value), _steps(u), w, of[where])])
+        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        ends = np.append(new, len(keys))
+        for b, where, used, u, w in _by_bucket(hashes, keys[new]):
+            times, own = np.diff(ends[where.start : where.stop + 1]), of[ends[where.start] : ends[where.stop]]
+            yield _batch([_message(b + buckets * (_turn(flush) % parts.get(b, 1)), TOKENS, flush, *_coded(used, common.value), _steps(u), w, times, own)])
         column = pa.concat_arrays(ids)
         yield _batch([_message(_turn(flush) % buckets, DOCS, flush, np.asarray(column.fill_null(0)).view(np.uint64), np.asarray(column.is_null()).astype(np.uint8), tokens)])
 
@@ -607,11 +610,11 @@ def _bucket_scores(setting: Setting, roots: int, common):
         often = np.concatenate([_unpack(raw)[0] for _, raw in got[OFTEN]]) if got[OFTEN] else np.zeros(0, np.int64)
         base_log = np.log10(often + 1.0) - floor
         for flush, raw in got[TOKENS]:
-            *used, u, w, of = _unpack(raw)
+            *used, u, w, times, of = _unpack(raw)
             used, u = _decoded(used, common.value), np.cumsum(u)
             as_context, as_word = (_find(found, used) for found in (bucket.context, bucket.word))
             as_word = np.where(as_word >= 0, bucket.place[as_word], -1) if len(bucket.place) else as_word
-            c, x = as_context[u], as_word[w]
+            c, x = as_context[u], as_word[w]  # of each pair, as often as it comes
             here = x >= 0
             score, base = np.zeros(len(c)), np.zeros(len(c))
             pair = np.where(here & (c >= 0), _find(bucket.key, (c << 32) | x), -1)
@@ -625,14 +628,16 @@ def _bucket_scores(setting: Setting, roots: int, common):
                 score[back_off] = np.log10(sum(weight[s, back_off] * bucket.share[s][x[back_off]] for s in range(many)) / many)
             base[here] = base_log[x[here]]
             texts_, of_text = np.unique(of, return_inverse=True)
-            known = np.bincount(of_text, weights=here, minlength=len(texts_)).astype(np.int64)
-            yield _message(flush, SCORED, key, texts_, known, np.bincount(of_text, weights=base, minlength=len(texts_)), np.bincount(of_text, weights=score, minlength=len(texts_)).astype(np.float32))
-            away = np.flatnonzero(~here)
-            part = _root_of(used[w[away]], roots)
+            known, base, score = (np.bincount(of_text, weights=np.repeat(v, times), minlength=len(texts_)) for v in (here, base, score))
+            yield _message(flush, SCORED, key, texts_, known.astype(np.int64), base, score.astype(np.float32))
+            pair = np.repeat(np.arange(len(w)), times)
+            away = np.flatnonzero(~here[pair])
+            pair = pair[away]
+            part = _root_of(used[w[pair]], roots)
             for r in np.unique(part).tolist():
-                on = away[part == r]
-                kinds, at = np.unique(used[w[on]], return_inverse=True)
-                yield _message(r, SENT_ON, flush, *_coded(kinds, common.value), at, of[on], *weight[:, on])
+                on = part == r
+                kinds, at = np.unique(used[w[pair[on]]], return_inverse=True)
+                yield _message(r, SENT_ON, flush, *_coded(kinds, common.value), at, of[away[on]], *weight[:, pair[on]])
 
     return step
 
