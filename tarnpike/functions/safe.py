@@ -5,6 +5,8 @@ Missing is always null: no division, logarithm or gate here makes NaN or infinit
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
@@ -160,3 +162,32 @@ def schema_with(df: DataFrame, **more: str) -> StructType:
     for f in StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in more.items())):
         out.add(f)
     return out
+
+
+def recursive_means(df: DataFrame, of: dict[str, tuple[str, float, int]], keys: tuple[str, ...] = ("symbol",), ts: str = "ts") -> DataFrame:
+    """More columns: {name: (column, alpha, start)}, y[t] = alpha x[t] + (1 - alpha) y[t - 1] by keys in order of time, begun by the
+    mean of the first ``start`` known values and null before; where x is null, y stays.
+
+    Known values are cut into blocks within which (1 - alpha) falls to 1e-12. In a block y is a running sum of x in growing units, and
+    what came before weighs by its last value alone: windows of Spark's own, no loop and no group in a worker.
+    """
+    w = ordered(*keys, by=ts)
+    here, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    for i, (name, (x, alpha, start)) in enumerate(of.items()):
+        left = 1.0 - alpha
+        block = max(1, int(math.log(1e-12) / math.log(left))) if left > 0 else 1
+        k, p, j, b, own, end = (f"_{n}{i}_{name}" for n in ("k", "p", "j", "b", "own", "end"))
+        df = df.withColumn(k, F.when(F.col(x).isNotNull(), F.count(x).over(here)))
+        seed = F.avg(F.when(F.col(k) <= start, F.col(x))).over(here)
+        term = F.when(F.col(k) == start, seed).when(F.col(k) > start, alpha * F.col(x))
+        df = df.withColumn(p, F.col(k) - start).withColumn(own, term)
+        df = df.withColumns({j: F.pmod(F.col(p), F.lit(block)), b: F.when(F.col(own).isNotNull(), F.floor(F.col(p) / block))})
+        inside = ordered(*keys, b, by=ts).rowsBetween(Window.unboundedPreceding, 0)
+        grown = F.sum(F.col(own) * F.pow(F.lit(left), -F.col(j))).over(inside)
+        df = df.withColumn(own, F.when(F.col(own).isNotNull(), grown * F.pow(F.lit(left), F.col(j))))
+        last = F.last(F.when(F.col(j) == block - 1, F.col(own)), ignorenulls=True).over(before)
+        df = df.withColumn(end, F.when(F.col(j) == block - 1, F.col(own) + left**block * F.coalesce(last, F.lit(0.0))))
+        carried = F.coalesce(F.last(end, ignorenulls=True).over(before), F.lit(0.0))
+        df = df.withColumn(own, F.col(own) + F.pow(F.lit(left), F.col(j) + 1) * carried)
+        df = df.withColumn(name, F.last(own, ignorenulls=True).over(here)).drop(k, p, j, b, own, end)
+    return df

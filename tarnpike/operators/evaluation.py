@@ -48,6 +48,32 @@ def time_folds(df: DataFrame, folds: int, embargo: int, order: str) -> DataFrame
     return x.select(F.col("fold").cast("long"), first.cast("long").alias("first_test"), (first + F.col("size") - 1).cast("long").alias("last_test"), (first - 1 - embargo).cast("long").alias("train_until"))
 
 
+def label_coverage(df: DataFrame, y: str, ts: str, folds: int, gap: int = 0) -> DataFrame:
+    """(fold, train_rows, train_positives, test_rows, test_positives, degenerate) of ``time_folds`` in the order of ``ts``, which has no repeats: a fold
+    whose training rows have no positive label learns nothing. Known before any training; rows are numbered by ranges, in many tasks."""
+    x = running_totals(df.select(F.col(ts).alias("_t"), F.col(y).alias("_y")).withColumn("_one", F.lit(1)), "_t", ["_one"])
+    f = time_folds(df, folds, gap, ts)
+    at = F.col("_one_run") - 1
+    spans = F.broadcast(f.agg(F.array_sort(F.collect_list(F.struct("fold", "first_test", "last_test", "train_until"))).alias("_f")))  # one row
+    part = x.crossJoin(spans).select("_y", F.explode(F.transform("_f", lambda s: F.struct(s["fold"].alias("fold"), F.when(at <= s["train_until"], 0).when(at.between(s["first_test"], s["last_test"]), 1).alias("part")))).alias("p"))
+    count = lambda k, what: F.coalesce(F.sum(F.when(F.col("p.part") == k, what)), F.lit(0)).cast("long")
+    g = part.groupBy(F.col("p.fold").alias("fold")).agg(count(0, 1).alias("train_rows"), count(0, F.col("_y")).alias("train_positives"), count(1, 1).alias("test_rows"), count(1, F.col("_y")).alias("test_positives"))
+    return g.withColumn("degenerate", F.col("train_positives") == 0)
+
+
+def empty_months(df: DataFrame, y: str, ts: str) -> DataFrame:
+    """(month, rows, positives, rate, empty): months without a positive label."""
+    g = df.groupBy(F.date_trunc("month", ts).cast("timestamp_ntz").alias("month")).agg(F.count("*").alias("rows"), F.coalesce(F.sum(y), F.lit(0)).cast("long").alias("positives"), F.avg(y).alias("rate"))
+    return g.withColumn("empty", F.col("positives") == 0)
+
+
+def brier(df: DataFrame, y: str, score: str, keys: list[str]) -> DataFrame:
+    """(keys, n, brier, reference, skill): mean squared error of probabilities, that of the base rate, and the share of it that is saved."""
+    known = df.where(F.col(y).isNotNull() & F.col(score).isNotNull())
+    g = known.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((F.col(score) - F.col(y)) * (F.col(score) - F.col(y))).alias("brier"), F.avg(y).alias("_p"))
+    return g.withColumn("reference", F.col("_p") * (1 - F.col("_p"))).withColumn("skill", 1 - sdiv(F.col("brier"), F.col("reference"))).drop("_p")
+
+
 def fold_windows(start: str, end: str, train_months: int, test_months: int, step_months: int) -> Column:
     """Array of (train_start, train_end, test_end), the newest test first; training rolls."""
     s, e = F.lit(start).cast("date"), F.lit(end).cast("date")

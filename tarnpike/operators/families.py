@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnpike.functions.safe import before_n, clip, correlation, event, framed, last_n, max_n, mean_n, ordered, rank_le, sdiv, sln, std_n, zscore_before
-from tarnpike.operators.indicators import W, atr_mean, c, h, l, o, true_range, v
+from tarnpike.functions.safe import before_n, correlation, event, framed, last_n, max_n, mean_n, ordered, rank_le, sdiv, sln, std_n, zscore_before
+from tarnpike.operators.indicators import W, atr_mean, c, h, l, o, v, wilder
 
 # averages -----------------------------------------------------------------------------------------------------------
 
 
-def average_features(bars: DataFrame, fast: int, slow: int, k: int = 5) -> DataFrame:
-    """Price against averages (in mean true ranges, and percent), their crossing and slope, k-bar log return, ranges, and consistency of direction."""
-    x = atr_mean(bars, slow).withColumns({"_f": mean_n("close", W(), fast), "_s": mean_n("close", W(), slow)})
-    a = F.col(f"atr_mean_{slow}")
-    return x.withColumns(
+def average_features(bars: DataFrame, fast: int, slow: int, k: int = 5, usual: int = 14) -> DataFrame:
+    """Price against averages (in true ranges, and percent), their crossing and slope over k bars, k-bar log return, ranges in the usual true
+    range, three-bar return, and share of rising bars among five."""
+    x = wilder(bars, 3, usual, slow, max(k, usual)).withColumns({"_f": mean_n("close", W(), fast), "_s": mean_n("close", W(), slow)})
+    a, u = F.col(f"atr_{slow}"), F.col(f"atr_{usual}")
+    x = x.withColumns(
         {
             f"price_vs_sma_{slow}": 100 * (sdiv(c(), F.col("_s")) - 1),
             f"signed_price_vs_sma_{slow}": sdiv(c() - F.col("_s"), a),
             f"sma_{fast}_over_sma_{slow}": sdiv(F.col("_f") - F.col("_s"), a),
             f"sma_slope_{slow}": sdiv(F.col("_s") - F.lag("_s", k).over(W()), a),
-            f"log_return_atr_{k}": sdiv(sln(sdiv(c(), F.lag("close", k).over(W()))) * c(), a),
-            "hl_range_atr": sdiv(h() - l(), a),
-            "oc_range_atr": sdiv(c() - o(), a),
+            f"log_return_atr_{k}": sdiv(sln(sdiv(c(), F.lag("close", k).over(W()))) * c(), F.col(f"atr_{max(k, usual)}")),
+            "hl_range_atr": sdiv(h() - l(), u),
+            "oc_range_atr": sdiv(c() - o(), u),
+            "return_3_atr": sdiv(c() - F.lag("close", 3).over(W()), F.col("atr_3")),
             "momentum_consistency_5": mean_n((c() > o()).cast("double"), W(), 5),
         }
-    ).drop("_f", "_s")
+    )
+    return x.withColumn(f"abs_price_vs_sma_{slow}", F.abs(f"price_vs_sma_{slow}")).drop("_f", "_s")
 
 
 def bars_since_flip(bars: DataFrame, n: int) -> DataFrame:
@@ -38,25 +41,7 @@ def bars_since_flip(bars: DataFrame, n: int) -> DataFrame:
     return x.withColumn("slope_efficiency", F.when(F.count("close").over(last_n(W(), 12)) >= 12, r * r * F.signum(r))).drop("_side", "_new", "_id", "_rn")
 
 
-# sequences ----------------------------------------------------------------------------------------------------------
-
-
-def burst_features(bars: DataFrame, n: int, fast: int, slow: int) -> DataFrame:
-    """Thrust of highs, micro bursts, fast against slow range with the drift, range compression: all gated scores."""
-    x = atr_mean(atr_mean(bars, fast), slow)
-    a, f = F.col(f"atr_mean_{slow}"), F.col(f"atr_mean_{fast}")
-    x = x.withColumns({"_dh": h() - F.lag("high").over(W()), "_sg": F.signum(c() - o())}).withColumn("_rk", rank_le("_dh", W(), slow, slow // 2))
-    move = c() - F.lag("close", n).over(W())
-    same = F.abs(F.sum("_sg").over(last_n(W(), n)))
-    ratio = sdiv(f, a) - 1
-    return x.withColumns(
-        {
-            f"hh_thrust_{slow}": event(sdiv(F.col("_dh"), a), (F.col("_rk") >= 80) & (c() > o())),
-            f"micro_burst_{n}_{slow}": event(sdiv(move, a), (same >= n - 1) & (F.abs(move) >= a)),
-            f"atr_ratio_{fast}_{slow}": ratio,
-            f"volshift_bias_{fast}_{slow}": event(ratio * F.signum(c() - F.lag("close", fast).over(W())), F.abs(ratio) >= 0.25),
-        }
-    ).drop("_dh", "_sg", "_rk")
+# moments -----------------------------------------------------------------------------------------------------------
 
 
 def moment_changes(bars: DataFrame, x: str, k: int, z: int) -> DataFrame:
@@ -79,34 +64,41 @@ def local_clock(zone: str, ts: str = "ts") -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col(ts))
 
 
-def clock_features(bars: DataFrame, k: int) -> DataFrame:
-    """Minutes to the 16:00 London fixing (half-hour proximity), place in the week and in the month, and k-bar momentum at the New York open,
-    on Friday afternoons and on the first Friday of a month; 0 outside."""
-    ldn, ny = local_clock("Europe/London"), local_clock("America/New_York")
-    minutes = lambda t: F.hour(t) * 60 + F.minute(t)
-    to_fix = F.abs(minutes(ldn) - 960)
-    mom = sdiv(c() - F.lag("close", k).over(W()), F.col("_a"))
-    x = atr_mean(bars, 14).withColumnRenamed("atr_mean_14", "_a")
-    first_friday = (F.weekday("ts") == 4) & (F.dayofmonth("ts") <= 7)
-    days = F.dayofmonth(F.last_day("ts"))
-    return x.withColumns(
-        {
-            "fix_proximity": F.greatest(F.lit(0.0), 1 - to_fix / 120.0),
-            "week_pos": (F.weekday("ts") * 1440 + minutes(F.col("ts"))) / 10080.0,
-            "month_pos": (F.dayofmonth("ts") - 1) / F.greatest(days - 1, F.lit(1)).cast("double"),
-            f"ny_open_momo_{k}": event(mom, F.hour(ny).between(9, 10)),
-            f"friday_unwind_{k}": event(-mom, (F.weekday("ts") == 4) & (F.hour("ts") >= 15)),
-            f"first_friday_momo_{k}": event(mom, first_friday),
-        }
-    ).drop("_a")
+def month_turn(day: Column, n: int = 2) -> Column:
+    """-n to -1 on the last n weekdays of a month, 1 to n on the first n, 0 on all other days. Weekdays are counted by the calendar, holidays too."""
+    weekdays = lambda a, b: F.size(F.filter(F.sequence(a, b), lambda d: F.weekday(d) < 5))
+    start = F.to_date(F.date_trunc("month", day))
+    left, gone = weekdays(day, F.last_day(day)), weekdays(start, day)  # both with the day itself
+    return F.when(F.weekday(day) > 4, 0).when(left <= n, -left).when(gone <= n, gone).otherwise(0)
 
 
 def turn_of_month(days: DataFrame, n: int, day: str = "day") -> DataFrame:
-    """(day, tom_pos): business days from the turn of the month, -n to n, by counting weekdays of a full calendar; null further away."""
-    x = days.where(F.weekday(day) < 5).withColumn("_m", F.date_trunc("month", day))
-    up = F.row_number().over(Window.partitionBy("_m").orderBy(day))
-    down = F.row_number().over(Window.partitionBy("_m").orderBy(F.desc(day)))
-    return x.withColumns({"_u": up, "_d": down}).withColumn("tom_pos", F.when(F.col("_d") <= n, -F.col("_d")).when(F.col("_u") <= n, F.col("_u"))).drop("_m", "_u", "_d")
+    """With tom_pos, the place in the turn of the month (see ``month_turn``)."""
+    return days.withColumn("tom_pos", month_turn(F.to_date(day), n))
+
+
+def clock_features(bars: DataFrame, k: int, turn: int = 2) -> DataFrame:
+    """Clocks of a bar, and the k-bar move in true ranges of the bar before it at certain hours, 0 outside (so all is known when the bar begins).
+
+    fix_proximity: 1 / (1 + hours to 16:00 London); week_pos: place in the week, null on weekends; tom_pos: see ``month_turn``. Moves: fix_momo 15 to 16
+    London; fix_tom_momo 14 to 16 London on the last weekdays of a month; ny_open_momo 8 to 9 New York; friday_unwind from 16 London on Fridays;
+    first_friday_momo on a month's first Friday.
+    """
+    hours = lambda t: F.hour(t) + F.minute(t) / 60.0
+    x = wilder(bars, k).withColumns({"_ldn": local_clock("Europe/London"), "_ny": local_clock("America/New_York"), "_m": sdiv(c() - F.lag("close", k).over(W()), F.col(f"atr_{k}"))})
+    x = x.withColumns({"_m": F.lag("_m").over(W()), "_lf": hours(F.col("_ldn")), "_nf": hours(F.col("_ny")), "tom_pos": month_turn(F.to_date("ts"), turn)})
+    m, lf, nf, day = F.col("_m"), F.col("_lf"), F.col("_nf"), F.weekday("ts")
+    return x.withColumns(
+        {
+            "fix_proximity": 1 / (1 + F.pmod(16.0 - lf, F.lit(24.0))),
+            "week_pos": F.when(day < 5, (day + hours(F.col("ts")) / 24.0) / 5.0),
+            f"fix_momo_{k}": event(m, (lf >= 15) & (lf < 16)),
+            f"fix_tom_momo_{k}": event(m, (lf >= 14) & (lf < 16) & (F.col("tom_pos") < 0)),
+            f"ny_open_momo_{k}": event(m, (nf >= 8) & (nf < 9)),
+            f"friday_unwind_{k}": event(m, (F.weekday("_ldn") == 4) & (lf >= 16)),
+            f"first_friday_momo_{k}": event(m, (day == 4) & (F.dayofmonth("ts") <= 7)),
+        }
+    ).drop("_ldn", "_ny", "_m", "_lf", "_nf")
 
 
 def day_shares(bars: DataFrame, hours: tuple[int, int], n: int, out: str) -> DataFrame:
@@ -137,24 +129,6 @@ def volume_relations(bars: DataFrame, n: int, w: int) -> DataFrame:
     ).drop("_z", "_m", "_d", "_q")
 
 
-def execution_features(bars: DataFrame, n: int, pip: float) -> DataFrame:
-    """Spread in logs over its median at that hour, its regime, impulse of range and volume, room for a passive order, distances in pips."""
-    x = bars.withColumn("_tr", true_range()).withColumn("_a", mean_n("_tr", W(), n)).withColumn("_s", F.greatest(F.abs(c() - F.col("mid")), F.lit(pip)))
-    s = ordered("symbol", "_hour")
-    x = x.withColumn("_hour", F.hour("ts")).withColumn("_m", framed(F.percentile("_s", 0.5), F.col("_s"), before_n(s, n), n // 3))
-    norm = sln(sdiv(F.col("_s"), F.col("_m")))
-    impulse = sdiv(h() - l(), F.col("_a")) * sdiv(v(), mean_n("volume", W(), n))
-    x = x.withColumns({"spread_norm": norm, "liq_impulse": impulse})
-    return x.withColumns(
-        {
-            "spread_regime": F.when(F.col("spread_norm") > 0.5, 1).when(F.col("spread_norm") < -0.5, -1).when(F.col("spread_norm").isNotNull(), 0),
-            "queue_good": ((F.col("spread_norm") <= 0) & (F.col("liq_impulse") < 1)).cast("int"),
-            "sl_pips": clip(1.5 * F.col("_a") / pip, 15, 60), "tp_pips": clip(3 * F.col("_a") / pip, 15, 150), "trail_pips": clip(F.col("_a") / pip, 8, 40),
-            "micro_break": F.when(c() > framed(F.max("high"), h(), before_n(W(), 3), 3), 1).when(c() < framed(F.min("low"), l(), before_n(W(), 3), 3), -1).when(F.count("high").over(before_n(W(), 3)) >= 3, 0),
-        }
-    ).drop("_tr", "_a", "_s", "_hour", "_m")
-
-
 def execution_snapshot(bars: DataFrame, columns: list[str]) -> DataFrame:
     """(symbol, snapshot): each symbol's last row as JSON."""
     return bars.groupBy("symbol").agg(F.max_by(F.to_json(F.struct("ts", *columns)), "ts").alias("snapshot"))
@@ -240,15 +214,6 @@ def percentile_targets(bars: DataFrame, horizon: int, n: int, q: float) -> DataF
     return bars.withColumn("_m", F.abs(c() - F.lag("close", horizon).over(W()))).withColumn("target", framed(F.percentile("_m", q), F.col("_m"), last_n(W(), n), n)).drop("_m")
 
 
-def pullback_recovery(bars: DataFrame, n: int, depth: float) -> DataFrame:
-    """recovery: 1 at the first rising bar after a fall of ``depth`` mean true ranges from the n-bar high, until a new high or fall; else 0; null in warm-up."""
-    x = atr_mean(bars, n).withColumn("_top", max_n("high", W(), n)).withColumn("_deep", (F.col("_top") - l() >= depth * F.col(f"atr_mean_{n}")).cast("int")).withColumn("_up", (c() > o()).cast("int"))
-    ready = F.max(F.when(F.col("_deep") == 1, F.col("ts"))).over(W().rowsBetween(Window.unboundedPreceding, -1))
-    done = F.max(F.when(F.col("_up") == 1, F.col("ts"))).over(W().rowsBetween(Window.unboundedPreceding, -1))
-    first = (F.col("_up") == 1) & ready.isNotNull() & (done.isNull() | (done < ready) | (done == ready))
-    return x.withColumn("recovery", F.when(F.col("_deep").isNotNull(), F.coalesce(first, F.lit(False)).cast("int"))).drop("_top", "_deep", "_up")
-
-
 def half_spread(bars: DataFrame, floor: float) -> DataFrame:
     """Half the spread between price and mid, at least the floor; where there is no mid, the symbol's median."""
     x = bars.withColumn("_h", F.when(F.col("mid").isNotNull(), F.greatest(F.abs(c() - F.col("mid")), F.lit(floor))))

@@ -1,20 +1,18 @@
-"""Classic indicators as columns over row windows, and recursive ones by an Arrow pass over each symbol.
+"""Classic indicators as columns over row windows.
 
 All functions take bars (symbol, ts, open, high, low, close, volume, mid) and use rows up to the current one only.
-Three averages of the true range are kept apart: ``atr_wilder`` (recursive), ``atr_mean`` (plain mean) and ``ewm``.
+Averages of the true range are kept apart: ``wilder`` (recursive, null in warm-up; the unit of all features "in true ranges", over the
+feature's own window), ``atr_wilder`` (the same, 0 in warm-up) and ``atr_mean`` (plain mean: labels and execution).
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tarnpike.functions.recursions import ewm
-from tarnpike.functions.safe import before_n, clip, framed, last_n, max_n, mean_n, min_n, ordered, rank_le, schema_with, sdiv, slope_n, sln, std_n, sum_n
-
+from tarnpike.functions.safe import before_n, clip, framed, last_n, max_n, mean_n, min_n, ordered, rank_avg, rank_le, recursive_means, sdiv, slope_n, sln, std_n, sum_n
 
 
 def W() -> WindowSpec:  # noqa: N802
@@ -56,19 +54,27 @@ def atr_mean(bars: DataFrame, n: int) -> DataFrame:
     return bars.withColumn("_tr", true_range()).withColumn(f"atr_mean_{n}", mean_n("_tr", W(), n)).drop("_tr")
 
 
+def wilder(bars: DataFrame, *ns: int) -> DataFrame:
+    """With atr_n: Wilder's mean true range, null in the first n - 1 bars."""
+    of = {f"atr_{n}": ("_tr", 1 / n, n) for n in ns if f"atr_{n}" not in bars.columns}
+    return recursive_means(bars.withColumn("_tr", F.coalesce(true_range(), h() - l())), of).drop("_tr")
+
+
 def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
-    """Middle, upper and lower band (population deviation), width in percent, percent and position (0 at zero width), squeeze."""
-    x = bars.withColumn("bb_middle", mean_n("close", W(), n)).withColumn("_sd", std_n("close", W(), n, population=True))
+    """Middle, upper and lower band (population deviation), width in percent, place of the close between the bands (percent: null, position: 0 at
+    zero width), squeeze, distance from the middle in true ranges, and position times width."""
+    x = wilder(bars, n).withColumn("bb_middle", mean_n("close", W(), n)).withColumn("_sd", std_n("close", W(), n, population=True))
     x = x.withColumn("bb_upper", F.col("bb_middle") + k * F.col("_sd")).withColumn("bb_lower", F.col("bb_middle") - k * F.col("_sd"))
     span = F.col("bb_upper") - F.col("bb_lower")
-    return x.withColumns(
+    x = x.withColumns(
         {
             "bb_width": 100 * sdiv(span, F.col("bb_middle")),
             "bb_percent": sdiv(c() - F.col("bb_lower"), span),
-            "bb_position": F.when(span == 0, 0.0).otherwise((c() - F.col("bb_middle")) / F.nullif(span / 2, F.lit(0.0))),
-            "bb_squeeze": sdiv(span, c()),
+            "bb_position": F.when(span == 0, 0.0).otherwise(sdiv(c() - F.col("bb_lower"), span)),
+            "bb_deviation": sdiv(c() - F.col("bb_middle"), F.col(f"atr_{n}")),
         }
-    ).drop("_sd")
+    )
+    return x.withColumns({"bb_squeeze": sdiv(F.col("bb_width"), c()), "abs_bb_deviation": F.abs("bb_deviation"), "bb_edge_impact": F.col("bb_position") * F.col("bb_width")}).drop("_sd")
 
 
 def donchian(bars: DataFrame, n: int) -> DataFrame:
@@ -80,15 +86,16 @@ def donchian(bars: DataFrame, n: int) -> DataFrame:
 
 def ichimoku(bars: DataFrame, fast: int = 9, slow: int = 26, wide: int = 52) -> DataFrame:
     mid = lambda n: (max_n("high", W(), n) + min_n("low", W(), n)) / 2
-    x = bars.withColumns({"ichi_conv": mid(fast), "ichi_base": mid(slow), "ichi_b": mid(wide)}).withColumn("ichi_a", (F.col("ichi_conv") + F.col("ichi_base")) / 2)
+    x = wilder(bars, slow, wide).withColumns({"ichi_conv": mid(fast), "ichi_base": mid(slow), "ichi_b": mid(wide)}).withColumn("ichi_a", (F.col("ichi_conv") + F.col("ichi_base")) / 2)
     top, low = F.greatest("ichi_a", "ichi_b"), F.least("ichi_a", "ichi_b")
     known = F.col("ichi_a").isNotNull() & F.col("ichi_b").isNotNull()
     return x.withColumns(
         {
-            "cloud_color": F.when(known, F.when(F.col("ichi_a") >= F.col("ichi_b"), 1).otherwise(-1)),
+            "cloud_color": F.when(known, F.when(F.col("ichi_a") > F.col("ichi_b"), 1).otherwise(-1)),
             "price_above_cloud": F.when(known, (c() > top).cast("int")),
-            "distance_to_cloud": F.when(known, F.when(c() > top, c() - top).when(c() < low, low - c()).otherwise(0.0)),
-            "cloud_thickness": F.when(known, top - low),
+            "distance_to_cloud": F.when(known, F.when(c() > top, sdiv(c() - top, F.col(f"atr_{wide}"))).when(c() < low, sdiv(low - c(), F.col(f"atr_{wide}"))).otherwise(0.0)),
+            "cloud_thickness": F.when(known, sdiv(top - low, F.col(f"atr_{wide}"))),
+            "tenkan_kijun_diff": sdiv(F.col("ichi_conv") - F.col("ichi_base"), F.col(f"atr_{slow}")),
         }
     )
 
@@ -107,9 +114,9 @@ def efficiency(bars: DataFrame, n: int = 20, zero_warmup: bool = False) -> DataF
 
 
 def trend_slope(bars: DataFrame, n: int) -> DataFrame:
-    """Regression slope of the last n closes in units of the n-bar mean true range."""
-    x = atr_mean(numbered(bars), n)
-    return x.withColumn(f"trend_slope_{n}", sdiv(slope_n("close", "rn", W(), n), F.col(f"atr_mean_{n}"))).drop("rn")
+    """Regression slope of the last n closes in true ranges."""
+    x = wilder(numbered(bars), n)
+    return x.withColumn(f"trend_slope_{n}", sdiv(slope_n("close", "rn", W(), n), F.col(f"atr_{n}"))).drop("rn")
 
 
 def run_length(bars: DataFrame, of: Column, out: str) -> DataFrame:
@@ -128,7 +135,7 @@ def momentum(bars: DataFrame, p: int) -> DataFrame:
 
 def momentum_acceleration(bars: DataFrame, n: int) -> DataFrame:
     a, b = F.lag("close", n).over(W()), F.lag("close", 2 * n).over(W())
-    return atr_mean(bars, n).withColumn(f"momentum_accel_{n}", sdiv((c() - a) - (a - b), F.col(f"atr_mean_{n}")))
+    return wilder(bars, n).withColumn(f"momentum_accel_{n}", sdiv((c() - a) - (a - b), F.col(f"atr_{n}")))
 
 
 def bar_shape(bars: DataFrame) -> DataFrame:
@@ -153,19 +160,20 @@ def cci(bars: DataFrame, n: int = 20) -> DataFrame:
 
 
 def volume_features(bars: DataFrame, n: int) -> DataFrame:
-    """Volume rank, effort against result, distance from the volume-weighted price, money flow, divergence."""
-    x = atr_mean(bars, n).withColumn("_mv", mean_n("volume", W(), n)).withColumn("_mfm", F.when(h() == l(), 0.0).otherwise(((c() - l()) - (h() - c())) / F.nullif(h() - l(), F.lit(0.0))))
-    a = F.col(f"atr_mean_{n}")
-    vwap = sdiv(sum_n(c() * v(), W(), n), sum_n("volume", W(), n))
-    x = x.withColumn(f"volume_rank_{n}", rank_le("volume", W(), n, max(2, n // 4)))
+    """Volume rank, effort against result, distance from the volume-weighted price, money flow, divergence; a quarter of the window must be known."""
+    least = max(2, n // 4)
+    x = wilder(bars, n).withColumn("_mfm", F.when(h() == l(), 0.0).otherwise(((c() - l()) - (h() - c())) / F.nullif(h() - l(), F.lit(0.0))))
+    total = sum_n("volume", W(), n, least)
+    vwap = sdiv(sum_n((h() + l() + c()) / 3 * v(), W(), n, least), total)
+    x = x.withColumn(f"volume_rank_{n}", rank_avg("volume", W(), n, least))
     return x.withColumns(
         {
-            f"effort_result_{n}": sln(sdiv(v(), F.col("_mv"))) - sln(sdiv(h() - l(), a)),
-            f"vwap_deviation_{n}": sdiv(c() - vwap, a),
-            f"cmf_{n}": sdiv(sum_n(F.col("_mfm") * v(), W(), n), sum_n("volume", W(), n)),
+            f"effort_result_{n}": sln(sdiv(v(), mean_n("volume", W(), n, least))) - sln(sdiv(h() - l(), F.col(f"atr_{n}"))),
+            f"vwap_deviation_{n}": sdiv(c() - vwap, mean_n(f"atr_{n}", W(), n, least)),
+            f"cmf_{n}": sdiv(sum_n(F.col("_mfm") * v(), W(), n, least), total),
             f"vol_price_divergence_{n}": F.signum(c() - F.lag("close", n).over(W())) * (2 * F.col(f"volume_rank_{n}") / 100 - 1),
         }
-    ).drop("_mv", "_mfm")
+    ).drop("_mfm")
 
 
 def calendar_columns(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -184,10 +192,13 @@ def calendar_columns(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def pullback(bars: DataFrame, n: int) -> DataFrame:
-    """Depth of the retreat from the n-bar extreme on the side of the 4n-bar mean, in mean true ranges; null without a mean."""
-    x = atr_mean(bars, n).withColumn("_m", mean_n("close", W(), 4 * n))
-    depth = F.when(c() > F.col("_m"), max_n("high", W(), n) - c()).when(c() <= F.col("_m"), c() - min_n("low", W(), n))
-    return x.withColumn(f"pullback_{n}", sdiv(depth, F.col(f"atr_mean_{n}"))).drop("_m")
+    """Depth of the retreat from the n-bar extreme on the side of the 4n-bar mean, in true ranges; below without a mean.
+    pullback_score_n keeps retreats of an up-trend by the 200-bar mean, 0 otherwise."""
+    x = wilder(bars, n).withColumn("_m", mean_n("close", W(), 4 * n))
+    depth = F.when(F.coalesce(c() > F.col("_m"), F.lit(False)), max_n("high", W(), n) - c()).otherwise(c() - min_n("low", W(), n))
+    x = x.withColumn(f"pullback_{n}", sdiv(depth, F.col(f"atr_{n}")))
+    up = F.when(F.coalesce(c() > mean_n("close", W(), 200), F.lit(False)), 1).otherwise(-1)
+    return x.withColumn(f"pullback_score_{n}", clip(up * F.col(f"pullback_{n}"), 0.0, float("inf"))).drop("_m")
 
 
 def trend_regime(bars: DataFrame, adx: str, efficiency_col: str, adx_level: float = 25.0, ma: int = 50) -> DataFrame:
@@ -201,20 +212,8 @@ def trend_regime(bars: DataFrame, adx: str, efficiency_col: str, adx_level: floa
 
 
 def ewm_by_symbol(bars: DataFrame, of: dict[str, tuple[str, float, int]], ts: str = "ts") -> DataFrame:
-    """More columns: {name: (column, alpha, start)}, exponential means by symbol in order of time.
-
-    One Arrow pass over a symbol's bars; a recursion cannot be split in time, but symbols go apart.
-    """
-    schema = schema_with(bars, **dict.fromkeys(of, "double"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable")
-        for name, (x, alpha, start) in of.items():
-            pdf[name] = ewm(pdf[x].to_numpy(float), alpha, start)
-        return pdf
-
-    out = bars.groupBy("symbol").applyInPandas(run, schema)
-    return out.withColumns({k: F.nanvl(F.col(k), F.lit(None).cast("double")) for k in of})
+    """More columns: {name: (column, alpha, start)}, exponential means by symbol in order of time (see ``recursive_means``)."""
+    return recursive_means(bars, of, ("symbol",), ts)
 
 
 def ema(bars: DataFrame, column: str, spans: list[int]) -> DataFrame:
@@ -228,9 +227,13 @@ def ewm_in_sql(bars: DataFrame, column: str, alpha: float, out: str, reach: int
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    x = ema(bars, "close", [fast, slow]).withColumn("macd", F.col(f"ema_{fast}") - F.col(f"ema_{slow}"))
-    x = ewm_by_symbol(x, {"macd_signal": ("macd", 2 / (signal + 1), 1)})
-    return x.withColumn("macd_diff", F.col("macd") - F.col("macd_signal"))
+    """Difference of two exponential means, its own mean and what is left, each also in true ranges; null until a mean has as many values as its span."""
+    x = ema(bars, "close", [fast, slow]).withColumn("_n", F.count("close").over(W().rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("macd", F.when(F.col("_n") >= slow, F.col(f"ema_{fast}") - F.col(f"ema_{slow}")))
+    x = ewm_by_symbol(x, {"macd_signal": ("macd", 2 / (signal + 1), 1)}).withColumn("macd_signal", F.when(F.col("_n") >= slow + signal - 1, F.col("macd_signal")))
+    x = wilder(x, slow).withColumn("macd_diff", F.col("macd") - F.col("macd_signal"))
+    unit = {f"{k}_atr": sdiv(F.col(k), F.col(f"atr_{slow}")) for k in ("macd", "macd_signal", "macd_diff")}
+    return x.withColumns(unit).withColumn("abs_macd_atr", F.abs("macd_atr")).drop("_n")
 
 
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
@@ -248,18 +251,20 @@ def atr_wilder(bars: DataFrame, n: int = 14) -> DataFrame:
     return x.withColumn(f"atr_{n}", F.coalesce(f"atr_{n}", F.lit(0.0))).drop("_tr")
 
 
-def adx(bars: DataFrame, n: int = 14) -> DataFrame:
-    """Wilder's directional indexes +DI and -DI and their average index."""
+def adx(bars: DataFrame, n: int = 14, slope: int = 5) -> DataFrame:
+    """Wilder's directional indexes +DI and -DI, their average index and its change over ``slope`` bars."""
     up, down = h() - F.lag("high").over(W()), F.lag("low").over(W()) - l()
     x = bars.withColumns({"_p": F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)), "_m": F.when(up.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0)), "_t": true_range()})
     x = x.withColumn("_t", F.when(F.lag("close").over(W()).isNotNull(), F.col("_t")))
     x = ewm_by_symbol(x, {"_sp": ("_p", 1 / n, n), "_sm": ("_m", 1 / n, n), "_st": ("_t", 1 / n, n)})
     x = x.withColumns({"adx_pos": 100 * sdiv(F.col("_sp"), F.col("_st")), "adx_neg": 100 * sdiv(F.col("_sm"), F.col("_st"))})
     x = x.withColumn("_dx", 100 * sdiv(F.abs(F.col("adx_pos") - F.col("adx_neg")), F.col("adx_pos") + F.col("adx_neg")))
-    return ewm_by_symbol(x, {"adx": ("_dx", 1 / n, n)}).drop("_p", "_m", "_t", "_sp", "_sm", "_st", "_dx")
+    x = ewm_by_symbol(x, {"adx": ("_dx", 1 / n, n)})
+    return x.withColumn("adx_slope", F.col("adx") - F.lag("adx", slope).over(W())).drop("_p", "_m", "_t", "_sp", "_sm", "_st", "_dx")
 
 
-def execution_sizes(bars: DataFrame, atr: str, pip: float) -> DataFrame:
-    """Stop, target and trailing distances in pips, clipped to 15-60, 15-150 and 8-40."""
-    pips = F.col(atr) / pip
-    return bars.withColumns({"sl_pips": clip(1.5 * pips, 15, 60), "tp_pips": clip(3 * pips, 15, 150), "trail_pips": clip(pips, 8, 40)})
+def true_range_units(bars: DataFrame, n: int = 14, pip: float = 0.0001, reach: int = 500) -> DataFrame:
+    """Wilder's mean true range in pips and in percent of the close, and its rank among the last ``reach`` bars (percent not above)."""
+    x = wilder(bars, n)
+    least = max(n, min(reach // 2, 50))
+    return x.withColumns({"atr_pips": F.col(f"atr_{n}") / pip, "atr_volatility_ratio": 100 * sdiv(F.col(f"atr_{n}"), c()), "volatility_percentile": rank_le(f"atr_{n}", W(), reach, least)})

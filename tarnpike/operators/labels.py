@@ -125,16 +125,30 @@ def lookahead_percentile(bars: DataFrame, horizon: int, n: int, q: float, least_
     return x.withColumn("lookahead", F.when(F.col("fwd_return").isNotNull() & F.col("_q").isNotNull(), hit.cast("int"))).drop("_q")
 
 
-def mean_reversion(bars: DataFrame, horizon: int, stop: float) -> DataFrame:
-    """At a touch of a Bollinger band: 1 if the middle is reached before the close moved ``stop`` band widths against (strictly); null elsewhere.
-    Needs the columns of ``bollinger``."""
-    half = (F.col("bb_upper") - F.col("bb_lower")) / 2
-    x = bars.withColumn("_w", F.collect_list(F.struct("high", "low")).over(after_n(W(), horizon)))
-    up, dn, m = F.col("high") >= F.col("bb_upper"), F.col("low") <= F.col("bb_lower"), F.col("bb_middle")
-    x = x.withColumn("_win", F.when(up, _first(F.col("_w"), lambda b: b["low"] <= m)).when(dn, _first(F.col("_w"), lambda b: b["high"] >= m)))
-    x = x.withColumn("_lose", F.when(up, _first(F.col("_w"), lambda b: b["high"] > c() + stop * half)).when(dn, _first(F.col("_w"), lambda b: b["low"] < c() - stop * half)))
-    won = (F.col("_win") > 0) & ((F.col("_lose") == 0) | (F.col("_win") < F.col("_lose")))
-    return x.withColumn("reversion", F.when(F.col("_win").isNotNull(), won.cast("int"))).drop("_w", "_win", "_lose")
+def mean_reversion(bars: DataFrame, horizon: int, stop: float, fast: float, fast_horizon: int, n: int = 20, k: float = 2.0) -> DataFrame:
+    """Labels of a return to the mean, at closes outside the band of the n bars before (mean and k sample deviations); null at all other bars and at a
+    symbol's last.
+
+    long_slow: 1 if, within ``horizon`` bars, a high reaches the mean before a low falls by more than ``stop``. long_fast: 1 if it also is and, within
+    ``fast_horizon`` bars, a rise of ``fast`` comes before a fall as large. short_slow and short_fast mirror them. reg: the return over ``horizon`` bars.
+    """
+    f = before_n(W(), n)
+    mean, sd = framed(F.avg("close"), c(), f, n), framed(F.stddev_samp("close"), c(), f, n)
+    x = bars.withColumns({"_m": mean, "_sd": sd, "_w": F.collect_list(F.struct("high", "low")).over(after_n(W(), max(horizon, fast_horizon)))})
+    m, slow_, fast_ = F.col("_m"), F.slice("_w", 1, horizon), F.slice("_w", 1, fast_horizon)
+    down, up = c() < m - k * F.col("_sd"), c() > m + k * F.col("_sd")
+    first = {
+        "_lw": _first(slow_, lambda b: b["high"] >= m), "_ll": _first(slow_, lambda b: b["low"] < c() - stop), "_fu": _first(fast_, lambda b: b["high"] - c() >= fast),
+        "_sw": _first(slow_, lambda b: b["low"] <= m), "_sl": _first(slow_, lambda b: b["high"] > c() + stop), "_fd": _first(fast_, lambda b: c() - b["low"] >= fast),
+    }
+    x = x.withColumns(first)
+    won = lambda a, b: ((F.col(a) > 0) & ((F.col(b) == 0) | (F.col(a) < F.col(b)))).cast("int")
+    seen = F.size("_w") > 0
+    x = x.withColumns({"long_slow": F.when(down & seen, won("_lw", "_ll")), "short_slow": F.when(up & seen, won("_sw", "_sl")), "long_fast": F.when(down & seen, won("_fu", "_fd")), "short_fast": F.when(up & seen, won("_fd", "_fu"))})
+    for side in ("long", "short"):
+        x = mask_fast(x, f"{side}_fast", f"{side}_slow")
+    reg = F.when(down | up, sdiv(F.lead("close", horizon).over(W()), c()) - 1)
+    return x.withColumn("reg", reg).drop("_m", "_sd", "_w", *first)
 
 
 def mask_fast(df: DataFrame, fast: str, slow: str) -> DataFrame:
@@ -142,11 +156,25 @@ def mask_fast(df: DataFrame, fast: str, slow: str) -> DataFrame:
     return df.withColumn(fast, F.when(F.col(slow) == 1, F.coalesce(fast, F.lit(0))).otherwise(0))
 
 
-def denoise(df: DataFrame, long: str, short: str, reach: int, level: float = 0.65, keys: tuple[str, ...] = ("symbol",), ts: str = "ts") -> DataFrame:
-    """A label goes where the opposite one holds on at least ``level`` of the bars around it; short ones see long ones already cleaned."""
-    w = ordered(*keys, by=ts).rowsBetween(-reach, reach)
-    x = df.withColumn("_s", F.avg(short).over(w)).withColumn(long, F.when(F.col("_s") >= level, 0).otherwise(F.col(long)))
-    return x.withColumn("_l", F.avg(long).over(w)).withColumn(short, F.when(F.col("_l") >= level, 0).otherwise(F.col(short))).drop("_s", "_l")
+def denoise(df: DataFrame, fast: int, slow: int, level: float = 0.65, trend: str | None = None, move: str | None = None, aggression: float = 0.7, keys: tuple[str, ...] = ("symbol",), ts: str = "ts") -> DataFrame:
+    """Labels of 1 become 0 where the opposite label holds on ``level`` or more of the known bars around (``fast`` or ``slow`` bars to either side,
+    that many known at least). Where ``trend`` is 1 and the mean of ``move`` around has the opposite sign, ``level`` times ``aggression`` is
+    enough. Long labels are cleaned first, and short ones see them cleaned. Needs long_fast, short_fast, long_slow, short_slow."""
+    order = ordered(*keys, by=ts)
+    around = lambda n: order.rowsBetween(-n, n)
+    half = max(fast, slow) // 2
+    against = {"long": F.lit(False), "short": F.lit(False)}
+    x = df
+    if trend and move:
+        full = max(fast, slow)  # a centred window of that many rows: one more before than after if it is even
+        x = x.withColumn("_side", F.signum(F.avg(move).over(order.rowsBetween(-half, full - half - 1))))
+        on = F.coalesce(F.col(trend) == 1, F.lit(False))
+        against = {"long": on & F.coalesce(F.col("_side") < 0, F.lit(False)), "short": on & F.coalesce(F.col("_side") > 0, F.lit(False))}
+    for label, other, n in (("long_fast", "short_fast", fast), ("short_fast", "long_fast", fast), ("long_slow", "short_slow", slow), ("short_slow", "long_slow", slow)):
+        x = x.withColumn("_o", framed(F.avg(other), F.col(other), around(n), n))
+        gone = (F.col("_o") >= level) | (against[label.split("_")[0]] & (F.col("_o") >= level * aggression))
+        x = x.withColumn(label, F.when((F.col(label) == 1) & F.coalesce(gone, F.lit(False)), 0).otherwise(F.col(label)))
+    return x.drop("_o", "_side")
 
 
 def rule_regimes(bars: DataFrame, adx: str, eff: str, volatility: str, trend_level: float = 25.0, ma: int = 50, lo: float = 33.0, hi: float = 67.0) -> DataFrame:
@@ -193,6 +221,48 @@ def opportunity_windows(bars: DataFrame, trigger: str, still: str, most: int = 4
     return bars.groupBy("symbol").applyInPandas(run, schema)
 
 
+def _timed(bars: DataFrame, setup: str, window: str) -> tuple[DataFrame, Column]:
+    """Rows with ``_rn``, and whether all of a window up to a row are set up."""
+    so_far = Window.partitionBy("symbol", window).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return bars.withColumn("_rn", F.row_number().over(W())), F.min(F.coalesce(F.col(setup), F.lit(0))).over(so_far) == 1
+
+
+def _move_ahead(horizon: int, side: int) -> Column:
+    f = after_n(W(), horizon)
+    return F.max("high").over(f) - c() if side > 0 else c() - F.min("low").over(f)
+
+
+def first_higher_low(bars: DataFrame, setup: str, window: str, trend: str, least: float, horizon: int, most_body: float, side: int = 1) -> DataFrame:
+    """timing: 1 at a window's first bar, after a close below the one before, that closes above the one before and above its open, with a body of
+    ``most_body`` at most, whose largest move in ``horizon`` bars is ``least`` or more. A window's search ends at that bar, where ``setup`` is
+    not 1, and at such a bar on the wrong side of ``trend``. Bars without a window have 0."""
+    x, on = _timed(bars, setup, window)
+    prev = F.lag("close").over(W())
+    ahead = Window.partitionBy("symbol", window).orderBy("ts")
+    x = x.withColumns({"_on": on, "_fall": (c() < prev).cast("int"), "_up": c() > prev, "_far": F.coalesce(_move_ahead(horizon, side) >= least, F.lit(False))})
+    fell = F.max(F.when(F.col("_on"), F.col("_fall"))).over(ahead.rowsBetween(Window.unboundedPreceding, -1)) == 1
+    lost = F.coalesce(c() < F.col(trend) if side > 0 else c() > F.col(trend), F.lit(False))
+    candidate = F.col("_on") & fell & F.col("_up") & (c() > F.col("open")) & (side * (c() - F.col("open")) <= most_body)
+    x = x.withColumn("_lost", lost).withColumn("_ends", F.coalesce(candidate, F.lit(False)) & (F.col("_lost") | F.col("_far")) & F.col(window).isNotNull())
+    first = F.min(F.when(F.col("_ends"), F.col("_rn"))).over(Window.partitionBy("symbol", window))
+    return x.withColumn("timing", F.coalesce(F.col("_ends") & ~F.col("_lost") & (F.col("_rn") == first), F.lit(False)).cast("int")).drop("_rn", "_on", "_fall", "_up", "_far", "_lost", "_ends")
+
+
+def rebounds(bars: DataFrame, setup: str, window: str, trend: str, atr: str, strength: str, least: float, horizon: int, most_body: float, near: float = 2.0, body: float = 0.3, level: float = 40.0, gap: int = 4, side: int = 1) -> DataFrame:
+    """timing: 1 at a window's first bar, and at the next one ``gap`` bars later or more, that is at most ``near`` true ranges beyond ``trend``, has a body
+    of ``body`` true ranges or more (and ``most_body`` at most), ``strength`` above ``level``, and a move ahead of ``least``; setups as in ``first_higher_low``."""
+    x, on = _timed(bars, setup, window)
+    away, long = side * (c() - F.col(trend)), side * (c() - F.col("open"))
+    a = F.col(atr) + 1e-10
+    good = on & (away > 0) & (away / a <= near) & (F.col(strength) > level) & (long > 0) & (long / a >= body) & (long <= most_body) & (_move_ahead(horizon, side) >= least)
+    x = x.withColumn("_good", F.coalesce(good, F.lit(False)) & F.col(window).isNotNull())
+    whole = Window.partitionBy("symbol", window)
+    x = x.withColumn("_first", F.min(F.when(F.col("_good"), F.col("_rn"))).over(whole))
+    x = x.withColumn("_next", F.min(F.when(F.col("_good") & (F.col("_rn") >= F.col("_first") + gap), F.col("_rn"))).over(whole))
+    hit = F.col("_good") & ((F.col("_rn") == F.col("_first")) | (F.col("_rn") == F.col("_next")))
+    return x.withColumn("timing", F.coalesce(hit, F.lit(False)).cast("int")).drop("_rn", "_good", "_first", "_next")
+
+
 def label_atr(bars: DataFrame, n: int) -> DataFrame:
     """Plain mean of the true ranges of the n bars before."""
     return bars.withColumn("_tr", true_range()).withColumn("label_atr", framed(F.avg("_tr"), F.col("_tr"), before_n(W(), n), n)).drop("_tr")

@@ -5,32 +5,85 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnpike.functions.safe import after_n, clip, correlation, framed, last_n, mean_n, ordered, rank_strict, sdiv, zscore_n
+from tarnpike.functions.safe import after_n, before_n, clip, correlation, event, framed, last_n, max_n, mean_n, min_n, ordered, rank_avg, rank_strict, sdiv, sln, zscore_n
 from tarnpike.operators.align import asof
-from tarnpike.operators.indicators import W, c
+from tarnpike.operators.indicators import W, c, wilder
 
 # calendar -----------------------------------------------------------------------------------------------------------
 
 
+def clocks_of_days(days: DataFrame, events: DataFrame, names: list[str]) -> DataFrame:
+    """(day, clock, until, since): for each day and each clock named, of ``events`` (clock, day), calendar days until its next and since its last event
+    day; both 0 on it, null outside the calendar. Tables of days: one row for each day and clock is all that is ordered."""
+    e = events.select("clock", F.to_date("day").alias("day")).where("day is not null").distinct()
+    grid = days.select(F.to_date("day").alias("day")).distinct().withColumn("clock", F.explode(F.array(*map(F.lit, names))))
+    x = asof(grid, e.withColumn("_n", F.col("day")), ["_n"], ["clock"], ts="day", forward=True)
+    x = asof(x, e.withColumn("_l", F.col("day")), ["_l"], ["clock"], ts="day")
+    return x.select("day", "clock", F.datediff("_n", "day").cast("double").alias("until"), F.datediff("day", "_l").cast("double").alias("since"))
+
+
+def cycle_place(until: Column, since: Column) -> Column:
+    """Place in the time between two events, 0 just after one and 1 on its day."""
+    return F.when(until.isNotNull() & since.isNotNull(), F.when(since + until == 0, 1.0).otherwise(since / F.nullif(since + until, F.lit(0.0))))
+
+
 def event_clock(bars: DataFrame, events: DataFrame, prefix: str, window: int = 2) -> DataFrame:
     """Calendar days until the next and since the last event (both 0 on its day; null outside the calendar), proximity 1 / (1 + until),
-    recency 1 / (1 + since), place in the cycle since / (since + until) (1 on the day) and flags for ``window`` days before and after.
+    recency 1 / (1 + since), place in the cycle (see ``cycle_place``) and flags for ``window`` days before and after.
 
-    ``events`` has one column, ``day`` (timestamp_ntz at midnight), for one kind of event.
+    ``events`` has one column, ``day``, for one kind of event. Only days are put in order, never bars.
     """
-    e = events.select("day").where("day is not null").distinct().withColumn("_k", F.lit(1))
-    x = bars.withColumn("_k", F.lit(1)).withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
-    x = asof(x, e.withColumn("_n", F.col("day")), ["_n"], ["_k"], ts="day", forward=True)
-    x = asof(x, e.withColumn("_l", F.col("day")), ["_l"], ["_k"], ts="day")
-    until, since = F.datediff("_n", "day").cast("double"), F.datediff("day", "_l").cast("double")
-    x = x.withColumns({f"{prefix}_until": until, f"{prefix}_since": since})
+    x = bars.withColumn("_day", F.to_date("ts"))
+    clock = clocks_of_days(x.select(F.col("_day").alias("day")), events.select(F.lit(prefix).alias("clock"), "day"), [prefix])
+    x = x.join(clock.select(F.col("day").alias("_day"), F.col("until").alias(f"{prefix}_until"), F.col("since").alias(f"{prefix}_since")), "_day", "left")
     u, s = F.col(f"{prefix}_until"), F.col(f"{prefix}_since")
     return x.withColumns(
         {
-            f"{prefix}_proximity": 1 / (1 + u), f"{prefix}_recency": 1 / (1 + s), f"{prefix}_cycle": F.when(u.isNotNull() & s.isNotNull(), F.when(s == 0, 1.0).otherwise(s / F.nullif(s + u, F.lit(0.0)))),
+            f"{prefix}_proximity": 1 / (1 + u), f"{prefix}_recency": 1 / (1 + s), f"{prefix}_cycle": cycle_place(u, s),
             f"{prefix}_pre": ((u >= 1) & (u <= window)).cast("int"), f"{prefix}_post": ((s >= 1) & (s <= window)).cast("int"),
         }
-    ).drop("_k", "day", "_n", "_l")
+    ).drop("_day")
+
+
+def calendar_direction(bars: DataFrame, events: DataFrame, names: list[str], k: int, squeeze: tuple[int, int], n: int, window: int = 3, low_rank: float = 20.0) -> DataFrame:
+    """Scores around scheduled events of the clocks named (``events`` has clock and ts, the published time): by clock x
+
+    x_prox_intraday: 1 / (1 + days to the next event's time); x_pre_ramp, x_post_ramp: proximity 1 to ``window`` days before, recency as many after, else 0;
+    x_pre_momo, x_day_momo, x_post_cont: the k-bar move in true ranges before, on and after event days; x_pre_squeeze: it where the range of the bars in
+    ``squeeze`` (bars, ranks) is narrow; x_post_event_cont: after it the event day's own log return over its deviation in n days. Of the first two clocks a, b:
+    a_b_convergence and a_b_cycle_diff, proximity and place in the cycle of one less the other. Prices are those of the bars before.
+    """
+    w, reach = squeeze
+    x = wilder(bars, k).withColumn("_day", F.to_date("ts"))
+    x = x.withColumn("_m", sdiv(c() - F.lag("close", k).over(W()), F.col(f"atr_{k}"))).withColumn("_g", max_n("high", W(), w) - min_n("low", W(), w)).withColumn("_rank", rank_avg("_g", W(), reach, max(2, reach // 2)))
+    x = x.withColumns({"_m": F.lag("_m").over(W()), "_rank": F.lag("_rank").over(W())})
+    day = bars.groupBy("symbol", F.to_date("ts").alias("_day")).agg(F.min_by("open", "ts").alias("_o"), F.max_by("close", "ts").alias("_c"))
+    day = day.withColumn("_r", sln(sdiv(F.col("_c"), F.col("_o"))))
+    past = before_n(ordered("symbol", by="_day"), n)
+    day = day.withColumn("_z", sdiv(F.col("_r"), framed(F.stddev_samp("_r"), F.col("_r"), past, max(5, n // 2)))).select("symbol", "_day", "_z")
+    clocks = clocks_of_days(x.select(F.col("_day").alias("day")), events.select("clock", F.col("ts").alias("day")), names)
+    wide = clocks.groupBy("day").agg(*(F.max(F.when(F.col("clock") == e, F.col(v))).alias(f"_{e}_{v}") for e in names for v in ("until", "since")))
+    x = x.join(wide.withColumnRenamed("day", "_day"), "_day", "left")
+    at = asof(x.select("ts").distinct().withColumn("clock", F.explode(F.array(*map(F.lit, names)))), events.select("clock", "ts", F.col("ts").alias("_at")), ["_at"], ["clock"], forward=True)
+    hours = at.groupBy("ts").agg(*(F.max(F.when(F.col("clock") == e, (F.unix_seconds(F.col("_at").cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))) / 3600.0)).alias(f"_{e}_hours") for e in names))
+    x = x.join(hours, "ts", "left")
+    for e in names:
+        u, s, m = F.col(f"_{e}_until"), F.col(f"_{e}_since"), F.col("_m")
+        pre, post = (u >= 1) & (u <= window), (s >= 1) & (s <= window)
+        gone = day.select("symbol", F.col("_day").alias("_then"), "_z")
+        x = x.withColumn("_then", F.date_sub("_day", s.cast("int"))).join(gone, ["symbol", "_then"], "left")
+        x = x.withColumns(
+            {
+                f"{e}_prox_intraday": 1 / (1 + F.col(f"_{e}_hours") / 24.0), f"{e}_pre_ramp": event(1 / (1 + u), pre), f"{e}_post_ramp": event(1 / (1 + s), post),
+                f"{e}_pre_momo": event(m, pre), f"{e}_day_momo": event(m, u == 0), f"{e}_post_cont": event(m, post),
+                f"{e}_pre_squeeze": F.when(pre.isNotNull() & F.col("_rank").isNotNull(), event(m, pre & (F.col("_rank") <= low_rank))), f"{e}_post_event_cont": event(F.col("_z"), post),
+            }
+        ).drop("_then", "_z")
+    if len(names) > 1:
+        a, b = names[:2]
+        p, q = (cycle_place(F.col(f"_{e}_until"), F.col(f"_{e}_since")) for e in (a, b))
+        x = x.withColumns({f"{a}_{b}_convergence": 1 / (1 + F.col(f"_{a}_until")) - 1 / (1 + F.col(f"_{b}_until")), f"{a}_{b}_cycle_diff": p - q})
+    return x.drop("_day", "_m", "_g", "_rank", *(f"_{e}_{v}" for e in names for v in ("until", "since", "hours")))
 
 
 def day_counts(events: DataFrame, days: DataFrame, n: int) -> DataFrame:
@@ -202,16 +255,21 @@ def stationarity_verdict(stats: DataFrame, df_level: float = -2.86, kpss_level:
 
 
 def health_checks(summary: DataFrame) -> DataFrame:
-    """(check, status) of one row with trades, win_rate (percent), total_pips and stop_share (percent)."""
-    t, w, p, s = (F.col(k) for k in ("trades", "win_rate", "total_pips", "stop_share"))
+    """(check, status) of one row with cv_accuracy (share), trades, win_rate (percent), total_pnl, stop_share (percent), buy_pnl, sell_pnl,
+    features and features_selected; checks of unknown values are left out."""
+    a, t, w, p, s, b, q = (F.col(k) for k in ("cv_accuracy", "trades", "win_rate", "total_pnl", "stop_share", "buy_pnl", "sell_pnl"))
+    cut = (1 - F.col("features_selected") / F.nullif(F.col("features"), F.lit(0))) * 100
     status = {
-        "trades": F.when(t >= 30, "PASS").when(t >= 15, "WARN").otherwise("FAIL"),
-        "win_rate": F.when(w.between(50, 75), "PASS").when(w > 80, "WARN").otherwise("FAIL"),
-        "pips": F.when(p > 0, "PASS").otherwise("FAIL"),
-        "stops": F.when(s <= 30, "PASS").when(s <= 50, "WARN").otherwise("FAIL"),
+        "cv_accuracy": F.when(a > 0.55, "PASS").when(a > 0.52, "WARN").when(a.isNotNull(), "FAIL"),
+        "win_rate": F.when(w.between(50, 75), "PASS").when(w > 80, "WARN").when(w.isNotNull(), "FAIL"),
+        "total_pnl": F.when(p > 0, "PASS").when(p.isNotNull(), "FAIL"),
+        "trades": F.when(t >= 30, "PASS").when(t >= 15, "WARN").when(t.isNotNull(), "FAIL"),
+        "stops": F.when(s < 30, "PASS").when(s < 50, "WARN").when(s.isNotNull(), "FAIL"),
+        "balance": F.when((b > 0) & (q > 0), "PASS").when((b > 0) | (q > 0), "WARN").when(b.isNotNull() | q.isNotNull(), "FAIL"),
+        "selection": F.when(cut < 50, "PASS").when(cut.isNotNull(), "WARN"),
     }
     rows = F.array(*(F.struct(F.lit(k).alias("check"), x.alias("status")) for k, x in status.items()))
-    return summary.select(F.explode(rows).alias("r")).select("r.check", "r.status")
+    return summary.select(F.explode(rows).alias("r")).select("r.check", "r.status").where("status is not null")
 
 
 def paired_delta(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -1,11 +1,9 @@
-"""Trading rules: costs, sizing, a sequential simulator run in parallel over arms, and statistics of trades and equity."""
+"""Trading: costs, sizing, and statistics of trades and equity."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,106 +38,6 @@ def trade_costs(trades: DataFrame, spread_pips: Column, slip_pips: float, commis
     return x.withColumns({"cost_pips": F.col("pips_gross") - F.col("pips"), "commission": 2 * commission * F.col("notional"), "overnight": night * F.col("nights") * F.col("notional")})
 
 
-# the simulator ------------------------------------------------------------------------------------------------------
-
-TRADE = "arm string, symbol string, open_time timestamp, action string, open_price double, close_time timestamp, close_price double, exit_reason string, duration_bars long, pips double, highest_pips double, lowest_pips double"
-
-
-@dataclass(frozen=True)
-class Rules:
-    """Levels in pips, thresholds of the four scores, and the longest stay in bars. Rules that are None do not apply."""
-
-    stop: float = 35.0
-    target: float = 70.0
-    trail: float = 25.0
-    breakeven: float = 30.0
-    slow: float = 0.5
-    fast: float = 0.5
-    most_bars: int = 48
-    pip: float = 1e-4
-    weekend: int | None = None  #: hour on Friday from which a profit is taken
-    harvest: float | None = None  #: profit taken in bars of a range
-    fast_reversal: float | None = None  #: fast score against the position
-    chandelier: float | None = None  #: retreat from the best price in true ranges, in bars of a trend; there the target does not count
-    retest: float | None = None  #: profit after which a return to the entry price closes
-
-
-def _exit(b, t: dict, r: Rules) -> tuple[str, float] | None:
-    """Why and at what price a bar closes a position. Updates the position's extremes once the first rules have not."""
-    s, entry = t["side"], t["price"]
-    gain = lambda p: s * (p - entry) / r.pip
-    worst, best = (b.low, b.high) if s > 0 else (b.high, b.low)
-    against_slow, own_slow, against_fast = (b.short_slow, b.long_slow, b.short_fast) if s > 0 else (b.long_slow, b.short_slow, b.long_fast)
-    if r.weekend is not None and b.ts.weekday() == 4 and b.ts.hour >= r.weekend and gain(b.close) > 0:
-        return "weekend", b.close
-    if r.harvest is not None and b.regime == 0 and gain(b.close) >= r.harvest:
-        return "harvest", b.close
-    if s * (worst - t["stop"]) <= 0:
-        return "stop", t["stop"]
-    if t["bars"] >= r.most_bars:
-        return "time", b.close
-    if r.fast_reversal is not None and against_fast >= r.fast_reversal:
-        return "fast_reversal", b.close
-    if against_slow >= r.slow and against_slow > own_slow:
-        return "reversal", b.close
-    was = t["high"]
-    t["high"], t["low"] = max(was, gain(best)), min(t["low"], gain(worst))
-    trending = r.chandelier is not None and b.regime != 0 and b.atr == b.atr
-    if not trending and gain(best) >= r.target:
-        return "target", entry + s * r.target * r.pip
-    if trending and t["high"] * r.pip - s * (b.close - entry) >= r.chandelier * b.atr:
-        return "chandelier", b.close
-    if r.retest is not None and was >= r.retest and gain(worst) <= 0:
-        return "retest", entry
-    if t["high"] >= r.trail and t["high"] - gain(b.close) >= r.trail:
-        return "trail", b.close
-    return None
-
-
-def _simulate(bars: pd.DataFrame, r: Rules) -> list[tuple]:
-    """One arm, one symbol. Exits are tested in the order of ``_exit``; a stop that moves to the entry price counts from the next bar; no entry in
-    the bar of an exit, nor for the rest of a day with a stop-out; what is open at the end closes there."""
-    out, t, barred = [], None, None
-    row = lambda t, b, why, price: (t["ts"], "BUY" if t["side"] > 0 else "SELL", t["price"], b.ts, price, why, t["bars"], t["side"] * (price - t["price"]) / r.pip, t["high"], t["low"])
-    for b in bars.itertuples(index=False):
-        if t:
-            t["bars"] += 1
-            closed = _exit(b, t, r)
-            if closed:
-                out.append(row(t, b, *closed))
-                barred = b.ts.date() if closed[0] == "stop" else barred
-                t = None
-            elif t["high"] >= r.breakeven:
-                t["stop"] = max(t["stop"], t["price"]) if t["side"] > 0 else min(t["stop"], t["price"])
-            continue
-        if barred == b.ts.date():
-            continue
-        s = 1 if b.long_slow > b.short_slow else -1
-        slow, fast = (b.long_slow, b.long_fast) if s > 0 else (b.short_slow, b.short_fast)
-        if fast > r.fast and slow >= r.slow:
-            t = {"side": s, "price": b.close, "ts": b.ts, "bars": 0, "stop": b.close - s * r.stop * r.pip, "high": 0.0, "low": 0.0}
-    if t:
-        out.append(row(t, b, "end_of_data", b.close))
-    return out
-
-
-def simulate(bars: DataFrame, arms: dict[str, Rules]) -> DataFrame:
-    """Trades of every arm on bars with scores long_slow, short_slow, long_fast, short_fast (unknown scores count as 0) and, where rules need
-    them, ``regime`` (0 is a range) and ``atr``.
-
-    A position depends on all bars before it, so a symbol's bars are one sequence; arms and symbols run apart. Rules travel with the code, not with rows.
-    """
-    scores = ["long_slow", "short_slow", "long_fast", "short_fast"]
-    x = bars.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "high", "low", "close", *(F.coalesce(s, F.lit(0.0)).alias(s) for s in scores), (F.coalesce("regime", F.lit(0)) if "regime" in bars.columns else F.lit(0)).alias("regime"), (F.col("atr") if "atr" in bars.columns else F.lit(None)).cast("double").alias("atr"))
-    spread = x.withColumn("arm", F.explode(F.array(*(F.lit(a) for a in arms))))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _simulate(pdf.sort_values("ts", kind="stable"), arms[key[0]])
-        return pd.DataFrame([(key[0], key[1], *t) for t in rows], columns=[f.split(" ")[0] for f in TRADE.split(", ")])
-
-    return spread.groupBy("arm", "symbol").applyInPandas(run, TRADE)
-
-
 # statistics of trades -----------------------------------------------------------------------------------------------
 
 
@@ -169,7 +67,7 @@ def daily_equity(trades: DataFrame, day: str, pnl: str, capital: float) -> DataF
 def equity_metrics(equity: DataFrame, year: int = 252) -> DataFrame:
     """Sharpe and Sortino ratios by year, largest drawdown and total return."""
     down = F.sqrt(F.avg(F.pow(F.least(F.col("ret"), F.lit(0.0)), F.lit(2))))
-    return equity.agg(F.count("*").alias("days"), (sdiv(F.avg("ret"), F.stddev_samp("ret")) * float(np.sqrt(year))).alias("sharpe"), (sdiv(F.avg("ret"), down) * float(np.sqrt(year))).alias("sortino"), F.min("drawdown").alias("max_drawdown"), (F.max_by("equity", "day") / F.min_by(F.col("equity") - F.col("pnl"), "day") - 1).alias("total_return"))
+    return equity.agg(F.count("*").alias("days"), (sdiv(F.avg("ret"), F.stddev_samp("ret")) * math.sqrt(year)).alias("sharpe"), (sdiv(F.avg("ret"), down) * math.sqrt(year)).alias("sortino"), F.min("drawdown").alias("max_drawdown"), (F.max_by("equity", "day") / F.min_by(F.col("equity") - F.col("pnl"), "day") - 1).alias("total_return"))
 
 
 def operating_point(arms: DataFrame, keys: list[str], least_trades: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnpike.functions.safe import rounded
 from tarnpike.operators import families, indicators, sequences
 from tarnpike.plans.market import bars, read
-from tarnpike.plans.sql import BARS, BY, DAILY, TRUE, div, gated, lag, mean, over, prev, r, with_atr
+from tarnpike.plans.sql import BARS, BY, DAILY, div, gated, lag, mean, over, prev, ranked, with_atr, with_wilder
 from tarnpike.sources import bars as src
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -36,12 +36,16 @@ def r5(x: str, name: str) -> str:
     return f"round(({x})::DOUBLE, 5) + 0.0 AS {name}"
 
 
-@query(f"""WITH {with_atr(20)}, x AS (SELECT *, {mean('close', 8)} AS f, {mean('close', 20)} AS s FROM a)
-    SELECT symbol, ts, {r5('100 * (' + div('close', 's') + ' - 1)', 'price_vs_sma_20')}, {r5(div('close - s', 'atr'), 'signed_price_vs_sma_20')}, {r5(div('f - s', 'atr'), 'sma_8_over_sma_20')}, {r5(div(f"s - {lag('s', 5)}", 'atr'), 'sma_slope_20')}, {r5(div(f"ln(close / {lag('close', 5)}) * close", 'atr'), 'log_return_atr_5')},
-    {r5(div('high - low', 'atr'), 'hl_range_atr')}, {r5(div('close - open', 'atr'), 'oc_range_atr')}, {r5(gated('avg((close > open)::INT)', 'close', over(5), 5), 'momentum_consistency_5')} FROM x""")
+def r7(x: str, name: str) -> str:
+    return f"round(({x})::DOUBLE, 7) + 0.0 AS {name}"
+
+
+@query(f"""WITH RECURSIVE {with_wilder(3, 14, 20)}, x AS (SELECT *, {mean('close', 8)} AS f, {mean('close', 20)} AS s FROM a)
+    SELECT symbol, ts, {r5('100 * (' + div('close', 's') + ' - 1)', 'price_vs_sma_20')}, {r5('abs(100 * (' + div('close', 's') + ' - 1))', 'abs_price_vs_sma_20')}, {r5(div('close - s', 'atr_20'), 'signed_price_vs_sma_20')}, {r5(div('f - s', 'atr_20'), 'sma_8_over_sma_20')}, {r5(div(f"s - {lag('s', 5)}", 'atr_20'), 'sma_slope_20')}, {r5(div(f"ln(close / {lag('close', 5)}) * close", 'atr_14'), 'log_return_atr_5')},
+    {r5(div('high - low', 'atr_14'), 'hl_range_atr')}, {r5(div('close - open', 'atr_14'), 'oc_range_atr')}, {r5(div(f"close - {lag('close', 3)}", 'atr_3'), 'return_3_atr')}, {r5(gated('avg((close > open)::INT)', 'close', over(5), 5), 'momentum_consistency_5')} FROM x""")
 def average_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = families.average_features(bars(spark, sf_dir), 8, 20)
-    return shown(x, "price_vs_sma_20", "signed_price_vs_sma_20", "sma_8_over_sma_20", "sma_slope_20", "log_return_atr_5", "hl_range_atr", "oc_range_atr", "momentum_consistency_5", digits=5)
+    return shown(x, "price_vs_sma_20", "abs_price_vs_sma_20", "signed_price_vs_sma_20", "sma_8_over_sma_20", "sma_slope_20", "log_return_atr_5", "hl_range_atr", "oc_range_atr", "return_3_atr", "momentum_consistency_5", digits=5)
 
 
 @query(f"""WITH {BARS}, x AS (SELECT *, (close > {mean('close', 24)})::INT AS side, row_number() OVER ({BY}) AS rn FROM bars), y AS (SELECT *, CASE WHEN side IS NOT DISTINCT FROM {lag('side')} THEN 0 ELSE 1 END AS n FROM x), z AS (SELECT *, sum(n) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g, CASE WHEN count(close) OVER {over(12)} >= 12 AND var_pop(close) OVER {over(12)} > 0 THEN corr(close, rn) OVER {over(12)} END AS c FROM y)
@@ -50,11 +54,25 @@ def bars_since_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(families.bars_since_flip(bars(spark, sf_dir), 24), "bars_since_flip", "slope_efficiency", digits=5)
 
 
-@query(f"""WITH {TRUE}, a AS (SELECT *, {mean('tr', 6)} AS f, {mean('tr', 24)} AS a, high - {lag('high')} AS dh, sign(close - open) AS sg FROM t), b AS (SELECT *, list(dh) OVER {over(24)} AS v, count(*) OVER {over(24)} AS n, abs(sum(sg) OVER {over(4)}) AS same, close - {lag('close', 4)} AS mv, sign(close - {lag('close', 6)}) AS dir FROM a),
-    c AS (SELECT *, CASE WHEN dh IS NOT NULL AND len(list_filter(v, lambda q: q IS NOT NULL)) >= 12 THEN 100.0 * len(list_filter(v, lambda q: q <= dh)) / n END AS rk, f / nullif(a, 0) - 1 AS ra FROM b)
-    SELECT symbol, ts, {r5(ev('dh / nullif(a, 0)', 'rk >= 80 AND close > open'), 'hh_thrust_24')}, {r5(ev('mv / nullif(a, 0)', 'same >= 3 AND abs(mv) >= a'), 'micro_burst_4_24')}, {r5('ra', 'atr_ratio_6_24')}, {r5(ev('ra * dir', 'abs(ra) >= 0.25'), 'volshift_bias_6_24')} FROM c""")
+_BODIES = f"CASE WHEN count(close - open) OVER {over(4)} >= 4 THEN sum((close > open)::INT) OVER {over(4)} END AS ups, CASE WHEN count(close - open) OVER {over(4)} >= 4 THEN sum((close < open)::INT) OVER {over(4)} END AS downs"
+
+
+@query(f"""WITH RECURSIVE {with_wilder(6, 24)}, x AS (SELECT *, high - {lag('high')} AS dh, {lag('low')} - low AS dl, {_BODIES}, {gated('sum(close - open)', 'close', over(4), 4)} / nullif(atr_24, 0) AS burst, atr_6 / nullif(atr_24, 0) - 1 AS ra, {gated('regr_slope(close, rn)', 'close', over(24), 24)} AS slope FROM a),
+    y AS (SELECT *, list(dh) OVER {over(24)} AS dh_list, list(dl) OVER {over(24)} AS dl_list FROM x), z AS (SELECT *, {ranked('dh', 12)} AS hr, {ranked('dl', 12)} AS lr FROM y)
+    SELECT symbol, ts, round(CASE WHEN hr IS NULL OR lr IS NULL OR nullif(atr_24, 0) IS NULL THEN NULL WHEN lr >= 80 AND close < open THEN -dl / atr_24 WHEN hr >= 80 AND close > open THEN dh / atr_24 ELSE 0 END, 5) + 0.0 AS hh_thrust_24,
+    {r5(ev('burst', '(ups >= 3 OR downs >= 3) AND abs(burst) >= 1'), 'micro_burst_4_24')}, {r5('ra', 'atr_ratio_6_24')}, {r5(ev('ra * sign(slope)', 'ra >= 0.25'), 'volshift_bias_6_24')} FROM z""")
 def burst_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(families.burst_features(bars(spark, sf_dir), 4, 6, 24), "hh_thrust_24", "micro_burst_4_24", "atr_ratio_6_24", "volshift_bias_6_24", digits=5)
+    x = sequences.volatility_shift(sequences.bursts(sequences.thrusts(bars(spark, sf_dir), 24), 4, 24), 6, 24)
+    return shown(x, "hh_thrust_24", "micro_burst_4_24", "atr_ratio_6_24", "volshift_bias_6_24", digits=5)
+
+
+@query(f"""WITH RECURSIVE {with_wilder(14)}, d AS (SELECT ts::DATE AS day, count_if(value > 300) AS n FROM events GROUP BY 1), s AS (SELECT *, 2 * (close - mid) AS sp, {gated('max(high)', 'high', over(6), 6)} - {gated('min(low)', 'low', over(6), 6)} AS g FROM a),
+    x AS (SELECT *, {div('sp - ' + mean('sp', 40), gated('stddev_samp(sp)', 'sp', over(40), 40))} AS z, list(g) OVER {over(40)} AS g_list FROM s), y AS (SELECT *, {ranked('g', 20)} AS k FROM x)
+    SELECT y.symbol, y.ts, {r5(ev('sign(close - open) * z', 'k <= 20 AND z >= 1'), 'compression_spread_6_40')}, {r5(ev('sign(close - open) * (high - low) / nullif(atr, 0)', 'n >= 8'), 'news_impulse_14')} FROM y JOIN d ON d.day = y.ts::DATE""")
+def spread_and_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = read(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count_if(F.col("value") > 300).alias("events"))
+    x = sequences.news_impulse(sequences.compression_spread(bars(spark, sf_dir), 6, 40), counts, 14, 8)
+    return shown(x, "compression_spread_6_40", "news_impulse_14", digits=5)
 
 
 @query(f"""WITH {BARS}, x AS (SELECT *, ln(close / {lag('close')}) AS rt, ((least(open, close) - low) - (high - greatest(open, close))) / nullif(high - low, 0) AS w FROM bars), y AS (SELECT *, {gated('stddev_samp(rt)', 'rt', over(20), 20)} AS s FROM x), z AS (SELECT *, {lag('s')} AS p FROM y), q AS (SELECT *, CASE WHEN rt IS NOT NULL AND p IS NOT NULL THEN CASE WHEN rt > 1.5 * p THEN 1.0 WHEN rt < -1.5 * p THEN -1.0 ELSE 0 END END AS j FROM z)
@@ -70,14 +88,20 @@ def moment_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(families.moment_changes(x, "atr_mean_14", 3, 30), "atr_mean_14_chg_3", "atr_mean_14_z_30", "atr_mean_14_pct_30", digits=5)
 
 
-@query(f"""WITH {with_atr(14)}, x AS (SELECT *, (close - {lag('close', 3)}) / nullif(atr, 0) AS m, hour(ts) AS ln, hour(ts - INTERVAL 5 HOURS) AS ny FROM a)
-    SELECT symbol, ts, {r5('greatest(0, 1 - abs(ln * 60 - 960) / 120.0)', 'fix_proximity')}, {r5('((isodow(ts) - 1) * 1440 + hour(ts) * 60) / 10080.0', 'week_pos')}, {r5('(day(ts) - 1) / greatest(day(last_day(ts)) - 1, 1)', 'month_pos')}, {r5(ev('m', 'ny BETWEEN 9 AND 10'), 'ny_open_momo_3')}, {r5(ev('-m', 'isodow(ts) = 5 AND hour(ts) >= 15'), 'friday_unwind_3')}, {r5(ev('m', 'isodow(ts) = 5 AND day(ts) <= 7'), 'first_friday_momo_3')} FROM x""")
+_TURN = """(SELECT day, CASE WHEN isodow(day) > 5 THEN 0 WHEN down <= {n} THEN -down WHEN up <= {n} THEN up ELSE 0 END::INT AS tom_pos FROM (SELECT day, sum((isodow(day) <= 5)::INT) OVER (PARTITION BY date_trunc('month', day) ORDER BY day) AS up,
+    sum((isodow(day) <= 5)::INT) OVER (PARTITION BY date_trunc('month', day) ORDER BY day DESC) AS down FROM (SELECT unnest(range({a}, {b}, INTERVAL 1 DAY)) AS day)))"""
+
+
+@query(f"""WITH RECURSIVE {with_wilder(3)}, span AS (SELECT date_trunc('month', min(ts)) AS first, date_trunc('month', max(ts)) + INTERVAL 1 MONTH AS last FROM bars), turn AS {_TURN.format(n=2, a='(SELECT first FROM span)', b='(SELECT last FROM span)')},
+    m AS (SELECT *, (close - {lag('close', 3)}) / nullif(atr, 0) AS mv FROM a), x AS (SELECT m.*, lag(mv) OVER ({BY}) AS m1, hour(ts) AS ln, hour(ts - INTERVAL 5 HOURS) AS ny, tom_pos FROM m JOIN turn ON turn.day = date_trunc('day', ts))
+    SELECT symbol, ts, tom_pos, {r5('1 / (1 + (16.0 - ln + 24) % 24)', 'fix_proximity')}, {r5('CASE WHEN isodow(ts) < 6 THEN (isodow(ts) - 1 + hour(ts) / 24.0) / 5 END', 'week_pos')}, {r5(ev('m1', 'ln = 15'), 'fix_momo_3')}, {r5(ev('m1', 'ln IN (14, 15) AND tom_pos < 0'), 'fix_tom_momo_3')},
+    {r5(ev('m1', 'ny = 8'), 'ny_open_momo_3')}, {r5(ev('m1', 'isodow(ts) = 5 AND ln >= 16'), 'friday_unwind_3')}, {r5(ev('m1', 'isodow(ts) = 5 AND day(ts) <= 7'), 'first_friday_momo_3')} FROM x""")
 def clock_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In January, when London is at UTC and New York five hours behind."""
-    return shown(families.clock_features(bars(spark, sf_dir), 3), "fix_proximity", "week_pos", "month_pos", "ny_open_momo_3", "friday_unwind_3", "first_friday_momo_3", digits=5)
+    return shown(families.clock_features(bars(spark, sf_dir), 3), "tom_pos", "fix_proximity", "week_pos", "fix_momo_3", "fix_tom_momo_3", "ny_open_momo_3", "friday_unwind_3", "first_friday_momo_3", digits=5)
 
 
-@query("""WITH d AS (SELECT unnest(range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-07-01', INTERVAL 1 DAY)) AS day), x AS (SELECT day, row_number() OVER (PARTITION BY date_trunc('month', day) ORDER BY day) AS u, row_number() OVER (PARTITION BY date_trunc('month', day) ORDER BY day DESC) AS d FROM d WHERE isodow(day) <= 5) SELECT day, CASE WHEN d <= 3 THEN -d WHEN u <= 3 THEN u END::INT AS tom_pos FROM x""")
+@query(f"SELECT * FROM {_TURN.format(n=3, a="TIMESTAMP '2024-01-01'", b="TIMESTAMP '2024-07-01'")}")
 def turn_of_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = spark.sql("SELECT explode(sequence(DATE'2024-01-01', DATE'2024-06-30')) AS day")
     return families.turn_of_month(days, 3).withColumn("day", F.col("day").cast("timestamp_ntz"))
@@ -99,15 +123,50 @@ def volume_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SLOT = "PARTITION BY symbol, hour(ts) ORDER BY ts"
 
 
-@query(f"""WITH {with_atr(12)}, x AS (SELECT *, greatest(abs(close - mid), 1) AS s, (high - low) / nullif(atr, 0) * volume / nullif({mean('volume', 12)}, 0) AS li, {gated('max(high)', 'high', prev(3), 3)} AS t3, {gated('min(low)', 'low', prev(3), 3)} AS l3 FROM a), y AS (SELECT *, ln(s / {gated('quantile_cont(s, 0.5)', 's', prev(12, _SLOT), 4)}) AS sn FROM x)
-    SELECT symbol, ts, {r5('sn', 'spread_norm')}, {r5('li', 'liq_impulse')}, CASE WHEN sn > 0.5 THEN 1 WHEN sn < -0.5 THEN -1 WHEN sn IS NOT NULL THEN 0 END AS spread_regime, (sn <= 0 AND li < 1)::INT AS queue_good, {r5('CASE WHEN atr IS NOT NULL THEN least(greatest(1.5 * atr, 15), 60) END', 'sl_pips')}, {r5('CASE WHEN atr IS NOT NULL THEN least(greatest(atr, 8), 40) END', 'trail_pips')}, CASE WHEN close > t3 THEN 1 WHEN close < l3 THEN -1 WHEN t3 IS NOT NULL THEN 0 END AS micro_break FROM y""")
+def _tr_mean(n: int) -> str:
+    return gated("avg(tr)", "tr", over(n), max(2, round(n * 0.75)))
+
+
+def _span(n: int) -> str:
+    return f"{gated('max(high)', 'high', over(n), max(2, round(n * 0.75)))} - {gated('min(low)', 'low', over(n), max(2, round(n * 0.75)))}"
+
+
+def _slot_z(x: str) -> str:
+    return div(f"{x} - {gated(f'avg({x})', x, prev(20, _SLOT), 10)}", gated(f"stddev_samp({x})", x, prev(20, _SLOT), 10))
+
+
+_TIMING = f"""{BARS}, t AS (SELECT *, greatest(high, {lag('close')}) - least(low, {lag('close')}) AS tr, CASE WHEN 2 * (close - low) / 0.01 > 0 THEN 2 * (close - low) / 0.01 END AS s FROM bars),
+    x AS (SELECT *, {div(_tr_mean(4), _tr_mean(16))} AS vr, {_span(4)} AS rf, nullif({_span(16)}, 0) AS rs, nullif({_tr_mean(12)}, 0) AS ak, {gated('max(high)', 'high', prev(12), 9)} AS t12, {gated('min(low)', 'low', prev(12), 9)} AS l12, ln(s) AS ls, ln(volume) AS lv, {gated('quantile_cont(s, 0.5)', 's', prev(20, _SLOT), 10)} AS med, coalesce({gated('quantile_cont(s, 0.5)', 's', over(80), 31)}, 0.4) AS spr FROM t),
+    y AS (SELECT *, ln(vr) AS lx, ln(s / med) AS sn, {_slot_z('lv')} - {_slot_z('ls')} AS li FROM x),
+    z AS (SELECT *, {gated('quantile_cont(lx, 0.5)', 'lx', prev(48), 36)} AS m, {gated('quantile_cont(lx, 0.75)', 'lx', prev(48), 36)} - {gated('quantile_cont(lx, 0.25)', 'lx', prev(48), 36)} AS q, round(vr, 9) AS vq, round(sn, 9) AS sq, round(li, 9) AS lq, list(round(vr, 9)) OVER {over(80)} AS vq_list, list(round(sn, 9)) OVER {over(80)} AS sq_list, list(round(li, 9)) OVER {over(80)} AS lq_list FROM y),
+    k AS (SELECT *, {ranked('vq', 31)} / 100 AS vp, {ranked('sq', 31)} / 100 AS sr, {ranked('lq', 31)} / 100 AS lp FROM z)"""
+_DISTANCES = {"sl_pips": ("rs", 15, 60), "tp_pips": ("rs", 15, 150), "trail_pips": ("nullif(rf, 0)", 8, 40)}
+
+
+@query(f"""WITH {_TIMING} SELECT symbol, ts, {r7('vr', 'vol_ratio')}, {r7(div('lx - m', 'q / 1.349'), 'vol_shift')}, {r7('rf / rs', 'range_ratio')}, {r7('greatest((close - t12) / ak, 0) + least((close - l12) / ak, 0)', 'micro_break_all')},
+    {r7('sn', 'spread_norm')}, {r7('sr', 'spread_regime')}, {r7('li', 'liq_impulse_score')}, {r7('lp', 'liq_impulse')}, {r7('0.5 * ((1 - vp) + (1 - sr))', 'queue_good')}, {r7('0.5 * ((1 - vp) + (1 - sr)) * (1 - lp)', 'maker_ok')},
+    {', '.join(r7(f'CASE WHEN {x} IS NOT NULL THEN least(greatest(0.5 * {x} / 0.01, {a}), {b}) END', n) for n, (x, a, b) in _DISTANCES.items())}, {r7('spr + 0.4 + 36 / 1e6 * close / 0.01', 'cost_floor_pips')} FROM k""".replace("greatest((close - t12) / ak, 0) + least((close - l12) / ak, 0)", "CASE WHEN t12 IS NOT NULL AND l12 IS NOT NULL AND ak IS NOT NULL THEN greatest((close - t12) / ak, 0) + least((close - l12) / ak, 0) END").replace("micro_break_all", "micro_break"))
 def execution_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(families.execution_features(bars(spark, sf_dir), 12, 1.0), "spread_norm", "liq_impulse", "spread_regime", "queue_good", "sl_pips", "trail_pips", "micro_break", digits=5)
+    return shown(_execution(spark, sf_dir), *_EXECUTION, digits=7)
+
+
+_EXECUTION = ("vol_ratio", "vol_shift", "range_ratio", "micro_break", "spread_norm", "spread_regime", "liq_impulse_score", "liq_impulse", "queue_good", "maker_ok", "sl_pips", "tp_pips", "trail_pips", "cost_floor_pips")
 
 
-@query()
+def _execution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars(spark, sf_dir).withColumn("mid", F.col("low"))  # a spread that is seldom 0
+    return sequences.timing(b, 4, 16, 48, 80, 12, 20, 0.01)
+
+
+@query(f"""WITH {_TIMING} SELECT symbol, ts, {r5('vr', 'vol_ratio')}, {r5(div('lx - m', 'q / 1.349'), 'vol_shift')}, {r5('rf / rs', 'range_ratio')} FROM k""")
+def timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(_execution(spark, sf_dir), "vol_ratio", "vol_shift", "range_ratio", digits=5)
+
+
+@query(f"""WITH {_TIMING}, f AS (SELECT symbol, ts, CASE WHEN rs IS NOT NULL THEN least(greatest(0.5 * rs / 0.01, 15), 60) END AS sl, CASE WHEN rs IS NOT NULL THEN least(greatest(0.5 * rs / 0.01, 15), 150) END AS tp FROM k), l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM f)
+    SELECT symbol, '{{"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.000') || '","sl_pips":' || sl::VARCHAR || ',"tp_pips":' || tp::VARCHAR || '}}' AS snapshot FROM l WHERE n = 1""")
 def execution_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return families.execution_snapshot(families.execution_features(bars(spark, sf_dir), 12, 1.0), ["spread_norm", "sl_pips"])
+    return families.execution_snapshot(_execution(spark, sf_dir), ["sl_pips", "tp_pips"])
 
 
 @query(f"""WITH {DAILY}, x AS (SELECT a.ts, ln(a.close) + ln(b.close) - ln(c.close) AS r FROM days a JOIN days b ON a.ts = b.ts JOIN days c ON a.ts = c.ts WHERE a.symbol = '1-URGENT' AND b.symbol = '2-HIGH' AND c.symbol = '3-MEDIUM'), y AS (SELECT *, r - lag(r, 5) OVER (ORDER BY ts) AS c FROM x)
@@ -127,19 +186,13 @@ def percentile_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(families.percentile_targets(bars(spark, sf_dir), 6, 30, 0.7), "target", digits=5)
 
 
-@query(f"""WITH {with_atr(12)}, x AS (SELECT *, ({gated('max(high)', 'high', over(12), 12)} - low >= 2 * atr)::INT AS deep, (close > open)::INT AS up FROM a), y AS (SELECT *, max(CASE WHEN deep = 1 THEN ts END) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rd, max(CASE WHEN up = 1 THEN ts END) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dn FROM x)
-    SELECT symbol, ts, CASE WHEN deep IS NOT NULL THEN coalesce(up = 1 AND rd IS NOT NULL AND (dn IS NULL OR dn <= rd), false)::INT END AS recovery FROM y""")
-def pullback_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(families.pullback_recovery(bars(spark, sf_dir), 12, 2.0), "recovery")
-
-
 @query(f"""WITH {BARS}, x AS (SELECT symbol, ts, CASE WHEN volume > 2 THEN greatest(abs(close - mid), 5) END AS h FROM bars), m AS (SELECT symbol, quantile_cont(h, 0.5) AS m FROM x GROUP BY 1) SELECT x.symbol, x.ts, {r5('coalesce(h, m, 5)', 'half_spread')} FROM x JOIN m USING (symbol)""")
 def half_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir).withColumn("mid", F.when(F.col("volume") > 2, F.col("mid")))
     return shown(families.half_spread(b, 5.0), "half_spread", digits=5)
 
 
-@query(f"""WITH {with_atr(14)}, x AS (SELECT *, sign(coalesce(close - open, 0)) AS s FROM a), y AS (SELECT *, CASE WHEN s = {lag('s')} THEN 0 ELSE 1 END AS n FROM x), z AS (SELECT *, sum(n) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM y), k AS (SELECT *, row_number() OVER (PARTITION BY symbol, g ORDER BY ts) * s AS run FROM z)
+@query(f"""WITH RECURSIVE {with_wilder(14)}, x AS (SELECT *, sign(coalesce(close - {lag('close')}, 0)) AS s FROM a), y AS (SELECT *, CASE WHEN s = {lag('s')} THEN 0 ELSE 1 END AS n FROM x), z AS (SELECT *, sum(n) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM y), k AS (SELECT *, row_number() OVER (PARTITION BY symbol, g ORDER BY ts) * s AS run FROM z)
     SELECT symbol, ts, {r5(ev(f"(close - {lag('close', 3)}) / nullif(atr, 0)", 'abs(run) >= 3'), 'run_momentum_3_14')} FROM k""")
 def run_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(sequences.run_momentum(bars(spark, sf_dir), 3, 14), "run_momentum_3_14", digits=5)

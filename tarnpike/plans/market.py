@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnpike.functions import safe
 from tarnpike.functions.safe import rounded
 from tarnpike.operators import align, crosssection, indicators, sequences
-from tarnpike.plans.sql import BARS, BY, DAILY, TRUE, div, gated, lag, lead, mean, over, prev, r, with_atr
+from tarnpike.plans.sql import BARS, BY, DAILY, TRUE, div, gated, lag, lead, mean, over, prev, r, ranked, with_wilder
 from tarnpike.sources import bars as src
 
 W = indicators.W
@@ -194,10 +194,11 @@ def event_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 # indicators ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {BARS}, m AS (SELECT *, {mean('close', 20)} AS m, {gated('stddev_pop(close)', 'close', over(20), 20)} AS s FROM bars), b AS (SELECT *, m + 2 * s AS u, m - 2 * s AS d FROM m)
-    SELECT symbol, ts, {r('m', 'bb_middle')}, {r('u', 'bb_upper')}, {r('d', 'bb_lower')}, {r('100 * ' + div('u - d', 'm'), 'bb_width')}, {r(div('close - d', 'u - d'), 'bb_percent')}, {r(f"CASE WHEN u - d = 0 THEN 0 ELSE {div('close - m', '(u - d) / 2')} END", 'bb_position')}, {r(div('u - d', 'close'), 'bb_squeeze')} FROM b""")
+@query(f"""WITH RECURSIVE {with_wilder(20)}, m AS (SELECT *, {mean('close', 20)} AS m, {gated('stddev_pop(close)', 'close', over(20), 20)} AS s FROM a), b AS (SELECT *, m + 2 * s AS u, m - 2 * s AS d, 400 * s / nullif(m, 0) AS wd FROM m)
+    SELECT symbol, ts, {r('m', 'bb_middle')}, {r('u', 'bb_upper')}, {r('d', 'bb_lower')}, {r('100 * ' + div('u - d', 'm'), 'bb_width')}, {r(div('close - d', 'u - d'), 'bb_percent')}, {r(f"CASE WHEN u - d = 0 THEN 0 ELSE {div('close - d', 'u - d')} END", 'bb_position')}, {r(div('wd', 'close'), 'bb_squeeze')},
+    {r(div('close - m', 'atr'), 'bb_deviation')}, {r(f"abs({div('close - m', 'atr')})", 'abs_bb_deviation')}, {r(f"CASE WHEN u - d = 0 THEN 0 ELSE {div('close - d', 'u - d')} END * wd", 'bb_edge_impact')} FROM b""")
 def bollinger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(indicators.bollinger(bars(spark, sf_dir)), "bb_middle", "bb_upper", "bb_lower", "bb_width", "bb_percent", "bb_position", "bb_squeeze")
+    return shown(indicators.bollinger(bars(spark, sf_dir)), "bb_middle", "bb_upper", "bb_lower", "bb_width", "bb_percent", "bb_position", "bb_squeeze", "bb_deviation", "abs_bb_deviation", "bb_edge_impact")
 
 
 @query(f"""WITH {BARS}, x AS (SELECT *, {gated('max(high)', 'high', over(20), 20)} AS t, {gated('min(low)', 'low', over(20), 20)} AS l, {gated('max(high)', 'high', prev(20), 20)} AS pt, {gated('min(low)', 'low', prev(20), 20)} AS pl FROM bars)
@@ -210,11 +211,11 @@ def _mid(n: int) -> str:
     return f"({gated('max(high)', 'high', over(n), n)} + {gated('min(low)', 'low', over(n), n)}) / 2"
 
 
-@query(f"""WITH {BARS}, x AS (SELECT *, {_mid(9)} AS cv, {_mid(26)} AS bs, {_mid(52)} AS b FROM bars), y AS (SELECT *, (cv + bs) / 2 AS a FROM x), z AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN greatest(a, b) END AS t, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN least(a, b) END AS d FROM y)
-    SELECT symbol, ts, {r('cv', 'ichi_conv')}, {r('bs', 'ichi_base')}, {r('a', 'ichi_a')}, {r('b', 'ichi_b')}, CASE WHEN t IS NULL THEN NULL WHEN a >= b THEN 1 ELSE -1 END AS cloud_color, (close > t)::INT AS price_above_cloud,
-    round(CASE WHEN t IS NULL THEN NULL WHEN close > t THEN close - t WHEN close < d THEN d - close ELSE 0 END, 6) + 0.0 AS distance_to_cloud, {r('t - d', 'cloud_thickness')} FROM z""")
+@query(f"""WITH RECURSIVE {with_wilder(26, 52)}, x AS (SELECT *, {_mid(9)} AS cv, {_mid(26)} AS bs, {_mid(52)} AS b FROM a), y AS (SELECT *, (cv + bs) / 2 AS a FROM x), z AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN greatest(a, b) END AS t, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN least(a, b) END AS d FROM y)
+    SELECT symbol, ts, {r('cv', 'ichi_conv')}, {r('bs', 'ichi_base')}, {r('a', 'ichi_a')}, {r('b', 'ichi_b')}, CASE WHEN t IS NULL THEN NULL WHEN a > b THEN 1 ELSE -1 END AS cloud_color, (close > t)::INT AS price_above_cloud,
+    round(CASE WHEN t IS NULL THEN NULL WHEN close > t THEN (close - t) / nullif(atr_52, 0) WHEN close < d THEN (d - close) / nullif(atr_52, 0) ELSE 0 END, 6) + 0.0 AS distance_to_cloud, {r('(t - d) / nullif(atr_52, 0)', 'cloud_thickness')}, {r('(cv - bs) / nullif(atr_26, 0)', 'tenkan_kijun_diff')} FROM z""")
 def ichimoku(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(indicators.ichimoku(bars(spark, sf_dir)), "ichi_conv", "ichi_base", "ichi_a", "ichi_b", "cloud_color", "price_above_cloud", "distance_to_cloud", "cloud_thickness")
+    return shown(indicators.ichimoku(bars(spark, sf_dir)), "ichi_conv", "ichi_base", "ichi_a", "ichi_b", "cloud_color", "price_above_cloud", "distance_to_cloud", "cloud_thickness", "tenkan_kijun_diff")
 
 
 @query(f"""WITH {BARS}, x AS (SELECT *, 100 * {div('close - ' + gated('min(low)', 'low', over(14), 14), gated('max(high)', 'high', over(14), 14) + ' - ' + gated('min(low)', 'low', over(14), 14))} AS k FROM bars) SELECT symbol, ts, {r('k', 'stoch_k')}, {r(mean('k', 3), 'stoch_d')} FROM x""")
@@ -227,9 +228,9 @@ def price_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(indicators.efficiency(bars(spark, sf_dir)), "efficiency_20")
 
 
-@query(f"""WITH {with_atr(12)}, n AS (SELECT *, row_number() OVER ({BY})::DOUBLE AS rn FROM a) SELECT symbol, ts, {r(div(gated('regr_slope(close, rn)', 'close', over(12), 12), 'atr'), 'trend_slope_12')}, {r('atr', 'atr_mean_12')} FROM n""")
+@query(f"""WITH RECURSIVE {with_wilder(12)} SELECT symbol, ts, {r(div(gated('regr_slope(close, rn)', 'close', over(12), 12), 'atr'), 'trend_slope_12')}, {r('atr', 'atr_12')} FROM a""")
 def trend_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(indicators.trend_slope(bars(spark, sf_dir), 12), "trend_slope_12", "atr_mean_12")
+    return shown(indicators.trend_slope(bars(spark, sf_dir), 12), "trend_slope_12", "atr_12")
 
 
 @query(f"""WITH {BARS}, x AS (SELECT *, coalesce(sign(close - {lag('close')}), 0) AS s FROM bars), y AS (SELECT *, CASE WHEN s = {lag('s')} THEN 0 ELSE 1 END AS n FROM x), z AS (SELECT *, sum(n) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM y)
@@ -238,7 +239,7 @@ def run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(indicators.run_length(bars(spark, sf_dir), F.col("close") - F.lag("close").over(W()), "run"), "run")
 
 
-@query(f"""WITH {with_atr(10)} SELECT symbol, ts, {r(div('close', lag('close', 6)) + ' - 1', 'momentum_5')}, {r(div(f"(close - {lag('close', 10)}) - ({lag('close', 10)} - {lag('close', 20)})", 'atr'), 'momentum_accel_10')} FROM a""")
+@query(f"""WITH RECURSIVE {with_wilder(10)} SELECT symbol, ts, {r(div('close', lag('close', 6)) + ' - 1', 'momentum_5')}, {r(div(f"(close - {lag('close', 10)}) - ({lag('close', 10)} - {lag('close', 20)})", 'atr'), 'momentum_accel_10')} FROM a""")
 def momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(indicators.momentum_acceleration(indicators.momentum(bars(spark, sf_dir), 5), 10), "momentum_5", "momentum_accel_10")
 
@@ -255,10 +256,10 @@ def cci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(indicators.cci(bars(spark, sf_dir)), "cci_20")
 
 
-@query(f"""WITH {with_atr(16)}, x AS (SELECT *, {mean('volume', 16)} AS mv, CASE WHEN high = low THEN 0 ELSE ((close - low) - (high - close)) / nullif(high - low, 0) END AS f, list(volume) OVER {over(16)} AS l, {gated('sum(close * volume)', 'volume', over(16), 16)} / nullif({gated('sum(volume)', 'volume', over(16), 16)}, 0) AS vw FROM a),
-    y AS (SELECT *, CASE WHEN len(l) >= 4 THEN 100.0 * len(list_filter(l, lambda q: q <= volume)) / len(l) END AS vr FROM x)
-    SELECT symbol, ts, {r('vr', 'volume_rank_16')}, round(ln(volume / mv) - CASE WHEN (high - low) / nullif(atr, 0) > 0 THEN ln((high - low) / atr) END, 6) + 0.0 AS effort_result_16, {r(div('close - vw', 'atr'), 'vwap_deviation_16')},
-    {r(div(gated('sum(f * volume)', 'f', over(16), 16), gated('sum(volume)', 'volume', over(16), 16)), 'cmf_16')}, {r(f"sign(close - {lag('close', 16)}) * (2 * vr / 100 - 1)", 'vol_price_divergence_16')} FROM y""")
+@query(f"""WITH RECURSIVE {with_wilder(16)}, x AS (SELECT *, {mean('volume', 16, 4)} AS mv, CASE WHEN high = low THEN 0 ELSE ((close - low) - (high - close)) / nullif(high - low, 0) END AS f, list(volume) OVER {over(16)} AS l, {mean('atr', 16, 4)} AS am, {gated('sum((high + low + close) / 3 * volume)', 'volume', over(16), 4)} / nullif({gated('sum(volume)', 'volume', over(16), 4)}, 0) AS vw FROM a),
+    y AS (SELECT *, CASE WHEN len(l) >= 4 THEN 100.0 * (len(list_filter(l, lambda q: q < volume)) + (len(list_filter(l, lambda q: q = volume)) + 1) / 2.0) / len(l) END AS vr FROM x)
+    SELECT symbol, ts, {r('vr', 'volume_rank_16')}, round(ln(volume / mv) - CASE WHEN (high - low) / nullif(atr, 0) > 0 THEN ln((high - low) / atr) END, 6) + 0.0 AS effort_result_16, {r(div('close - vw', 'am'), 'vwap_deviation_16')},
+    {r(div(gated('sum(f * volume)', 'f', over(16), 4), gated('sum(volume)', 'volume', over(16), 4)), 'cmf_16')}, {r(f"sign(close - {lag('close', 16)}) * (2 * vr / 100 - 1)", 'vol_price_divergence_16')} FROM y""")
 def volume_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(indicators.volume_features(bars(spark, sf_dir), 16), "volume_rank_16", "effort_result_16", "vwap_deviation_16", "cmf_16", "vol_price_divergence_16")
 
@@ -269,9 +270,16 @@ def calendar_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(indicators.calendar_columns(bars(spark, sf_dir)), "day_of_week", "month_sin", "week_cos", "quarter", "hour_sin", "london", "new_york", "asia", "overlap")
 
 
-@query(f"""WITH {with_atr(6)}, x AS (SELECT *, {mean('close', 24)} AS m, {gated('max(high)', 'high', over(6), 6)} AS t, {gated('min(low)', 'low', over(6), 6)} AS l FROM a) SELECT symbol, ts, round({div('CASE WHEN close > m THEN t - close WHEN close <= m THEN close - l END', 'atr')}, 5) + 0.0 AS pullback_6 FROM x""")
+@query(f"""WITH RECURSIVE {with_wilder(6)}, x AS (SELECT *, {mean('close', 24)} AS m, {mean('close', 200)} AS m200, {gated('max(high)', 'high', over(6), 6)} AS t, {gated('min(low)', 'low', over(6), 6)} AS l FROM a), y AS (SELECT *, {div('CASE WHEN coalesce(close > m, false) THEN t - close ELSE close - l END', 'atr')} AS p FROM x)
+    SELECT symbol, ts, round(p, 5) + 0.0 AS pullback_6, round(CASE WHEN p IS NOT NULL THEN greatest(CASE WHEN coalesce(close > m200, false) THEN p ELSE -p END, 0) END, 5) + 0.0 AS pullback_score_6 FROM y""")
 def pullback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(indicators.pullback(bars(spark, sf_dir), 6).select("symbol", "ts", "pullback_6"), 5)
+    return rounded(indicators.pullback(bars(spark, sf_dir), 6).select("symbol", "ts", "pullback_6", "pullback_score_6"), 5)
+
+
+@query(f"""WITH RECURSIVE {with_wilder(14)}, x AS (SELECT *, list(atr) OVER {over(60)} AS v, count(*) OVER {over(60)} AS n FROM a)
+    SELECT symbol, ts, {r('atr / 0.01', 'atr_pips')}, {r('100 * atr / nullif(close, 0)', 'atr_volatility_ratio')}, round(CASE WHEN atr IS NOT NULL AND len(list_filter(v, lambda q: q IS NOT NULL)) >= 30 THEN 100.0 * len(list_filter(v, lambda q: q <= atr)) / n END, 6) + 0.0 AS volatility_percentile FROM x""")
+def true_range_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(indicators.true_range_units(bars(spark, sf_dir), 14, 0.01, 60), "atr_pips", "atr_volatility_ratio", "volatility_percentile")
 
 
 @query(f"""WITH {BARS}, x AS (SELECT *, list(volume) OVER {over(30)} AS l, coalesce(list(volume) OVER {prev(29)}, []) AS p, coalesce(list(volume) OVER {prev(30)}, []) AS q FROM bars)
@@ -306,10 +314,22 @@ def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(indicators.rsi(bars(spark, sf_dir)), "rsi")
 
 
-@query()
-def macd_adx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recursions of recursions; tested against a direct loop."""
-    return shown(indicators.adx(indicators.macd(bars(spark, sf_dir))), "macd", "macd_signal", "macd_diff", "adx_pos", "adx_neg", "adx")
+_MACD = ("macd", "macd_signal", "macd_diff", "macd_atr", "abs_macd_atr", "macd_signal_atr", "macd_diff_atr")
+
+
+@query(f"""WITH RECURSIVE {with_wilder(26)}, n AS (SELECT * FROM a), {_recursive('close', 2 / 13, 'f')}, {_recursive('close', 2 / 27, 's')}, m AS (SELECT n.*, f.y - s.y AS m FROM n JOIN f USING (symbol, rn) JOIN s USING (symbol, rn) WHERE rn >= 26),
+    g AS (SELECT symbol, 26::BIGINT AS rn, m AS y FROM m WHERE rn = 26 UNION ALL SELECT m.symbol, m.rn, 0.2 * m.m + 0.8 * g.y FROM g JOIN m ON m.symbol = g.symbol AND m.rn = g.rn + 1), j AS (SELECT n.symbol, n.ts, n.atr, m.m, CASE WHEN n.rn >= 34 THEN g.y END AS g FROM n LEFT JOIN m USING (symbol, rn) LEFT JOIN g USING (symbol, rn))
+    SELECT symbol, ts, {r('m', 'macd')}, {r('g', 'macd_signal')}, {r('m - g', 'macd_diff')}, {r(div('m', 'atr'), 'macd_atr')}, {r(f"abs({div('m', 'atr')})", 'abs_macd_atr')}, {r(div('g', 'atr'), 'macd_signal_atr')}, {r(div('m - g', 'atr'), 'macd_diff_atr')} FROM j""")
+def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(indicators.macd(bars(spark, sf_dir)), *_MACD)
+
+
+@query(f"""WITH RECURSIVE {TRUE}, o AS (SELECT *, high - {lag('high')} AS up, {lag('low')} - low AS dn, row_number() OVER ({BY}) - 1 AS rn FROM t), n AS (SELECT symbol, ts, rn, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS m, tr FROM o WHERE rn > 0),
+    {_recursive('p', 1 / 14, 'sp', 14)}, {_recursive('m', 1 / 14, 'sm', 14)}, {_recursive('tr', 1 / 14, 'st', 14)}, d AS (SELECT symbol, rn, 100 * sp.y / nullif(st.y, 0) AS pos, 100 * sm.y / nullif(st.y, 0) AS neg FROM sp JOIN sm USING (symbol, rn) JOIN st USING (symbol, rn)),
+    x AS (SELECT *, 100 * abs(pos - neg) / nullif(pos + neg, 0) AS dx, rn - 13 AS k FROM d), g AS (SELECT symbol, 14::BIGINT AS k, avg(dx) AS y FROM x WHERE k <= 14 GROUP BY symbol HAVING count(*) = 14 UNION ALL SELECT x.symbol, x.k, x.dx / 14 + {13 / 14!r} * g.y FROM g JOIN x ON x.symbol = g.symbol AND x.k = g.k + 1)
+    SELECT o.symbol, o.ts, {r('pos', 'adx_pos')}, {r('neg', 'adx_neg')}, {r('g.y', 'adx')}, {r('g.y - lag(g.y, 5) OVER (PARTITION BY o.symbol ORDER BY o.ts)', 'adx_slope')} FROM o LEFT JOIN x ON x.symbol = o.symbol AND x.rn = o.rn LEFT JOIN g ON g.symbol = x.symbol AND g.k = x.k""")
+def adx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(indicators.adx(bars(spark, sf_dir)), "adx_pos", "adx_neg", "adx", "adx_slope")
 
 
 # sequences ----------------------------------------------------------------------------------------------------------
@@ -319,36 +339,47 @@ def _event(score: str, cond: str) -> str:
     return f"CASE WHEN ({score}) IS NULL OR ({cond}) IS NULL THEN NULL WHEN {cond} THEN {score} ELSE 0 END"
 
 
-@query(f"""WITH {with_atr(14)}, x AS (SELECT *, {gated('sum(close - open)', 'close', over(4), 4)} AS net, {gated('sum(abs(close - open))', 'close', over(4), 4)} AS path, {gated('max(high)', 'high', prev(14), 14)} AS t, {gated('min(low)', 'low', prev(14), 14)} AS l FROM a),
+def _two_sided(up: str, a: str, down: str, b: str, known: str) -> str:
+    return f"CASE WHEN NOT ({known}) THEN NULL WHEN {down} THEN {b} WHEN {up} THEN {a} ELSE 0 END"
+
+
+_IMPULSE = _event("net / nullif(atr, 0) * eff", "eff >= 0.6")
+
+
+@query(f"""WITH RECURSIVE {with_wilder(14)}, x AS (SELECT *, {gated('sum(close - open)', 'close', over(4), 4)} AS net, {gated('sum(high - low)', 'close', over(4), 4)} AS path, {gated('max(high)', 'high', prev(14), 14)} AS t, {gated('min(low)', 'low', prev(14), 14)} AS l FROM a),
     y AS (SELECT *, abs(net) / nullif(path, 0) AS eff, (close > t)::INT AS up, (close < l)::INT AS dn FROM x),
     z AS (SELECT *, coalesce(max(up) OVER {prev(5)}, 0) AS pu, coalesce(max(dn) OVER {prev(5)}, 0) AS pd FROM y)
-    SELECT symbol, ts, {r(_event('net / nullif(atr, 0) * eff', 'eff >= 0.6'), 'impulse_burst_4_14')}, {r(div('CASE WHEN up = 1 AND pu = 0 THEN close - t WHEN dn = 1 AND pd = 0 THEN close - l WHEN up IS NOT NULL THEN 0 END', 'atr'), 'breakout_close_5_14')},
+    SELECT symbol, ts, {r(_IMPULSE, 'impulse_burst_4_14')}, round(CASE WHEN hour(ts) BETWEEN 8 AND 15 THEN {_IMPULSE} ELSE 0 END, 6) + 0.0 AS impulse_london_4_14, {r(div('CASE WHEN up = 1 AND pu = 0 THEN close - t WHEN dn = 1 AND pd = 0 THEN close - l WHEN up IS NOT NULL THEN 0 END', 'atr'), 'breakout_close_5_14')},
     {r(_event('sign(close - open) * (high - low) / nullif(atr, 0)', 'high - low >= 2.0 * atr AND abs(close - open) >= 0.6 * (high - low)'), 'volspike_body_14')} FROM z""")
 def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = sequences.volspike_body(sequences.breakout_close(sequences.impulse_burst(bars(spark, sf_dir), 4, 14), 5, 14), 14)
-    return shown(x, "impulse_burst_4_14", "breakout_close_5_14", "volspike_body_14")
+    return shown(x, "impulse_burst_4_14", "impulse_london_4_14", "breakout_close_5_14", "volspike_body_14")
 
 
-@query(f"""WITH {BARS}, x AS (SELECT *, {gated('sum(sign(close - open) * (high - low))', 'close', over(8), 8)} / nullif({gated('sum(high - low)', 'close', over(8), 8)}, 0) AS a, {gated('sum(sign(close - open) * volume)', 'close', over(8), 8)} / nullif({gated('sum(volume)', 'close', over(8), 8)}, 0) AS b FROM bars)
+@query(f"""WITH {BARS}, x AS (SELECT *, {gated('sum(sign(close - open) * (high - low))', 'close', over(8), 8)} / nullif({gated('sum(high - low)', 'close', over(8), 8)}, 0) AS a, {gated('sum(sign(close - open) * volume)', 'close', over(8), 2)} / nullif({gated('sum(volume)', 'close', over(8), 2)}, 0) AS b FROM bars)
     SELECT symbol, ts, {r(_event('a', 'abs(a) >= 0.5'), 'range_imbalance_8')}, {r(_event('b', 'abs(b) >= 0.5'), 'tick_imbalance_8')} FROM x""")
 def imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(sequences.imbalance(bars(spark, sf_dir), 8), "range_imbalance_8", "tick_imbalance_8")
 
 
-@query(f"""WITH {with_atr(14)}, x AS (SELECT *, {lag('atr')} AS p, {gated('max(high)', 'high', prev(14), 14)} AS t, {gated('min(low)', 'low', prev(14), 14)} AS l FROM a),
-    y AS (SELECT *, (close - {lag('close')}) / nullif(p, 0) AS j, CASE WHEN close > t THEN t END AS bt, CASE WHEN close < l THEN l END AS bl, (high - greatest(open, close)) / nullif(high - low, 0) AS uw, (least(open, close) - low) / nullif(high - low, 0) AS lw FROM x),
-    z AS (SELECT *, (abs(j) >= 2.0)::INT AS k, last_value(bt IGNORE NULLS) OVER ({BY} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS lu, last_value(bl IGNORE NULLS) OVER ({BY} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS ld FROM y)
-    SELECT symbol, ts, {r(_event('-j', 'k = 1'), 'jump_reversion_14')}, round((CASE WHEN k IS NOT NULL THEN sum(k * sign(j)) OVER {over(5)} END)::DOUBLE, 6) + 0.0 AS jump_follow_5_14,
-    CASE WHEN atr IS NULL THEN NULL WHEN low <= lu + 0.25 * atr AND close > lu THEN 1 WHEN high >= ld - 0.25 * atr AND close < ld THEN -1 ELSE 0 END AS break_retest_6_14, CASE WHEN atr IS NULL THEN NULL WHEN close < lu THEN -1 WHEN close > ld THEN 1 ELSE 0 END AS failed_break_6_14,
-    {r(_event('CASE WHEN uw >= 0.6 THEN -uw WHEN lw >= 0.6 THEN lw WHEN uw IS NOT NULL THEN 0 END', 'high - low >= 1.5 * atr'), 'spike_wick_14')} FROM z""")
+_BODIES = f"CASE WHEN count(close) OVER {over(5)} >= 5 THEN sum((close > open)::INT) OVER {over(5)} END AS ups, CASE WHEN count(close) OVER {over(5)} >= 5 THEN sum((close < open)::INT) OVER {over(5)} END AS downs"
+_WICK = "CASE WHEN high = low THEN 0 ELSE ({}) / nullif(high - low, 0) END"
+
+
+@query(f"""WITH RECURSIVE {with_wilder(14)}, x AS (SELECT *, nullif(atr, 0) AS u, (close - {lag('close')}) / nullif(atr, 0) AS j, {gated('max(high)', 'high', prev(14), 14)} AS t, {gated('min(low)', 'low', prev(14), 14)} AS l, (close - {lag('close', 5)}) / nullif(atr, 0) AS mv, {_BODIES}, (high - low) / nullif(atr, 0) AS sp, {_WICK.format('high - greatest(open, close)')} AS uw, {_WICK.format('least(open, close) - low')} AS lw FROM a),
+    y AS (SELECT *, CASE WHEN close > t THEN t END AS bt, CASE WHEN close < l THEN l END AS bl, {lag('CASE WHEN abs(j) >= 1.5 THEN j END', 5)} AS ago FROM x),
+    z AS (SELECT *, last_value(bt IGNORE NULLS) OVER ({BY} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS lu, last_value(bl IGNORE NULLS) OVER ({BY} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS ld FROM y)
+    SELECT symbol, ts, {r(_event('-j', 'abs(j) >= 1.5'), 'jump_reversion_14')}, {r(_two_sided('ago > 0 AND ups >= 4', 'mv', 'ago < 0 AND downs >= 4', 'mv', 'mv IS NOT NULL AND j IS NOT NULL'), 'jump_follow_5_14')},
+    {r(_two_sided('low <= lu + 0.25 * atr AND close > lu', '(close - lu) / u', 'high >= ld - 0.25 * atr AND close < ld', '(close - ld) / u', 't IS NOT NULL AND u IS NOT NULL'), 'break_retest_6_14')}, {r(_two_sided('close < lu', '(close - lu) / u', 'close > ld', '(close - ld) / u', 't IS NOT NULL AND u IS NOT NULL'), 'failed_break_6_14')},
+    {r(_two_sided('sp >= 1.5 AND uw >= 0.6', '-sp', 'sp >= 1.5 AND lw >= 0.6', 'sp', 'sp IS NOT NULL AND uw IS NOT NULL'), 'spike_wick_14')} FROM z""")
 def jumps_and_retests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = sequences.break_retest(sequences.jumps(bars(spark, sf_dir), 14, 5, 2.0), 6, 14)
+    x = sequences.break_retest(sequences.jumps(bars(spark, sf_dir), 14, 5, 1.5), 6, 14)
     return shown(sequences.wick_reversal(x, 14, 1.5), "jump_reversion_14", "jump_follow_5_14", "break_retest_6_14", "failed_break_6_14", "spike_wick_14")
 
 
-@query(f"""WITH {BARS}, x AS (SELECT *, {gated('max(high)', 'high', over(6), 6)} - {gated('min(low)', 'low', over(6), 6)} AS g, {gated('max(high)', 'high', prev(6), 6)} AS t, {gated('min(low)', 'low', prev(6), 6)} AS l FROM bars),
-    y AS (SELECT *, list(g) OVER {over(40)} AS v, count(*) OVER {over(40)} AS n FROM x), z AS (SELECT *, CASE WHEN g IS NOT NULL AND len(list_filter(v, lambda q: q IS NOT NULL)) >= 20 THEN 100.0 * len(list_filter(v, lambda q: q <= g)) / n END AS k FROM y)
-    SELECT symbol, ts, {r('k', 'range_pctile_6_40')}, {r(_event('CASE WHEN close > t THEN 1.0 WHEN close < l THEN -1.0 WHEN t IS NOT NULL THEN 0.0 END', lag('k') + ' <= 20'), 'squeeze_breakout_6_40')} FROM z""")
+@query(f"""WITH RECURSIVE {with_wilder(40)}, x AS (SELECT *, {gated('max(high)', 'high', over(6), 6)} - {gated('min(low)', 'low', over(6), 6)} AS g, {gated('max(high)', 'high', prev(6), 6)} AS t, {gated('min(low)', 'low', prev(6), 6)} AS l FROM a),
+    y AS (SELECT *, list(g) OVER {over(40)} AS g_list FROM x), z AS (SELECT *, {ranked('g', 20)} AS k FROM y), w AS (SELECT *, {lag('k')} AS was FROM z)
+    SELECT symbol, ts, {r('k', 'range_pctile_6_40')}, {r(_two_sided('was <= 20 AND close > t', '(close - t) / atr', 'was <= 20 AND close < l', '(close - l) / atr', 'was IS NOT NULL AND nullif(atr, 0) IS NOT NULL'), 'squeeze_breakout_6_40')} FROM w""")
 def squeeze_breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(sequences.squeeze_breakout(bars(spark, sf_dir), 6, 40), "range_pctile_6_40", "squeeze_breakout_6_40")
 
@@ -381,18 +412,15 @@ def slot_seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(sequences.slot_seasonal(bars(spark, sf_dir), 2, 15, F.hour("ts"), "hour_seasonal", 5), "hour_seasonal")
 
 
-@query(f"""WITH {with_atr(14)}, x AS (SELECT *, ts::DATE AS d, CASE WHEN hour(ts) >= 7 THEN max(CASE WHEN hour(ts) < 7 THEN high END) OVER (PARTITION BY symbol, ts::DATE) END AS hi, CASE WHEN hour(ts) >= 7 THEN min(CASE WHEN hour(ts) < 7 THEN low END) OVER (PARTITION BY symbol, ts::DATE) END AS lo,
-        max(high) OVER (PARTITION BY symbol, ts::DATE ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t, min(low) OVER (PARTITION BY symbol, ts::DATE ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l FROM a),
-    c AS (SELECT symbol, ts::DATE AS d, arg_max(close, ts) AS dc FROM bars GROUP BY 1, 2), p AS (SELECT symbol, d, lag(dc) OVER (PARTITION BY symbol ORDER BY d) AS prev FROM c)
-    SELECT x.symbol, x.ts, {r(div('close - lo', 'hi - lo'), 'asia_pos')}, CASE WHEN hi IS NULL THEN NULL WHEN close > hi THEN 1 WHEN close < lo THEN -1 ELSE 0 END AS asia_break_14, {r(div('close - prev', 'atr'), 'day_ret_14')}, {r(div('close - l', 't - l'), 'day_range_pos')} FROM x JOIN p USING (symbol, d)""")
+@query(f"""WITH RECURSIVE {with_wilder(14)}, d AS (SELECT symbol, ts::DATE AS d, max(high) FILTER (hour(ts) < 7) AS hi, min(low) FILTER (hour(ts) < 7) AS lo, arg_min(open, ts) FILTER (hour(ts) < 7) AS ao, arg_max(close, ts) FILTER (hour(ts) < 7) AS ac, arg_min(open, ts) FILTER (hour(ts) = 8) AS fo, arg_max(close, ts) FILTER (hour(ts) = 8) AS fc, arg_min(close, ts) AS dc, arg_max(close, ts) AS lc FROM bars GROUP BY 1, 2),
+    p AS (SELECT *, lag(lc) OVER (PARTITION BY symbol ORDER BY d) AS prev FROM d), q AS (SELECT *, ts::DATE AS d, {lag('close')} AS c, nullif({lag('atr')}, 0) AS u FROM a),
+    x AS (SELECT q.symbol, ts, hour(ts) AS h, c, u, CASE WHEN hour(ts) >= 7 THEN hi END AS hi, CASE WHEN hour(ts) >= 7 THEN lo END AS lo, ao, ac, fo, fc, dc, prev, c - prev AS dr, row_number() OVER (PARTITION BY q.symbol, q.d ORDER BY ts) AS n,
+        max(high) OVER (PARTITION BY q.symbol, q.d ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t, min(low) OVER (PARTITION BY q.symbol, q.d ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM q JOIN p ON p.symbol = q.symbol AND p.d = q.d)
+    SELECT symbol, ts, {r(div('c - (hi + lo) / 2', '(hi - lo) / 2'), 'asia_pos')}, {r(_two_sided('c > hi', '(c - hi) / u', 'c < lo', '(c - lo) / u', 'c IS NOT NULL AND hi IS NOT NULL AND u IS NOT NULL'), 'asia_break_14')}, {r('CASE WHEN h >= 7 THEN (ac - ao) / u END', 'asia_ret_14')}, {r('CASE WHEN h >= 9 THEN (fc - fo) / u END', 'london_first_hour_14')},
+    {r('CASE WHEN n > 1 THEN (dc - prev) / u END', 'overnight_gap_14')}, {r(div('dr - ' + gated('avg(dr)', 'dr', prev(22, 'PARTITION BY symbol, h ORDER BY ts'), 20), gated('stddev_samp(dr)', 'dr', prev(22, 'PARTITION BY symbol, h ORDER BY ts'), 20)), 'day_ret_z_22')}, {r('2 * ' + div('c - l', 't - l') + ' - 1', 'day_range_pos')} FROM x""")
 def session_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(sequences.session_anchors(bars(spark, sf_dir), 14), "asia_pos", "asia_break_14", "day_ret_14", "day_range_pos")
-
-
-@query(f"""WITH {with_atr(14)}, x AS (SELECT *, volume / nullif({mean('volume', 14)}, 0) AS vr FROM a), y AS (SELECT *, {gated('quantile_cont(vr, 0.5)', 'vr', prev(48), 24)} AS m, {gated('quantile_cont(vr, 0.75)', 'vr', prev(48), 24)} - {gated('quantile_cont(vr, 0.25)', 'vr', prev(48), 24)} AS q FROM x)
-    SELECT symbol, ts, {r('vr', 'vol_ratio')}, {r(div('vr - m', 'q / 1.349'), 'vol_shift')}, {r(div('high - low', 'atr'), 'range_ratio')} FROM y""")
-def timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(sequences.timing(bars(spark, sf_dir), 48, 14), "vol_ratio", "vol_shift", "range_ratio")
+    """In January, when London is at UTC."""
+    return shown(sequences.session_anchors(bars(spark, sf_dir), 14, 22), "asia_pos", "asia_break_14", "asia_ret_14", "london_first_hour_14", "overnight_gap_14", "day_ret_z_22", "day_range_pos")
 
 
 # panels -------------------------------------------------------------------------------------------------------------

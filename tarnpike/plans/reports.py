@@ -9,7 +9,7 @@ from tarnpike.functions.safe import mean_n, ordered, rounded
 from tarnpike.operators import indicators, research
 from tarnpike.plans.market import bars, read
 from tarnpike.plans.results import _SCORED, _scored
-from tarnpike.plans.sql import BARS, BY, ahead, div, gated, mean, r, with_atr
+from tarnpike.plans.sql import BARS, BY, ahead, div, gated, lag, mean, over, r, ranked, with_atr, with_wilder
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -32,6 +32,34 @@ def event_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(x.select("symbol", "ts", *(f"cb_{k}" for k in ("until", "since", "proximity", "recency", "cycle", "pre", "post"))))
 
 
+_CLOCK = "CASE WHEN event_type < 'p' THEN 'ecb' ELSE 'fed' END"
+_PRE, _POST = "{0}_u BETWEEN 1 AND 3", "{0}_s BETWEEN 1 AND 3"
+_CYCLE = "CASE WHEN {0}_u IS NOT NULL AND {0}_s IS NOT NULL THEN CASE WHEN {0}_u + {0}_s = 0 THEN 1 ELSE {0}_s / ({0}_u + {0}_s) END END"
+
+
+def _ev(score: str, cond: str) -> str:
+    return f"CASE WHEN ({score}) IS NULL OR ({cond}) IS NULL THEN NULL WHEN {cond} THEN {score} ELSE 0 END"
+
+
+def _of_clock(e: str) -> str:
+    pre, post, u, s = _PRE.format(e), _POST.format(e), f"{e}_u", f"{e}_s"
+    return ", ".join(r(x, f"{e}_{n}") for n, x in {"prox_intraday": f"1 / (1 + {e}_h / 24.0)", "pre_ramp": _ev(f"1 / (1 + {u})", pre), "post_ramp": _ev(f"1 / (1 + {s})", post), "pre_momo": _ev("mv", pre), "day_momo": _ev("mv", f"{u} = 0"), "post_cont": _ev("mv", post), "pre_squeeze": f"CASE WHEN k IS NOT NULL THEN {_ev('mv', f'{pre} AND k <= 20')} END", "post_event_cont": _ev(f"{e}_z", post)}.items())
+
+
+@query(f"""WITH RECURSIVE {with_wilder(3)}, e AS (SELECT {_CLOCK} AS clock, ts FROM events WHERE value > 300), m AS (SELECT *, ts::DATE AS d, (close - {lag('close', 3)}) / nullif(atr, 0) AS mv0, {gated('max(high)', 'high', over(6), 6)} - {gated('min(low)', 'low', over(6), 6)} AS g FROM a),
+    q AS (SELECT *, list(g) OVER {over(40)} AS g_list FROM m), x AS (SELECT *, lag(mv0) OVER ({BY}) AS mv, lag(k0) OVER ({BY}) AS k FROM (SELECT *, {ranked('g', 20)} AS k0 FROM q)),
+    dy AS (SELECT symbol, d, ln(arg_max(close, ts) / nullif(arg_min(open, ts), 0)) AS rt FROM m GROUP BY 1, 2), dz AS (SELECT symbol, d, rt / nullif(CASE WHEN count(rt) OVER v >= 5 THEN stddev_samp(rt) OVER v END, 0) AS z FROM dy WINDOW v AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+    c AS (SELECT x.symbol, x.ts, x.d, x.mv, x.k, {', '.join(f"(SELECT min(ts::DATE) FROM e WHERE clock = '{e}' AND ts::DATE >= x.d) - x.d AS {e}_u, x.d - (SELECT max(ts::DATE) FROM e WHERE clock = '{e}' AND ts::DATE <= x.d) AS {e}_s, (epoch((SELECT min(ts) FROM e WHERE clock = '{e}' AND ts >= x.ts)) - epoch(x.ts)) / 3600.0 AS {e}_h" for e in ('ecb', 'fed'))} FROM x),
+    f AS (SELECT c.*, p.z AS ecb_z, o.z AS fed_z FROM c LEFT JOIN dz p ON p.symbol = c.symbol AND p.d = c.d - ecb_s::INT LEFT JOIN dz o ON o.symbol = c.symbol AND o.d = c.d - fed_s::INT)
+    SELECT symbol, ts, {_of_clock('ecb')}, {_of_clock('fed')}, {r('1 / (1 + ecb_u) - 1 / (1 + fed_u)', 'ecb_fed_convergence')}, {r(f"({_CYCLE.format('ecb')}) - ({_CYCLE.format('fed')})", 'ecb_fed_cycle_diff')} FROM f""")
+def calendar_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large events as decisions of two clocks."""
+    e = read(spark, sf_dir, "events").where("value > 300").select(F.when(F.col("event_type") < "p", "ecb").otherwise("fed").alias("clock"), "ts")
+    x = research.calendar_direction(bars(spark, sf_dir), e, ["ecb", "fed"], 3, (6, 40), 10)
+    kinds = ("prox_intraday", "pre_ramp", "post_ramp", "pre_momo", "day_momo", "post_cont", "pre_squeeze", "post_event_cont")
+    return rounded(x.select("symbol", "ts", *(f"{c}_{k}" for c in ("ecb", "fed") for k in kinds), "ecb_fed_convergence", "ecb_fed_cycle_diff"))
+
+
 @query("""WITH d AS (SELECT DISTINCT ts::DATE AS day FROM events), e AS (SELECT ts::DATE AS day, count(*) AS n FROM events WHERE value > 200 GROUP BY 1), x AS (SELECT d.day, coalesce(n, 0) AS n FROM d LEFT JOIN e ON d.day = e.day)
     SELECT day::TIMESTAMP AS day, n AS events, CASE WHEN count(*) OVER w = 3 THEN sum(n) OVER w END::BIGINT AS density FROM x WINDOW w AS (ORDER BY day ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)""")
 def event_day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnpike.functions.safe import clip, mean_n, ordered, rounded, sdiv
-from tarnpike.operators import evaluation, indicators, labels, models, simulation
+from tarnpike.functions.safe import mean_n, ordered, rounded, sdiv
+from tarnpike.operators import align, evaluation, indicators, labels, models, simulation
 from tarnpike.plans.market import bars, read
-from tarnpike.plans.sql import BARS, BY, DAILY, ahead, div, gated, lag, lead, mean, over, prev, r, with_atr
+from tarnpike.plans.sql import BARS, BY, DAILY, TRUE, ahead, div, gated, lag, lead, mean, over, prev, r, with_atr
 from tarnpike.sources import bars as src
 from tarnpike.streaming import bars as streams
 
@@ -36,6 +36,15 @@ def targeted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.regime_targets(indicators.atr_mean(bars(spark, sf_dir), 14), "atr_mean_14", 1.0, 0.5)
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with a made-up score from the length of the text, and its language."""
+    d, y = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return y.join(d.select("doc_id", "lang", "n_chars"), "doc_id").select("doc_id", "lang", F.col("quality").alias("y"), (F.col("n_chars") / (F.col("n_chars") + 1500.0)).alias("p"))
+
+
+_SCORED = "s AS (SELECT doc_id, lang, quality AS y, n_chars / (n_chars + 1500.0) AS p FROM labels JOIN documents USING (doc_id))"
+
+
 # labels -------------------------------------------------------------------------------------------------------------
 
 
@@ -87,19 +96,87 @@ def lookahead_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.lookahead_percentile(bars(spark, sf_dir), 4, 48, 0.8, 0.01, 0.5).select("symbol", "ts", "lookahead")
 
 
-@query(f"""WITH {BARS}, m AS (SELECT *, {mean('close', 20)} AS m, {gated('stddev_pop(close)', 'close', over(20), 20)} AS s FROM bars), b AS (SELECT *, m + 2 * s AS u, m - 2 * s AS d, coalesce(list({{'h': high, 'l': low}}) OVER {ahead(10)}, []) AS w FROM m),
-    f AS (SELECT *, (u - d) / 2 AS hb, coalesce(list_position(list_transform(w, lambda b: coalesce(b.l <= m, false)), true), 0) AS w1, coalesce(list_position(list_transform(w, lambda b: coalesce(b.h >= m, false)), true), 0) AS w2, coalesce(list_position(list_transform(w, lambda b: coalesce(b.h > close + 0.5 * (u - d) / 2, false)), true), 0) AS l1, coalesce(list_position(list_transform(w, lambda b: coalesce(b.l < close - 0.5 * (u - d) / 2, false)), true), 0) AS l2 FROM b),
-    g AS (SELECT *, CASE WHEN high >= u THEN w1 WHEN low <= d THEN w2 END AS win, CASE WHEN high >= u THEN l1 WHEN low <= d THEN l2 END AS lose FROM f) SELECT symbol, ts, CASE WHEN win IS NOT NULL THEN (win > 0 AND (lose = 0 OR win < lose))::INT END AS reversion FROM g""")
+def _first(cond: str) -> str:
+    return f"coalesce(list_position(list_transform(w, lambda b: coalesce({cond}, false)), true), 0)"
+
+
+_SIGNAL = f"""{BARS}, m AS (SELECT *, {gated('avg(close)', 'close', prev(20), 20)} AS m, {gated('stddev_samp(close)', 'close', prev(20), 20)} AS s, {lead('close', 10)} / nullif(close, 0) - 1 AS f, coalesce(list({{'h': high, 'l': low, 'i': hour(ts)}}) OVER {ahead(10)}, []) AS w0 FROM bars), b AS (SELECT *, close < m - s AS dn, close > m + s AS up, w0 AS w FROM m)"""
+_WON = lambda a, b: f"({a} > 0 AND ({b} = 0 OR {a} < {b}))::INT"
+
+
+@query(f"""WITH {_SIGNAL}, f AS (SELECT *, {_first('b.h >= m')} AS lw, {_first('b.l < close - 60')} AS ll, {_first('b.l <= m')} AS sw, {_first('b.h > close + 60')} AS sl FROM b), g AS (SELECT * REPLACE (w[1:4] AS w) FROM f), k AS (SELECT *, {_first('b.h - close >= 40')} AS fu, {_first('close - b.l >= 40')} AS fd FROM g),
+    z AS (SELECT symbol, ts, up, dn, f, CASE WHEN dn AND len(w) > 0 THEN {_WON('lw', 'll')} END AS ls, CASE WHEN up AND len(w) > 0 THEN {_WON('sw', 'sl')} END AS ss, CASE WHEN dn AND len(w) > 0 THEN {_WON('fu', 'fd')} END AS lf, CASE WHEN up AND len(w) > 0 THEN {_WON('fd', 'fu')} END AS sf FROM k)
+    SELECT symbol, ts, ls AS long_slow, ss AS short_slow, CASE WHEN ls = 1 THEN coalesce(lf, 0) ELSE 0 END AS long_fast, CASE WHEN ss = 1 THEN coalesce(sf, 0) ELSE 0 END AS short_fast, {r('CASE WHEN up OR dn THEN f END', 'reg')} FROM z""")
 def mean_reversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.mean_reversion(indicators.bollinger(bars(spark, sf_dir)), 10, 0.5).select("symbol", "ts", "reversion")
+    return shown(labels.mean_reversion(bars(spark, sf_dir), 10, 60.0, 40.0, 4, 20, 1.0), "long_slow", "short_slow", "long_fast", "short_fast", "reg")
+
+
+def _around(n: int) -> str:
+    return f"({BY} ROWS BETWEEN {n} PRECEDING AND {n} FOLLOWING)"
 
 
-@query(f"""WITH {_race(12)}, y AS (SELECT symbol, ts, CASE WHEN t IS NOT NULL THEN wl::INT END AS l, CASE WHEN t IS NOT NULL THEN ws::INT END AS s FROM o), a1 AS (SELECT *, CASE WHEN avg(s) OVER ({BY} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) >= 0.65 THEN 0 ELSE l END AS l2 FROM y), a2 AS (SELECT *, CASE WHEN avg(l2) OVER ({BY} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) >= 0.65 THEN 0 ELSE s END AS s2 FROM a1)
-    SELECT symbol, ts, l2 AS long, CASE WHEN l2 = 1 THEN coalesce(s2, 0) ELSE 0 END AS short FROM a2""")
+def _cleaned(label: str, other: str, n: int, against: str, name: str, source: str) -> str:
+    o = gated(f"avg({other})", other, _around(n), n)
+    return f"{name} AS (SELECT * REPLACE (CASE WHEN {label} = 1 AND coalesce({o} >= 0.65 OR ({against} AND {o} >= 0.65 * 0.7), false) THEN 0 ELSE {label} END AS {label}) FROM {source})"
+
+
+@query(f"""WITH {_race(12)}, y AS (SELECT symbol, ts, CASE WHEN t IS NOT NULL THEN wl::INT END AS long_slow, CASE WHEN t IS NOT NULL THEN ws::INT END AS short_slow, ({lead('close')} > close)::INT AS long_fast, ({lead('close')} < close)::INT AS short_fast, (volume >= 5)::INT AS tr, {lead('close', 3)} - close AS mv FROM o),
+    d AS (SELECT *, sign(avg(mv) OVER ({BY} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS side FROM y), a0 AS (SELECT *, tr = 1 AND coalesce(side < 0, false) AS cl, tr = 1 AND coalesce(side > 0, false) AS cs FROM d),
+    {_cleaned('long_fast', 'short_fast', 3, 'cl', 'a1', 'a0')}, {_cleaned('short_fast', 'long_fast', 3, 'cs', 'a2', 'a1')}, {_cleaned('long_slow', 'short_slow', 5, 'cl', 'a3', 'a2')}, {_cleaned('short_slow', 'long_slow', 5, 'cs', 'a4', 'a3')}
+    SELECT symbol, ts, long_fast, short_fast, long_slow, short_slow FROM a4""")
 def denoised_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long and short labels cleaned by their surroundings; the short one kept only where the long one is 1."""
-    x = labels.barrier_race(targeted(spark, sf_dir), 12).select("symbol", "ts", "long", "short")
-    return labels.mask_fast(labels.denoise(x, "long", "short", 3), "short", "long")
+    """Four labels cleaned by their surroundings, counter-trend ones sooner."""
+    w = ordered("symbol")
+    x = labels.barrier_race(targeted(spark, sf_dir), 12).withColumnsRenamed({"long": "long_slow", "short": "short_slow"})
+    ahead_ = lambda n: F.lead("close", n).over(w) - F.col("close")
+    x = x.withColumns({"long_fast": (ahead_(1) > 0).cast("int"), "short_fast": (ahead_(1) < 0).cast("int"), "tr": (F.col("volume") >= 5).cast("int"), "mv": ahead_(3)})
+    return labels.denoise(x, 3, 5, 0.65, "tr", "mv", 0.7).select("symbol", "ts", "long_fast", "short_fast", "long_slow", "short_slow")
+
+
+_WINDOWS = f"""n AS (SELECT *, floor(epoch(ts) / 28800)::BIGINT AS window_id, CASE WHEN volume >= 2 THEN 1 ELSE 0 END AS setup, {mean('close', 20)} AS trend, row_number() OVER ({BY}) AS i FROM a),
+    p AS (SELECT *, min(setup) OVER q = 1 AS ok, close - {lag('close')} AS d, coalesce(max(high) OVER {ahead(12)} - close >= 60, false) AS far FROM n WINDOW q AS (PARTITION BY symbol, window_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+@query(f"""WITH {with_atr(14)}, {_WINDOWS}, f AS (SELECT *, coalesce(max((d < 0 AND ok)::INT) OVER (PARTITION BY symbol, window_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS fell, coalesce(close < trend, false) AS lost FROM p),
+    e AS (SELECT *, coalesce(ok AND fell AND d > 0 AND close > open AND close - open <= 150, false) AND (lost OR far) AS ends FROM f), m AS (SELECT *, min(CASE WHEN ends THEN i END) OVER (PARTITION BY symbol, window_id) AS first FROM e) SELECT symbol, ts, (ends AND NOT lost AND i = first)::INT AS timing FROM m""")
+def first_higher_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.first_higher_low(_windowed(spark, sf_dir), "setup", "window_id", "trend", 60.0, 12, 150.0).select("symbol", "ts", "timing")
+
+
+def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = indicators.atr_mean(bars(spark, sf_dir), 14)
+    return b.withColumns({"window_id": F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 28800), "setup": (F.col("volume") >= 2).cast("int"), "trend": mean_n("close", ordered("symbol"), 20), "strength": F.col("close") / 4})
+
+
+@query(f"""WITH {with_atr(14)}, {_WINDOWS}, g AS (SELECT *, coalesce(ok AND close > trend AND (close - trend) / (atr + 1e-10) <= 2 AND close / 4 > 40 AND close > open AND (close - open) / (atr + 1e-10) >= 0.3 AND close - open <= 150 AND far, false) AS good FROM p),
+    f AS (SELECT *, min(CASE WHEN good THEN i END) OVER (PARTITION BY symbol, window_id) AS first FROM g), k AS (SELECT *, min(CASE WHEN good AND i >= first + 3 THEN i END) OVER (PARTITION BY symbol, window_id) AS second FROM f) SELECT symbol, ts, coalesce(good AND (i = first OR i = second), false)::INT AS timing FROM k""")
+def rebounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.rebounds(_windowed(spark, sf_dir), "setup", "window_id", "trend", "atr_mean_14", "strength", 60.0, 12, 150.0, gap=3).select("symbol", "ts", "timing")
+
+
+@query(f"""WITH {TRUE}, x AS (SELECT *, {gated('avg(tr)', 'tr', prev(14), 14)} AS a, CASE WHEN volume >= 6 THEN 1 WHEN volume >= 3 THEN 0 WHEN volume = 2 THEN -1 END AS regime FROM t)
+    SELECT symbol, ts, {r('a', 'label_atr')}, CASE WHEN regime <> 0 THEN (close > open)::INT WHEN regime = 0 THEN (close < open)::INT END AS routed FROM x WHERE a IS NOT NULL AND close IS NOT NULL""")
+def routed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean true range of the bars before, and a label routed by regime, on complete rows."""
+    v = F.col("volume")
+    x = labels.label_atr(bars(spark, sf_dir), 14).withColumns({"regime": F.when(v >= 6, 1).when(v >= 3, 0).when(v == 2, -1), "up": (F.col("close") > F.col("open")).cast("int"), "down": (F.col("close") < F.col("open")).cast("int")})
+    return shown(align.complete_cases(labels.route(x, "regime", "up", "down", "routed"), ["label_atr", "close"]), "label_atr", "routed")
+
+
+@query("""WITH n AS (SELECT doc_id, quality AS y, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM labels), f AS (SELECT unnest(range(1, 6)) AS fold), s AS (SELECT *, n - (6 - fold) * (n // 6) AS first FROM n, f)
+    SELECT fold, count(*) FILTER (i <= first - 4) AS train_rows, coalesce(sum(y) FILTER (i <= first - 4), 0)::BIGINT AS train_positives, count(*) FILTER (i BETWEEN first AND first + n // 6 - 1) AS test_rows, coalesce(sum(y) FILTER (i BETWEEN first AND first + n // 6 - 1), 0)::BIGINT AS test_positives, coalesce(sum(y) FILTER (i <= first - 4), 0) = 0 AS degenerate FROM s GROUP BY 1""")
+def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.label_coverage(read(spark, sf_dir, "labels"), "quality", "doc_id", 5, 3)
+
+
+@query("""SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, count(*) AS rows, count_if(o_totalprice > 400000)::BIGINT AS positives, round(avg((o_totalprice > 400000)::INT), 6) + 0.0 AS rate, count_if(o_totalprice > 400000) = 0 AS empty FROM orders GROUP BY 1""")
+def empty_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.empty_months(read(spark, sf_dir, "orders").withColumn("y", (F.col("o_totalprice") > 400000).cast("int")), "y", "o_orderdate"))
+
+
+@query(f"""WITH {_SCORED}, g AS (SELECT lang, count(*) AS n, avg((p - y) ** 2) AS b, avg(y) AS m FROM s GROUP BY 1) SELECT lang, n, {r('b', 'brier')}, {r('m * (1 - m)', 'reference')}, {r('1 - b / nullif(m * (1 - m), 0)', 'skill')} FROM g""")
+def brier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.brier(_scored(spark, sf_dir), "y", "p", ["lang"]))
 
 
 @query(f"""WITH {BARS}, e AS (SELECT *, abs(close - {lag('close')}) AS d FROM bars), f AS (SELECT *, {gated('sum(d)', 'd', over(20), 20)} AS p, abs(close - {lag('close', 20)}) AS mv, 100.0 * {gated('stddev_samp(close)', 'close', over(20), 20)} / nullif({mean('close', 20)}, 0) AS v, {mean('close', 50, 25)} AS m FROM e),
@@ -141,15 +218,6 @@ def time_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.time_folds(read(spark, sf_dir, "orders"), 5, 10, "o_orderdate")
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels with a made-up score from the length of the text, and its language."""
-    d, y = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    return y.join(d.select("doc_id", "lang", "n_chars"), "doc_id").select("doc_id", "lang", F.col("quality").alias("y"), (F.col("n_chars") / (F.col("n_chars") + 1500.0)).alias("p"))
-
-
-_SCORED = "s AS (SELECT doc_id, lang, quality AS y, n_chars / (n_chars + 1500.0) AS p FROM labels JOIN documents USING (doc_id))"
-
-
 @query(f"""WITH {_SCORED}, k AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY p) + (count(*) OVER (PARTITION BY lang, p) - 1) / 2.0 AS k FROM s), a AS (SELECT lang, count(*) AS n, sum(y)::BIGINT AS positives, sum(CASE WHEN y = 1 THEN k END) AS t FROM k GROUP BY 1)
     SELECT lang, n, positives, {r(div('t - positives * (positives + 1) / 2.0', 'positives::DOUBLE * (n - positives)'), 'auc')} FROM a""")
 def auc_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,18 +408,6 @@ def operating_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(simulation.operating_point(a.withColumn("place", F.col("arm")), ["fold"], 1000).select("fold", "arm", "trades", "total_pips", "regret"), 3)
 
 
-@query()
-def simulated_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades of three sets of rules on bars with made-up scores; the simulator is tested on hand-made cases."""
-    w = ordered("symbol")
-    rank = F.percent_rank().over(Window.partitionBy("symbol").orderBy("volume", "ts"))
-    b = bars(spark, sf_dir).withColumn("long_slow", clip(F.coalesce(F.avg("close").over(w.rowsBetween(-5, 0)) / 250, F.lit(0.0)), 0, 1)).withColumn("long_fast", rank)
-    b = b.withColumns({"short_slow": 1 - F.col("long_slow"), "short_fast": 1 - F.col("long_fast")})
-    arms = {f"stop_{s}": simulation.Rules(stop=s, target=3 * s, trail=s, breakeven=s, slow=0.5, fast=0.3, pip=1.0) for s in (20.0, 50.0, 100.0)}
-    x = simulation.simulate(b, arms)
-    return rounded(x.withColumns({k: F.col(k).cast("timestamp_ntz") for k in ("open_time", "close_time")}))
-
-
 # models and streams -------------------------------------------------------------------------------------------------
 
 

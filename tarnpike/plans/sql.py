@@ -59,3 +59,19 @@ TRUE = f"{BARS}, t AS (SELECT *, {TR} AS tr FROM bars)"
 def with_atr(n: int) -> str:
     """CTEs up to ``a``: bars with atr, the mean true range of n bars."""
     return f"{TRUE}, a AS (SELECT *, {mean('tr', n)} AS atr FROM t)"
+
+
+def with_wilder(*ns: int, more: str = "") -> str:
+    """CTEs up to ``a``: bars with rn and Wilder's mean true range, null in warm-up: atr, or atr_n of several. They need WITH RECURSIVE."""
+    walk = lambda n: f"""w{n} AS (SELECT symbol, {n}::BIGINT AS rn, avg(tr) AS y FROM numbered WHERE rn <= {n} GROUP BY symbol HAVING count(*) = {n}
+        UNION ALL SELECT m.symbol, m.rn, {1 / n!r} * m.tr + {1 - 1 / n!r} * w.y FROM w{n} w JOIN numbered m ON m.symbol = w.symbol AND m.rn = w.rn + 1)"""
+    names = {n: "atr" if len(ns) == 1 else f"atr_{n}" for n in ns}
+    joins = " ".join(f"LEFT JOIN w{n} ON w{n}.symbol = m.symbol AND w{n}.rn = m.rn" for n in ns)
+    return f"""{TRUE}, numbered AS (SELECT *, row_number() OVER ({BY}) AS rn FROM t), {', '.join(map(walk, ns))},
+    a AS (SELECT m.*, {', '.join(f'w{n}.y AS {x}' for n, x in names.items())}{more} FROM numbered m {joins})"""
+
+
+def ranked(x: str, least: int) -> str:
+    """Percent rank of x among the known values of the list x_list, ties at their average."""
+    known = f"list_filter({x}_list, lambda q: q IS NOT NULL)"
+    return f"CASE WHEN {x} IS NOT NULL AND len({known}) >= {least} THEN 100.0 * (len(list_filter({known}, lambda q: q < {x})) + (len(list_filter({known}, lambda q: q = {x})) + 1) / 2.0) / len({known}) END"

@@ -176,7 +176,7 @@ def test_features_do_not_look_ahead(spark):
     def features(x):
         x = indicators.volume_features(indicators.pullback(indicators.donchian(indicators.bollinger(x), 20), 6), 16)
         x = sequences.squeeze_breakout(sequences.jumps(sequences.breakout_close(x, 5, 14), 14, 5), 6, 40)
-        return indicators.rsi(indicators.macd(sequences.timing(x, 48, 14)))
+        return indicators.rsi(indicators.macd(sequences.timing(x, 4, 16, 48, 80, 12, 20, 0.01)))
 
     cols = [c for c in features(b).columns if c not in ("symbol", "ts", "open", "high", "low", "close", "volume", "mid")]
     at = F.col("ts") <= F.lit(cut)
@@ -187,7 +187,12 @@ def test_recursions_against_a_loop(spark):
     b = random_bars(spark)
     pdf = b.orderBy("ts").toPandas()
     want = pdf.close.ewm(span=12, adjust=False).mean() - pdf.close.ewm(span=26, adjust=False).mean()
-    assert values(indicators.macd(b), "macd") == pytest.approx(list(want))
+    assert values(indicators.macd(b), "macd")[:25] == [None] * 25 and values(indicators.macd(b), "macd")[25:] == pytest.approx(list(want)[25:])
+    gaps = b.withColumn("x", F.when(F.hour("ts") % 5 != 2, F.col("close") - 100))
+    x = gaps.orderBy("ts").toPandas().x.to_numpy(float)
+    for alpha, start in ((0.05, 1), (0.9, 3), (1 / 14, 14), (1.0, 1)):
+        got = np.array(values(safe.recursive_means(gaps, {"y": ("x", alpha, start)}), "y"), float)
+        assert got == pytest.approx(ewm(x, alpha, start), rel=1e-9, nan_ok=True)
     assert ewm(np.array([1.0, np.nan, 3.0]), 0.5) == pytest.approx([1, 1, 2])
     sql = values(indicators.ewm_in_sql(b, "close", 2 / 13, "y"), "y")
     assert sql == pytest.approx(list(pdf.close.ewm(span=12, adjust=False).mean()), rel=1e-9)
@@ -207,35 +212,6 @@ def test_mask_fast(spark):
     assert [r.f for r in labels.mask_fast(x, "f", "s").collect()] == [1, 0, 0, 0]
 
 
-def scored(spark, close, high=None, low=None, long=0.9):
-    return make(spark, close, high, low).withColumns({"long_slow": F.lit(long), "short_slow": F.lit(1 - long), "long_fast": F.lit(0.9), "short_fast": F.lit(0.9)})
-
-
-def test_simulator(spark):
-    r = simulation.Rules(stop=2, target=4, trail=100, breakeven=100, pip=1.0, most_bars=10)
-    up = simulation.simulate(scored(spark, [10, 11, 13, 15, 15]), {"a": r}).orderBy("open_time").collect()
-    assert [(t.exit_reason, t.pips, t.action) for t in up] == [("target", 4.0, "BUY"), ("end_of_data", 0.0, "BUY")][: len(up)]
-    down = simulation.simulate(scored(spark, [10, 9, 7, 7, 7], low=[10, 9, 6, 7, 7]), {"a": r}).collect()
-    assert [(t.exit_reason, t.close_price, t.pips) for t in down] == [("stop", 8.0, -2.0)]  # and no entry for the rest of the day
-    short = simulation.simulate(scored(spark, [10, 9, 6], long=0.1), {"a": r}).collect()
-    assert [(t.action, t.exit_reason) for t in short] == [("SELL", "target")]
-    assert simulation.simulate(scored(spark, [10.0]), {"a": r}).collect()[0].exit_reason == "end_of_data"
-
-
-def test_simulator_exits(spark):
-    base = dict(stop=20, target=50, trail=100, breakeven=100, pip=1.0, most_bars=10)
-    first = lambda df, **k: simulation.simulate(df, {"a": simulation.Rules(**base | k)}).orderBy("open_time").first()
-    up = scored(spark, [10, 15, 30, 25, 9])
-    assert first(up, harvest=4).exit_reason == "harvest" and first(up, most_bars=2).exit_reason == "time"
-    assert first(up.withColumns({"regime": F.lit(1), "atr": F.lit(2.0)}), chandelier=2).exit_reason == "chandelier"
-    assert (lambda t: (t.exit_reason, t.pips))(first(up, retest=5)) == ("retest", 0.0)
-    assert first(up, trail=4).exit_reason == "trail" and first(up, fast_reversal=0.9).exit_reason == "fast_reversal"
-    friday = up.withColumn("ts", F.col("ts") + F.expr("interval 4 days 20 hours"))
-    assert first(friday, weekend=20).exit_reason == "weekend"
-    moved = first(scored(spark, [10, 16, 12, 8]), breakeven=5)
-    assert (moved.exit_reason, moved.pips) == ("stop", 0.0)
-
-
 def test_costs_are_symmetric(spark):
     rows = [("BUY", 1.0, 1.01, 100.0, T0, T0), ("SELL", 1.01, 1.0, 100.0, T0, T0)]
     x = spark.createDataFrame(rows, "action string, open_price double, close_price double, notional double, open_time timestamp_ntz, close_time timestamp_ntz")
@@ -337,8 +313,11 @@ def test_run_names_and_checks(spark):
     x = spark.createDataFrame([("alpha_wf03_s7__bt2024",), ("beta",), ("g_s1_wf12",)], "name string")
     got = [(r.base, r.fold, r.seed, r.test) for r in research.run_name_parts(x, "name").collect()]
     assert got == [("alpha", 3, 7, "2024"), ("beta", None, None, None), ("g", 12, 1, None)]
-    y = spark.createDataFrame([(20, 85.0, -1.0, 40.0)], "trades int, win_rate double, total_pips double, stop_share double")
-    assert {r.check: r.status for r in research.health_checks(y).collect()} == {"trades": "WARN", "win_rate": "WARN", "pips": "FAIL", "stops": "WARN"}
+    names = "cv_accuracy double, trades int, win_rate double, total_pnl double, stop_share double, buy_pnl double, sell_pnl double, features int, features_selected int"
+    checks = lambda *row: {r.check: r.status for r in research.health_checks(spark.createDataFrame([row], names)).collect()}
+    assert checks(0.55, 20, 85.0, -1.0, 30.0, 5.0, -6.0, 100, 50) == {"cv_accuracy": "WARN", "trades": "WARN", "win_rate": "WARN", "total_pnl": "FAIL", "stops": "WARN", "balance": "WARN", "selection": "WARN"}
+    assert checks(0.56, 30, 75.0, 1.0, 29.9, 5.0, 6.0, 100, 51) == dict.fromkeys(("cv_accuracy", "trades", "win_rate", "total_pnl", "stops", "balance", "selection"), "PASS")
+    assert checks(0.52, 14, 78.0, None, 50.0, -5.0, 0.0, None, 3) == dict.fromkeys(("cv_accuracy", "trades", "win_rate", "stops", "balance"), "FAIL")
     z = spark.createDataFrame([(1, '{"a": {"b": 1, "c": "x"}, "d": 2.5, "e": "NaN"}'), (2, None), (3, "no json")], "id int, j string")
     assert {(r.id, r.metric, r.value) for r in research.flat_metrics(z, ["id"], "j").collect()} == {(1, "a/b", 1.0), (1, "d", 2.5)}
 
@@ -415,3 +394,37 @@ def test_armed_race_in_both_forms(spark):
         slow, fast = (values(f(b, h, arm="arm"), "long", "short") for f in (labels.barrier_race, labels.barrier_race_fast))
         assert slow == fast
     assert values(labels.barrier_race(b, 6, arm="arm"), "long") != values(labels.barrier_race(b, 6), "long")
+
+
+def test_long_recursions_cross_blocks(spark):
+    """Thousands of values: many blocks of the fastest mean, some of the slowest."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=3000)
+    b = spark.createDataFrame([("A", T0 + dt.timedelta(hours=i), float(v)) for i, v in enumerate(x)], "symbol string, ts timestamp_ntz, x double")
+    got = safe.recursive_means(b, {"a": ("x", 0.5, 1), "b": ("x", 1 / 14, 14), "c": ("x", 0.01, 1)}).orderBy("ts").toPandas()
+    for name, alpha, start in (("a", 0.5, 1), ("b", 1 / 14, 14), ("c", 0.01, 1)):
+        assert got[name].to_numpy(float) == pytest.approx(ewm(x, alpha, start), rel=1e-7, abs=1e-10, nan_ok=True)
+
+
+def test_event_scores_by_hand(spark):
+    """True range 2 in every bar, so that scores can be read off."""
+    rows = [(10, 12, 10, 11), (11, 13, 11, 12), (12, 14, 12, 13.5), (13.5, 15.5, 13.5, 15), (15, 15.5, 13.5, 14)]
+    b = spark.createDataFrame([("A", T0 + dt.timedelta(hours=i), *map(float, x), 1.0, 0.0) for i, x in enumerate(rows)], "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double, mid double")
+    x = sequences.bursts(sequences.impulse_burst(b, 2, 2), 2, 2)
+    assert values(x, "atr_2") == [None, 2, 2, 2, 2]
+    # bodies 1, 1, 1.5, 1.5, -1 over ranges of 2: sum / 2 true ranges times |sum| / sum of ranges
+    assert values(x, "impulse_burst_2_2") == [None, 0.0, 2.5 / 2 * (2.5 / 4), 3 / 2 * (3 / 4), 0.0]
+    assert values(x, "impulse_london_2_2") == [0.0] * 5  # at night
+    assert values(x, "micro_burst_2_2") == [None, 1.0, 1.25, 1.5, 0.0]
+    assert values(sequences.jumps(b, 2, 1, 0.7), "jump_reversion_2") == [None, 0.0, -0.75, -0.75, 0.0]
+    assert values(sequences.break_retest(b, 2, 2), "failed_break_2_2")[-1] == (14 - 14) / 2 == 0.0
+
+
+def test_first_higher_low_by_hand(spark):
+    """A fall, then the first rising bar with a rising body, whose move ahead is large enough; one a window, none after the trend broke."""
+    close = [10, 9, 9.5, 9.6, 12]
+    b = make(spark, close, high=[10, 9.5, 9.6, 9.7, 12], low=[9, 8.5, 9, 9, 9])
+    b = b.withColumns({"open": F.col("close") - 0.1, "window_id": F.lit(1), "setup": F.lit(1), "trend": F.lit(5.0)})
+    assert values(labels.first_higher_low(b, "setup", "window_id", "trend", 2.0, 5, 35.0), "timing") == [0, 0, 1, 0, 0]
+    assert values(labels.first_higher_low(b.withColumn("trend", F.lit(9.55)), "setup", "window_id", "trend", 2.0, 5, 35.0), "timing") == [0] * 5
+    assert values(labels.first_higher_low(b.withColumn("setup", (F.col("close") < 10).cast("int")), "setup", "window_id", "trend", 2.0, 5, 35.0), "timing") == [0] * 5

@@ -1,5 +1,11 @@
 """Every registered query: against its SQL where it has one, else that it gives rows."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from oracle import assert_same, connection
 
@@ -38,3 +44,14 @@ def test_models_score_every_symbol(spark, duck):
     states = registry.QUERIES["regime_mixture"](spark, SF).toPandas()
     assert set(states.symbol) == symbols
     assert states.groupby("symbol").share.sum().to_numpy() == pytest.approx(1.0)
+
+
+def test_the_rest_works_without_the_text_operators(tmp_path):
+    """A copy without the text operators, their tests and with or without the pipeline's file still has all other queries."""
+    root = Path(__file__).resolve().parents[1]
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
+    for pipeline in (True, False):
+        copy = tmp_path / f"copy_{pipeline}"
+        shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache", *([] if pipeline else ["corpus_pipeline.py"])))
+        done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
+        assert done.returncode == 0, done.stderr
