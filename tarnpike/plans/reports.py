@@ -43,7 +43,7 @@ def _ev(score: str, cond: str) -> str:
 
 def _of_clock(e: str) -> str:
     pre, post, u, s = _PRE.format(e), _POST.format(e), f"{e}_u", f"{e}_s"
-    return ", ".join(r(x, f"{e}_{n}") for n, x in {"prox_intraday": f"1 / (1 + {e}_h / 24.0)", "pre_ramp": _ev(f"1 / (1 + {u})", pre), "post_ramp": _ev(f"1 / (1 + {s})", post), "pre_momo": _ev("mv", pre), "day_momo": _ev("mv", f"{u} = 0"), "post_cont": _ev("mv", post), "pre_squeeze": f"CASE WHEN k IS NOT NULL THEN {_ev('mv', f'{pre} AND k <= 20')} END", "post_event_cont": _ev(f"{e}_z", post)}.items())
+    return ", ".join(r(x, f"{e}_{n}") for n, x in {"prox_intraday": f"1 / (1 + {e}_h / 24.0)", "pre_ramp": _ev(f"1 / (1 + {u})", pre), "post_ramp": _ev(f"1 / (1 + {s})", post), "pre_momo": _ev("mv", pre), "day_momo": _ev("mv", f"{u} = 0"), "post_cont": _ev("mv", post), "pre_squeeze": f"CASE WHEN k IS NOT NULL AND {u} IS NOT NULL THEN {_ev('mv', f'{pre} AND k <= 20')} END", "post_event_cont": _ev(f"{e}_z", post)}.items())
 
 
 @query(f"""WITH RECURSIVE {with_wilder(3)}, e AS (SELECT {_CLOCK} AS clock, ts FROM events WHERE value > 300), m AS (SELECT *, ts::DATE AS d, (close - {lag('close', 3)}) / nullif(atr, 0) AS mv0, {gated('max(high)', 'high', over(6), 6)} - {gated('min(low)', 'low', over(6), 6)} AS g FROM a),
