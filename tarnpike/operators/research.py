@@ -65,7 +65,7 @@ def calendar_direction(bars: DataFrame, events: DataFrame, names: list[str], k:
     wide = clocks.groupBy("day").agg(*(F.max(F.when(F.col("clock") == e, F.col(v))).alias(f"_{e}_{v}") for e in names for v in ("until", "since")))
     x = x.join(wide.withColumnRenamed("day", "_day"), "_day", "left")
     at = asof(x.select("ts").distinct().withColumn("clock", F.explode(F.array(*map(F.lit, names)))), events.select("clock", "ts", F.col("ts").alias("_at")), ["_at"], ["clock"], forward=True)
-    hours = at.groupBy("ts").agg(*(F.max(F.when(F.col("clock") == e, (F.unix_seconds(F.col("_at").cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))) / 3600.0)).alias(f"_{e}_hours") for e in names))
+    hours = at.groupBy("ts").agg(*(F.max(F.when(F.col("clock") == e, (F.unix_micros(F.col("_at").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 3.6e9)).alias(f"_{e}_hours") for e in names))
     x = x.join(hours, "ts", "left")
     for e in names:
         u, s, m = F.col(f"_{e}_until"), F.col(f"_{e}_since"), F.col("_m")
