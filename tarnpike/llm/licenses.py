@@ -3,7 +3,7 @@
 Licence notices are short word templates. An index holds, for the rarest words of each template, where they stand in it: so many that
 the others alone never have the weight that must agree. Each template whose mandatory phrase a text has is looked up by every indexed word
 of the text; a posting says at which place the template would begin; at every such place it is laid over the text, and its label counts
-if enough of its weight agrees. So every place of every template is found. All of it happens within a row: nothing is shuffled
+if enough of its weight agrees and the phrase stands within it there. So every place of every template is found. All of it happens within a row: nothing is shuffled
 but the document counts of the templates' words.
 """
 
@@ -40,6 +40,13 @@ TEMPLATES = [
     ("cc0", "dedicated to the public domain under the creative commons cc0", "creative commons cc0"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "released into the public domain"),
     ("isc", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache license"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "on an as is basis"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products"),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "either version 3 of the license"),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "either version 2 of the license"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mozilla public license"),
     ("proprietary", "copyright all rights reserved unauthorized copying of this file is strictly prohibited", "unauthorized copying"),
 ]
 
@@ -100,7 +107,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lookup = F.array(*(F.create_map(*(x for w, at in _indexed(ws, idf).items() for x in (F.lit(w), F.array(*(F.lit(t * _STEP + _BEFORE - p) for p in at))))) for t, ws in enumerate(cut)))
     indexed = F.array(*(F.array(*(F.lit(w) for w in _indexed(ws, idf))) for ws in cut))
     laid = F.array(*(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(w).alias("w"), F.lit(idf[w] / sum(idf[x] for x in ws)).alias("part")) for p, w in enumerate(ws))) for ws in cut))
-    label = F.array(*(F.lit(x) for x, _, _ in templates))
+    label, length, phrase = (F.array(*map(F.lit, x)) for x in ([x for x, _, _ in templates], map(len, cut), [f" {x} " for _, _, x in templates]))
 
     base = "(?: " + "| ".join(BASE) + ")(?= )"
     a = rows.select("doc_id", _words(F.col("text")).alias("norm"))
@@ -119,9 +126,16 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         of, begin = F.shiftright(s, 32).cast("int"), (s.bitwiseAND(_STEP - 1) - _BEFORE).cast("int")
         here = lambda e: (begin + e["p"] >= 0) & (F.get("words", F.greatest(begin + e["p"], F.lit(0))) == e["w"])
         share = F.aggregate(F.get(laid, of), F.lit(0.0), lambda x, e: x + F.when(here(e), e["part"]).otherwise(0.0))
-        return F.struct(F.get(label, of).alias("label"), begin.alias("word"), F.round(share, 6).alias("share"))
+        return F.struct(of.alias("of"), begin.alias("word"), F.round(share, 6).alias("share"))
 
-    laid_over = F.filter(F.transform("starts", agreeing), lambda x: x["share"] >= AGREES)
+    def phrase_there(x: Column) -> Column:
+        """Whether the words that a template would cover have its mandatory phrase."""
+        first = F.greatest(x["word"], F.lit(0))
+        covered = F.slice("words", first + 1, F.greatest(x["word"] + F.get(length, x["of"]) - first, F.lit(0)))
+        return F.contains(F.concat(F.lit(" "), F.array_join(covered, " "), F.lit(" ")), F.get(phrase, x["of"]))
+
+    agreed = F.filter(F.transform("starts", agreeing), lambda x: x["share"] >= AGREES)
+    laid_over = F.transform(F.filter(agreed, phrase_there), lambda x: F.struct(F.get(label, x["of"]).alias("label"), x["word"].alias("word"), x["share"].alias("share")))
     e = d.withColumn("places", F.when(F.size("starts") == 0, F.array().cast("array<struct<label:string,word:int,share:double>>")).otherwise(laid_over))
     own = F.filter(F.array(*(F.when(F.contains(F.col("norm"), F.lit(f" {p} ")), F.lit(x)) for p, x in BASE.items())), lambda x: x.isNotNull())
     f = e.withColumn("own", F.array_sort(F.array_distinct(own)))
