@@ -7,6 +7,7 @@ losslessly as such files, 8-bit samples in one track, and ``stored_payload`` rea
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import struct
@@ -23,6 +24,7 @@ from ._shared import ready
 #: bytes of a sample; samples in a chunk; each so many samples one is marked as a keyframe
 SAMPLE, CHUNK, KEY_EVERY = 192, 16, 8
 TIMESCALE, PER_SAMPLE = 8000, 192  #: 8-bit mono at 8 kHz: one byte is one tick
+DEEPEST = 32  #: levels of boxes that are followed
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"mvex", b"moof", b"traf"}
 
 
@@ -75,10 +77,13 @@ def write_media(payload: bytes) -> bytes:
     return head + payload
 
 
-def boxes(raw: bytes, start: int = 0, end: int | None = None, path: str = "") -> Iterator[tuple[str, int, int]]:
-    """(path, first byte of the body, end) of every box, outer ones first. ValueError where sizes do not fit."""
-    end = len(raw) if end is None else end
-    while start < end:
+def boxes(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """(path, first byte of the body, end) of every box, outer ones first. ValueError where sizes do not fit or boxes are nested beyond DEEPEST."""
+    open_ = [(0, len(raw), "", 0)]
+    while open_:
+        start, end, path, depth = open_.pop()
+        if start >= end:
+            continue
         if end - start < 8:
             raise ValueError("bytes after the last box")
         size, kind = struct.unpack_from(">I4s", raw, start)
@@ -93,9 +98,11 @@ def boxes(raw: bytes, start: int = 0, end: int | None = None, path: str = "") ->
             raise ValueError("a box is larger than its parent")
         name = f"{path}/{kind.decode('latin-1')}"
         yield name, body, start + size
+        open_.append((start + size, end, path, depth))  # what follows, after what is inside
         if kind in CONTAINERS:
-            yield from boxes(raw, body, start + size, name)
-        start += size
+            if depth >= DEEPEST:
+                raise ValueError("boxes are nested too deep")
+            open_.append((body, start + size, name, depth + 1))
 
 
 def _table(raw: bytes, at: int, end: int, fmt: str) -> list[tuple]:
@@ -107,17 +114,128 @@ def _table(raw: bytes, at: int, end: int, fmt: str) -> list[tuple]:
     return list(struct.iter_unpack(">" + fmt, raw[at + 8 : at + 8 + n * width]))
 
 
+def _sizes(raw: bytes, at: int, end: int, packed: bool) -> list[int]:
+    """Sample sizes of a stsz or stz2 box."""
+    size, n = struct.unpack_from(">II", raw, at + 4)
+    if packed:
+        bits = size & 0xFF
+        if bits not in (4, 8, 16):
+            raise ValueError("sizes of no known width")
+        if at + 12 + (n * bits + 7) // 8 > end:
+            raise ValueError("a table is cut off")
+        if bits == 16:
+            return [x[0] for x in struct.iter_unpack(">H", raw[at + 12 : at + 12 + 2 * n])]
+        return list(raw[at + 12 : at + 12 + n]) if bits == 8 else [raw[at + 12 + i // 2] >> 4 * (1 - i % 2) & 15 for i in range(n)]
+    if size == 0 and at + 12 + 4 * n > end:
+        raise ValueError("a table is cut off")
+    if size and size * n > len(raw):
+        raise ValueError("more samples than bytes")
+    return [size] * n if size else [x[0] for x in struct.iter_unpack(">I", raw[at + 12 : at + 12 + 4 * n])]
+
+
+def _in_chunks(t: dict) -> list[tuple[int, int]]:
+    """(offset, size) of the samples that the tables of a track place in chunks."""
+    samples, s = [], 0
+    for i, (first, per, _) in enumerate(t["runs"]):
+        until = t["runs"][i + 1][0] if i + 1 < len(t["runs"]) else len(t["chunks"]) + 1
+        for chunk in range(first, until):
+            at = t["chunks"][chunk - 1] if 0 < chunk <= len(t["chunks"]) else -1
+            if at < 0:
+                raise ValueError("a chunk without an offset")
+            for size in t["sizes"][s : s + per]:
+                samples.append((at, size))
+                at += size
+            s += per
+    if len(samples) != len(t["sizes"]):
+        raise ValueError("samples outside the file")
+    return samples
+
+
+def _starts(deltas: list[tuple[int, int]], places: list[int]) -> list[int]:
+    """Decoding times of samples by a table of (count, duration); its runs are never written out."""
+    ends, total = [0], [0]
+    for n, d in deltas:
+        ends.append(ends[-1] + n)
+        total.append(total[-1] + n * d)
+    out = []
+    for k in places:
+        i = min(max(0, bisect.bisect_right(ends, k) - 1), len(deltas) - 1)
+        out.append(total[i] + (k - ends[i]) * deltas[i][1] if deltas else 0)
+    return out
+
+
+def _fragment(raw: bytes, at: int, end: int, f: dict) -> tuple[list[tuple[int, int]], list[int], list[bool]]:
+    """(offset, size), duration and whether it can be decoded alone, of the samples of one trun box; ``f`` has the defaults and where data goes on."""
+    flags, n = struct.unpack_from(">I", raw, at)[0] & 0xFFFFFF, struct.unpack_from(">I", raw, at + 4)[0]
+    p = at + 8
+    if flags & 0x1:
+        f["next"] = f["base"] + struct.unpack_from(">i", raw, p)[0]
+        p += 4
+    first = None
+    if flags & 0x4:
+        first = struct.unpack_from(">I", raw, p)[0]
+        p += 4
+    fields = [k for k in (0x100, 0x200, 0x400, 0x800) if flags & k]
+    if p + 4 * len(fields) * n > end or n > len(raw):
+        raise ValueError("a run of samples is cut off")
+    samples, durations, alone = [], [], []
+    for i in range(n):
+        row = dict(zip(fields, struct.unpack_from(f">{len(fields)}I", raw, p), strict=True))
+        p += 4 * len(fields)
+        size = row.get(0x200, f["size"])
+        own = row.get(0x400, first if i == 0 and first is not None else f["flags"])
+        samples.append((f["next"], size))
+        durations.append(row.get(0x100, f["duration"]))
+        alone.append(not own & 0x10000)
+        f["next"] += size
+    return samples, durations, alone
+
+
 def tracks(raw: bytes) -> list[dict]:
-    """Per track: handler, codec, timescale, duration, n_samples, samples [(offset, size)], keyframes (indexes from 0)."""
+    """Per track: track_id, handler, codec, timescale, duration, n_samples, samples [(offset, size)], keyframes (indexes from 0) and their times.
+
+    Samples are those of the track's tables and, after them, those of movie fragments.
+    """
     found: list[dict] = []
+    defaults: dict[int, tuple[int, int, int]] = {}  # by track: duration, size and flags of a fragment's samples
+    moof, f = 0, None
     for path, at, end in boxes(raw):
         name = path.rsplit("/", 1)[1]
         if path == "/moov/trak":
-            found.append({"handler": None, "codec": None, "timescale": 0, "duration": 0, "sizes": [], "chunks": [], "runs": [], "keys": None, "delta": []})
+            found.append({"track_id": None, "handler": None, "codec": None, "timescale": 0, "duration": 0, "sizes": [], "chunks": [], "runs": [], "keys": None, "delta": [], "more": ([], [], [])})
+        elif path == "/moov/mvex/trex":
+            track, _, *rest = struct.unpack_from(">IIIII", raw, at + 4)
+            defaults[track] = tuple(rest)
+        elif path == "/moof":
+            moof = at - (16 if raw[at - 16 : at - 12] == b"\0\0\0\1" and raw[at - 12 : at - 8] == b"moof" else 8)
+        elif path == "/moof/traf/tfhd":
+            flags, track = struct.unpack_from(">I", raw, at)[0] & 0xFFFFFF, struct.unpack_from(">I", raw, at + 4)[0]
+            duration, size, own = defaults.get(track, (0, 0, 0))
+            p, base = at + 8, moof
+            if flags & 0x1:
+                base, p = struct.unpack_from(">Q", raw, p)[0], p + 8
+            p += 4 * bool(flags & 0x2)
+            if flags & 0x8:
+                duration, p = struct.unpack_from(">I", raw, p)[0], p + 4
+            if flags & 0x10:
+                size, p = struct.unpack_from(">I", raw, p)[0], p + 4
+            if flags & 0x20:
+                own = struct.unpack_from(">I", raw, p)[0]
+            owner = next((t for t in found if t["track_id"] == track), None)
+            if owner is None:
+                raise ValueError("a fragment of no track")
+            f = {"of": owner, "base": base, "next": base, "duration": duration, "size": size, "flags": own}
+        elif path == "/moof/traf/trun":
+            if f is None:
+                raise ValueError("a run of samples without a header")
+            for kept, new in zip(f["of"]["more"], _fragment(raw, at, end, f), strict=True):
+                kept.extend(new)
         if not found or "/trak/" not in path:
             continue
         t = found[-1]
-        if name == "mdhd":
+        if name == "tkhd":
+            t["track_id"] = struct.unpack_from(">I", raw, at + (20 if raw[at] else 12))[0]
+        elif name == "mdhd":
             t["timescale"], t["duration"] = struct.unpack_from(">IQ", raw, at + 20) if raw[at] else struct.unpack_from(">II", raw, at + 12)
         elif name == "hdlr":
             t["handler"] = raw[at + 8 : at + 12].decode("latin-1")
@@ -127,36 +245,31 @@ def tracks(raw: bytes) -> list[dict]:
             t["delta"] = _table(raw, at, end, "II")
         elif name == "stsc":
             t["runs"] = _table(raw, at, end, "III")
-        elif name == "stsz":
-            size, n = struct.unpack_from(">II", raw, at + 4)
-            if size == 0 and at + 12 + 4 * n > end:
-                raise ValueError("a table is cut off")
-            if size and size * n > len(raw):
-                raise ValueError("more samples than bytes")
-            t["sizes"] = [size] * n if size else [x[0] for x in struct.iter_unpack(">I", raw[at + 12 : at + 12 + 4 * n])]
+        elif name in ("stsz", "stz2"):
+            t["sizes"] = _sizes(raw, at, end, name == "stz2")
         elif name in ("stco", "co64"):
             t["chunks"] = [x[0] for x in _table(raw, at, end, "I" if name == "stco" else "Q")]
         elif name == "stss":
             t["keys"] = [x[0] - 1 for x in _table(raw, at, end, "I")]
     out = []
     for t in found:
-        samples, s = [], 0
-        for i, (first, per, _) in enumerate(t["runs"]):
-            until = t["runs"][i + 1][0] if i + 1 < len(t["runs"]) else len(t["chunks"]) + 1
-            for chunk in range(first, until):
-                at = t["chunks"][chunk - 1] if 0 < chunk <= len(t["chunks"]) else -1
-                if at < 0:
-                    raise ValueError("a chunk without an offset")
-                for size in t["sizes"][s : s + per]:
-                    samples.append((at, size))
-                    at += size
-                s += per
-        if len(samples) != len(t["sizes"]) or any(a + b > len(raw) for a, b in samples):
-            raise ValueError("samples outside the file")
+        samples = _in_chunks(t)
         keys = t["keys"] if t["keys"] is not None else list(range(len(samples)))  # without a table all are
         if any(not 0 <= k < len(samples) for k in keys):
             raise ValueError("a keyframe that is no sample")
-        out.append({k: t[k] for k in ("handler", "codec", "timescale", "duration")} | {"n_samples": len(samples), "samples": samples, "keyframes": keys})
+        times = _starts(t["delta"], keys)
+        more, durations, alone = t["more"]
+        clock = sum(n * d for n, d in t["delta"])
+        keys, times = list(keys), list(times)
+        for i, (d, key) in enumerate(zip(durations, alone, strict=True)):
+            if key:
+                keys.append(len(samples) + i)
+                times.append(clock)
+            clock += d
+        samples = samples + more
+        if any(a < 0 or a + b > len(raw) for a, b in samples):
+            raise ValueError("samples outside the file")
+        out.append({k: t[k] for k in ("track_id", "handler", "codec", "timescale")} | {"duration": t["duration"] or clock, "n_samples": len(samples), "samples": samples, "keyframes": keys, "times": times})
     return out
 
 
@@ -165,31 +278,41 @@ def stored_payload(raw: bytes) -> bytes:
     return b"".join(raw[a : a + n] for a, n in tracks(raw)[0]["samples"])
 
 
-_COLUMNS = "media_bytes long, media_error string, handler string, codec string, timescale long, duration long, seconds double, n_samples long, keyframes array<struct<offset:long,length:long>>"
+_COLUMNS = "media_bytes long, media_error string, handler string, codec string, timescale long, duration long, seconds double, n_samples long, keyframes array<struct<offset:long,length:long>>, tracks array<struct<track_id:long,handler:string,codec:string,timescale:long,duration:long,seconds:double,n_samples:long,keyframes:array<struct<offset:long,length:long,seconds:double>>>>"
 
 
 def _described(raw: bytes | None) -> dict:
-    row = dict.fromkeys(("media_bytes", "media_error", "handler", "codec", "timescale", "duration", "seconds", "n_samples", "keyframes"))
+    row = dict.fromkeys(("media_bytes", "media_error", "handler", "codec", "timescale", "duration", "seconds", "n_samples", "keyframes", "tracks"))
     if raw is None:
         return row
     row["media_bytes"] = len(raw)
     try:
-        t = next(iter(tracks(raw)), None)
+        every = tracks(raw)
+        t = next(iter(every), None)
     except (ValueError, struct.error, IndexError) as e:
         return row | {"media_error": str(e) or "cut off"}
     if t is None:
         return row | {"media_error": "no track"}
+    row["tracks"] = [
+        {k: x[k] for k in ("track_id", "handler", "codec", "timescale", "duration", "n_samples")}
+        | {"seconds": x["duration"] / x["timescale"] if x["timescale"] else None}
+        | {"keyframes": [{"offset": x["samples"][k][0], "length": x["samples"][k][1], "seconds": at / x["timescale"] if x["timescale"] else None} for k, at in zip(x["keyframes"], x["times"], strict=True)]}
+        for x in every
+    ]
     row |= {k: t[k] for k in ("handler", "codec", "timescale", "duration", "n_samples")}
     return row | {"seconds": t["duration"] / t["timescale"] if t["timescale"] else None, "keyframes": [{"offset": t["samples"][k][0], "length": t["samples"][k][1]} for k in t["keyframes"]]}
 
 
-_ARROW = pa.struct([("media_bytes", pa.int64()), ("media_error", pa.string()), ("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("seconds", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])))])
+_KEYS = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("seconds", pa.float64())]))
+_TRACK = pa.struct([("track_id", pa.int64()), ("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("seconds", pa.float64()), ("n_samples", pa.int64()), ("keyframes", _KEYS)])
+_ARROW = pa.struct([("media_bytes", pa.int64()), ("media_error", pa.string()), ("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("seconds", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))), ("tracks", pa.list_(_TRACK))])
 
 
 def media_columns(files: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """(id, media_bytes, media_error, handler, codec, timescale, duration, seconds, n_samples, keyframes) of the first track.
+    """(id, media_bytes, media_error, handler, codec, timescale, duration, seconds, n_samples, keyframes, tracks).
 
-    Null files have nulls; empty, cut off or contradictory ones have media_error and nulls. Rows come back as often as they came;
+    tracks has all tracks, with keyframes' byte ranges and times; the columns before it are those of the first. Samples of movie fragments count.
+    Null files have nulls; empty, cut off or contradictory ones, and those nested beyond DEEPEST, have media_error and nulls. Rows come back as often as they came;
     columns beside the two are ignored; an empty table gives an empty result.
     """
 
@@ -210,7 +333,8 @@ def padded(text: bytes) -> bytes:
 
 
 def texts_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, media): each text's UTF-8 bytes, padded with spaces, as an ISO media file. Null texts count as empty."""
+    """(doc_id, media): each text's UTF-8 bytes, padded with spaces, as an ISO media file. Null texts count as empty; null ids and repeated rows
+    stay as they came; other columns are ignored; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
