@@ -1,16 +1,18 @@
 """Token counts: a map-side lookup in two tiers, so that no pre-token is shuffled.
 
 The first tier is a broadcast table of the token counts of frequent pre-tokens: FREQUENT entries at most,
-whatever the input. It is picked by a pass over all texts in which every task keeps a bounded summary of
-its own pre-tokens; only these summaries are added up. The second tier is a bounded cache in each worker, which
-encodes what the table lacks with the tokenizer's library. Which pre-tokens are in a tier changes the speed alone.
+whatever the input. They are picked from a sample of about SAMPLE_BYTES of texts, counted on the driver. The second tier is a bounded cache in
+each worker, kept for its later tasks, which encodes what the table lacks with the tokenizer's library. Which pre-tokens are in a tier
+changes the speed alone; all texts are counted whole.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
@@ -21,8 +23,8 @@ from ._shared import ready
 from .piece_model import read_model
 from .segments import segments
 
-#: entries of the broadcast table; entries that one task reports; pre-tokens that one task holds while counting
-FREQUENT, REPORTED, HELD = 40_000, 4_096, 200_000
+#: entries of the broadcast table; bytes of the texts that they are picked from, about
+FREQUENT, SAMPLE_BYTES = 40_000, 8 << 20
 #: pre-tokens in a worker's cache, and the longest that it keeps
 CACHED, LONGEST = 400_000, 64
 #: texts longer than so many characters are cut into segments a part at a time
@@ -42,16 +44,42 @@ def _parts(text: str) -> Iterator[list[str]]:
         at = end
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's sampled pre-tokens that come more than once."""
     counts: Counter[str] = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
             for part in _parts(text or ""):
                 counts.update(part)
-            if len(counts) > HELD:
-                counts = Counter(dict(counts.most_common(HELD // 4)))
-    top = [(x, n) for x, n in counts.most_common(REPORTED) if n > 1 and len(x) <= LONGEST]
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["pre_token", "times"])
+    often = [(x, n) for x, n in counts.items() if n > 1 and len(x) <= LONGEST]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], ["pre_token", "times"])
+
+
+def _frequent(texts_: DataFrame) -> list[str]:
+    """The most frequent pre-tokens of a sample that is bounded in bytes, however large the table."""
+    size = texts_.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sample = texts_ if size <= SAMPLE_BYTES else texts_.sample(SAMPLE_BYTES / size, seed=1)
+    counts: Counter[str] = Counter()
+    for r in sample.mapInArrow(_sampled, "pre_token string, times long").collect():
+        counts[r.pre_token] += r.times
+    return [x for x, _ in sorted(counts.items(), key=lambda e: (-e[1], e[0]))[:FREQUENT]]
+
+
+class _Worker:
+    """The tokenizer and the tiers of one worker process; the second one goes on from task to task."""
+
+    _kept: tuple[str, _Worker] | None = None
+
+    def __init__(self, raw: bytes, pre_tokens: str, sizes: bytes):
+        self.lengths, self.whole = _encoder(raw)
+        self.frequent = dict(zip(pre_tokens.split("\0"), np.frombuffer(sizes, np.uint16).tolist(), strict=True)) if sizes else {}
+        self.known = dict(self.frequent)
+
+    @classmethod
+    def of(cls, key: str, raw, table) -> _Worker:
+        if cls._kept is None or cls._kept[0] != key:
+            cls._kept = key, cls(raw.value, *table.value)
+        return cls._kept[1]
 
 
 def _encoder(raw: bytes):
@@ -65,25 +93,23 @@ def _encoder(raw: bytes):
     return lengths, lambda text: len(sp.encode(text))
 
 
-def _counted(raw, frequent, splits: bool, limit: int):
+def _counted(key: str, raw, table, splits: bool, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, whole = _encoder(raw.value)
-        known = dict(frequent.value)
+        worker = _Worker.of(key, raw, table)
 
         def count(text: str) -> int:
-            nonlocal known
             if not splits:
-                return whole(text)
+                return worker.whole(text)
             total = 0
             for part in _parts(text):
-                sizes = list(map(known.get, part))
+                sizes = list(map(worker.known.get, part))
                 if None in sizes:
                     missed = {x for x, n in zip(part, sizes, strict=True) if n is None}
-                    new = dict(zip(missed, lengths(list(missed)), strict=True))
+                    new = dict(zip(missed, worker.lengths(list(missed)), strict=True))
                     total += sum(n if n is not None else new[x] for x, n in zip(part, sizes, strict=True))
-                    if len(known) > CACHED:
-                        known = dict(frequent.value)
-                    known.update((x, n) for x, n in new.items() if len(x) <= LONGEST)
+                    if len(worker.known) > CACHED:
+                        worker.known = dict(worker.frequent)
+                    worker.known.update((x, n) for x, n in new.items() if len(x) <= LONGEST)
                 else:
                     total += sum(sizes)
             return total
@@ -110,11 +136,10 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         proto = f.read()
     model = read_model(proto)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table: dict[str, int] = {}
+    table = "", b""
     if model.splits():
-        best = rows.select("text").mapInArrow(_summaries, "pre_token string, times long").groupBy("pre_token").agg(F.sum("times").alias("times"))
-        found = [x.pre_token for x in best.orderBy(F.desc("times"), "pre_token").limit(FREQUENT).collect()]
+        found = [x for x in _frequent(rows.select("text")) if "\0" not in x]
         if found:
-            table = dict(zip(found, _encoder(proto)[0](found), strict=True))
+            table = "\0".join(found), np.array(_encoder(proto)[0](found), np.uint16).tobytes()
     share = spark.sparkContext.broadcast
-    return rows.mapInArrow(_counted(share(proto), share(table), model.splits(), limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(_counted(uuid.uuid4().hex, share(proto), share(table), model.splits(), limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
