@@ -10,6 +10,7 @@ Fitting takes a bounded sample (SAMPLE labelled rows); scoring is one pass over
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,8 @@ from .words import SPACED, chunks, gram_sets, grams, mix, texts, words
 
 #: labelled rows that the model learns from, at most
 SAMPLE = 3_000
+#: bytes of their texts, at most; rows that would go beyond are left out whole
+SAMPLE_BYTES = 64 << 20
 WORD_DIM, SHAPE_DIM, CONTEXT_DIM, HIDDEN = 128, 128, 32, 32
 #: words with context vectors; neighbours to either side
 VOCABULARY, REACH = 2_048, 2
@@ -190,13 +193,22 @@ def _held_out():
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled rows, those first by a hash of the id, that are not held out.
 
-    Rows with a null id or label are ignored; of an id with several labels the largest counts, of one with several texts all do.
+    Texts of SAMPLE_BYTES in all at most come to the driver. Rows with a null id or label are ignored; of an id with several labels the
+    largest counts, of one with several texts the first in order. Without any labelled row every text has the same score.
     """
     ready(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null").where(~_held_out())
     chosen = written(known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    got = rows.join(F.broadcast(chosen), "doc_id").toArrow()  # the sample: `sample` ids at most
+    once = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))  # `sample` rows at most
+    once = written(once)
+    sizes = sorted(once.select("doc_id", F.octet_length("text")).collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+    fits, total = [], 0
+    for r in sizes:
+        if total + r[1] <= SAMPLE_BYTES:
+            fits.append(r[0])
+            total += r[1]
+    got = (once if len(fits) == len(sizes) else once.where(F.col("doc_id").isin(fits))).toArrow()
     ids, text = got["doc_id"].to_pylist(), got["text"].to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i], text[i] or ""))
     return train([text[i] for i in order], (got["y"].to_numpy()[order] > 0).astype(np.float32))
@@ -222,7 +234,8 @@ def quality_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is ``threshold`` or more."""
+    """The rows of ``docs``, all columns whatever their names, whose score is ``threshold`` or more. Null and blank texts have the score of an
+    empty text; null ids and repeated rows are judged like all others; an empty table gives an empty result."""
     shared = ready(docs.sparkSession).sparkContext.broadcast(model)
     place, schema = docs.columns.index(text_col), docs.schema
 
