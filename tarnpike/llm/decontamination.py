@@ -228,7 +228,8 @@ def contamination(spans: DataFrame, percent: int = 5) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 5) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not contaminated (see ``contamination``). Rows without words stay."""
+    """The rows of ``docs``, all columns whatever their names, that are not contaminated (see ``contamination``). Rows without words stay, null texts
+    too; null ids and repeated rows are judged like all others; an empty table gives an empty result, an empty benchmark all rows."""
     schema = docs.schema
     place = docs.columns.index(text_col)
     blocks = _blocks(docs, benchmark, item_col, item_text_col, WINDOW, K)

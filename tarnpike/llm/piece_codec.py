@@ -207,7 +207,8 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined; the space that encoding put before goes; bytes that are no UTF-8 become U+FFFD."""
-        raw = b"".join(map(self.trie.pieces.__getitem__, ids))
+        pieces = self.trie.pieces
+        raw = b"".join(pieces[i if i is not None and 0 <= i < len(pieces) else self.trie.unknown_id] for i in ids)
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
@@ -269,7 +270,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text): the inverse of encoding. Null ids give an empty text.
+    """(doc_id, text): the inverse of encoding. Null lists give an empty text; null and unknown ids read as the unknown piece. Repeated rows stay.
 
     Exact for every text without U+2581, which reads as a space.
     """

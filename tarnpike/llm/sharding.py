@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ._shared import ready
 
@@ -85,10 +86,12 @@ def assign_shards(df: DataFrame, key_col: str, shards: int | list[str] = 32, sha
 
 
 def write_shards(df: DataFrame, path: str, key_col: str, shards: int | list[str] = 32, files_each: int = 4) -> None:
-    """Parquet partitioned by shard. A shard's rows are dealt over ``files_each`` tasks by a hash of the key, so none writes a whole shard alone."""
+    """Parquet partitioned by shard. A shard's rows are dealt over ``files_each`` tasks by a hash of the whole row, so neither a shard nor one key's rows
+    are written by one task alone. Null keys go where the empty text goes; repeated rows stay; an empty table writes no rows."""
     placed = assign_shards(df, key_col, shards)
     n = (shards if isinstance(shards, int) else len(shards)) * files_each
-    placed.repartition(n, "shard", F.pmod(F.xxhash64(F.col(key_col).cast("string")), F.lit(files_each))).write.partitionBy("shard").parquet(path)
+    spread = F.pmod(F.xxhash64(*(c for c in placed.columns if not isinstance(placed.schema[c].dataType, MapType))), F.lit(files_each))
+    placed.repartition(n, "shard", spread).write.partitionBy("shard").parquet(path)
 
 
 def table_sql(shards: int) -> str:
