@@ -13,22 +13,24 @@ from tarnpike.llm.quality import accepted, fit_quality
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. It learns from labelled rows of its input that are not held out."""
+    """Documents that the quality classifier accepts. It learns from labelled rows of its input that are not held out; see ``accepted``
+    for nulls, repeated rows and empty tables."""
     return accepted(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 5-word shingles at a similarity of 0.8 or more: that of the smallest id."""
+    """One document of each group linked by 5-word shingles at a similarity of 0.8 or more: that of the smallest id. Null ids, texts without
+    words and repeated rows of one id all stay; an empty table gives an empty one."""
     return near_duplicates_dropped(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark items."""
+    """Documents that are not contaminated by benchmark items; null texts, null ids and repeated rows stay unless they are."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece ids of each document."""
+    """The piece ids of each document, none for null and empty texts; null ids and repeated rows stay as they came."""
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
