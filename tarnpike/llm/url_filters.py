@@ -20,6 +20,8 @@ RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 
 #: labelled urls that the trees learn from, at most, of each label; and examples that a suffix needs for statistics of its own
 SAMPLE, SUFFIX_LEAST = 10_000, 20
+#: parts of the labelled urls: a url's suffix statistics, while learning, come from the other parts; and suffixes that are broadcast, at most
+FOLDS, BROADCAST_SUFFIXES = 5, 200_000
 TREES, DEPTH = 12, 4
 
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "host_digits", "path_digits", "hyphens", "parameters", "entropy", "suffix_rate", "suffix_share")
@@ -80,9 +82,20 @@ def _lexical(rows: DataFrame) -> DataFrame:
     )
 
 
-def _with_suffixes(rows: DataFrame, suffixes: DataFrame, rate: float) -> DataFrame:
-    # at most 2 * SAMPLE / SUFFIX_LEAST rows, whatever the input
-    return rows.join(F.broadcast(suffixes), "suffix", "left").fillna({"suffix_rate": rate, "suffix_share": 0.0})
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+
+
+def _with_suffixes(rows: DataFrame, suffixes: DataFrame, few: bool, rate: float, n: int, own: bool = False) -> DataFrame:
+    """With suffix_rate and suffix_share by the counts of ``suffixes``; with ``own``, less those of the row's own fold."""
+    x = rows.join(F.broadcast(suffixes) if few else suffixes, "suffix", "left")
+    k, b = F.coalesce("k", F.lit(0)), F.coalesce("b", F.lit(0.0))
+    if own:
+        mine = lambda c, zero: F.coalesce(F.get(F.col(c), F.col("fold")), zero)
+        k, b = k - mine("ks", F.lit(0)), b - mine("bs", F.lit(0.0))
+    known = k >= SUFFIX_LEAST
+    x = x.withColumns({"suffix_rate": F.when(known, (b + rate * SUFFIX_LEAST) / (k + SUFFIX_LEAST)).otherwise(rate), "suffix_share": F.when(known, k / F.lit(float(n))).otherwise(0.0)})
+    return x.drop("k", "b", "ks", "bs")
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str]] | None = None, threshold: float = 0.5) -> DataFrame:
@@ -91,7 +104,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins. Where no rule fits, ``verdict``
     is block if ``score``, the trees' probability of block, is ``threshold`` or more; score is null where a rule decides.
     The trees learn from the urls that rules decide: of each label the SAMPLE distinct urls that are first by hash; if there are
-    not both labels, everything else is allowed with score 0. Null urls and urls without :// have an empty host and path and are
+    not both labels, everything else is allowed with score 0. Suffix statistics count all rows that rules decide; a url that is learned
+    from sees those of the other FOLDS - 1 parts alone. Null urls and urls without :// have an empty host and path and are
     judged by their features. Repeated rows and null ids stay; other columns are ignored; an empty table gives an empty result.
     """
     rules = RULES if rules is None else rules
@@ -105,23 +119,23 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         ruled = F.when(F.col("rule") == r, F.lit(v)).otherwise(ruled)
     rows = written(_lexical(rows.withColumn("ruled", ruled)))  # once, for the sample and for the verdicts
 
-    labelled = rows.where(F.col("ruled").isNotNull()).select("url", "suffix", *FEATURES[:-2], (F.col("ruled") == "block").cast("double").alias("y"))
+    labelled = rows.where(F.col("ruled").isNotNull()).select("url", "suffix", *FEATURES[:-2], (F.col("ruled") == "block").cast("double").alias("y"), _fold().alias("fold"))
     first = lambda y: labelled.where(F.col("y") == y).dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(SAMPLE)
     sample = written(first(0.0).unionByName(first(1.0)))
-    n, blocked = sample.agg(F.count("*"), F.sum("y")).first()
+    n, all_blocked = labelled.agg(F.count("*"), F.sum("y")).first()
     out = [F.col(c) for c in ("page_id", "host", "path", "rule")]
-    if not n or not 0 < blocked < n:
+    if not n or not 0 < all_blocked < n:
         score = F.when(F.col("ruled").isNull(), 0.0)
         return rows.select(*out, F.coalesce("ruled", F.lit("allow")).alias("verdict"), score.alias("score"))
-    rate = blocked / n
-    suffixes = written(
-        sample.groupBy("suffix").agg(F.count("*").alias("k"), F.sum("y").alias("b")).where(F.col("k") >= SUFFIX_LEAST)
-        .select("suffix", ((F.col("b") + rate * SUFFIX_LEAST) / (F.col("k") + SUFFIX_LEAST)).alias("suffix_rate"), (F.col("k") / n).alias("suffix_share"))
-    )
+    rate = all_blocked / n
+    each = [(F.count_if(F.col("fold") == i), F.coalesce(F.sum(F.when(F.col("fold") == i, F.col("y"))), F.lit(0.0))) for i in range(FOLDS)]
+    counts = labelled.groupBy("suffix").agg(F.count("*").alias("k"), F.sum("y").alias("b"), F.array(*(k for k, _ in each)).alias("ks"), F.array(*(b for _, b in each)).alias("bs"))
+    suffixes = written(counts.where(F.col("k") >= SUFFIX_LEAST))
+    few = suffixes.count() <= BROADCAST_SUFFIXES
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    training = assembler.transform(_with_suffixes(sample, suffixes, rate)).select("features", "y").repartition(4, "y", F.hash("features"))
+    training = assembler.transform(_with_suffixes(sample, suffixes, few, rate, n, own=True)).select("features", "y").repartition(4, "y", F.hash("features"))
     model = GBTClassifier(labelCol="y", maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=7).fit(training)
-    judged = _scored(_with_suffixes(rows, suffixes, rate), assembler, model)
+    judged = _scored(_with_suffixes(rows, suffixes, few, rate, n), assembler, model)
     score = F.when(F.col("ruled").isNull(), F.round("p", 9))
     verdict = F.coalesce(F.col("ruled"), F.when(F.round("p", 9) >= threshold, "block").otherwise("allow"))
     return judged.select(*out, verdict.alias("verdict"), score.alias("score"))
