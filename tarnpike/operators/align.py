@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tarnpike.functions.safe import ordered
 
 
-def asof(left: DataFrame, right: DataFrame, values: list[str], keys: list[str], ts: str = "ts", available: Column | None = None, forward: bool = False, exact: bool = True) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, values: list[str], keys: list[str], ts: str = "ts", available: Column | None = None, forward: bool = False, exact: bool = True, tie: str | None = None) -> DataFrame:
     """``left`` with the latest row of ``right`` that is not after it, by keys; or the earliest not before, with ``forward``.
 
+    Of right rows at one time the one with the largest ``tie`` counts (the smallest, forward); without it, by all ``values`` in order.
     ``available`` is the time from which a right row can be seen (default: its ts). Without ``exact`` equal times do not match.
     Both sides are put into one table, sorted once by (keys, time) and filled: n log n, no pairs. Values come as one row, so nulls in
     the matching row stay null. Column names of ``values`` must not be in ``left``.
@@ -19,9 +20,9 @@ def asof(left: DataFrame, right: DataFrame, values: list[str], keys: list[str],
     a = left.select("*", F.lit(None).alias("_v"), F.lit(1 - first).alias("_side"), F.col(ts).alias("_at"))
     at = F.col(ts) if available is None else available
     row = F.struct(*values)
-    b = right.select(*keys, at.alias("_at"), row.alias("_v")).where("_at is not null").withColumn("_side", F.lit(first))
+    b = right.select(*keys, at.alias("_at"), row.alias("_v"), (F.col(tie) if tie else row).alias("_tie")).where("_at is not null").withColumn("_side", F.lit(first))
     both = a.drop("_v").unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_at", "_side")
+    w = Window.partitionBy(*keys).orderBy("_at", "_side", "_tie")
     if forward:
         found = F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     else:
@@ -132,3 +133,32 @@ def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool
     within = Window.partitionBy("_range").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
     out = x.withColumns({f"{s}_run": F.sum(s).over(within) for s in sums}).join(F.broadcast(ranges), "_range")
     return out.withColumns({f"{s}_run": F.col(f"{s}_run") + F.col(f"_before_{s}") for s in sums}).drop("_range", *(f"_before_{s}" for s in sums))
+
+
+def running_least(df: DataFrame, order: str, x: str, out: str, parts: int = 64) -> DataFrame:
+    """With ``out``: the least ``x`` of the rows at or after the current one in the order of one column, which has no repeats; by ranges as in
+    ``running_totals``."""
+    edges = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)]).alias("_edges"))
+    y = df.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")
+    later = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = y.groupBy("_range").agg(F.min(x).alias("_low")).select("_range", F.min("_low").over(later).alias("_later"))
+    within = Window.partitionBy("_range").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return y.withColumn(out, F.min(x).over(within)).join(F.broadcast(ranges), "_range").withColumn(out, F.least(out, "_later")).drop("_range", "_later")
+
+
+def quantiles(df: DataFrame, x: str, shares: list[float]) -> DataFrame:
+    """One row with the array ``quantiles`` of the known values of a column, exactly and interpolated, null without any. Values are counted first and
+    placed by ranges, so that no task holds all of them."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
+    run = running_totals(counts, "_x", ["_n"])
+    total = counts.agg(F.sum("_n").alias("_total"))
+    y = run.crossJoin(F.broadcast(total))
+    place = [F.lit(p) * (F.col("_total") - 1) for p in shares]
+    at = [F.min(F.when(F.col("_n_run") > f(p), F.col("_x"))) for p in place for f in (F.floor, F.ceil)]
+    g = y.agg(F.max("_total").alias("_total"), *(a.alias(f"_{i}") for i, a in enumerate(at)))
+
+    def between(i: int) -> Column:
+        low, high = F.col(f"_{2 * i}"), F.col(f"_{2 * i + 1}")
+        return F.when(low == high, low).otherwise((F.ceil(place[i]) - place[i]) * low + (place[i] - F.floor(place[i])) * high)
+
+    return g.select(F.when(F.col("_total").isNotNull(), F.array(*(between(i) for i in range(len(shares))))).alias("quantiles"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnpike.functions.safe import correlation, sdiv, ssqrt
-from tarnpike.operators.align import running_totals
+from tarnpike.operators.align import quantiles, running_least, running_totals
 
 # sample overlap -----------------------------------------------------------------------------------------------------
 
@@ -156,12 +156,18 @@ def clustered_mean(df: DataFrame, value: str, cluster: Column, keys: list[str] |
 
 
 def benjamini_hochberg(df: DataFrame, p: str, out: str = "p_adjusted", keys: list[str] | None = None) -> DataFrame:
-    k = keys or []
-    n = F.count(p).over(Window.partitionBy(*k))
-    rank = F.row_number().over(Window.partitionBy(*k).orderBy(F.asc_nulls_last(p)))
-    x = df.withColumn("_r", rank).withColumn("_a", F.col(p) * n / F.col("_r"))
-    run = F.min("_a").over(Window.partitionBy(*k).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
-    return x.withColumn(out, F.when(F.col(p).isNotNull(), F.least(run, F.lit(1.0)))).drop("_r", "_a")
+    """Step-up adjusted p-values among known ones, by keys or over the whole table. Without keys equal values are counted first and placed by
+    ranges; with keys a key's values are one window."""
+    if keys:
+        n, w = F.count(p).over(Window.partitionBy(*keys)), Window.partitionBy(*keys)
+        x = df.withColumn("_r", F.row_number().over(w.orderBy(F.asc_nulls_last(p)))).withColumn("_a", F.col(p) * n / F.col("_r"))
+        run = F.min("_a").over(w.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
+        return x.withColumn(out, F.when(F.col(p).isNotNull(), F.least(run, F.lit(1.0)))).drop("_r", "_a")
+    counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_total"))
+    ranked = running_totals(counts, "_p", ["_n"]).crossJoin(F.broadcast(total)).withColumn("_a", F.col("_p") * F.col("_total") / F.col("_n_run"))
+    adjusted = running_least(ranked, "_p", "_a", out).select("_p", F.least(out, F.lit(1.0)).alias(out))
+    return df.join(adjusted, F.col(p) == F.col("_p"), "left").drop("_p")
 
 
 def average_rank(x: str, keys: list[str]) -> Column:
@@ -188,7 +194,7 @@ def circular_null(df: DataFrame, x: str, y: str, keys: list[str], ts: str, offse
 def stability_index(df: DataFrame, x: str, new: Column, bins: int = 10, floor: float = 1e-4) -> DataFrame:
     """Population stability index between two parts of a table, by quantile bins of the old part; shares are floored."""
     part = df.where(F.col(x).isNotNull()).withColumn("_new", new.cast("int"))
-    edges = part.where("_new = 0").agg(F.percentile(x, [i / bins for i in range(1, bins)]).alias("_e"))
+    edges = quantiles(part.where("_new = 0"), x, [i / bins for i in range(1, bins)]).withColumnRenamed("quantiles", "_e")
     b = F.size(F.filter(F.array_distinct(F.col("_e")), lambda e: e < F.col(x)))
     g = part.crossJoin(F.broadcast(edges)).groupBy(b.alias("bin")).agg(F.count_if(F.col("_new") == 0).alias("_a"), F.count_if(F.col("_new") == 1).alias("_b"))
     all_ = Window.partitionBy()

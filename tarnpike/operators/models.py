@@ -10,11 +10,11 @@ from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnpike.functions.safe import correlation, schema_with
-from tarnpike.operators.align import running_totals
+from tarnpike.operators.align import quantiles, running_totals
 from tarnpike.operators.evaluation import time_folds
 
 LEARNERS = {
@@ -57,6 +57,8 @@ def out_of_fold(df: DataFrame, features: list[str], y: str, order: str, folds: i
         model = fit_classifier(train, features, y, learner)
         test = n.where(F.col("_rn").between(f.first_test, f.last_test)).withColumn("fold", F.lit(f.fold))
         parts.append(scores(model, test, features))
+    if not parts:  # no fold with two classes before it, or no rows
+        return df.where(F.lit(False)).withColumns({"fold": F.lit(None).cast("long"), "score": F.lit(None).cast("double")})
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -76,14 +78,21 @@ def isotonic(df: DataFrame, score: str, y: str):
     return IsotonicRegression(featuresCol=score, labelCol="y").fit(rows)
 
 
+def _places(rows: DataFrame, key: Column) -> DataFrame:
+    """With ``_i``, places from 1 in the order of a key without repeats, numbered by ranges."""
+    return running_totals(rows.withColumns({"_k": key, "_one": F.lit(1)}), "_k", ["_one"]).withColumnRenamed("_one_run", "_i").drop("_k", "_one")
+
+
 def permutation_importance(df: DataFrame, features: list[str], y: str, model: PipelineModel, metric, seed: int = 3) -> list[tuple[str, float]]:
     """By feature: the loss of the metric when its values are dealt anew among the rows, largest first."""
     base = metric(scores(model, df, features))
-    numbered = df.withColumn("_i", F.row_number().over(Window.orderBy(F.xxhash64(*df.columns), *df.columns)))
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).persist()
+    numbered = _places(rows, F.xxhash64("_row", F.lit(seed)))
     out = []
     for k, f in enumerate(features):
-        dealt = df.select(f).withColumn("_i", F.row_number().over(Window.orderBy(F.xxhash64(F.col(f), F.lit(seed + k)), f)))
-        out.append((f, base - metric(scores(model, numbered.drop(f).join(dealt, "_i").drop("_i"), features))))
+        dealt = _places(rows.select(f, "_row"), F.xxhash64("_row", F.lit(seed + 1 + k))).select(f, "_i")
+        out.append((f, base - metric(scores(model, numbered.drop(f).join(dealt, "_i").drop("_i", "_row"), features))))
+    rows.unpersist()
     return sorted(out, key=lambda x: (-x[1], x[0]))
 
 
@@ -97,7 +106,7 @@ def mutual_information(df: DataFrame, feature: str, y: str, bins: int = 10, keys
         w = Window.partitionBy(*(keys or [])).orderBy(order)
         same = F.col(feature).eqNullSafe(F.lag(feature).over(w)) & F.col(y).eqNullSafe(F.lag(y).over(w))
         df = df.where(known).withColumn("_same", same).where(~F.col("_same")).drop("_same")
-    edges = df.agg(F.array_distinct(F.percentile(feature, [i / bins for i in range(1, bins)])).alias("_e"))
+    edges = quantiles(df, feature, [i / bins for i in range(1, bins)]).select(F.array_distinct("quantiles").alias("_e"))
     x = df.where(known).crossJoin(F.broadcast(edges)).withColumn("_b", F.size(F.filter(F.col("_e"), lambda e: e < F.col(feature))))
     g = x.groupBy("_b", y).agg(F.count("*").alias("_n"))
     all_, row, colm = Window.partitionBy(), Window.partitionBy("_b"), Window.partitionBy(y)
@@ -188,8 +197,8 @@ def fingerprints(df: DataFrame, value: str, keys: list[str], order: str, size: i
 
 def nearest_fingerprints(prints: DataFrame, features: list[str], target, n: int) -> DataFrame:
     """The n windows closest to the target ones in z-scores of the features (population deviation; 0 counts as 1)."""
-    all_ = Window.partitionBy()
-    z = prints.withColumns({f"_{f}": (F.col(f) - F.avg(f).over(all_)) / F.coalesce(F.nullif(F.stddev_pop(f).over(all_), F.lit(0.0)), F.lit(1.0)) for f in features})
+    moments = prints.agg(*(m(f).alias(f"_{n}_{f}") for f in features for n, m in (("m", F.avg), ("s", F.stddev_pop))))  # one row
+    z = prints.crossJoin(F.broadcast(moments)).withColumns({f"_{f}": (F.col(f) - F.col(f"_m_{f}")) / F.coalesce(F.nullif(f"_s_{f}", F.lit(0.0)), F.lit(1.0)) for f in features})
     t = z.where(target).agg(*(F.avg(f"_{f}").alias(f"_t{f}") for f in features))
     d = F.sqrt(sum((F.pow(F.col(f"_{f}") - F.col(f"_t{f}"), F.lit(2)) for f in features), F.lit(0.0)))
     return z.where(~target).crossJoin(F.broadcast(t)).withColumn("distance", d).select(*prints.columns, "distance").orderBy("distance").limit(n)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnpike.functions.safe import sdiv, ssqrt
+from tarnpike.operators.align import quantiles
 
 # costs and sizes ----------------------------------------------------------------------------------------------------
 
@@ -48,7 +49,7 @@ def trade_summary(trades: DataFrame, keys: list[str], pips: str = "pips") -> Dat
 
 def quantile_buckets(df: DataFrame, x: str, value: str, parts: int) -> DataFrame:
     """By bucket between distinct quantiles of x: rows and mean value. Equal values share a bucket, unlike tiles by place."""
-    edges = df.agg(F.array_distinct(F.percentile(x, [i / parts for i in range(1, parts)])).alias("_e"))
+    edges = quantiles(df, x, [i / parts for i in range(1, parts)]).select(F.array_distinct("quantiles").alias("_e"))
     b = F.size(F.filter(F.col("_e"), lambda e: e < F.col(x)))
     return df.where(F.col(x).isNotNull()).crossJoin(F.broadcast(edges)).groupBy(b.alias("bucket")).agg(F.count("*").alias("n"), F.avg(value).alias("mean_value"), F.min(x).alias("low"), F.max(x).alias("high"))
 
