@@ -29,27 +29,47 @@ _own: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one, of this process, only where the session names none."""
+    """The folder that all executors share, by spark.checkpoint.dir or the context's checkpoint directory. Where neither is set, a temporary folder of this
+    process if executors are in it (master local), else an error: other machines would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = set_.get() if set_.isDefined() else None
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="tarnpike-"))
     return _own[0]
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The table goes when the driver ends.
+    The table goes with ``released``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tarnpike-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(schema).parquet(path)
+    at, fs = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(schema).parquet(path)
+    out._tarnpike_path = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for t in tables:
+        at, fs = _file_system(t.sparkSession, t._tarnpike_path)
+        fs.delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import released, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,6 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = written(edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
+    before = labels
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
@@ -25,6 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         jumped = written(lower.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
         changed = jumped.where("label <> old").limit(1).count()
-        labels = jumped.select("node", "label")
+        released(before)
+        before, labels = jumped, jumped.select("node", "label")
         if not changed:
+            released(both)
             return labels.withColumnRenamed("label", "component")

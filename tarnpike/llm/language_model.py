@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ready, written
+from ._shared import ready, released, written
 from .words import CHUNK_BYTES, SPACED, chunks, mix, texts, words
 
 #: sweeps, of which the first BURN_IN do not count in averages; parts of a sweep between which restaurants' totals are taken anew
@@ -496,6 +496,7 @@ def sample_model(counts: DataFrame, roots: int, common) -> Sampled:
     buckets, root = _of_kind(merged, SHARED).unionByName(_of_kind(opened, OFTEN)), _of_kind(opened, WORDS)
     seats, lists = _of_kind(merged, SEATS), _of_kind(opened, ROOT)
     state, root_state, shares = _of_kind(merged, STATE), _of_kind(opened, STATE), _of_kind(opened, SHARES)
+    last = ()
     for sweep in range(SWEEPS if tokens else 0):
         seated = written(_stepped(seats.unionByName(state).unionByName(shares), _seated(setting, sweep)))
         rooted = written(_stepped(lists.unionByName(root_state).unionByName(_of_kind(seated, TABLES)), _rooted(setting, sweep)))
@@ -503,6 +504,9 @@ def sample_model(counts: DataFrame, roots: int, common) -> Sampled:
         root_logs = _strength_logs(np.array([customers]), np.array([tables]), np.ones(1), setting.root_discount)
         setting.levels.append(Level(_strength(_summed(seated), [sweep, 3]), _strength(root_logs, [sweep, 4]), customers, tables))
         state, root_state, shares = _of_kind(seated, STATE), _of_kind(rooted, STATE), _of_kind(rooted, SHARES)
+        if last and sweep <= BURN_IN:
+            released(*last)  # what the sweep before wrote does not count, and this one has read it
+        last = seated, rooted
         if sweep >= BURN_IN:
             buckets, root = buckets.unionByName(state).unionByName(shares), root.unionByName(root_state)
     if not tokens:
