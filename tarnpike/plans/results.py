@@ -197,9 +197,9 @@ def weekly_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {BARS}, x AS (SELECT *, abs(close - {lag('close')}) AS d FROM bars), y AS (SELECT *, {gated('sum(d)', 'd', over(10), 10)} AS p, abs(close - {lag('close', 10)}) AS m, row_number() OVER ({BY}) AS rn FROM x), e AS (SELECT symbol, ts, rn, CASE WHEN p = 0 THEN 0 ELSE m / p END AS e FROM y),
     n AS (SELECT symbol, ts, rn, coalesce(e > 0.4, false) AS go, coalesce(e > 0.2, false) AS still FROM e),
-    w AS (SELECT DISTINCT symbol, 0::BIGINT AS rn, false AS live, 0::BIGINT AS at, 0::BIGINT AS number, false AS inside FROM n
-        UNION ALL SELECT n.symbol, n.rn, CASE WHEN live AND at < 4 THEN still ELSE go END, CASE WHEN live AND at < 4 THEN at + still::BIGINT WHEN go THEN 1 ELSE 0 END, number + (NOT (live AND at < 4) AND go)::BIGINT, CASE WHEN live AND at < 4 THEN still ELSE go END FROM w JOIN n ON n.symbol = w.symbol AND n.rn = w.rn + 1)
-    SELECT n.symbol, n.ts, CASE WHEN inside THEN number END AS window_id, CASE WHEN inside THEN at END AS window_pos FROM n JOIN w USING (symbol, rn)""")
+    w AS (SELECT DISTINCT symbol, 0::BIGINT AS rn, false AS live, 0::BIGINT AS pos, 0::BIGINT AS number, false AS inside FROM n
+        UNION ALL SELECT n.symbol, n.rn, CASE WHEN live AND pos < 4 THEN still ELSE go END, CASE WHEN live AND pos < 4 THEN pos + still::BIGINT WHEN go THEN 1 ELSE 0 END, number + (NOT (live AND pos < 4) AND go)::BIGINT, CASE WHEN live AND pos < 4 THEN still ELSE go END FROM w JOIN n ON n.symbol = w.symbol AND n.rn = w.rn + 1)
+    SELECT n.symbol, n.ts, CASE WHEN inside THEN number END AS window_id, CASE WHEN inside THEN pos END AS window_pos FROM n JOIN w USING (symbol, rn)""")
 def opportunity_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A state machine by symbol."""
     x = indicators.efficiency(bars(spark, sf_dir), 10).withColumn("go", F.col("efficiency_10") > 0.4).withColumn("on", F.col("efficiency_10") > 0.2)
