@@ -11,11 +11,12 @@ is taken away first, by bounds that follow from set sizes alone:
 3.  The rest lists its n-grams that occur in more than one class, the rarest first, and leaves unless
     they are enough. Prefixes of these lists give buckets.
 4.  In every bucket all members meet one leader (pairs linear in the bucket). Leaders' links give first components.
-5.  *Product.* Buckets that still hold several components name pairs of row blocks (at most BLOCK rows each);
-    for each pair of blocks the product of their incidence matrices gives all overlap counts at once, and
-    counts below the size-derived bound are discarded.
+5.  *Product.* Buckets that still hold several components name pairs of row blocks (about BLOCK rows of similar
+    set size each); pairs whose sizes rule out a link are left out. For each other pair of blocks the product of
+    their incidence matrices gives all overlap counts at once, and counts below the size-derived bound are discarded.
 
 What is not in a bucket with two components is never multiplied, so groups of copies cost rows, not pairs.
+Keys with very many rows (frequent n-grams, large classes) are joined by broadcast, see ``_split_join``.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ from .words import CHUNK_BYTES, chunks, gram_sets, grams, mix, texts, words
 BLOCK_POSTINGS, LEAST_BLOCKS = 1_000_000, 96
 #: rows of the incidence matrix in one block of step 5
 BLOCK = 192
+#: keys that hold more than one in so many rows are joined by broadcast
+HOT = 100_000
+#: spots of one n-gram that meet in one task, about
+SPOTS = 64
 #: survivors of step 2 up to this many are broadcast to the texts (8 bytes each); beyond, Spark joins by shuffle
 BROADCAST_IDS = 2_000_000
 
@@ -243,6 +248,14 @@ def _product(t: int):
     return run
 
 
+def _split_join(rows: DataFrame, stats: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join with ``stats``, one row a key, which tells in ``weight`` how many of the ``total`` rows have the key. Keys with more than
+    total / HOT rows are fewer than HOT: they come by broadcast, so that no task gets all rows of one. Spark shuffles the rest."""
+    often = F.col(weight) > total // HOT
+    hot = F.broadcast(stats.where(often))
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(stats.where(often).select(keys)), keys, "left_anti").join(stats.where(~often), keys))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: (doc_id, n_shingles, component_id), exactly.
 
@@ -260,7 +273,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     t = percent
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = written(rows.mapInArrow(_signatures(k), "doc_id long, n_shingles long, s1 long, s2 long"))
-    classes = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")))
+    classes = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     blocks = max(LEAST_BLOCKS, int(total * 2 * (100 - t) / 100) // BLOCK_POSTINGS)
 
@@ -278,19 +291,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     postings = of_class.mapInArrow(_exploded(k, repeats), "rep long, n long, own long, gram long")
     postings = written(postings.distinct() if repeats else postings)
 
-    often = postings.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1")
+    often = written(postings.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"))
     listed = (
-        postings.join(often, "gram").groupBy("rep", "n", "own").agg(F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("grams"))
+        _split_join(postings, often, ["gram"], "times", postings.count()).groupBy("rep", "n", "own").agg(F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("grams"))
         .where((F.size("grams") * 100 >= F.col("n") * t))
         .select("rep", "n", F.col("grams.gram").alias("grams"))
     )
     listed = written(listed)
     single = F.col("n") - F.size("grams")
     prefix = (F.col("n") - F.floor((F.col("n") * t + 99) / 100) + 1 - single).cast("int")
-    buckets = written(listed.where(prefix > 0).select("rep", F.explode(F.slice("grams", 1, prefix)).alias("gram")))
+    buckets = written(listed.where(prefix > 0).select("rep", "n", F.explode(F.slice("grams", 1, prefix)).alias("gram")))
+    spread = buckets.count()
 
-    leaders = buckets.groupBy("gram").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    stars = buckets.join(leaders, "gram").where("rep <> leader").select("rep", "leader").distinct()
+    leaders = written(buckets.groupBy("gram").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1"))
+    stars = _split_join(buckets, leaders, ["gram"], "members", spread).where("rep <> leader").select("rep", "leader").distinct()
     left = listed.select(F.col("rep"), F.col("n").alias("n1"), F.col("grams").alias("g1"))
     right = listed.select(F.col("rep").alias("leader"), F.col("n").alias("n2"), F.col("grams").alias("g2"))
     sized = stars.join(left, "rep").join(right, "leader").where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * t)
@@ -298,28 +312,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = components(starred)
 
     marked = buckets.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = marked.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("leader")).where("low <> high")
-    open_ = written(marked.join(mixed.select("gram", "leader"), "gram").select("gram", "leader", "rep", "component"))
-    # a row's family is its smallest leader; a family is cut into blocks of rows alike in number
-    family = open_.groupBy("rep", "component").agg(F.min("leader").alias("family"))
-    sizes = family.groupBy("family").agg(F.count("*").alias("rows"))
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("rows") / BLOCK).cast("long"))
-    placed = written(family.join(sizes, "family").select("rep", "component", F.struct("family", part.alias("part")).alias("block")))
-    spots = open_.select("gram", "rep").join(placed, "rep").groupBy("gram", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    other = spots.select("gram", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    pairs = (
-        spots.join(other, "gram").where("block <= block2").where("low <> high or low2 <> high2 or low <> low2").select("block", "block2").distinct()
-    )
-    pairs = written(pairs)
-    member = placed.join(listed, "rep")
+    mixed = marked.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("leader"), F.count("*").alias("members")).where("low <> high")
+    mixed = written(mixed.select("gram", "leader", "members"))
+    open_ = written(_split_join(marked, mixed, ["gram"], "members", spread).select("gram", "leader", "members", "rep", "n", "component"))
+    # a row's family is its smallest leader; a large family is cut by set size, then into blocks of rows alike in number
+    alike = F.floor(F.log("n") / F.log(F.lit(max(100 / t, 1.01)))).cast("int")
+    family = written(open_.groupBy("rep", "n", "component").agg(F.min("leader").alias("family")).withColumn("alike", alike))
+    sizes = family.groupBy("family", "alike").agg(F.count("*").alias("rows"))
+    sizes = written(sizes.join(sizes.groupBy("family").agg(F.sum("rows").alias("whole")), "family"))
+    large = F.col("whole") > BLOCK
+    part = F.when(large, F.pmod(F.xxhash64("rep"), F.ceil(F.col("rows") / BLOCK).cast("long"))).otherwise(0)
+    block = F.struct("family", F.when(large, F.col("alike")).otherwise(-1).alias("alike"), part.alias("part"))
+    placed = written(_split_join(family, sizes, ["family", "alike"], "rows", family.count()).select("rep", "n", "component", block.alias("block")))
+    of = [F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"), F.first("members").alias("members")]
+    spots = written(open_.select("gram", "members", "rep", "n").join(placed, ["rep", "n"]).groupBy("gram", "block").agg(*of))
+    # blocks of one n-gram meet in several tasks: its spots on one side are dealt, on the other repeated
+    deal = F.ceil(F.col("members") / (BLOCK * SPOTS)).cast("long")
+    one = spots.withColumn("dealt", F.pmod(F.xxhash64("block"), deal)).drop("members")
+    other = spots.withColumn("dealt", F.explode(F.sequence(F.lit(0).cast("long"), deal - 1))).select("gram", "dealt", *(F.col(x).alias(f"{x}2") for x in ("block", "low", "high", "least", "most")))
+    sizes_fit = (F.col("most") * 100 >= F.col("least2") * t) & (F.col("most2") * 100 >= F.col("least") * t)
+    pairs = one.join(other, ["gram", "dealt"]).where("block <= block2").where("low <> high or low2 <> high2 or low <> low2").where(sizes_fit)
+    pairs = written(pairs.select("block", "block2").distinct())
+    member = placed.join(listed, ["rep", "n"])
     sides = pairs.join(member, "block").select("block", "block2", F.lit(0).alias("side"), "rep", "n", "component", "grams").unionByName(
         pairs.where("block <> block2").join(member.withColumnRenamed("block", "block2"), "block2").select("block", "block2", F.lit(1).alias("side"), "rep", "n", "component", "grams")
     )
     merged = written(sides.groupBy("block", "block2").applyInArrow(_product(t), "a long, b long"))
     linked = components(starred.unionByName(merged))
 
-    label = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    return signed.join(label, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    label = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "s1", "s2", "copies", F.coalesce("component", "rep").alias("component_id"))
+    has = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    found = _split_join(signed.where(has), written(label), ["n_shingles", "s1", "s2"], "copies", signed.count())
+    # texts without words and rows without an id are linked with nothing
+    return found.select("doc_id", "n_shingles", "component_id").unionByName(signed.where(~has).withColumn("component_id", F.col("doc_id")).select("doc_id", "n_shingles", "component_id"))
 
 
 def _repeats(rows: DataFrame) -> bool:

@@ -270,15 +270,17 @@ def near_copies(seed, groups=6, copies=14, size=60):
             w = list(base)
             for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
                 w[r.randrange(size)] = f"e{r.randint(0, 10**6)}"
-            out.append(" ".join(w))
+            out.append(" ".join(w[: size - r.choice([0, 0, 0, 4, 9])]))
         out.append(" ".join(passage + base[:20]))
     r.shuffle(out)
     return out
 
 
-@pytest.mark.parametrize("block", [192, 5])
-def test_jaccard_is_exact(spark, documents, monkeypatch, block):
+@pytest.mark.parametrize("block, hot, spots", [(192, 100_000, 64), (5, 100, 1)])
+def test_jaccard_is_exact(spark, documents, monkeypatch, block, hot, spots):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "SPOTS", spots)
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     made = [(i + 10_000, t) for i, t in enumerate(near_copies(block))] + [(20_000 + i, t) for i, t in enumerate([None, "", " ", "a b", "A  b", "a b c", "a b c d e", "a b c d e f", "b", "B"])]
     df = spark.createDataFrame(rows + made, "doc_id long, text string")
