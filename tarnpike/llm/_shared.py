@@ -49,6 +49,14 @@ def _file_system(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has yet, deleted when the driver ends."""
+    path = f"{work_dir(spark)}/tarnpike-{uuid.uuid4().hex}"
+    at, fs = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors.
 

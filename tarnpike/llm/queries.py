@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import table
+from .centroids import cluster_report
 from .decontamination import contaminated_spans, contamination
 from .jaccard import jaccard_components
 from .language_model import language_model_scores
@@ -16,10 +17,13 @@ from .media import media_digests
 from .piece_codec import piece_digests
 from .quality import fit_quality, quality_scores
 from .sharding import assign_shards, table_size, table_sql
+from .spelling import spelling_groups
 from .token_counts import token_counts
+from .token_files import token_digests
 from .url_filters import judge_urls
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORD_MODEL, END = public_tokenizers.path("word_bpe_49k.json"), 2
 SHARDS = 32
 
 
@@ -74,11 +78,27 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contamination(contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, the more frequent form one edit away, and the form that forms lead to."""
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, read back from Simple-8b files in order of documents."""
+    return token_digests(table(spark, sf_dir, "documents"), WORD_MODEL, END)
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and distance of every embedding after three rounds of sixteen centroids."""
+    return cluster_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_url_filters, op3_sharding, op4_ngram_jaccard_join, op5_lm_scoring, op6_media_columns,
         op7_license_scans, op8_sentencepiece_codec, op9_quality_classifier, op10_benchmark_decontamination,
+        op11_spelling_variants, op12_token_files, op13_centroid_clusters,
     )
 }
 
@@ -86,7 +106,32 @@ _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCD
 
 _SPACED = _WORDS.replace(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x20\x09-\x0D]+")
 
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """Assignments in turn with centroids by exact floors of means."""
+    ctes = [
+        """kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS cluster, v AS c FROM kept WHERE vec_id IS NOT NULL ORDER BY sha256('1:' || vec_id), v LIMIT {k})",
+    ]
+    near = """SELECT vec_id, v, min([d, cluster]) AS m FROM (SELECT vec_id, v, row, cluster, list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS d
+        FROM (SELECT *, row_number() OVER () AS row FROM kept), c{i}) GROUP BY vec_id, v, row"""
+    for i in range(rounds):
+        ctes.append(f"a{i} AS MATERIALIZED ({near.format(i=i)})")
+        ctes.append(
+            f"""m{i} AS (SELECT m[2] AS cluster, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2),
+            c{i + 1} AS MATERIALIZED (SELECT c{i}.cluster, coalesce(new.c, c{i}.c) AS c FROM c{i} LEFT JOIN (SELECT cluster, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY i) AS c FROM m{i} GROUP BY 1) new USING (cluster))"""
+        )
+    ctes.append(f"a{rounds} AS MATERIALIZED ({near.format(i=rounds)})")
+    return f"""WITH {', '.join(ctes)}
+        SELECT vec_id, m[2]::INTEGER AS cluster, m[1]::BIGINT AS distance, (sum(m[1]) OVER (PARTITION BY m[2]))::BIGINT AS cluster_inertia, (sum(m[1]) OVER ())::BIGINT AS inertia,
+            sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON cluster = m[2]"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_centroid_clusters": _clusters_sql(),
     "op4_ngram_jaccard_join": f"""
         WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
         sets AS (
