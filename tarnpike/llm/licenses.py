@@ -52,8 +52,6 @@ TEMPLATES = [
 
 #: share of a template's weight that must agree
 AGREES = 0.7
-_STEP = 1 << 32  # a candidate is template * _STEP + start + _BEFORE
-_BEFORE = 1 << 8
 
 
 def _words(text: Column) -> Column:
@@ -94,7 +92,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first_word and last_word are their smallest and largest start (else null). labels are the base labels and those of templates found;
     score is the largest agreeing share of a template's weight (1 for a base phrase alone, 0 without any label); places lists the templates found
     with the word where they begin. Null and blank texts have no words, empty labels and score 0. Null ids and repeated rows
-    stay as they came; other columns are ignored; an empty table gives an empty result.
+    stay as they came; other columns are ignored; an empty table gives an empty result. Templates may have any length; what stands of one before a text's
+    first word agrees with nothing.
     """
     ready(docs.sparkSession)
     templates = templates or TEMPLATES
@@ -104,7 +103,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts, total = document_counts(rows, "text", vocabulary)
     idf = {w: math.log((total + 1) / (counts.get(w, 0) + 1)) + 1e-3 for w in vocabulary}
     # postings of each template by word: a place without any of them agrees in less than AGREES
-    lookup = F.array(*(F.create_map(*(x for w, at in _indexed(ws, idf).items() for x in (F.lit(w), F.array(*(F.lit(t * _STEP + _BEFORE - p) for p in at))))) for t, ws in enumerate(cut)))
+    lookup = F.array(*(F.create_map(*(x for w, at in _indexed(ws, idf).items() for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("of"), F.lit(p).alias("back")) for p in at))))) for t, ws in enumerate(cut)))
     indexed = F.array(*(F.array(*(F.lit(w) for w in _indexed(ws, idf))) for ws in cut))
     laid = F.array(*(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(w).alias("w"), F.lit(idf[w] / sum(idf[x] for x in ws)).alias("part")) for p, w in enumerate(ws))) for ws in cut))
     label, length, phrase = (F.array(*map(F.lit, x)) for x in ([x for x, _, _ in templates], map(len, cut), [f" {x} " for _, _, x in templates]))
@@ -118,12 +117,13 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     c = b.withColumn("wanted", F.when(F.size("held") == 0, F.array().cast("array<string>")).otherwise(wanted))
     hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda h: F.array_contains("wanted", h["w"]))
     c = c.withColumn("hits", F.when(F.size("wanted") == 0, F.array().cast("array<struct<i:int,w:string>>")).otherwise(hits))
-    none = F.array().cast("array<bigint>")
-    starts = F.flatten(F.transform("hits", lambda h: F.flatten(F.transform("held", lambda t: F.transform(F.coalesce(F.element_at(F.get(lookup, t), h["w"]), none), lambda x: x + h["i"])))))
+    kind = "array<struct<of:int,word:int>>"
+    none = F.array().cast(kind)
+    starts = F.flatten(F.transform("hits", lambda h: F.flatten(F.transform("held", lambda t: F.transform(F.coalesce(F.element_at(F.get(lookup, t), h["w"]), F.array().cast("array<struct<of:int,back:int>>")), lambda x: F.struct(x["of"].alias("of"), (h["i"] - x["back"]).alias("word")))))))
     d = c.withColumn("starts", F.when(F.size("hits") == 0, none).otherwise(F.array_distinct(starts)))
 
     def agreeing(s: Column) -> Column:
-        of, begin = F.shiftright(s, 32).cast("int"), (s.bitwiseAND(_STEP - 1) - _BEFORE).cast("int")
+        of, begin = s["of"], s["word"]
         here = lambda e: (begin + e["p"] >= 0) & (F.get("words", F.greatest(begin + e["p"], F.lit(0))) == e["w"])
         share = F.aggregate(F.get(laid, of), F.lit(0.0), lambda x, e: x + F.when(here(e), e["part"]).otherwise(0.0))
         return F.struct(of.alias("of"), begin.alias("word"), F.round(share, 6).alias("share"))

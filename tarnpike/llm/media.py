@@ -14,6 +14,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -114,41 +115,41 @@ def _table(raw: bytes, at: int, end: int, fmt: str) -> list[tuple]:
     return list(struct.iter_unpack(">" + fmt, raw[at + 8 : at + 8 + n * width]))
 
 
-def _sizes(raw: bytes, at: int, end: int, packed: bool) -> list[int]:
+def _sizes(raw: bytes, at: int, end: int, packed: bool) -> np.ndarray:
     """Sample sizes of a stsz or stz2 box."""
     size, n = struct.unpack_from(">II", raw, at + 4)
-    if packed:
-        bits = size & 0xFF
-        if bits not in (4, 8, 16):
-            raise ValueError("sizes of no known width")
-        if at + 12 + (n * bits + 7) // 8 > end:
-            raise ValueError("a table is cut off")
-        if bits == 16:
-            return [x[0] for x in struct.iter_unpack(">H", raw[at + 12 : at + 12 + 2 * n])]
-        return list(raw[at + 12 : at + 12 + n]) if bits == 8 else [raw[at + 12 + i // 2] >> 4 * (1 - i % 2) & 15 for i in range(n)]
-    if size == 0 and at + 12 + 4 * n > end:
-        raise ValueError("a table is cut off")
-    if size and size * n > len(raw):
+    if n > len(raw):
         raise ValueError("more samples than bytes")
-    return [size] * n if size else [x[0] for x in struct.iter_unpack(">I", raw[at + 12 : at + 12 + 4 * n])]
-
-
-def _in_chunks(t: dict) -> list[tuple[int, int]]:
-    """(offset, size) of the samples that the tables of a track place in chunks."""
-    samples, s = [], 0
-    for i, (first, per, _) in enumerate(t["runs"]):
-        until = t["runs"][i + 1][0] if i + 1 < len(t["runs"]) else len(t["chunks"]) + 1
-        for chunk in range(first, until):
-            at = t["chunks"][chunk - 1] if 0 < chunk <= len(t["chunks"]) else -1
-            if at < 0:
-                raise ValueError("a chunk without an offset")
-            for size in t["sizes"][s : s + per]:
-                samples.append((at, size))
-                at += size
-            s += per
-    if len(samples) != len(t["sizes"]):
+    if not packed and size:
+        return np.full(n, size, np.int64)
+    bits = size & 0xFF if packed else 32
+    if bits not in (4, 8, 16, 32) or packed and bits == 32:
+        raise ValueError("sizes of no known width")
+    if at + 12 + (n * bits + 7) // 8 > end:
+        raise ValueError("a table is cut off")
+    if bits == 4:
+        both = np.frombuffer(raw, np.uint8, (n + 1) // 2, at + 12)
+        return np.stack([both >> 4, both & 15], 1).ravel()[:n].astype(np.int64)
+    return np.frombuffer(raw, {8: ">u1", 16: ">u2", 32: ">u4"}[bits], n, at + 12).astype(np.int64)
+
+
+def _in_chunks(t: dict) -> np.ndarray:
+    """Rows (offset, size) of the samples that the tables of a track place in chunks."""
+    sizes, chunks = t["sizes"], np.array(t["chunks"], np.uint64)
+    firsts = [first for first, _, _ in t["runs"]]
+    untils = [*firsts[1:], len(chunks) + 1][: len(firsts)]
+    if any(not 0 < a or b > len(chunks) + 1 for a, b in zip(firsts, untils, strict=True)):
+        raise ValueError("a chunk without an offset")
+    used = np.concatenate([np.arange(a, b) for a, b in zip(firsts, untils, strict=True)] or [np.zeros(0, np.int64)])
+    per = np.repeat(np.array([per for _, per, _ in t["runs"]], np.int64), [max(0, b - a) for a, b in zip(firsts, untils, strict=True)])
+    ends = np.minimum(np.cumsum(per), len(sizes))  # the last chunks may promise more samples than there are
+    if (ends[-1] if len(ends) else 0) != len(sizes):
         raise ValueError("samples outside the file")
-    return samples
+    of = np.repeat(np.arange(len(used)), np.diff(np.append(0, ends)))
+    before = np.cumsum(sizes) - sizes
+    first = np.append(0, ends[:-1])[of] if len(ends) else of
+    starts = chunks[used - 1].astype(np.int64) if len(used) else np.zeros(0, np.int64)  # offsets beyond 2^63 turn negative, which is outside
+    return np.stack([starts[of] + before - before[first], sizes], 1) if len(sizes) else np.zeros((0, 2), np.int64)
 
 
 def _starts(deltas: list[tuple[int, int]], places: list[int]) -> list[int]:
@@ -164,7 +165,7 @@ def _starts(deltas: list[tuple[int, int]], places: list[int]) -> list[int]:
     return out
 
 
-def _fragment(raw: bytes, at: int, end: int, f: dict) -> tuple[list[tuple[int, int]], list[int], list[bool]]:
+def _fragment(raw: bytes, at: int, end: int, f: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(offset, size), duration and whether it can be decoded alone, of the samples of one trun box; ``f`` has the defaults and where data goes on."""
     flags, n = struct.unpack_from(">I", raw, at)[0] & 0xFFFFFF, struct.unpack_from(">I", raw, at + 4)[0]
     p = at + 8
@@ -176,42 +177,44 @@ def _fragment(raw: bytes, at: int, end: int, f: dict) -> tuple[list[tuple[int, i
         first = struct.unpack_from(">I", raw, p)[0]
         p += 4
     fields = [k for k in (0x100, 0x200, 0x400, 0x800) if flags & k]
-    if p + 4 * len(fields) * n > end or n > len(raw):
+    if n > len(raw):
+        raise ValueError("more samples than bytes")
+    if p + 4 * len(fields) * n > end:
         raise ValueError("a run of samples is cut off")
-    samples, durations, alone = [], [], []
-    for i in range(n):
-        row = dict(zip(fields, struct.unpack_from(f">{len(fields)}I", raw, p), strict=True))
-        p += 4 * len(fields)
-        size = row.get(0x200, f["size"])
-        own = row.get(0x400, first if i == 0 and first is not None else f["flags"])
-        samples.append((f["next"], size))
-        durations.append(row.get(0x100, f["duration"]))
-        alone.append(not own & 0x10000)
-        f["next"] += size
-    return samples, durations, alone
+    rows = np.frombuffer(raw, ">u4", n * len(fields), p).reshape(n, len(fields)).astype(np.int64) if fields else None
+    column = lambda k, usual: rows[:, fields.index(k)] if k in fields else np.full(n, usual, np.int64)
+    sizes, own = column(0x200, f["size"]), column(0x400, f["flags"])
+    if 0x400 not in fields and first is not None and n:
+        own[0] = first
+    offsets = f["next"] + np.cumsum(sizes) - sizes
+    f["next"] += int(sizes.sum())
+    return np.stack([offsets, sizes], 1), column(0x100, f["duration"]), (own & 0x10000) == 0
 
 
 def tracks(raw: bytes) -> list[dict]:
-    """Per track: track_id, handler, codec, timescale, duration, n_samples, samples [(offset, size)], keyframes (indexes from 0) and their times.
+    """Per track: track_id, handler, codec, timescale, duration, n_samples, samples (an array of offsets and sizes), keyframes (indexes from 0) and their times.
 
-    Samples are those of the track's tables and, after them, those of movie fragments.
+    Samples are those of the track's tables and, after them, those of movie fragments. A file that claims more samples in all than it has bytes is an error,
+    so that memory is bounded by its size.
     """
     found: list[dict] = []
     defaults: dict[int, tuple[int, int, int]] = {}  # by track: duration, size and flags of a fragment's samples
-    moof, f = 0, None
+    moof, f, claimed = 0, None, 0
     for path, at, end in boxes(raw):
         name = path.rsplit("/", 1)[1]
         if path == "/moov/trak":
-            found.append({"track_id": None, "handler": None, "codec": None, "timescale": 0, "duration": 0, "sizes": [], "chunks": [], "runs": [], "keys": None, "delta": [], "more": ([], [], [])})
+            found.append({"track_id": None, "handler": None, "codec": None, "timescale": 0, "duration": 0, "sizes": np.zeros(0, np.int64), "chunks": [], "runs": [], "keys": None, "delta": [], "more": ([], [], [])})
         elif path == "/moov/mvex/trex":
             track, _, *rest = struct.unpack_from(">IIIII", raw, at + 4)
             defaults[track] = tuple(rest)
         elif path == "/moof":
             moof = at - (16 if raw[at - 16 : at - 12] == b"\0\0\0\1" and raw[at - 12 : at - 8] == b"moof" else 8)
+            f = None
         elif path == "/moof/traf/tfhd":
             flags, track = struct.unpack_from(">I", raw, at)[0] & 0xFFFFFF, struct.unpack_from(">I", raw, at + 4)[0]
             duration, size, own = defaults.get(track, (0, 0, 0))
-            p, base = at + 8, moof
+            # without an own base data begins with the fragment, or goes on after the track before in it
+            p, base = at + 8, moof if flags & 0x20000 or f is None else f["next"]
             if flags & 0x1:
                 base, p = struct.unpack_from(">Q", raw, p)[0], p + 8
             p += 4 * bool(flags & 0x2)
@@ -228,8 +231,12 @@ def tracks(raw: bytes) -> list[dict]:
         elif path == "/moof/traf/trun":
             if f is None:
                 raise ValueError("a run of samples without a header")
-            for kept, new in zip(f["of"]["more"], _fragment(raw, at, end, f), strict=True):
-                kept.extend(new)
+            new = _fragment(raw, at, end, f)
+            claimed += len(new[0])
+            if claimed > len(raw):
+                raise ValueError("more samples than bytes")
+            for kept, x in zip(f["of"]["more"], new, strict=True):
+                kept.append(x)
         if not found or "/trak/" not in path:
             continue
         t = found[-1]
@@ -246,7 +253,11 @@ def tracks(raw: bytes) -> list[dict]:
         elif name == "stsc":
             t["runs"] = _table(raw, at, end, "III")
         elif name in ("stsz", "stz2"):
+            claimed -= len(t["sizes"])
             t["sizes"] = _sizes(raw, at, end, name == "stz2")
+            claimed += len(t["sizes"])
+            if claimed > len(raw):
+                raise ValueError("more samples than bytes")
         elif name in ("stco", "co64"):
             t["chunks"] = [x[0] for x in _table(raw, at, end, "I" if name == "stco" else "Q")]
         elif name == "stss":
@@ -258,16 +269,15 @@ def tracks(raw: bytes) -> list[dict]:
         if any(not 0 <= k < len(samples) for k in keys):
             raise ValueError("a keyframe that is no sample")
         times = _starts(t["delta"], keys)
-        more, durations, alone = t["more"]
         clock = sum(n * d for n, d in t["delta"])
         keys, times = list(keys), list(times)
-        for i, (d, key) in enumerate(zip(durations, alone, strict=True)):
-            if key:
-                keys.append(len(samples) + i)
-                times.append(clock)
-            clock += d
-        samples = samples + more
-        if any(a < 0 or a + b > len(raw) for a, b in samples):
+        for more, durations, alone in zip(*t["more"], strict=True):
+            at = np.cumsum(durations) - durations + clock
+            keys += (len(samples) + np.flatnonzero(alone)).tolist()
+            times += at[alone].tolist()
+            clock += int(durations.sum())
+            samples = np.concatenate([samples, more])
+        if ((samples[:, 0] < 0) | (samples.sum(1) > len(raw))).any():
             raise ValueError("samples outside the file")
         out.append({k: t[k] for k in ("track_id", "handler", "codec", "timescale")} | {"duration": t["duration"] or clock, "n_samples": len(samples), "samples": samples, "keyframes": keys, "times": times})
     return out
@@ -275,7 +285,7 @@ def tracks(raw: bytes) -> list[dict]:
 
 def stored_payload(raw: bytes) -> bytes:
     """The samples of the first track, in order."""
-    return b"".join(raw[a : a + n] for a, n in tracks(raw)[0]["samples"])
+    return b"".join(raw[a : a + n] for a, n in tracks(raw)[0]["samples"].tolist())
 
 
 _COLUMNS = "media_bytes long, media_error string, handler string, codec string, timescale long, duration long, seconds double, n_samples long, keyframes array<struct<offset:long,length:long>>, tracks array<struct<track_id:long,handler:string,codec:string,timescale:long,duration:long,seconds:double,n_samples:long,keyframes:array<struct<offset:long,length:long,seconds:double>>>>"
@@ -296,11 +306,11 @@ def _described(raw: bytes | None) -> dict:
     row["tracks"] = [
         {k: x[k] for k in ("track_id", "handler", "codec", "timescale", "duration", "n_samples")}
         | {"seconds": x["duration"] / x["timescale"] if x["timescale"] else None}
-        | {"keyframes": [{"offset": x["samples"][k][0], "length": x["samples"][k][1], "seconds": at / x["timescale"] if x["timescale"] else None} for k, at in zip(x["keyframes"], x["times"], strict=True)]}
+        | {"keyframes": [{"offset": int(x["samples"][k][0]), "length": int(x["samples"][k][1]), "seconds": at / x["timescale"] if x["timescale"] else None} for k, at in zip(x["keyframes"], x["times"], strict=True)]}
         for x in every
     ]
     row |= {k: t[k] for k in ("handler", "codec", "timescale", "duration", "n_samples")}
-    return row | {"seconds": t["duration"] / t["timescale"] if t["timescale"] else None, "keyframes": [{"offset": t["samples"][k][0], "length": t["samples"][k][1]} for k in t["keyframes"]]}
+    return row | {"seconds": t["duration"] / t["timescale"] if t["timescale"] else None, "keyframes": [{"offset": int(t["samples"][k][0]), "length": int(t["samples"][k][1])} for k in t["keyframes"]]}
 
 
 _KEYS = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("seconds", pa.float64())]))
@@ -312,7 +322,7 @@ def media_columns(files: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """(id, media_bytes, media_error, handler, codec, timescale, duration, seconds, n_samples, keyframes, tracks).
 
     tracks has all tracks, with keyframes' byte ranges and times; the columns before it are those of the first. Samples of movie fragments count.
-    Null files have nulls; empty, cut off or contradictory ones, and those nested beyond DEEPEST, have media_error and nulls. Rows come back as often as they came;
+    Null files have nulls; empty, cut off or contradictory ones, those nested beyond DEEPEST and those that claim more samples than they have bytes, have media_error and nulls. Rows come back as often as they came;
     columns beside the two are ignored; an empty table gives an empty result.
     """
 
@@ -350,8 +360,8 @@ def texts_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _digest(text: bytes) -> tuple:
     media = write_media(padded(text))
     t = tracks(media)[0]
-    payload = b"".join(media[a : a + n] for a, n in t["samples"])
-    ranges = [[t["samples"][k][0], t["samples"][k][1]] for k in t["keyframes"]]
+    payload = b"".join(media[a : a + n] for a, n in t["samples"].tolist())
+    ranges = t["samples"][t["keyframes"]].tolist()
     feature = {"codec": t["codec"], "handler": t["handler"], "seconds": t["duration"] / t["timescale"], "samples": t["n_samples"], "keyframes": len(ranges), "first_key": ranges[0], "last_key": ranges[-1], "keys_sha256": hashlib.sha256(json.dumps(ranges).encode()).hexdigest()}
     return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), json.dumps(feature, sort_keys=True)
 
@@ -361,7 +371,7 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature); feature is JSON with
     codec, handler, seconds, sample and keyframe counts and the first, last and hash of all keyframe byte ranges. Null texts count as
-    empty; equal texts give equal values; null ids and repeated rows stay; other columns are ignored.
+    empty; equal texts give equal values; null ids and repeated rows stay; other columns are ignored, whatever their names; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

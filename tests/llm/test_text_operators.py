@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -483,7 +484,7 @@ def test_media_columns_of_files(spark):
     x = spark.createDataFrame([(i, f, 1) for i, f in enumerate(files)], "id long, media binary, codec int")
     got = {r.id: r for r in media.media_columns(x, "id", "media").collect()}
     t = media.tracks(good)[0]
-    assert got[0].codec == "raw " and got[0].seconds == pytest.approx(5184 / 8000) and [(k.offset, k.length) for k in got[0].keyframes] == [t["samples"][k] for k in t["keyframes"]]
+    assert got[0].codec == "raw " and got[0].seconds == pytest.approx(5184 / 8000) and [(k.offset, k.length) for k in got[0].keyframes] == [tuple(x) for x in t["samples"][t["keyframes"]].tolist()]
     assert got[1].media_bytes is None and got[1].media_error is None
     assert all(got[i].media_error for i in (2, 3, 4, 5, 6, 7, 8))
     assert got[0].tracks[0].track_id == 1 and [k.seconds for k in got[0].tracks[0].keyframes] == pytest.approx([k * 192 / 8000 for k in t["keyframes"]])
@@ -536,6 +537,41 @@ def test_fragments(spark):
     assert all(got[i].media_error for i in (1, 2, 3))
 
 
+def test_runs_that_claim_more_samples_than_bytes(spark):
+    empty_ = (media._full(b"stsz", bytes(8)), media._full(b"stsc", bytes(4)), media._full(b"stco", bytes(4)), media._full(b"stts", bytes(4)))
+    moov = media._box(b"moov", _track(7, b"vide", b"hvc1", *empty_))
+    run = media._full(b"trun", struct.pack(">I", 15_000))
+    bomb = moov + media._box(b"moof", media._box(b"traf", media._full(b"tfhd", struct.pack(">I", 7)), *[run] * 950))
+    many = media._box(b"moov", *[_track(1, b"soun", b"mp4a", media._full(b"stsz", struct.pack(">II", 0, 0)), media._full(b"stsz", struct.pack(">II", 1, 500)))] * 50)
+    began = time.perf_counter()
+    got = {r.id: r.media_error for r in media.media_columns(spark.createDataFrame([(1, bomb), (2, many)], "id long, media binary"), "id", "media").collect()}
+    assert got == {1: "more samples than bytes", 2: "more samples than bytes"}
+    assert time.perf_counter() - began < 20
+    began = time.perf_counter()
+    assert media._described(bomb)["media_error"] and time.perf_counter() - began < 0.1
+
+
+def test_data_of_a_second_track_in_a_fragment():
+    """Without an own base, it goes on after the first one's, unless the fragment says that each begins with it."""
+    empty_ = (media._full(b"stsz", bytes(8)), media._full(b"stsc", bytes(4)), media._full(b"stco", bytes(4)), media._full(b"stts", bytes(4)))
+    moov = media._box(b"moov", _track(1, b"vide", b"hvc1", *empty_), _track(2, b"soun", b"mp4a", *empty_))
+
+    def file(flags, offset, own):
+        traf = lambda n, start, sizes: media._box(b"traf", media._full(b"tfhd", struct.pack(">I", n), flags=flags), media._full(b"trun", struct.pack(">I", len(sizes)) + (struct.pack(">i", start) if start is not None else b""), struct.pack(f">{len(sizes)}I", *sizes), flags=0x200 | (start is not None)))
+        moof = media._box(b"moof", traf(1, offset, [4, 5]), traf(2, own, [3]))
+        return moov + moof + media._box(b"mdat", b"x" * 12), len(moov), len(moof)
+
+    raw, start, size = file(0, 0, None)
+    raw, start, size = file(0, size + 8, None)
+    first, second = media.tracks(raw)
+    at = start + size + 8
+    assert first["samples"].tolist() == [[at, 4], [at + 4, 5]] and second["samples"].tolist() == [[at + 9, 3]]
+    raw, start, size = file(0x20000, 0, 0)
+    raw, start, size = file(0x20000, size + 8, size + 8 + 9)
+    first, second = media.tracks(raw)
+    assert second["samples"].tolist() == [[start + size + 8 + 9, 3]]
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -601,6 +637,14 @@ def test_several_notices_in_a_text(spark):
         assert got[i].score == pytest.approx(score, abs=1e-6)
 
 
+def test_templates_of_any_length(spark):
+    long = [f"w{i}" for i in range(1_000)]
+    templates = [("long", " ".join(long), "w900 w901"), ("short", "some other notice here", "other notice")]
+    texts_ = [" ".join(long[280:]), " ".join(["x"] * 700 + long), " ".join(reversed(long[:280])), "some other notice here", "nothing"]
+    got = {x.doc_id: [(p.label, p.word) for p in x.places] for x in licenses.license_scan(docs_of(spark, texts_), templates=templates).collect()}
+    assert got == {0: [("long", -280)], 1: [("long", 700)], 2: [], 3: [("short", 0)], 4: []}
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 
