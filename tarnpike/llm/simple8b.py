@@ -18,22 +18,35 @@ BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = np.uint64((1 << 60) - 1)
 
 
+_FEW = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
+
+
 def _bits(ids: np.ndarray) -> np.ndarray:
     """Bits that each integer needs; 60 for escapes."""
+    if int(ids.max()) < 1 << 16:
+        return _FEW[ids.astype(np.intp)]
     return np.searchsorted(np.array([1 << b for b in range(60)], np.uint64), ids, side="right").astype(np.uint8)
 
 
-def _selectors(bits: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each place the selector that takes most integers from there on without passing the end of its document."""
-    n = len(bits)
-    places = np.arange(n)
-    best = np.full(n, 15, np.uint8)
+def _selectors(bits: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For each place the selector that takes most integers from there on, of those that fit and of the ``left`` ones of its document (255 for more)."""
+    widest = {1: bits}  # the most bits in the next 1, 2, ... integers
+
+    def most(n: int) -> np.ndarray:
+        if n not in widest:
+            half = max(c for c in (1, 2, 4, 8, 15, 30, 60, 120) if c < n and 2 * c >= n)
+            whole = most(half)
+            out = np.full(len(bits), 255, np.uint8)
+            if len(bits) >= n:
+                np.maximum(whole[: len(bits) - n + 1], whole[n - half : len(bits) - half + 1], out=out[: len(bits) - n + 1])
+            widest[n] = out
+        return widest[n]
+
+    best = np.full(len(bits), 15, np.uint8)
     for s in range(14, -1, -1):
-        if BITS[s] and s < 14 and BITS[s + 1] >= 60:
-            continue
-        over = np.where(bits > BITS[s], places, n)
-        stop = np.minimum(np.minimum.accumulate(over[::-1])[::-1], ends)  # the first place that does not fit
-        best[stop - places >= COUNTS[s]] = s
+        fits = (most(int(COUNTS[s])) <= BITS[s]) & (left >= COUNTS[s])
+        if fits.any():
+            best[fits] = s
     return best
 
 
@@ -46,12 +59,13 @@ def pack(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         return np.zeros(0, np.uint64), none, ids, none
     large = ids >= ESCAPE
     fields = np.where(large, ESCAPE, ids)
-    selector = _selectors(_bits(fields), np.repeat(ends, sizes))
-    after = (np.arange(len(ids)) + COUNTS[selector]).tolist()
+    left = np.minimum(np.repeat(ends, sizes) - np.arange(len(ids)), 255).astype(np.uint8)
+    selector = _selectors(_bits(fields), left)
+    steps = COUNTS[selector].astype(np.uint8).tobytes()
     firsts, at, n = [], 0, len(ids)
     while at < n:
         firsts.append(at)
-        at = after[at]
+        at += steps[at]
     first = np.array(firsts)
     own = selector[first]
     words = own.astype(np.uint64) << np.uint64(60)

@@ -1,7 +1,7 @@
 """Token ids as binary files: documents in order of id, coded with Simple-8b, in blocks that decode on their own.
 
-``write_tokens`` encodes and codes each document where it is read. Coded documents are dealt by ranges of their ids, sorted, and joined
-into blocks; no document is coded again. Files are Parquet, which Spark's committer writes once even if executors are lost, on any
+``write_tokens`` deals documents by ranges of their ids and sorts them; a task encodes and codes its documents in order and joins their
+words into blocks. Files are Parquet, which Spark's committer writes once even if executors are lost, on any
 file system that Spark knows; a row is a block:
 
     shard int, block int      shards and their blocks in order are the order of the documents
@@ -17,29 +17,32 @@ A document's ids are found from its counts of words; the offsets give any run of
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simple8b
-from ._shared import own_folder, ready, released, written
+from ._shared import own_folder, ready
 
 MAGIC = b"S8B1"
-#: words between two offsets of a block; bytes of words in a block, about; bytes of words in a shard, about
-STRIDE, BLOCK_BYTES, SHARD_BYTES = 1_024, 1 << 20, 64 << 20
-#: pre-tokens that a worker keeps, and the longest of them; texts encoded together, in characters
-CACHED, LONGEST, TOGETHER = 600_000, 64, 1 << 20
+#: words between two offsets of a block; bytes of words in a block, about
+STRIDE, BLOCK_BYTES = 1_024, 1 << 20
+#: words, and runs between spaces, that a worker keeps, and the longest of them; texts encoded together, in characters
+CACHED, LONGEST, TOGETHER = 600_000, 64, 1 << 22
 
 #: words, digits and other signs of lower-cased texts below U+0100: what the tokenizer's own pattern finds there
 _LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\t-\\r \\x85\\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+#: signs that often end a word, and are a pre-token of their own there
+_SIGNS = frozenset(",.;:!?|)")
 #: fixed values: the normaliser and the splitter that this pattern stands for
 _NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -56,86 +59,116 @@ def splits_into_words(definition: dict) -> bool:
 
 
 class _Encoder:
-    """The ids of whole texts by the tokenizer's library. Where words are encoded apart, the library sees each distinct word of a worker once."""
+    """The ids of whole texts by the tokenizer's library, as bytes. Where words are encoded apart, the library sees each distinct word of a worker once."""
 
     _kept: tuple[str, _Encoder] | None = None
 
-    def __init__(self, raw: str):
+    def __init__(self, raw: str, by_word: bool, special: list[str]):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        definition = json.loads(raw)
-        self.tokenizer = Tokenizer.from_str(raw)
+        self.tokenizer, self.by_word, self.special = Tokenizer.from_str(raw), by_word, special
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.by_word = splits_into_words(definition)
-        self.special = [x["content"] for x in definition.get("added_tokens", [])]
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values(), default=0), bool)
-        if self.by_word:
-            self.ends[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}  #: of words, and of runs of some between spaces
+        if by_word:
+            # words that are split and in lower case already need the model alone
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(1 + max(vocabulary.values(), default=0), bool)
+            self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
 
     @classmethod
-    def of(cls, key: str, raw) -> _Encoder:
+    def of(cls, key: str, shared) -> _Encoder:
         if cls._kept is None or cls._kept[0] != key:
-            cls._kept = key, cls(raw.value)
+            cls._kept = key, cls(*shared.value)
         return cls._kept[1]
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of distinct words, encoded in one text and cut after the pieces that end words."""
-        out: dict[str, tuple[int, ...]] = {}
-        for i in range(0, len(words), 2_000):
-            part = words[i : i + 2_000]
-            ids = np.array(self._whole([" ".join(part)])[0], np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and (not len(cuts) or cuts[-1] == len(ids)):
-                flat, edges = ids.tolist(), [0, *cuts.tolist()]
-                out.update((w, tuple(flat[a:b])) for w, a, b in zip(part, edges, edges[1:], strict=False))
+    def _whole(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        return [np.array(x.ids, np.uint32).tobytes() for x in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _apart(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of distinct words, many encoded in one text that is cut after the pieces that end words."""
+        out: dict[str, bytes] = {}
+        parts = [words[i : i + 300] for i in range(0, len(words), 300)]
+        for part, held in zip(parts, self._whole([" ".join(p) for p in parts], self.plain), strict=True):
+            cuts = (np.flatnonzero(self.ends[np.frombuffer(held, np.uint32)]) + 1) * 4
+            if len(cuts) == len(part) and cuts[-1] == len(held):
+                edges = [0, *cuts.tolist()]
+                out.update((w, held[a:b]) for w, a, b in zip(part, edges, edges[1:], strict=False))
             else:  # a word with a piece that ends words inside it
-                out.update((w, tuple(x)) for w, x in zip(part, self._whole(part), strict=True))
+                out.update(zip(part, self._whole(part), strict=True))
         return out
 
-    def _words(self, text: str) -> list[str] | None:
-        """What the library may encode apart: pre-tokens of plain texts, else what stands between spaces and line feeds."""
-        if any(x in text for x in self.special):
-            return None
-        if text.isascii() or max(text) < "Ā":
-            return _LATIN.findall(text.lower())
-        out = []
-        for x in text.replace("\n", " ").split(" "):
-            if not x or x.isascii() or max(x) < "Ā":
-                out += _LATIN.findall(x.lower())
+    def _learnt(self, runs: set[str]) -> dict[str, bytes]:
+        """The ids of runs between spaces, of their words if they are plain, else of the whole run; and of those words."""
+        words, ended, compound, other = set(), [], {}, []
+        for x in runs:
+            if not (x.isascii() or _below(x)):
+                other.append(x)
+            elif x.isalpha() and x.islower():
+                words.add(x)
+            elif x[-1:] in _SIGNS and x[:-1].isalpha() and x[:-1].islower():
+                ended.append(x)
             else:
-                out.append(x)
+                compound[x] = _LATIN.findall(x.lower())
+        known = self.known
+        words.update(w for x in ended for w in (x[:-1], x[-1]) if w not in known)
+        words.update(w for found in compound.values() for w in found if w not in known)
+        out = self._apart(list(words))
+        get = lambda w: out[w] if w in out else known[w]
+        out.update([(x, get(x[:-1]) + get(x[-1])) for x in ended])
+        out.update([(x, b"".join(map(get, found))) for x, found in compound.items()])
+        out.update(zip(other, self._whole(other) if other else [], strict=True))
         return out
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another, ids of each text)."""
         if not self.by_word:
-            found = self._whole(texts)
-            return np.fromiter(chain.from_iterable(found), np.int64), np.array([len(x) for x in found], np.int64)
-        flat: list[int] = []
-        sizes = []
-        for text in texts:
-            before = len(flat)
-            words = self._words(text)
-            if words is None:
-                flat += self._whole([text])[0]
-            else:
-                found = list(map(self.known.get, words))
-                if None in found:
-                    new = {w for w, x in zip(words, found, strict=True) if x is None}
-                    apart = {w for w in new if len(w) > LONGEST or not (w.isascii() or max(w) < "Ā")}
-                    learnt = self._learn(sorted(new - apart)) | dict(zip(apart, map(tuple, self._whole(list(apart))), strict=True))
-                    found = [x if x is not None else learnt[w] for w, x in zip(words, found, strict=True)]
-                    if len(self.known) + len(learnt) > CACHED:
-                        self.known = {}
-                    self.known.update((w, x) for w, x in learnt.items() if len(w) <= LONGEST)
-                flat.extend(chain.from_iterable(found))
-            sizes.append(len(flat) - before)
-        return np.array(flat, np.int64), np.array(sizes, np.int64)
+            return self._joined(self._whole(texts))
+        # plain texts in lower case; others keep theirs: the library lowers each run, which may have marks to be composed first
+        special = [i for i, t in enumerate(texts) if any(x in t for x in self.special)]
+        held = [t.lower() if t.isascii() or _below(t) else t for t in texts]
+        for i in special:
+            held[i] = ""
+        split = pc.split_pattern(pc.replace_substring(pa.array(held, pa.string()), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        runs, place = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)
+        found = list(map(self.known.get, runs))
+        if None in found:
+            learnt = self._learnt({x for x, y in zip(runs, found, strict=True) if y is None})
+            found = [y if y is not None else learnt[x] for x, y in zip(runs, found, strict=True)]
+            if len(self.known) + len(learnt) > CACHED:
+                self.known = {}
+            self.known.update(learnt)
+            for x in [x for x in learnt if len(x) > LONGEST]:
+                del self.known[x]
+        ids, n = self._joined(found)
+        starts, lengths = (np.cumsum(n) - n)[place], n[place]
+        before = np.cumsum(lengths) - lengths
+        ids = ids[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+        sizes = np.diff(np.append(0, np.cumsum(lengths))[np.asarray(split.offsets) - split.offsets[0].as_py()])
+        if special:
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for i in special:
+                parts[i] = np.frombuffer(self._whole([texts[i]])[0], np.uint32)
+            ids, sizes = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return ids, sizes
+
+    @staticmethod
+    def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(parts), np.uint32), np.array(list(map(len, parts)), np.int64) // 4
+
+
+def _below(text: str) -> bool:
+    """Whether all characters are below U+0100, where normal forms compose nothing and lower case stays in place."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def _together(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -150,27 +183,6 @@ def _together(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def _coded(key: str, raw, end_id: int | None):
-    """(doc_id, n_ids, words, escapes) of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder.of(key, raw)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in _together(texts):
-                ids, sizes = encoder.ids(texts[a:b])
-                if end_id is not None:
-                    ids = np.insert(ids, np.cumsum(sizes), end_id)
-                    sizes = sizes + 1
-                words, n_words, escapes, n_escapes = simple8b.pack(ids, sizes)
-                cut = lambda x, n: [x[j - m : j].tobytes() for j, m in zip(np.cumsum(n), n, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(cut(words, n_words), pa.binary()), pa.array(cut(escapes, n_escapes), pa.binary())], ["doc_id", "n_ids", "words", "escapes"]
-                )
-
-    return run
-
-
 def _filled(x: bytes) -> bytes:
     return x + bytes(-len(x) % 8)
 
@@ -224,56 +236,65 @@ class Block:
         return simple8b.unpack(self.words[a:b], self.escapes[c:d])
 
 
-def _blocks(block_bytes: int):
-    """Sorted coded documents of a task, joined into blocks of about ``block_bytes`` of words."""
+def _blocks(key: str, shared, end_id: int | None, block_bytes: int):
+    """Sorted documents of a task, encoded, coded and joined into blocks of about ``block_bytes`` of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _Encoder.of(key, shared)
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         held: list[tuple] = []
         size = 0
 
         def out() -> pa.RecordBatch:
             ids, n_ids, words, escapes = zip(*held, strict=True)
-            n = sum(n_ids)
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([_payload(ids, n_ids, words, escapes)], pa.binary())],
+                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([sum(n_ids)], pa.int64()), pa.array([_payload(ids, n_ids, words, escapes)], pa.binary())],
                 ["shard", "block", "first", "n_ids", "payload"],
             )
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                held.append(row)
-                size += len(row[2])
-                if size >= block_bytes or len(held) >= 1 << 16:
-                    done = out()
-                    yield done
-                    block, first = block + 1, first + done.column(3)[0].as_py()
-                    held, size = [], 0
+            doc_ids = batch.column(0).to_pylist()
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for a, b in _together(texts):
+                ids, sizes = encoder.ids(texts[a:b])
+                if end_id is not None:
+                    ids = np.insert(ids, np.cumsum(sizes), end_id)
+                    sizes = sizes + 1
+                words, n_words, escapes, n_escapes = simple8b.pack(ids, sizes)
+                cut = lambda x, n: [x[j - m : j].tobytes() for j, m in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
+                for row in zip(doc_ids[a:b], sizes.tolist(), cut(words, n_words), cut(escapes, n_escapes), strict=True):
+                    held.append(row)
+                    size += len(row[2])
+                    if size >= block_bytes or len(held) >= 1 << 16:
+                        done = out()
+                        yield done
+                        block, first = block + 1, first + done.column(3)[0].as_py()
+                        held, size = [], 0
         if held:
             yield out()
 
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> None:
+def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, block_bytes: int = BLOCK_BYTES) -> None:
     """Write the ids of every text, as the tokenizers library gives them for the whole text without special tokens, followed by ``end_id``,
-    to ``folder`` in ascending order of ids. Rows with one id follow each other in order of their codes, repeated rows in any; null ids come last.
+    to ``folder`` in ascending order of ids, in ``shards`` ranges (by default those of a shuffle). Rows with one id follow each other in order of a hash of
+    their texts; null ids come last.
 
     A null text counts as empty. Other columns are ignored. An empty table gives files without blocks. The folder must not exist.
+    Repeated rows of one id and text are told apart by their places in the table, so that they are no group of their own; each attempt of a task has to read them in the same
+    order, as from files: write a table down that comes from a shuffle.
     """
     spark = ready(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         raw = f.read()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    coded = written(rows.mapInArrow(_coded(uuid.uuid4().hex, spark.sparkContext.broadcast(raw), end_id), "doc_id long, n_ids long, words binary, escapes binary"))
-    size = coded.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    shards = max(-(-size // shard_bytes), spark.sparkContext.defaultParallelism)
-    # the written table is read alike by each attempt of a task, so rows that are equal can be told apart by their place in it
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("words", "escapes"), F.col("_row")]
-    dealt = coded.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(int(shards), *order).sortWithinPartitions(*order)
-    blocks = dealt.select("doc_id", "n_ids", "words", "escapes").mapInArrow(_blocks(block_bytes), "shard int, block int, first long, n_ids long, payload binary")
+    definition = json.loads(raw)
+    shared = spark.sparkContext.broadcast((raw, splits_into_words(definition), [x["content"] for x in definition.get("added_tokens", [])]))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("_row"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("_row")]
+    dealt = rows.repartitionByRange(*([shards] if shards else []), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    blocks = dealt.mapInArrow(_blocks(uuid.uuid4().hex, shared, end_id, block_bytes), "shard int, block int, first long, n_ids long, payload binary")
     blocks.write.parquet(folder)
-    released(coded)
 
 
 def token_blocks(spark: SparkSession, folder: str) -> DataFrame:

@@ -182,7 +182,7 @@ def test_token_files_of_an_empty_table(spark, empty):
 def test_blocks_decode_by_document_and_by_run(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     folder = str(tmp_path / "tokens")
-    token_files.write_tokens(docs, WORD_MODEL, folder, 2, shard_bytes=50_000, block_bytes=10_000)
+    token_files.write_tokens(docs, WORD_MODEL, folder, 2, shards=8, block_bytes=10_000)
     tokenizer = Tokenizer.from_file(WORD_MODEL)
     want = {r.doc_id: tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2] for r in docs.collect()}
     read = {r.doc_id: r for r in token_files.read_tokens(spark, folder).collect()}
