@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has two columns a, b of one ordered type; direction, repeats and self-loops do not matter.
     Each round every node takes the smallest label among itself and its neighbours and then the label of
     that label, so a path of length d needs about log d rounds. Every round is written to the shared
-    folder; groups are aggregated with partial sums, so one node with very many edges is no hot key.
+    folder; groups are aggregated with partial sums, so one node with very many edges is no hot key. The result is a written table that the caller may release.
     """
     both = written(edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
@@ -30,4 +30,6 @@ def components(edges: DataFrame) -> DataFrame:
         before, labels = jumped, jumped.select("node", "label")
         if not changed:
             released(both)
-            return labels.withColumnRenamed("label", "component")
+            out = labels.withColumnRenamed("label", "component")
+            out._tarnpike_path = jumped._tarnpike_path  # for ``released``
+            return out

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ready, written
+from ._shared import ready, released, written
 from .components import components
 from .words import CHUNK_BYTES, chunks, gram_sets, grams, mix, texts, words
 
@@ -136,6 +136,7 @@ def _postings(k: int, t: int, blocks: int, flush: int = 10 * CHUNK_BYTES):
                 s1, _ = _signature(rows, g, b - a)
                 starts = np.cumsum(n) - n
                 lim = n - _least(n, t) + _share(n, t)
+                lim[np.setdiff1d(np.arange(b - a), np.unique(s1, return_index=True)[1])] = 0  # of copies in a chunk, one emits
                 keep = np.arange(len(g)) - starts[rows] < lim[rows]
                 kept = 0
                 while kept < b - a:  # payloads number their rows with 16 bits
@@ -271,10 +272,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = ready(docs.sparkSession)
     t = percent
+    working: list[DataFrame] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        working.append(written(df))
+        return working[-1]
+
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = written(rows.mapInArrow(_signatures(k), "doc_id long, n_shingles long, s1 long, s2 long"))
-    classes = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    total = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    classes = kept(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    # every copy of a text emits its postings, so blocks are as many as all of them need
+    total = classes.agg(F.sum(F.col("n_shingles") * F.col("copies"))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, int(total * 2 * (100 - t) / 100) // BLOCK_POSTINGS)
 
     hits = (
@@ -284,65 +292,68 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     smallest = F.floor((F.col("n_shingles") * t + 99) / 100)  # of a partner, at least
     need = smallest - F.floor((smallest * t + 99) / 100) + 1
-    maybe = written(classes.join(hits, "s1").where(F.col("hits") >= need).select(F.col("rep").alias("doc_id")))
+    maybe = kept(classes.join(hits, "s1").where(F.col("hits") >= need).select(F.col("rep").alias("doc_id")))
     few = maybe.count() <= BROADCAST_IDS
     of_class = rows.join(F.broadcast(maybe) if few else maybe, "doc_id", "left_semi").select("doc_id", "text")
     repeats = _repeats(rows)
     postings = of_class.mapInArrow(_exploded(k, repeats), "rep long, n long, own long, gram long")
-    postings = written(postings.distinct() if repeats else postings)
+    postings = kept(postings.distinct() if repeats else postings)
 
-    often = written(postings.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"))
+    often = kept(postings.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"))
     listed = (
         _split_join(postings, often, ["gram"], "times", postings.count()).groupBy("rep", "n", "own").agg(F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("grams"))
         .where((F.size("grams") * 100 >= F.col("n") * t))
         .select("rep", "n", F.col("grams.gram").alias("grams"))
     )
-    listed = written(listed)
+    listed = kept(listed)
     single = F.col("n") - F.size("grams")
     prefix = (F.col("n") - F.floor((F.col("n") * t + 99) / 100) + 1 - single).cast("int")
-    buckets = written(listed.where(prefix > 0).select("rep", "n", F.explode(F.slice("grams", 1, prefix)).alias("gram")))
+    buckets = kept(listed.where(prefix > 0).select("rep", "n", F.explode(F.slice("grams", 1, prefix)).alias("gram")))
     spread = buckets.count()
 
-    leaders = written(buckets.groupBy("gram").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1"))
+    leaders = kept(buckets.groupBy("gram").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1"))
     stars = _split_join(buckets, leaders, ["gram"], "members", spread).where("rep <> leader").select("rep", "leader").distinct()
     left = listed.select(F.col("rep"), F.col("n").alias("n1"), F.col("grams").alias("g1"))
     right = listed.select(F.col("rep").alias("leader"), F.col("n").alias("n2"), F.col("grams").alias("g2"))
     sized = stars.join(left, "rep").join(right, "leader").where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * t)
-    starred = written(sized.where((100 + t) * F.size(F.array_intersect("g1", "g2")) >= t * (F.col("n1") + F.col("n2"))).select(F.col("rep").alias("a"), F.col("leader").alias("b")))
+    starred = kept(sized.where((100 + t) * F.size(F.array_intersect("g1", "g2")) >= t * (F.col("n1") + F.col("n2"))).select(F.col("rep").alias("a"), F.col("leader").alias("b")))
     first = components(starred)
+    working.append(first)
 
     marked = buckets.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = marked.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("leader"), F.count("*").alias("members")).where("low <> high")
-    mixed = written(mixed.select("gram", "leader", "members"))
-    open_ = written(_split_join(marked, mixed, ["gram"], "members", spread).select("gram", "leader", "members", "rep", "n", "component"))
+    mixed = kept(mixed.select("gram", "leader", "members"))
+    open_ = kept(_split_join(marked, mixed, ["gram"], "members", spread).select("gram", "leader", "members", "rep", "n", "component"))
     # a row's family is its smallest leader; a large family is cut by set size, then into blocks of rows alike in number
     alike = F.floor(F.log("n") / F.log(F.lit(max(100 / t, 1.01)))).cast("int")
-    family = written(open_.groupBy("rep", "n", "component").agg(F.min("leader").alias("family")).withColumn("alike", alike))
+    family = kept(open_.groupBy("rep", "n", "component").agg(F.min("leader").alias("family")).withColumn("alike", alike))
     sizes = family.groupBy("family", "alike").agg(F.count("*").alias("rows"))
-    sizes = written(sizes.join(sizes.groupBy("family").agg(F.sum("rows").alias("whole")), "family"))
+    sizes = kept(sizes.join(sizes.groupBy("family").agg(F.sum("rows").alias("whole")), "family"))
     large = F.col("whole") > BLOCK
     part = F.when(large, F.pmod(F.xxhash64("rep"), F.ceil(F.col("rows") / BLOCK).cast("long"))).otherwise(0)
     block = F.struct("family", F.when(large, F.col("alike")).otherwise(-1).alias("alike"), part.alias("part"))
-    placed = written(_split_join(family, sizes, ["family", "alike"], "rows", family.count()).select("rep", "n", "component", block.alias("block")))
+    placed = kept(_split_join(family, sizes, ["family", "alike"], "rows", family.count()).select("rep", "n", "component", block.alias("block")))
     of = [F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"), F.first("members").alias("members")]
-    spots = written(open_.select("gram", "members", "rep", "n").join(placed, ["rep", "n"]).groupBy("gram", "block").agg(*of))
+    spots = kept(open_.select("gram", "members", "rep", "n").join(placed, ["rep", "n"]).groupBy("gram", "block").agg(*of))
     # blocks of one n-gram meet in several tasks: its spots on one side are dealt, on the other repeated
     deal = F.ceil(F.col("members") / (BLOCK * SPOTS)).cast("long")
     one = spots.withColumn("dealt", F.pmod(F.xxhash64("block"), deal)).drop("members")
     other = spots.withColumn("dealt", F.explode(F.sequence(F.lit(0).cast("long"), deal - 1))).select("gram", "dealt", *(F.col(x).alias(f"{x}2") for x in ("block", "low", "high", "least", "most")))
     sizes_fit = (F.col("most") * 100 >= F.col("least2") * t) & (F.col("most2") * 100 >= F.col("least") * t)
     pairs = one.join(other, ["gram", "dealt"]).where("block <= block2").where("low <> high or low2 <> high2 or low <> low2").where(sizes_fit)
-    pairs = written(pairs.select("block", "block2").distinct())
+    pairs = kept(pairs.select("block", "block2").distinct())
     member = placed.join(listed, ["rep", "n"])
     sides = pairs.join(member, "block").select("block", "block2", F.lit(0).alias("side"), "rep", "n", "component", "grams").unionByName(
         pairs.where("block <> block2").join(member.withColumnRenamed("block", "block2"), "block2").select("block", "block2", F.lit(1).alias("side"), "rep", "n", "component", "grams")
     )
-    merged = written(sides.groupBy("block", "block2").applyInArrow(_product(t), "a long, b long"))
+    merged = kept(sides.groupBy("block", "block2").applyInArrow(_product(t), "a long, b long"))
     linked = components(starred.unionByName(merged))
+    working.append(linked)
 
-    label = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "s1", "s2", "copies", F.coalesce("component", "rep").alias("component_id"))
+    label = written(classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "s1", "s2", "copies", F.coalesce("component", "rep").alias("component_id")))
+    released(*working)
     has = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
-    found = _split_join(signed.where(has), written(label), ["n_shingles", "s1", "s2"], "copies", signed.count())
+    found = _split_join(signed.where(has), label, ["n_shingles", "s1", "s2"], "copies", signed.count())
     # texts without words and rows without an id are linked with nothing
     return found.select("doc_id", "n_shingles", "component_id").unionByName(signed.where(~has).withColumn("component_id", F.col("doc_id")).select("doc_id", "n_shingles", "component_id"))
 
@@ -355,7 +366,7 @@ def _repeats(rows: DataFrame) -> bool:
 def near_duplicates_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each group of near duplicates: that of the smallest id.
 
-    Rows without words or with a null id are groups of their own; repeated rows of one id all stay.
+    Rows without words or with a null id are groups of their own; repeated rows of one id all stay; columns may have any names; an empty table stays empty.
     """
     gone = jaccard_components(docs, id_col, text_col, k, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
     gone = written(gone)
