@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnpike.functions.safe import before_n, correlation, event, framed, last_n, max_n, mean_n, ordered, rank_le, sdiv, sln, std_n, zscore_before
-from tarnpike.operators.indicators import W, atr_mean, c, h, l, o, v, wilder
+from tarnpike.functions.safe import correlation, event, framed, last_n, mean_n, ordered, rank_avg, sdiv, sln, std_n, zscore_before
+from tarnpike.operators.indicators import W, c, h, l, o, wilder
 
 # averages -----------------------------------------------------------------------------------------------------------
 
@@ -33,10 +33,11 @@ def average_features(bars: DataFrame, fast: int, slow: int, k: int = 5, usual: i
 
 
 def bars_since_flip(bars: DataFrame, n: int) -> DataFrame:
-    """How many bars the close has been on its side of the n-bar mean; and the squared correlation of the last 12 closes with time, signed by the slope."""
-    x = bars.withColumn("_side", F.when(mean_n("close", W(), n).isNotNull(), (c() > mean_n("close", W(), n)).cast("int")))
-    x = x.withColumn("_new", F.when(F.col("_side").eqNullSafe(F.lag("_side").over(W())), 0).otherwise(1)).withColumn("_id", F.sum("_new").over(W().rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("bars_since_flip", F.when(F.col("_side").isNotNull(), F.row_number().over(Window.partitionBy("symbol", "_id").orderBy("ts")))).withColumn("_rn", F.row_number().over(W()).cast("double"))
+    """Bars since the close changed its side of the n-bar mean, 0 in the first one; without a mean it counts as below. And the squared correlation of the last
+    12 closes with time, signed by the slope."""
+    above = F.coalesce(c() > mean_n("close", W(), n), F.lit(False))
+    x = bars.withColumn("_side", above).withColumn("_new", F.when(F.col("_side") == F.lag("_side").over(W()), 0).otherwise(1)).withColumn("_id", F.sum("_new").over(W().rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("bars_since_flip", F.row_number().over(Window.partitionBy("symbol", "_id").orderBy("ts")) - 1).withColumn("_rn", F.row_number().over(W()).cast("double"))
     r = correlation("close", "_rn", last_n(W(), 12))
     return x.withColumn("slope_efficiency", F.when(F.count("close").over(last_n(W(), 12)) >= 12, r * r * F.signum(r))).drop("_side", "_new", "_id", "_rn")
 
@@ -45,16 +46,24 @@ def bars_since_flip(bars: DataFrame, n: int) -> DataFrame:
 
 
 def moment_changes(bars: DataFrame, x: str, k: int, z: int) -> DataFrame:
-    """Change over k bars, z against the z bars before, and percent rank of a column."""
-    return bars.withColumns({f"{x}_chg_{k}": F.col(x) - F.lag(x, k).over(W()), f"{x}_z_{z}": zscore_before(x, W(), z), f"{x}_pct_{z}": rank_le(x, W(), z, z // 2)})
+    """Change over k bars, z against the z bars before, and percent rank of a column among the last z, ties at their average."""
+    return bars.withColumns({f"{x}_chg_{k}": F.col(x) - F.lag(x, k).over(W()), f"{x}_z_{z}": zscore_before(x, W(), z), f"{x}_pct_{z}": rank_avg(x, W(), z, max(2, z // 2))})
+
+
+def term_structure(bars: DataFrame, x: str, short: int, long: int) -> DataFrame:
+    """A moment over the short window less that over the long one, which bars have as ``x``_n."""
+    return bars.withColumn(f"{x}_ts_{short}_{long}", F.col(f"{x}_{short}") - F.col(f"{x}_{long}"))
 
 
 def jump_asymmetry(bars: DataFrame, n: int, size: float = 2.0) -> DataFrame:
-    """Share of returns above ``size`` deviations of the bars before less that below minus it; and the mean of lower less upper wick."""
-    x = bars.withColumn("_r", sln(sdiv(c(), F.lag("close").over(W())))).withColumn("_s", std_n("_r", W(), n)).withColumn("_s", F.lag("_s").over(W()))
-    jump = F.when(F.col("_r").isNotNull() & F.col("_s").isNotNull(), F.when(F.col("_r") > size * F.col("_s"), 1.0).when(F.col("_r") < -size * F.col("_s"), -1.0).otherwise(0.0))
-    x = x.withColumn("_j", jump).withColumn("_w", sdiv((F.least(o(), c()) - l()) - (h() - F.greatest(o(), c())), h() - l()))
-    return x.withColumns({f"jump_asym_{n}": mean_n("_j", W(), n, n // 2), f"wick_asym_{n}": mean_n("_w", W(), n, n // 2)}).drop("_r", "_s", "_j", "_w")
+    """Share of returns ``r`` (see ``masked_returns``) above ``size`` deviations, read one bar back, less that below minus it; and the mean of lower less
+    upper wick by range, whose wicks are 0 in a bar without range. Three quarters of the n bars, four at least, must be known."""
+    least = max(4, round(0.75 * n))
+    x = bars.withColumn("_s", std_n("r", W(), n, least)).withColumn("_s", F.lag("_s").over(W()))
+    jump = F.when(F.col("r").isNotNull() & (F.col("_s") > 0), F.when(F.col("r") > size * F.col("_s"), 1.0).when(F.col("r") < -size * F.col("_s"), -1.0).otherwise(0.0))
+    wick = F.when(h() == l(), 0.0).otherwise(((F.least(o(), c()) - l()) - (h() - F.greatest(o(), c()))) / (h() - l()))
+    x = x.withColumns({"_j": jump, "_w": wick})
+    return x.withColumns({f"jump_asym_{n}": mean_n("_j", W(), n, least), f"wick_asym_{n}": mean_n("_w", W(), n, least)}).drop("_s", "_j", "_w")
 
 
 # clocks -------------------------------------------------------------------------------------------------------------
@@ -101,32 +110,7 @@ def clock_features(bars: DataFrame, k: int, turn: int = 2) -> DataFrame:
     ).drop("_ldn", "_ny", "_m", "_lf", "_nf")
 
 
-def day_shares(bars: DataFrame, hours: tuple[int, int], n: int, out: str) -> DataFrame:
-    """Yesterday's share of volume in a session less its mean over the n days before that."""
-    a, b = hours
-    day = bars.groupBy("symbol", F.to_date("ts").alias("_d")).agg((F.sum(F.when((F.hour("ts") >= a) & (F.hour("ts") < b), v()).otherwise(0.0)) / F.nullif(F.sum("volume"), F.lit(0.0))).alias("_s"))
-    w = ordered("symbol", by="_d")
-    score = F.lag("_s", 1).over(w) - framed(F.avg("_s"), F.col("_s"), w.rowsBetween(-(n + 1), -2), n // 2)
-    return bars.withColumn("_d", F.to_date("ts")).join(day.select("symbol", "_d", score.alias(out)), ["symbol", "_d"], "left").drop("_d")
-
-
-# volume and execution -----------------------------------------------------------------------------------------------
-
-
-def volume_relations(bars: DataFrame, n: int, w: int) -> DataFrame:
-    """Mean volume z, its product with the move's z, divergence of price and volume slopes, signed volume in the outer quarters, range against before."""
-    x = bars.withColumn("_z", zscore_before("volume", W(), n))
-    x = x.withColumn("_d", c() - F.lag("close").over(W())).withColumn("_m", zscore_before("_d", W(), n)).withColumn("_q", sdiv(c() - l(), h() - l()))
-    side = F.when(F.col("_q") >= 0.75, 1.0).when(F.col("_q") <= 0.25, -1.0).when(F.col("_q").isNotNull(), 0.0)
-    return x.withColumns(
-        {
-            f"vz_ma_{w}_{n}": mean_n("_z", W(), w),
-            f"vconf_{w}_{n}": F.col("_m") * mean_n("_z", W(), w),
-            f"vpdiv_{w}": F.signum(c() - F.lag("close", w).over(W())) - F.signum(v() - F.lag("volume", w).over(W())),
-            f"vrange_imb_{w}": sdiv(F.sum(side * v()).over(last_n(W(), w)), F.sum("volume").over(last_n(W(), w))),
-            f"range_expansion_{w}_{n}": sln(sdiv(mean_n(h() - l(), W(), w), framed(F.avg(h() - l()), h(), before_n(W(), n), n // 2))),
-        }
-    ).drop("_z", "_m", "_d", "_q")
+# execution ----------------------------------------------------------------------------------------------------------
 
 
 def execution_snapshot(bars: DataFrame, columns: list[str]) -> DataFrame:
@@ -146,15 +130,6 @@ def triangle(panel: DataFrame, legs: dict[str, str], z: int, k: int, ts: str = "
     return x.select(ts, "residual", zscore_before("residual", w, z).alias("residual_z"), zscore_before("_c", w, z).alias("residual_chg_z"))
 
 
-def group_pressure(panel: DataFrame, signs: dict[str, float], n: int, ts: str = "ts") -> DataFrame:
-    """(ts, pressure, breadth, spread): mean, mean sign and population deviation over series of their signed n-bar log moves; null unless all are known."""
-    w = ordered("symbol", by=ts)
-    sign = F.create_map(*(F.lit(x) for kv in signs.items() for x in kv))
-    x = panel.where(F.col("symbol").isin(list(signs))).withColumn("_m", F.element_at(sign, F.col("symbol")) * sln(sdiv(F.col("close"), F.lag("close", n).over(w))))
-    full = F.count("_m") == len(signs)
-    return x.groupBy(ts).agg(F.when(full, F.avg("_m")).alias("pressure"), F.when(full, F.avg(F.signum("_m"))).alias("breadth"), F.when(full, F.stddev_pop("_m")).alias("spread"))
-
-
 # labels and filters -------------------------------------------------------------------------------------------------
 
 MASKS = {

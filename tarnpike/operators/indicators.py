@@ -120,9 +120,8 @@ def trend_slope(bars: DataFrame, n: int) -> DataFrame:
 
 
 def run_length(bars: DataFrame, of: Column, out: str) -> DataFrame:
-    """k or -k at the k-th value in a row of one sign; 0 and null break the run, and are 0."""
-    sign = F.coalesce(F.signum(of), F.lit(0.0))
-    x = bars.withColumn("_s", sign).withColumn("_new", F.when(F.col("_s") == F.lag("_s").over(W()), 0).otherwise(1))
+    """k or -k at the k-th value in a row of one sign. 0 breaks the run and is 0, null breaks it and is null."""
+    x = bars.withColumn("_s", F.signum(of).cast("double")).withColumn("_new", F.when(F.col("_s").eqNullSafe(F.lag("_s").over(W())) & (F.row_number().over(W()) > 1), 0).otherwise(1))
     x = x.withColumn("_run", F.sum("_new").over(W().rowsBetween(Window.unboundedPreceding, 0)))
     place = F.row_number().over(Window.partitionBy("symbol", "_run").orderBy("ts"))
     return x.withColumn(out, (place * F.col("_s")).cast("long")).drop("_s", "_new", "_run")

@@ -1,19 +1,17 @@
-"""Models on Spark ML: classifiers over time folds, calibration, regimes by mixture and by a hidden Markov filter, importances."""
+"""Models on Spark ML: classifiers over time folds, calibration, importances; runs of states and fingerprints of windows."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnpike.functions.safe import correlation, schema_with
+from tarnpike.functions.safe import correlation
 from tarnpike.operators.align import quantiles, running_totals
 from tarnpike.operators.evaluation import time_folds
 
@@ -140,43 +138,6 @@ def correlation_clusters(pairs: DataFrame, columns: list[str], distance: float)
 # regimes ------------------------------------------------------------------------------------------------------------
 
 
-def fit_regimes(df: DataFrame, features: list[str], k: int, kind: str = "mixture", seed: int = 42) -> PipelineModel:
-    """A Gaussian mixture or k-means over scaled observations."""
-    learner = GaussianMixture(k=k, seed=seed, featuresCol="features") if kind == "mixture" else KMeans(k=k, seed=seed, featuresCol="features")
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), learner]).fit(df.na.drop(subset=features))
-
-
-def regime_states(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
-    out = model.transform(df.na.drop(subset=features)).withColumnRenamed("prediction", "state")
-    if "probability" in out.columns:
-        out = out.withColumn("confidence", F.array_max(vector_to_array("probability")))
-    return out.drop("raw", "features", "probability")
-
-
-def hidden_markov_filter(df: DataFrame, x: str, keys: list[str], ts: str, means: list[float], sds: list[float], stay: float) -> DataFrame:
-    """With ``prob``: probabilities of the states given the values so far, by the forward recursion over each key's rows."""
-    k = len(means)
-    m, s = np.array(means), np.array(sds)
-    move = np.full((k, k), (1 - stay) / max(k - 1, 1))
-    np.fill_diagonal(move, stay if k > 1 else 1.0)
-    schema = schema_with(df, prob="array<double>")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable")
-        p, out = np.full(k, 1 / k), []
-        for v in pdf[x].to_numpy(float):
-            p = p @ move
-            if v == v:
-                logs = -0.5 * ((v - m) / s) ** 2 - np.log(s)
-                p = p * np.exp(logs - logs.max())
-                p = p / p.sum()
-            out.append(p.tolist())
-        pdf["prob"] = out
-        return pdf
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
-
-
 def dwell_times(df: DataFrame, state: str, keys: list[str], ts: str) -> DataFrame:
     """(keys, state, spells, mean_length, share): runs of one state."""
     w = Window.partitionBy(*keys).orderBy(ts)

@@ -40,14 +40,14 @@ def _signed(up: Column, a: Column, down: Column, b: Column) -> Column:
 
 
 def impulse_burst(bars: DataFrame, n: int, w: int, gate: float = 0.6) -> DataFrame:
-    """Sum of n bodies times its efficiency, |sum of bodies| over the sum of ranges, where that is at least ``gate``; and the same in the
-    hours 8 to 16 alone, 0 outside."""
+    """Sum of n bodies times its efficiency, |sum of bodies| over the sum of ranges, where that is at least ``gate``; and that of the bars before in bars
+    of the hours 8 to 16, 0 in others."""
     x = wilder(bars, w)
     net = sum_n(c() - o(), W(), n)
     x = x.withColumn("_e", sdiv(F.abs(net), sum_n(h() - l(), W(), n))).withColumn("_s", sdiv(net, F.col(f"atr_{w}")) * F.col("_e"))
     x = x.withColumn(f"impulse_burst_{n}_{w}", event(F.col("_s"), F.col("_e") >= gate))
     london = (F.hour("ts") >= 8) & (F.hour("ts") < 16)
-    return x.withColumn(f"impulse_london_{n}_{w}", F.when(london, F.col(f"impulse_burst_{n}_{w}")).otherwise(0.0)).drop("_e", "_s")
+    return x.withColumn(f"impulse_london_{n}_{w}", F.when(london, F.lag(f"impulse_burst_{n}_{w}").over(W())).otherwise(0.0)).drop("_e", "_s")
 
 
 def breakout_close(bars: DataFrame, m: int, w: int) -> DataFrame:
@@ -217,24 +217,6 @@ def local_slot(zone: str, ts: str = "ts") -> Column:
     return F.hour(local) * 60 + F.minute(local)
 
 
-def volume_spread(bars: DataFrame, n: int, w: int, pip: float) -> DataFrame:
-    """Same-slot volume z, signed volume share, illiquidity, spread and its same-slot z, Roll's spread."""
-    x = bars.withColumn("_v", F.nullif(v(), F.lit(0.0))).withColumn("_s", 2 * (c() - F.col("mid")) / pip).withColumn("_s", F.when(F.col("_s") > 0, F.col("_s")))
-    slot = local_slot("Europe/London")
-    x = slot_z(x, "_v", n, f"vz_{n}", slot, 5)
-    x = slot_z(x, "_s", n, f"sz_{n}", slot, 5)
-    r = sln(sdiv(c(), F.lag("close").over(W())))
-    x = x.withColumn("_r", r).withColumn("_rl", F.lag("_r").over(W()))
-    cov = F.avg(F.col("_r") * F.col("_rl")).over(last_n(W(), w)) - F.avg(F.when(F.col("_rl").isNotNull(), F.col("_r"))).over(last_n(W(), w)) * F.avg(F.when(F.col("_r").isNotNull(), F.col("_rl"))).over(last_n(W(), w))
-    return x.withColumns(
-        {
-            f"vimb_{w}": sdiv(sum_n(F.signum("_r") * F.col("_v"), W(), w), sum_n("_v", W(), w)),
-            f"amihud_{w}": sln(mean_n(sdiv(F.abs("_r"), F.col("_v")), W(), w)),
-            f"roll_{w}": F.when(F.count("_rl").over(last_n(W(), w)) >= w, 2 * ssqrt(F.greatest(-cov, F.lit(0.0)))),
-        }
-    ).drop("_v", "_s", "_r", "_rl")
-
-
 def slot_seasonal(bars: DataFrame, k: int, n: int, slot: Column, out: str, least: int, read_back: int = 1) -> DataFrame:
     """Mean over deviation of the next-k moves of the n same-slot rows from ``read_back`` occurrences back; only completed moves are read."""
     x = bars.withColumn("_slot", slot).withColumn("_pos", F.row_number().over(W())).withColumn("_mv", F.lead("close", k).over(W()) - c())

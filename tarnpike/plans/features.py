@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnpike.functions.safe import rounded
-from tarnpike.operators import families, indicators, sequences
-from tarnpike.plans.market import bars, read
+from tarnpike.operators import families, indicators, pairs, sequences, volume
+from tarnpike.plans.market import _MASKED, _PANEL, bars, panel, read
 from tarnpike.plans.sql import BARS, BY, DAILY, div, gated, lag, mean, over, prev, ranked, with_atr, with_wilder
 from tarnpike.sources import bars as src
 
@@ -48,8 +48,8 @@ def average_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(x, "price_vs_sma_20", "abs_price_vs_sma_20", "signed_price_vs_sma_20", "sma_8_over_sma_20", "sma_slope_20", "log_return_atr_5", "hl_range_atr", "oc_range_atr", "return_3_atr", "momentum_consistency_5", digits=5)
 
 
-@query(f"""WITH {BARS}, x AS (SELECT *, (close > {mean('close', 24)})::INT AS side, row_number() OVER ({BY}) AS rn FROM bars), y AS (SELECT *, CASE WHEN side IS NOT DISTINCT FROM {lag('side')} THEN 0 ELSE 1 END AS n FROM x), z AS (SELECT *, sum(n) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g, CASE WHEN count(close) OVER {over(12)} >= 12 AND var_pop(close) OVER {over(12)} > 0 THEN corr(close, rn) OVER {over(12)} END AS c FROM y)
-    SELECT symbol, ts, CASE WHEN side IS NOT NULL THEN row_number() OVER (PARTITION BY symbol, g ORDER BY ts) END::INT AS bars_since_flip, {r5('c * c * sign(c)', 'slope_efficiency')} FROM z""")
+@query(f"""WITH {BARS}, x AS (SELECT *, coalesce(close > {mean('close', 24)}, false)::INT AS side, row_number() OVER ({BY}) AS rn FROM bars), y AS (SELECT *, CASE WHEN side IS NOT DISTINCT FROM {lag('side')} THEN 0 ELSE 1 END AS n FROM x), z AS (SELECT *, sum(n) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g, CASE WHEN count(close) OVER {over(12)} >= 12 AND var_pop(close) OVER {over(12)} > 0 THEN corr(close, rn) OVER {over(12)} END AS c FROM y)
+    SELECT symbol, ts, (row_number() OVER (PARTITION BY symbol, g ORDER BY ts) - 1)::INT AS bars_since_flip, {r5('c * c * sign(c)', 'slope_efficiency')} FROM z""")
 def bars_since_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(families.bars_since_flip(bars(spark, sf_dir), 24), "bars_since_flip", "slope_efficiency", digits=5)
 
@@ -75,14 +75,21 @@ def spread_and_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(x, "compression_spread_6_40", "news_impulse_14", digits=5)
 
 
-@query(f"""WITH {BARS}, x AS (SELECT *, ln(close / {lag('close')}) AS rt, ((least(open, close) - low) - (high - greatest(open, close))) / nullif(high - low, 0) AS w FROM bars), y AS (SELECT *, {gated('stddev_samp(rt)', 'rt', over(20), 20)} AS s FROM x), z AS (SELECT *, {lag('s')} AS p FROM y), q AS (SELECT *, CASE WHEN rt IS NOT NULL AND p IS NOT NULL THEN CASE WHEN rt > 1.5 * p THEN 1.0 WHEN rt < -1.5 * p THEN -1.0 ELSE 0 END END AS j FROM z)
-    SELECT symbol, ts, {r5(gated('avg(j)', 'j', over(20), 10), 'jump_asym_20')}, {r5(gated('avg(w)', 'w', over(20), 10), 'wick_asym_20')} FROM q""")
+@query(f"""WITH {_MASKED}, x AS (SELECT *, CASE WHEN high = low THEN 0 ELSE ((least(open, close) - low) - (high - greatest(open, close))) / (high - low) END AS w, {gated('stddev_samp(r)', 'r', over(20), 15)} AS s FROM q), z AS (SELECT *, {lag('s')} AS p FROM x), j AS (SELECT *, CASE WHEN r IS NOT NULL AND p > 0 THEN CASE WHEN r > 1.5 * p THEN 1.0 WHEN r < -1.5 * p THEN -1.0 ELSE 0 END END AS j FROM z)
+    SELECT symbol, ts, {r5(gated('avg(j)', 'j', over(20), 15), 'jump_asym_20')}, {r5(gated('avg(w)', 'w', over(20), 15), 'wick_asym_20')} FROM j""")
 def jump_asymmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(families.jump_asymmetry(bars(spark, sf_dir), 20, 1.5), "jump_asym_20", "wick_asym_20", digits=5)
+    return shown(families.jump_asymmetry(sequences.masked_returns(bars(spark, sf_dir)), 20, 1.5), "jump_asym_20", "wick_asym_20", digits=5)
 
 
-@query(f"""WITH {with_atr(14)}, k AS (SELECT *, list(atr) OVER {over(30)} AS v, count(*) OVER {over(30)} AS n FROM a) SELECT symbol, ts, {r5(f"atr - {lag('atr', 3)}", 'atr_mean_14_chg_3')}, {r5(div('atr - ' + gated('avg(atr)', 'atr', prev(30), 15), gated('stddev_samp(atr)', 'atr', prev(30), 15)), 'atr_mean_14_z_30')},
-    {r5('CASE WHEN atr IS NOT NULL AND len(list_filter(v, lambda q: q IS NOT NULL)) >= 15 THEN 100.0 * len(list_filter(v, lambda q: round(q, 9) <= round(atr, 9))) / n END', 'atr_mean_14_pct_30')} FROM k""")
+@query(f"""WITH {_MASKED}, k AS (SELECT *, count(r) OVER {over(10)} AS n1, sum(r ** 2) OVER {over(10)} AS a1, sum(r ** 3) OVER {over(10)} AS b1, count(r) OVER {over(30)} AS n2, sum(r ** 2) OVER {over(30)} AS a2, sum(r ** 3) OVER {over(30)} AS b2 FROM q)
+    SELECT symbol, ts, {r5('CASE WHEN n1 >= 8 THEN sqrt(n1) * b1 / nullif(a1 ** 1.5, 0) END - CASE WHEN n2 >= 22 THEN sqrt(n2) * b2 / nullif(a2 ** 1.5, 0) END', 'rskew_ts_10_30')} FROM k""")
+def skew_term_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = sequences.realized_moments(sequences.realized_moments(sequences.masked_returns(bars(spark, sf_dir)), 10), 30)
+    return shown(families.term_structure(x, "rskew", 10, 30), "rskew_ts_10_30", digits=5)
+
+
+@query(f"""WITH {with_atr(14)}, e AS (SELECT * REPLACE (round(atr, 9) AS atr) FROM a), k AS (SELECT *, list(atr) OVER {over(30)} AS atr_list FROM e) SELECT symbol, ts, {r5(f"atr - {lag('atr', 3)}", 'atr_mean_14_chg_3')}, {r5(div('atr - ' + gated('avg(atr)', 'atr', prev(30), 15), gated('stddev_samp(atr)', 'atr', prev(30), 15)), 'atr_mean_14_z_30')},
+    {r5(ranked('atr', 15), 'atr_mean_14_pct_30')} FROM k""")
 def moment_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = indicators.atr_mean(bars(spark, sf_dir), 14).withColumn("atr_mean_14", F.round("atr_mean_14", 9))
     return shown(families.moment_changes(x, "atr_mean_14", 3, 30), "atr_mean_14_chg_3", "atr_mean_14_z_30", "atr_mean_14_pct_30", digits=5)
@@ -101,23 +108,40 @@ def clock_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(families.clock_features(bars(spark, sf_dir), 3), "tom_pos", "fix_proximity", "week_pos", "fix_momo_3", "fix_tom_momo_3", "ny_open_momo_3", "friday_unwind_3", "first_friday_momo_3", digits=5)
 
 
-@query(f"SELECT * FROM {_TURN.format(n=3, a="TIMESTAMP '2024-01-01'", b="TIMESTAMP '2024-07-01'")}")
+@query(f"""WITH s AS (SELECT date_trunc('month', min(o_orderdate)) AS first, date_trunc('month', max(o_orderdate)) + INTERVAL 1 MONTH AS last FROM orders), turn AS {_TURN.format(n=3, a='(SELECT first FROM s)', b='(SELECT last FROM s)')}
+    SELECT day::TIMESTAMP AS day, tom_pos, n FROM turn JOIN (SELECT date_trunc('day', o_orderdate) AS day, count(*) AS n FROM orders GROUP BY 1) USING (day)""")
 def turn_of_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = spark.sql("SELECT explode(sequence(DATE'2024-01-01', DATE'2024-06-30')) AS day")
+    """Orders of each day and its place in the turn of the month."""
+    days = read(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
     return families.turn_of_month(days, 3).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
-@query(f"""WITH {BARS}, d AS (SELECT symbol, ts::DATE AS d, sum(CASE WHEN hour(ts) BETWEEN 8 AND 15 THEN volume ELSE 0 END) / nullif(sum(volume), 0) AS s FROM bars GROUP BY 1, 2), w AS (SELECT symbol, d, lag(s) OVER (PARTITION BY symbol ORDER BY d) - CASE WHEN count(s) OVER q >= 4 THEN avg(s) OVER q END AS x FROM d WINDOW q AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 9 PRECEDING AND 2 PRECEDING))
-    SELECT b.symbol, b.ts, round(x, 8) + 0.0 AS vshare_london FROM bars b JOIN w ON w.symbol = b.symbol AND w.d = b.ts::DATE""")
+@query(f"""WITH {BARS}, d AS (SELECT symbol, ts::DATE AS d, sum(CASE WHEN hour(ts) BETWEEN 8 AND 16 THEN volume END) / nullif(sum(volume), 0) AS s, sum(CASE WHEN hour(ts) < 7 THEN volume END) / nullif(sum(volume), 0) AS t FROM bars GROUP BY 1, 2),
+    w AS (SELECT symbol, d, lag(s) OVER (PARTITION BY symbol ORDER BY d) - CASE WHEN count(s) OVER q >= 5 THEN avg(s) OVER q END AS x, lag(t) OVER (PARTITION BY symbol ORDER BY d) - CASE WHEN count(t) OVER q >= 5 THEN avg(t) OVER q END AS y FROM d WINDOW q AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 9 PRECEDING AND 2 PRECEDING))
+    SELECT b.symbol, b.ts, round(x, 8) + 0.0 AS vshare_ldn_8, round(y, 8) + 0.0 AS vshare_asia_8 FROM bars b JOIN w ON w.symbol = b.symbol AND w.d = b.ts::DATE""")
 def day_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(families.day_shares(bars(spark, sf_dir), (8, 16), 8, "vshare_london"), "vshare_london", digits=8)
+    """In January, when London is at UTC."""
+    return shown(volume.day_shares(bars(spark, sf_dir), 8), "vshare_ldn_8", "vshare_asia_8", digits=8)
+
+
+@query(f"""WITH {DAILY}, t AS (SELECT DISTINCT ts FROM days WHERE symbol = '5-LOW'), s(symbol, g) AS (VALUES ('1-URGENT', 1.0), ('2-HIGH', -1.0), ('3-MEDIUM', 1.0)), x AS (SELECT s.symbol, t.ts, g, close FROM t CROSS JOIN s LEFT JOIN days d ON d.symbol = s.symbol AND d.ts = t.ts),
+    m AS (SELECT *, g * (ln(close) - {lag('ln(close)', 4)}) AS m FROM x), z AS (SELECT *, {div('m - ' + gated('avg(m)', 'm', prev(40), 20), gated('stddev_samp(m)', 'm', prev(40), 20))} AS z FROM m)
+    SELECT ts, round(CASE WHEN count(m) = 3 THEN avg(sign(m)) END, 5) + 0.0 AS breadth, round(CASE WHEN count(z) = 3 THEN avg(z) END, 5) + 0.0 AS strength, round(CASE WHEN count(z) = 3 THEN stddev_pop(z) END, 5) + 0.0 AS dispersion FROM z GROUP BY 1""")
+def group_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pairs.group_scores(src.order_bars(spark, sf_dir), "5-LOW", {"1-URGENT": 1.0, "2-HIGH": -1.0, "3-MEDIUM": 1.0}, 4, 40), 5)
 
 
-@query(f"""WITH {BARS}, x AS (SELECT *, close - {lag('close')} AS d, (close - low) / nullif(high - low, 0) AS q, {div('volume - ' + gated('avg(volume)', 'volume', prev(24), 12), gated('stddev_samp(volume)', 'volume', prev(24), 12))} AS z FROM bars), y AS (SELECT *, {div('d - ' + gated('avg(d)', 'd', prev(24), 12), gated('stddev_samp(d)', 'd', prev(24), 12))} AS m, CASE WHEN q >= 0.75 THEN 1.0 WHEN q <= 0.25 THEN -1.0 WHEN q IS NOT NULL THEN 0.0 END AS side FROM x)
-    SELECT symbol, ts, {r5(mean('z', 6), 'vz_ma_6_24')}, {r5(f"m * {mean('z', 6)}", 'vconf_6_24')}, {r5(f"sign(close - {lag('close', 6)}) - sign(volume - {lag('volume', 6)})", 'vpdiv_6')}, {r5(f"sum(side * volume) OVER {over(6)} / nullif(sum(volume) OVER {over(6)}, 0)", 'vrange_imb_6')},
-    round(CASE WHEN {mean('high - low', 6)} / nullif({gated('avg(high - low)', 'high', prev(24), 12)}, 0) > 0 THEN ln({mean('high - low', 6)} / {gated('avg(high - low)', 'high', prev(24), 12)}) END, 5) + 0.0 AS range_expansion_6_24 FROM y""")
-def volume_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(families.volume_relations(bars(spark, sf_dir), 24, 6), "vz_ma_6_24", "vconf_6_24", "vpdiv_6", "vrange_imb_6", "range_expansion_6_24", digits=5)
+@query(f"""WITH {_PANEL}, days AS (SELECT symbol, date::TIMESTAMP AS ts, value AS close FROM panel), t AS (SELECT ts FROM days WHERE symbol = 'EUROPE'), s(symbol) AS (VALUES ('ASIA'), ('AFRICA')), x0 AS (SELECT s.symbol, t.ts, close FROM t CROSS JOIN s LEFT JOIN days d ON d.symbol = s.symbol AND d.ts = t.ts UNION ALL SELECT symbol, ts, close FROM days WHERE symbol = 'EUROPE'),
+    g AS (SELECT *, epoch(ts) - epoch({lag('ts')}) AS dt FROM x0), med AS (SELECT symbol, quantile_cont(dt, 0.5) AS med FROM g GROUP BY 1), q AS (SELECT g.symbol, g.ts, close, CASE WHEN dt <= 1.5 * med THEN ln(close / {lag('close')}) END AS r FROM g JOIN med USING (symbol)),
+    p AS (SELECT q.*, b.r AS y, {lag('q.r', 1, 'PARTITION BY q.symbol ORDER BY q.ts')} AS l, {lag('ln(q.close)', 20, 'PARTITION BY q.symbol ORDER BY q.ts')} AS c0 FROM q JOIN q b ON b.ts = q.ts AND b.symbol = 'EUROPE' WHERE q.symbol <> 'EUROPE'),
+    e AS (SELECT *, CASE WHEN l IS NOT NULL AND y IS NOT NULL THEN y END AS ly, CASE WHEN l IS NOT NULL AND y IS NOT NULL THEN l END AS lx, CASE WHEN r IS NOT NULL AND y IS NOT NULL THEN r END AS br, CASE WHEN r IS NOT NULL AND y IS NOT NULL THEN y END AS b_y, ln(close) - c0 AS m FROM p),
+    f AS (SELECT *, {div(gated('covar_samp(ly, lx)', 'lx', over(20), 15), gated('var_samp(l)', 'l', over(20), 15))} AS beta, {gated('stddev_samp(y)', 'y', over(20), 15)} AS sd, {gated('corr(b_y, br)', 'br', over(20), 15)} AS c, CASE WHEN {gated('sum(r * r)', 'r', over(20), 15)} > 0 THEN ln(sqrt({gated('sum(r * r)', 'r', over(20), 15)})) END AS rv FROM e),
+    h AS (SELECT *, list(round(c, 9)) OVER {over(40)} AS c_list, round(c, 9) AS c9 FROM f)
+    SELECT symbol, ts, {r5(div(f"{lag('beta')} * r", lag('sd')), 'llpred')}, {r5(ranked('c', 20).replace('q < c)', 'q < c9)').replace('q = c)', 'q = c9)'), 'corrbk')}, {r5(div('rv - ' + gated('avg(rv)', 'rv', prev(40), 20), gated('stddev_samp(rv)', 'rv', prev(40), 20)), 'rvz')}, {r5(div('m - ' + gated('avg(m)', 'm', prev(40), 20), gated('stddev_samp(m)', 'm', prev(40), 20)), 'risk_z')} FROM h""")
+def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily sales of two regions against a third's."""
+    x = panel(spark, sf_dir).select("symbol", F.col("date").cast("timestamp_ntz").alias("ts"), F.col("value").alias("close"))
+    return shown(pairs.pair_scores(x, "EUROPE", ["ASIA", "AFRICA"], 20, 40), "llpred", "corrbk", "rvz", "risk_z", digits=5)
 
 
 _SLOT = "PARTITION BY symbol, hour(ts) ORDER BY ts"
@@ -175,12 +199,6 @@ def triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(families.triangle(src.order_bars(spark, sf_dir), {"ab": "1-URGENT", "bc": "2-HIGH", "ac": "3-MEDIUM"}, 40, 5), 5)
 
 
-@query(f"""WITH {DAILY}, s(symbol, g) AS (VALUES ('1-URGENT', 1.0), ('2-HIGH', -1.0), ('5-LOW', 1.0)), x AS (SELECT ts, g * ln(close / nullif({lag('close', 4, 'PARTITION BY days.symbol ORDER BY ts')}, 0)) AS m FROM days JOIN s ON days.symbol = s.symbol)
-    SELECT ts, round(CASE WHEN count(m) = 3 THEN avg(m) END, 5) + 0.0 AS pressure, round(CASE WHEN count(m) = 3 THEN avg(sign(m)) END, 5) + 0.0 AS breadth, round(CASE WHEN count(m) = 3 THEN stddev_pop(m) END, 5) + 0.0 AS spread FROM x GROUP BY 1""")
-def group_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(families.group_pressure(src.order_bars(spark, sf_dir), {"1-URGENT": 1.0, "2-HIGH": -1.0, "5-LOW": 1.0}, 4), 5)
-
-
 @query(f"""WITH {BARS}, x AS (SELECT *, abs(close - {lag('close', 6)}) AS m FROM bars) SELECT symbol, ts, {r5(gated('quantile_cont(m, 0.7)', 'm', over(30), 30), 'target')} FROM x""")
 def percentile_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(families.percentile_targets(bars(spark, sf_dir), 6, 30, 0.7), "target", digits=5)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnpike.functions import safe
-from tarnpike.functions.safe import rounded
-from tarnpike.operators import align, crosssection, indicators, sequences
+from tarnpike.functions.safe import ordered, rounded
+from tarnpike.operators import align, crosssection, indicators, sequences, volume
 from tarnpike.plans.sql import BARS, BY, DAILY, TRUE, div, gated, lag, lead, mean, over, prev, r, ranked, with_wilder
 from tarnpike.sources import bars as src
 
@@ -165,11 +165,11 @@ def sampling_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.sampling_context(y, "y", 7, 2, 4, ["symbol"])
 
 
-@query("""WITH d AS (SELECT DISTINCT o_custkey FROM orders), o AS (SELECT c_custkey AS k, round(c_acctbal, 2) AS v FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT o_custkey AS k, round(max(o_totalprice), 2) AS v FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1)
+@query("""WITH o AS (SELECT c_custkey AS k, round(c_acctbal, 2) AS v FROM customer), n AS (SELECT o_custkey AS k, round(max(o_totalprice), 2) AS v FROM orders GROUP BY 1)
     SELECT coalesce(o.k, n.k) AS k, round(coalesce(n.v, o.v), 2) + 0.0 AS v FROM o FULL JOIN n ON o.k = n.k""")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.round("c_acctbal", 2).alias("v"))
-    new = read(spark, sf_dir, "orders").where("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.round(F.max("o_totalprice"), 2).alias("v"))
+    old = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.round("c_acctbal", 2).alias("v"))
+    new = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.round(F.max("o_totalprice"), 2).alias("v"))
     return rounded(src.upsert(old, new, ["k"]), 2)
 
 
@@ -178,17 +178,14 @@ def missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.missing_keys(read(spark, sf_dir, "customer").select("c_custkey"), read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
-@query(f"""WITH {BARS}, d AS (SELECT DISTINCT ts::DATE AS day FROM bars), e AS (SELECT ts::DATE AS day, count(*) AS n FROM events WHERE event_type = (SELECT min(event_type) FROM events) AND value > 100 GROUP BY 1)
-    SELECT d.day::TIMESTAMP AS day, sum(coalesce(n, 0)) OVER (ORDER BY d.day ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)::BIGINT AS density FROM d LEFT JOIN e ON d.day = e.day""")
+@query(f"""WITH {BARS}, d AS (SELECT DISTINCT symbol, ts::DATE AS day FROM bars), e AS (SELECT event_type AS symbol, ts::DATE AS day, count(*) AS n FROM events WHERE value > 100 GROUP BY 1, 2)
+    SELECT d.symbol, d.day::TIMESTAMP AS day, sum(coalesce(n, 0)) OVER (PARTITION BY d.symbol ORDER BY d.day ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)::BIGINT AS density FROM d LEFT JOIN e ON d.day = e.day AND d.symbol = e.symbol""")
 def event_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """High events of one kind on each day and the two after."""
-    from pyspark.sql import Window
-
-    e = read(spark, sf_dir, "events")
-    first = e.agg(F.min("event_type").alias("event_type"))
-    n = e.where("value > 100").join(F.broadcast(first), "event_type").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    d = bars(spark, sf_dir).select(F.to_date("ts").alias("day")).distinct()
-    return d.join(n, "day", "left").select(F.col("day").cast("timestamp_ntz").alias("day"), F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("day").rowsBetween(0, 2)).alias("density"))
+    """High events of each kind on each of its days and the two after."""
+    day = F.to_date("ts").alias("day")
+    n = read(spark, sf_dir, "events").where("value > 100").groupBy(F.col("event_type").alias("symbol"), day).agg(F.count("*").alias("n"))
+    d = bars(spark, sf_dir).select("symbol", day).distinct().join(n, ["symbol", "day"], "left")
+    return d.select("symbol", F.col("day").cast("timestamp_ntz").alias("day"), F.sum(F.coalesce("n", F.lit(0))).over(ordered("symbol", by="day").rowsBetween(0, 2)).alias("density"))
 
 
 # indicators ---------------------------------------------------------------------------------------------------------
@@ -233,7 +230,7 @@ def trend_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(indicators.trend_slope(bars(spark, sf_dir), 12), "trend_slope_12", "atr_12")
 
 
-@query(f"""WITH {BARS}, x AS (SELECT *, coalesce(sign(close - {lag('close')}), 0) AS s FROM bars), y AS (SELECT *, CASE WHEN s = {lag('s')} THEN 0 ELSE 1 END AS n FROM x), z AS (SELECT *, sum(n) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM y)
+@query(f"""WITH {BARS}, x AS (SELECT *, sign(close - {lag('close')}) AS s FROM bars), y AS (SELECT *, CASE WHEN s IS NOT DISTINCT FROM {lag('s')} THEN 0 ELSE 1 END AS n FROM x), z AS (SELECT *, sum(n) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM y)
     SELECT symbol, ts, (row_number() OVER (PARTITION BY symbol, g ORDER BY ts) * s)::BIGINT AS run FROM z""")
 def run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(indicators.run_length(bars(spark, sf_dir), F.col("close") - F.lag("close").over(W()), "run"), "run")
@@ -349,7 +346,7 @@ _IMPULSE = _event("net / nullif(atr, 0) * eff", "eff >= 0.6")
 @query(f"""WITH RECURSIVE {with_wilder(14)}, x AS (SELECT *, {gated('sum(close - open)', 'close', over(4), 4)} AS net, {gated('sum(high - low)', 'close', over(4), 4)} AS path, {gated('max(high)', 'high', prev(14), 14)} AS t, {gated('min(low)', 'low', prev(14), 14)} AS l FROM a),
     y AS (SELECT *, abs(net) / nullif(path, 0) AS eff, (close > t)::INT AS up, (close < l)::INT AS dn FROM x),
     z AS (SELECT *, coalesce(max(up) OVER {prev(5)}, 0) AS pu, coalesce(max(dn) OVER {prev(5)}, 0) AS pd FROM y)
-    SELECT symbol, ts, {r(_IMPULSE, 'impulse_burst_4_14')}, round(CASE WHEN hour(ts) BETWEEN 8 AND 15 THEN {_IMPULSE} ELSE 0 END, 6) + 0.0 AS impulse_london_4_14, {r(div('CASE WHEN up = 1 AND pu = 0 THEN close - t WHEN dn = 1 AND pd = 0 THEN close - l WHEN up IS NOT NULL THEN 0 END', 'atr'), 'breakout_close_5_14')},
+    SELECT symbol, ts, {r(_IMPULSE, 'impulse_burst_4_14')}, round(CASE WHEN hour(ts) BETWEEN 8 AND 15 THEN lag({_IMPULSE}) OVER ({BY}) ELSE 0 END, 6) + 0.0 AS impulse_london_4_14, {r(div('CASE WHEN up = 1 AND pu = 0 THEN close - t WHEN dn = 1 AND pd = 0 THEN close - l WHEN up IS NOT NULL THEN 0 END', 'atr'), 'breakout_close_5_14')},
     {r(_event('sign(close - open) * (high - low) / nullif(atr, 0)', 'high - low >= 2.0 * atr AND abs(close - open) >= 0.6 * (high - low)'), 'volspike_body_14')} FROM z""")
 def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = sequences.volspike_body(sequences.breakout_close(sequences.impulse_burst(bars(spark, sf_dir), 4, 14), 5, 14), 14)
@@ -398,12 +395,53 @@ def realized_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SLOT = "PARTITION BY symbol, hour(ts) ORDER BY ts"
 
 
-@query(f"""WITH {BARS}, x AS (SELECT *, nullif(volume, 0) AS v, CASE WHEN 2 * (close - mid) / 0.01 > 0 THEN 2 * (close - mid) / 0.01 END AS s, ln(close / {lag('close')}) AS r FROM bars), y AS (SELECT *, {lag('r')} AS rl FROM x)
-    SELECT symbol, ts, {r(div('v - ' + gated('avg(v)', 'v', prev(12, _SLOT), 5), gated('stddev_samp(v)', 'v', prev(12, _SLOT), 5)), 'vz_12')}, {r(div('s - ' + gated('avg(s)', 's', prev(12, _SLOT), 5), gated('stddev_samp(s)', 's', prev(12, _SLOT), 5)), 'sz_12')},
-    {r(div(gated('sum(sign(r) * v)', 'r', over(10), 10), gated('sum(v)', 'v', over(10), 10)), 'vimb_10')}, round(CASE WHEN {mean('abs(r) / v', 10)} > 0 THEN ln({mean('abs(r) / v', 10)}) END, 6) + 0.0 AS amihud_10,
-    round(CASE WHEN count(rl) OVER {over(10)} >= 10 THEN 2 * sqrt(greatest(-(avg(r * rl) OVER {over(10)} - avg(CASE WHEN rl IS NOT NULL THEN r END) OVER {over(10)} * avg(CASE WHEN r IS NOT NULL THEN rl END) OVER {over(10)}), 0)) END, 6) + 0.0 AS roll_10 FROM y""")
+def r4(x: str, name: str) -> str:
+    return f"round(({x})::DOUBLE, 4) + 0.0 AS {name}"
+
+
+_MASKED = f"""{BARS}, g AS (SELECT *, epoch(ts) - epoch({lag('ts')}) AS dt FROM bars), med AS (SELECT symbol, quantile_cont(dt, 0.5) AS med FROM g GROUP BY 1),
+    q AS (SELECT g.*, CASE WHEN dt <= 1.5 * med THEN ln(close / {lag('close')}) END AS r FROM g JOIN med USING (symbol))"""
+
+
+def _slotted(x: str) -> str:
+    return div(f"{x} - {gated(f'avg({x})', x, prev(12, _SLOT), 10)}", gated(f"stddev_samp({x})", x, prev(12, _SLOT), 10))
+
+
+def _before(x: str, n: int) -> str:
+    return div(f"{x} - {gated(f'avg({x})', x, prev(n), n // 2)}", gated(f"stddev_samp({x})", x, prev(n), n // 2))
+
+
+def _sum(x: str, n: int) -> str:
+    return gated(f"sum({x})", x, over(n), volume.least(n))
+
+
+def _avg(x: str, n: int) -> str:
+    return gated(f"avg({x})", x, over(n), volume.least(n))
+
+
+def _some(cond: str, x: str) -> str:
+    return f"CASE WHEN {cond} THEN {x} END"
+
+
+_MEMBERS = ["vz_12", "vz_ma_6_12", "vimb_10", "vimb_chg_10_3", "vimb_z_10_20", "vconf_6_12", "vpdiv_10", "vwret_10_20", "vrange_imb_10", "amihud_z_10_20", "amihud_chg_10_3", "sz_12", "sz_ma_6_12", "sexp_3_20", "spread_ratio_6_40", "sconf_6_12", "roll_z_10_20", "break_vol_6_12", "jump_vol_10_12"]
+
+
+@query(f"""WITH {_MASKED}, x AS (SELECT *, {_some('volume > 0', 'volume')} AS v, {_some('close > low', '2 * (close - low) / 0.01')} AS s, CASE WHEN r IS NOT NULL THEN close - {lag('close')} END AS d FROM q),
+    y AS (SELECT *, ln(v) AS lv, ln(s) AS ls, r IS NOT NULL AND v IS NOT NULL AS ok, CASE WHEN d IS NOT NULL THEN {lag('d')} END AS d1, {gated('stddev_samp(r)', 'r', over(20), 15)} AS sd, {gated('stddev_samp(r)', 'r', over(10), 8)} AS sd10,
+        {gated('min(low)', 'low', over(10), 8)} AS lo, {gated('max(high)', 'high', over(10), 8)} AS hi, {gated('max(high)', 'high', prev(6), 6)} AS bh, {gated('min(low)', 'low', prev(6), 6)} AS bl FROM x),
+    z AS (SELECT *, {_slotted('lv')} AS vz, {_slotted('ls')} AS sz, CASE WHEN ok THEN v END AS vv, CASE WHEN ok THEN sign(r) * v END AS sv, CASE WHEN ok THEN v * r END AS vr, CASE WHEN ok THEN r END AS rv, CASE WHEN ok THEN abs(r) / v END AS il,
+        CASE WHEN d1 IS NOT NULL THEN d END AS d0, {lag('sd')} AS sd1, {lag('sd10')} AS sj, (close - lo) / nullif(hi - lo, 0) AS place FROM y),
+    k AS (SELECT *, {_avg('vz', 6)} AS vzm, {_avg('sz', 6)} AS szm, {gated('avg(vz)', 'vz', over(4), 3)} AS bz, {div(_sum('sv', 10), _sum('vv', 10))} AS vimb, {_avg('il', 10)} AS am, {div(_sum('r', 6), 'sd1 * sqrt(6)')} AS mv,
+        CASE WHEN count(d0) OVER {over(10)} >= 8 THEN avg(d0 * d1) OVER {over(10)} - avg(d0) OVER {over(10)} * avg(d1) OVER {over(10)} END AS cov,
+        CASE WHEN place IS NOT NULL AND v IS NOT NULL THEN v END AS pv, CASE WHEN place IS NOT NULL AND v IS NOT NULL THEN v * CASE WHEN place >= 0.75 THEN 1.0 WHEN place <= 0.25 THEN -1.0 ELSE 0.0 END END AS ps FROM z),
+    f AS (SELECT *, CASE WHEN am > 0 THEN ln(am) END AS la, 2 * sqrt(greatest(-cov, 0)) / 0.01 AS roll FROM k)
+    SELECT symbol, ts, {r4('vz', 'vz_12')}, {r4('vzm', 'vz_ma_6_12')}, {r4('vimb', 'vimb_10')}, {r4(f"vimb - {lag('vimb', 3)}", 'vimb_chg_10_3')}, {r4(_before('vimb', 20), 'vimb_z_10_20')}, {r4('mv * vzm', 'vconf_6_12')}, {r4(f"vimb - {div(_sum('r', 10), _sum('abs(r)', 10))}", 'vpdiv_10')},
+    {r4(div(f"{div(_sum('vr', 10), _sum('vv', 10))} - {_avg('rv', 10)}", 'sd1'), 'vwret_10_20')}, {r4(div(_sum('ps', 10), _sum('pv', 10)), 'vrange_imb_10')}, {r4(_before('la', 20), 'amihud_z_10_20')}, {r4(f"la - {lag('la', 3)}", 'amihud_chg_10_3')}, {r4('sz', 'sz_12')}, {r4('szm', 'sz_ma_6_12')},
+    {r4(f"{div(_avg('s', 3), _avg('s', 20))} - 1", 'sexp_3_20')}, {r4(f"{div(_avg('s', 6), _avg('s', 40))} - 1", 'spread_ratio_6_40')}, {r4('mv * szm', 'sconf_6_12')}, {r4(_before('roll', 20), 'roll_z_10_20')},
+    {r4('CASE WHEN bh IS NOT NULL AND bl IS NOT NULL AND bz IS NOT NULL THEN CASE WHEN close > bh THEN bz WHEN close < bl THEN -bz ELSE 0 END END', 'break_vol_6_12')}, {r4('CASE WHEN r IS NOT NULL AND sj > 0 AND vz IS NOT NULL THEN CASE WHEN abs(r) > 2 * sj THEN sign(r) * vz ELSE 0 END END', 'jump_vol_10_12')} FROM f""")
 def volume_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(sequences.volume_spread(bars(spark, sf_dir), 12, 10, 0.01), "vz_12", "sz_12", "vimb_10", "amihud_10", "roll_10")
+    """All volume and spread members of hourly bars; the low stands for the mid, so that most spreads are known."""
+    return rounded(volume.volume_members(bars(spark, sf_dir).withColumn("mid", F.col("low")), _MEMBERS, 0.01, 20).select("symbol", "ts", *_MEMBERS), 4)
 
 
 @query(f"""WITH {BARS}, x AS (SELECT *, row_number() OVER ({BY}) AS pos, {lead('close', 2)} - close AS mv FROM bars)

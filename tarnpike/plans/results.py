@@ -347,12 +347,10 @@ def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 # simulation ---------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH t AS (SELECT event_id, ts AS o, ts + (event_id % 200) * INTERVAL 1 HOUR AS c FROM events WHERE event_type = (SELECT min(event_type) FROM events)), d AS (SELECT event_id, o, c, unnest(range(o::DATE::TIMESTAMP, c::DATE::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY)) + INTERVAL 21 HOUR AS r FROM t)
+@query("""WITH t AS (SELECT event_id, ts AS o, ts + (event_id % 200) * INTERVAL 1 HOUR AS c FROM events), d AS (SELECT event_id, o, c, unnest(range(o::DATE::TIMESTAMP, c::DATE::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY)) + INTERVAL 21 HOUR AS r FROM t)
     SELECT event_id, coalesce(sum(CASE WHEN r > o AND r <= c AND isodow(r) <= 5 THEN CASE WHEN isodow(r) = 3 THEN 3 ELSE 1 END ELSE 0 END), 0)::INT AS nights FROM d GROUP BY 1""")
 def rollover_nights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
-    first = e.agg(F.min("event_type").alias("event_type"))
-    t = e.join(F.broadcast(first), "event_type").select("event_id", "ts", (F.col("ts") + F.make_dt_interval(F.lit(0), F.pmod(F.col("event_id"), F.lit(200)).cast("int"))).alias("closed"))
+    t = read(spark, sf_dir, "events").select("event_id", "ts", (F.col("ts") + F.make_dt_interval(F.lit(0), F.pmod(F.col("event_id"), F.lit(200)).cast("int"))).alias("closed"))
     return t.select("event_id", simulation.rollover_nights(F.col("ts"), F.col("closed")).alias("nights"))
 
 
@@ -386,12 +384,55 @@ def quantile_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(simulation.quantile_buckets(li, "l_quantity", "l_extendedprice", 5), 3)
 
 
-_EQUITY = """b AS (SELECT o_orderdate::DATE AS day, sum(o_totalprice - 150000) AS pnl FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1), s AS (SELECT unnest(range(min(day)::TIMESTAMP, max(day)::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day FROM b), x AS (SELECT s.day, coalesce(pnl, 0) AS pnl FROM s LEFT JOIN b ON b.day = s.day),
+_EQUITY = """b AS (SELECT o_orderdate::DATE AS day, sum(o_totalprice - 150000) AS pnl FROM orders GROUP BY 1), s AS (SELECT unnest(range(min(day)::TIMESTAMP, max(day)::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day FROM b), x AS (SELECT s.day, coalesce(pnl, 0) AS pnl FROM s LEFT JOIN b ON b.day = s.day),
     e AS (SELECT *, 1e9 + sum(pnl) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity FROM x), p AS (SELECT *, greatest(max(equity) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1e9) AS peak, equity / coalesce(lag(equity) OVER (ORDER BY day), 1e9) - 1 AS ret FROM e)"""
 
 
 def _equity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.to_date("o_orderdate").alias("day"), (F.col("o_totalprice") - 150000).alias("pnl"))
+    o = read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"), (F.col("o_totalprice") - 150000).alias("pnl"))
+    return simulation.daily_equity(o, "day", "pnl", 1e9)
+
+
+@query(f"WITH {_EQUITY} SELECT day::TIMESTAMP AS day, round(pnl, 2) + 0.0 AS pnl, round(equity, 2) + 0.0 AS equity, round(peak, 2) + 0.0 AS peak FROM p")
+def daily_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_equity(spark, sf_dir).select(F.col("day").cast("timestamp_ntz").alias("day"), "pnl", "equity", "peak"), 2)
+
+
+@query(f"WITH {_EQUITY} SELECT count(*) AS days, {r('avg(ret) / stddev_samp(ret) * sqrt(252)', 'sharpe')}, {r('avg(ret) / sqrt(avg(least(ret, 0) ** 2)) * sqrt(252)', 'sortino')}, {r('min(equity / peak - 1)', 'max_drawdown')}, {r('arg_max(equity, day) / arg_min(equity - pnl, day) - 1', 'total_return')} FROM p")
+def equity_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(simulation.equity_metrics(_equity(spark, sf_dir)))
+
+
+@query("""WITH a AS (SELECT l_linestatus AS fold, l_linenumber AS arm, count(*) AS trades, sum(l_quantity * (l_discount - 0.05)) AS pips FROM lineitem GROUP BY 1, 2), k AS (SELECT *, (trades >= 1000)::INT AS e, max(pips) OVER (PARTITION BY fold) - pips AS regret FROM a), n AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY e DESC, CASE WHEN e = 1 THEN pips ELSE trades END DESC, arm) AS n FROM k)
+    SELECT fold, arm, trades, round(pips, 3) + 0.0 AS total_pips, round(regret, 3) + 0.0 AS regret FROM n WHERE n = 1""")
+def operating_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = read(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("fold"), F.col("l_linenumber").alias("arm")).agg(F.count("*").alias("trades"), F.sum(F.col("l_quantity") * (F.col("l_discount") - 0.05)).alias("total_pips"))
+    return rounded(simulation.operating_point(a.withColumn("place", F.col("arm")), ["fold"], 1000).select("fold", "arm", "trades", "total_pips", "regret"), 3)
+
+
+# models and streams -------------------------------------------------------------------------------------------------
+
+
+@query()
+def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direction of daily bars from two ranges, each fold scored by a model of earlier rows."""
+    d = labels.direction_horizon(indicators.bar_shape(src.order_bars(spark, sf_dir)), 1, 0.0).withColumn("y", (F.col("direction") > 0).cast("int"))
+    x = d.where("y is not null").select("symbol", "ts", "close_vs_range", "body_ratio", "volume", "y")
+    return models.out_of_fold(x, ["close_vs_range", "body_ratio", "volume"], "y", "ts", 3, 5).select("symbol", "ts", "fold", "y", F.round("score", 4).alias("score"))
+
+
+@query("""WITH e AS (SELECT list_distinct(quantile_cont(l_quantity, [0.2, 0.4, 0.6, 0.8])) AS e FROM lineitem) SELECT len(list_filter(e, lambda q: q < l_quantity))::INT AS bucket, count(*) AS n, round(avg(l_extendedprice), 3) + 0.0 AS mean_value, round(min(l_quantity), 3) + 0.0 AS low, round(max(l_quantity), 3) + 0.0 AS high FROM lineitem, e GROUP BY 1""")
+def quantile_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("double"))
+    return rounded(simulation.quantile_buckets(li, "l_quantity", "l_extendedprice", 5), 3)
+
+
+_EQUITY = """b AS (SELECT o_orderdate::DATE AS day, sum(o_totalprice - 150000) AS pnl FROM orders GROUP BY 1), s AS (SELECT unnest(range(min(day)::TIMESTAMP, max(day)::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day FROM b), x AS (SELECT s.day, coalesce(pnl, 0) AS pnl FROM s LEFT JOIN b ON b.day = s.day),
+    e AS (SELECT *, 1e9 + sum(pnl) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity FROM x), p AS (SELECT *, greatest(max(equity) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1e9) AS peak, equity / coalesce(lag(equity) OVER (ORDER BY day), 1e9) - 1 AS ret FROM e)"""
+
+
+def _equity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"), (F.col("o_totalprice") - 150000).alias("pnl"))
     return simulation.daily_equity(o, "day", "pnl", 1e9)
 
 
