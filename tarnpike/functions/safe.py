@@ -191,3 +191,25 @@ def recursive_means(df: DataFrame, of: dict[str, tuple[str, float, int]], keys:
         df = df.withColumn(own, F.col(own) + F.pow(F.lit(left), F.col(j) + 1) * carried)
         df = df.withColumn(name, F.last(own, ignorenulls=True).over(here)).drop(k, p, j, b, own, end)
     return df
+
+
+def weighted_deviation(df: DataFrame, x: str, span: float, out: str, keys: tuple[str, ...] = ("symbol",), ts: str = "ts", least: int = 2) -> DataFrame:
+    """With ``out``: the deviation of the values so far, weighted by (1 - 2 / (span + 1)) ** age, with weights that sum to one from the first value on and the
+    correction for weighted samples. Null below ``least`` known values; ages count known values.
+
+    First and second moments are recursive means begun by one value; the weight of that value is taken off, so that all weigh by age alone.
+    """
+    alpha = 2 / (span + 1)
+    left = 1 - alpha
+    w = ordered(*keys, by=ts)
+    here = w.rowsBetween(Window.unboundedPreceding, 0)
+    y = df.withColumns({"_x1": col(x).cast("double"), "_x2": col(x).cast("double") * col(x)})
+    y = recursive_means(y, {"_m1": ("_x1", alpha, 1), "_m2": ("_x2", alpha, 1)}, keys, ts)
+    n = F.count("_x1").over(here)
+    first = {i: F.first(f"_x{i}", ignorenulls=True).over(here) for i in (1, 2)}
+    y = y.withColumns({"_k": n, "_f1": first[1], "_f2": first[2]})
+    off = F.pow(F.lit(left), F.col("_k"))
+    weight, squares = (1 - off) / alpha, (1 - off * off) / (1 - left * left)
+    mean, second = ((F.col(f"_m{i}") - off * F.col(f"_f{i}")) / alpha / weight for i in (1, 2))
+    variance = F.greatest(second - mean * mean, F.lit(0.0)) * sdiv(weight * weight, weight * weight - squares)
+    return y.withColumn(out, F.when(F.col("_k") >= max(least, 2), F.sqrt(variance))).drop("_x1", "_x2", "_m1", "_m2", "_k", "_f1", "_f2")

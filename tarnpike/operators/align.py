@@ -91,6 +91,20 @@ def segmented_diff(df: DataFrame, value: str, k: int, keys: list[str], out: str,
     return df.withColumn(out, F.when(same, F.col(value) - F.lag(value, k).over(w)))
 
 
+def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], width: int, start: str = "start", end: str = "end") -> DataFrame:
+    """Pairs of intervals (both ends inside) of two tables that overlap, with equal keys: columns of a, and of b with ``_b`` behind all but the keys.
+
+    Intervals are dealt over bins of ``width`` units of their ends (seconds for times) and meet in bins, not by key alone; a pair counts in the bin where the later one
+    begins. ``width`` about as long as usual intervals keeps both bins and pairs few. Intervals with a null end, or that end before they start, overlap nothing.
+    """
+    unit = lambda c: F.floor((F.unix_seconds(F.col(c).cast("timestamp")) if a.schema[start].dataType.typeName().startswith("timestamp") else F.col(c)) / width)
+    binned = lambda t: t.where(F.col(start) <= F.col(end)).withColumn("_bin", F.explode(F.sequence(unit(start), unit(end))))
+    right = binned(b).withColumnsRenamed({c: f"{c}_b" for c in b.columns if c not in keys})
+    met = binned(a).join(right, [*keys, "_bin"]).where((F.col(start) <= F.col(f"{end}_b")) & (F.col(f"{start}_b") <= F.col(end)))
+    later = F.greatest(F.col(start), F.col(f"{start}_b"))
+    return met.withColumn("_later", later).where(unit("_later") == F.col("_bin")).drop("_bin", "_later")
+
+
 def sampling_context(df: DataFrame, label: str, every: int, hours_before: int, hours_after: int, keys: list[str], ts: str = "ts") -> DataFrame:
     """Rows with label 1, each ``every``-th row with label 0 (from the first), and all rows within hours of a label 1.
 

@@ -139,6 +139,31 @@ def event_metrics(df: DataFrame, y: str, pred: str, keys: list[str], ts: str) ->
     return e.groupBy(*keys).agg(F.count("*").alias("events"), F.count("lag").alias("detected"), F.avg("lag").alias("mean_lag"), F.avg("length").alias("mean_length"))
 
 
+def event_overlap(df: DataFrame, y: str, pred: str, keys: list[str], position: str) -> DataFrame:
+    """(keys, events, detected, predicted, true_predicted, recall, precision, mean_lag, mean_predictions): runs of positive labels and of positive predictions.
+
+    An event is detected if a row of it is predicted; a predicted run is true if a row of it is positive. The lag is the rows until an event's first
+    prediction. Where ``position`` jumps by more than one, as between folds, runs end. Unknown labels and predictions count as none.
+    """
+    w = Window.partitionBy(*keys).orderBy(position)
+    on = lambda c: F.coalesce(F.col(c) == 1, F.lit(False))
+    x = df.withColumns({"_y": on(y), "_p": on(pred), "_gap": F.coalesce(F.col(position) - F.lag(position).over(w) > 1, F.lit(True))})
+    opens = lambda c: F.when(F.col(c) & (F.col("_gap") | ~F.lag(c).over(w)), 1).otherwise(0)
+    x = x.withColumns({"_oy": opens("_y"), "_op": opens("_p")})
+    run = lambda c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumns({"_iy": run("_oy"), "_ip": run("_op")})
+    of_event = Window.partitionBy(*keys, "_iy", "_y").orderBy(position)
+    actual = x.withColumn("_at", F.row_number().over(of_event) - 1).where("_y").groupBy(*keys, "_iy").agg(F.count_if("_p").alias("_k"), F.min(F.when(F.col("_p"), F.col("_at"))).alias("_lag"))
+    a = actual.groupBy(*keys).agg(F.count("*").alias("events"), F.count("_lag").alias("detected"), F.avg("_lag").alias("mean_lag"), F.avg("_k").alias("mean_predictions"))
+    b = x.where("_p").groupBy(*keys, "_ip").agg(F.max(F.col("_y").cast("int")).alias("_t")).groupBy(*keys).agg(F.count("*").alias("predicted"), F.sum("_t").alias("true_predicted"))
+    every = df.select(*keys).distinct()
+    on_keys = lambda r: [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    for part in (a, b):
+        every = every.join(part.withColumnsRenamed({k: f"_r_{k}" for k in keys}), on_keys(part), "left").drop(*(f"_r_{k}" for k in keys))
+    every = every.fillna(0, ["events", "detected", "predicted", "true_predicted"])
+    return every.select(*keys, "events", "detected", "predicted", "true_predicted", sdiv(F.col("detected").cast("double"), F.col("events")).alias("recall"), sdiv(F.col("true_predicted").cast("double"), F.col("predicted")).alias("precision"), "mean_lag", "mean_predictions")
+
+
 # statistics of results ----------------------------------------------------------------------------------------------
 
 

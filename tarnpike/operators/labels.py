@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnpike.functions.safe import after_n, before_n, clip, framed, last_n, mean_n, ordered, schema_with, sdiv
+from tarnpike.functions.safe import after_n, before_n, clip, framed, last_n, mean_n, ordered, schema_with, sdiv, sln, weighted_deviation
+from tarnpike.operators.align import asof
 from tarnpike.operators.indicators import W, c, true_range
 
 
@@ -19,6 +20,18 @@ def regime_targets(bars: DataFrame, atr: str, target: float, stop: float, factor
     return bars.withColumns({"target": clip(target * F.col(atr) * factor, low, high), "stop": clip(stop * F.col(atr) * factor, low, high)})
 
 
+def volatility_targets(bars: DataFrame, daily: DataFrame, span: float, target: float, stop: float, arm: float = 0.0, pip: float = 0.0001, low: float = 0.0, high: float = 1e18) -> DataFrame:
+    """volatility, target, stop, target_pips, stop_pips, arm: distances as multiples of close times the deviation of daily log returns, weighted by ``span``, of
+    the days before the bar's own (a day's value holds from the next day's row on). Pips lie between ``low`` and ``high``, and distances follow them; the arming distance is not bounded."""
+    w = ordered("symbol")
+    d = daily.select("symbol", "ts", sln(sdiv(F.col("close"), F.lag("close").over(w))).alias("_r"))
+    d = weighted_deviation(d, "_r", span, "_v").select("symbol", "ts", F.lag("_v").over(w).alias("volatility"))
+    x = asof(bars, d, ["volatility"], ["symbol"])
+    move = F.col("close") * F.col("volatility")
+    x = x.withColumns({"target_pips": clip(target * move / pip, low, high), "stop_pips": clip(stop * move / pip, low, high), "arm": arm * move})
+    return x.withColumns({"target": F.col("target_pips") * pip, "stop": F.col("stop_pips") * pip})
+
+
 def _first(window: Column, hit) -> Column:
     """1-based place of the first bar of a window that satisfies ``hit``; 0 if none does."""
     return F.coalesce(F.array_position(F.transform(window, lambda b: F.coalesce(hit(b), F.lit(False))), True), F.lit(0))
