@@ -126,13 +126,18 @@ def correlation_clusters(pairs: DataFrame, columns: list[str], distance: float)
     d = {c: {c: 0.0} for c in columns}
     for r in pairs.collect():
         d[r.a][r.b] = d[r.b][r.a] = 1 - abs(r.r or 0.0)
+    return {c: i for i, g in enumerate(linked(d, columns, distance)) for c in g}
+
+
+def linked(d: dict[str, dict[str, float]], columns: list[str], distance: float) -> list[list[str]]:
+    """Groups of columns by average linkage of their distances."""
     groups = [[c] for c in columns]
     while len(groups) > 1:
         best = min(((np.mean([d[a][b] for a in x for b in y]), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j), default=None)
         if best is None or best[0] > distance:
             break
         groups[best[1]] += groups.pop(best[2])
-    return {c: i for i, g in enumerate(groups) for c in g}
+    return groups
 
 
 # regimes ------------------------------------------------------------------------------------------------------------

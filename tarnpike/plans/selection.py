@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnpike.functions.safe import ordered, rounded
-from tarnpike.operators import selection
+from tarnpike.operators import elimination, selection
 from tarnpike.plans.sql import BY, DAILY, lead
 from tarnpike.sources import bars as src
 
@@ -64,3 +64,11 @@ def shifted_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
     order = F.unix_micros(F.col("ts").cast("timestamp")) * 8 + F.pmod(F.substring("symbol", 1, 1).cast("long"), F.lit(8))  # days, and the series within them
     return rounded(selection.shifted_null(rows.withColumn("at", order), _FEATURES, "y", "at", embargo=5))
+
+
+@query()
+def stable_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes on features of days of all series over rolling years: what goes without making the next day's direction harder to tell."""
+    rows = _rows(spark, sf_dir).withColumns({"double_range": 2 * F.col("range"), "weekday": F.weekday("ts")})
+    _, votes = elimination.stable_selection(rows, [*_FEATURES, "double_range", "weekday"], "y", "ts", "1995-01-01", 18, 6, 6)
+    return rounded(votes)
