@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnpike.functions.safe import ordered, rounded
-from tarnpike.operators import elimination, selection
-from tarnpike.plans.sql import BY, DAILY, lead
+from tarnpike.operators import elimination, protocol, selection
+from tarnpike.plans.market import read
+from tarnpike.plans.sql import DAILY, lead, r
 from tarnpike.sources import bars as src
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -72,3 +73,34 @@ def stable_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir).withColumns({"double_range": 2 * F.col("range"), "weekday": F.weekday("ts")})
     _, votes = elimination.stable_selection(rows, [*_FEATURES, "double_range", "weekday"], "y", "ts", "1995-01-01", 18, 6, 6)
     return rounded(votes)
+
+
+_WINDOWS = [(i + 1, f"{1995 + i}-01-01", f"{1997 + i}-01-01", f"{1997 + i}-01-06", f"{1998 + i}-01-01") for i in range(4)]
+
+
+@query(f"""WITH t AS (SELECT l_linenumber::VARCHAR AS arm, l_shipdate AS ts, l_quantity * (l_discount - 0.05) AS p FROM lineitem), w(fold, a, b, c, d) AS (VALUES {', '.join(f"({f}, TIMESTAMP '{a}', TIMESTAMP '{b}', TIMESTAMP '{c}', TIMESTAMP '{d}')" for f, a, b, c, d in _WINDOWS)}),
+    x AS (SELECT fold, arm, count_if(ts >= a AND ts < b) AS st, coalesce(sum(p) FILTER (ts >= a AND ts < b), 0) AS sp, count_if(ts >= c AND ts < d) AS tt, coalesce(sum(p) FILTER (ts >= c AND ts < d), 0) AS tp FROM w, t GROUP BY 1, 2),
+    n AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY (st >= 200) DESC, CASE WHEN st >= 200 THEN sp ELSE st END DESC, arm) AS k, row_number() OVER (PARTITION BY fold ORDER BY (tt > 0) DESC, tp DESC, arm) AS o FROM x)
+    SELECT s.fold, s.arm, CASE WHEN s.st >= 200 THEN 'best_pips' ELSE 'most_trades' END AS reason, s.st AS select_trades, {r('s.sp', 'select_pips')}, s.tt AS test_trades, {r('s.tp', 'test_pips')}, b.arm AS oracle_arm, {r('b.tp', 'oracle_pips')}, {r('b.tp - s.tp', 'regret')} FROM n s JOIN n b ON b.fold = s.fold AND b.o = 1 WHERE s.k = 1""")
+def frozen_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers as arms, chosen on two years of lines and measured on the third."""
+    t = read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("string").alias("arm"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts"), (F.col("l_quantity") * (F.col("l_discount") - 0.05)).alias("pips"))
+    w = spark.createDataFrame(_WINDOWS, "fold int, train_start string, train_end string, test_start string, test_end string")
+    w = w.select("fold", *(F.col(c).cast("timestamp_ntz").alias(c) for c in w.columns[1:]))
+    return rounded(protocol.frozen_arms(t, w, [str(i) for i in range(1, 8)], 200))
+
+
+@query("""WITH c AS (SELECT event_type AS model, user_id % 5 AS fold, list(value / 500 ORDER BY ts, event_id) AS c FROM events GROUP BY 1, 2), v AS (SELECT model, fold, CASE WHEN list_max(c) - list_sum(c[len(c) - greatest(1, len(c) // 10) + 1 :]) / greatest(1, len(c) // 10) <= 0.01 THEN 100 ELSE greatest(list_position(c, list_max(c)), 20) END AS vote FROM c)
+    SELECT model, CASE WHEN bool_or(vote = 20) AND bool_or(vote = 100) THEN 100 ELSE round_even(quantile_cont(vote, 0.5), 0) END::INT AS rounds, array_to_string(list(vote ORDER BY vote), ',') AS votes FROM v GROUP BY 1""")
+def voted_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of events as models, groups of users as folds, their values in time as curves."""
+    e = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model"), (F.col("user_id") % 5).alias("fold")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", (F.col("value") / 500).alias("v"))))["v"].alias("curve"))
+    votes = protocol.round_votes(e, 100, 0.01)
+    return protocol.voted_rounds(votes, ["model"], 100).withColumn("votes", F.array_join(F.transform("votes", lambda v: v.cast("string")), ","))
+
+
+@query("""WITH c AS (SELECT event_type AS model, user_id % 5 AS fold, list(value / 500 ORDER BY ts, event_id) AS c FROM events GROUP BY 1, 2), n AS (SELECT model, min(len(c)) AS n FROM c GROUP BY 1), x AS (SELECT model, unnest(range(1, n + 1)) AS i, c FROM c JOIN n USING (model))
+    SELECT model, i::INT AS round, round(avg(c[i]), 6) + 0.0 AS value, count(*) AS folds FROM x GROUP BY 1, 2""")
+def mean_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model"), (F.col("user_id") % 5).alias("fold")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", (F.col("value") / 500).alias("v"))))["v"].alias("curve"))
+    return rounded(protocol.mean_curves(e, ["model"]))
