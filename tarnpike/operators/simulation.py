@@ -66,9 +66,17 @@ def daily_equity(trades: DataFrame, day: str, pnl: str, capital: float) -> DataF
 
 
 def equity_metrics(equity: DataFrame, year: int = 252) -> DataFrame:
-    """Sharpe and Sortino ratios by year, largest drawdown and total return."""
+    """Sharpe and Sortino ratios by year, largest drawdown, total return, growth by year of 365 days (null where the account began or ended at nothing), and
+    Calmar's ratio: that growth over the largest drawdown."""
     down = F.sqrt(F.avg(F.pow(F.least(F.col("ret"), F.lit(0.0)), F.lit(2))))
-    return equity.agg(F.count("*").alias("days"), (sdiv(F.avg("ret"), F.stddev_samp("ret")) * math.sqrt(year)).alias("sharpe"), (sdiv(F.avg("ret"), down) * math.sqrt(year)).alias("sortino"), F.min("drawdown").alias("max_drawdown"), (F.max_by("equity", "day") / F.min_by(F.col("equity") - F.col("pnl"), "day") - 1).alias("total_return"))
+    first, last = F.min_by(F.col("equity") - F.col("pnl"), "day"), F.max_by("equity", "day")
+    span = F.greatest(F.datediff(F.max("day"), F.min("day")), F.lit(1))
+    growth = F.when((first > 0) & (last > 0), F.pow(last / first, F.lit(365.0) / span) - 1)
+    g = equity.agg(
+        F.count("*").alias("days"), (sdiv(F.avg("ret"), F.stddev_samp("ret")) * math.sqrt(year)).alias("sharpe"), (sdiv(F.avg("ret"), down) * math.sqrt(year)).alias("sortino"),
+        F.min("drawdown").alias("max_drawdown"), (last / first - 1).alias("total_return"), growth.alias("growth"),
+    )
+    return g.withColumn("calmar", F.when(F.col("max_drawdown") < 0, F.col("growth") / -F.col("max_drawdown")))
 
 
 def operating_point(arms: DataFrame, keys: list[str], least_trades: int) -> DataFrame:

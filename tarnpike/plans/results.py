@@ -398,7 +398,10 @@ def daily_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_equity(spark, sf_dir).select(F.col("day").cast("timestamp_ntz").alias("day"), "pnl", "equity", "peak"), 2)
 
 
-@query(f"WITH {_EQUITY} SELECT count(*) AS days, {r('avg(ret) / stddev_samp(ret) * sqrt(252)', 'sharpe')}, {r('avg(ret) / sqrt(avg(least(ret, 0) ** 2)) * sqrt(252)', 'sortino')}, {r('min(equity / peak - 1)', 'max_drawdown')}, {r('arg_max(equity, day) / arg_min(equity - pnl, day) - 1', 'total_return')} FROM p")
+_GROWTH = "(arg_max(equity, day) / arg_min(equity - pnl, day)) ** (365.0 / (max(day) - min(day))) - 1"
+
+
+@query(f"WITH {_EQUITY} SELECT count(*) AS days, {r('avg(ret) / stddev_samp(ret) * sqrt(252)', 'sharpe')}, {r('avg(ret) / sqrt(avg(least(ret, 0) ** 2)) * sqrt(252)', 'sortino')}, {r('min(equity / peak - 1)', 'max_drawdown')}, {r('arg_max(equity, day) / arg_min(equity - pnl, day) - 1', 'total_return')}, {r(_GROWTH, 'growth')}, {r(f'({_GROWTH}) / -min(equity / peak - 1)', 'calmar')} FROM p")
 def equity_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(simulation.equity_metrics(_equity(spark, sf_dir)))
 
@@ -441,7 +444,10 @@ def daily_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_equity(spark, sf_dir).select(F.col("day").cast("timestamp_ntz").alias("day"), "pnl", "equity", "peak"), 2)
 
 
-@query(f"WITH {_EQUITY} SELECT count(*) AS days, {r('avg(ret) / stddev_samp(ret) * sqrt(252)', 'sharpe')}, {r('avg(ret) / sqrt(avg(least(ret, 0) ** 2)) * sqrt(252)', 'sortino')}, {r('min(equity / peak - 1)', 'max_drawdown')}, {r('arg_max(equity, day) / arg_min(equity - pnl, day) - 1', 'total_return')} FROM p")
+_GROWTH = "(arg_max(equity, day) / arg_min(equity - pnl, day)) ** (365.0 / (max(day) - min(day))) - 1"
+
+
+@query(f"WITH {_EQUITY} SELECT count(*) AS days, {r('avg(ret) / stddev_samp(ret) * sqrt(252)', 'sharpe')}, {r('avg(ret) / sqrt(avg(least(ret, 0) ** 2)) * sqrt(252)', 'sortino')}, {r('min(equity / peak - 1)', 'max_drawdown')}, {r('arg_max(equity, day) / arg_min(equity - pnl, day) - 1', 'total_return')}, {r(_GROWTH, 'growth')}, {r(f'({_GROWTH}) / -min(equity / peak - 1)', 'calmar')} FROM p")
 def equity_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(simulation.equity_metrics(_equity(spark, sf_dir)))
 
