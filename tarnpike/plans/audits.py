@@ -61,11 +61,11 @@ def ljung_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours above their mean as events, busy ones as predictions; days number as folds do."""
     w = ordered("symbol")
-    x = bars(spark, sf_dir).withColumns({"y": (F.col("close") > mean_n("close", w, 24, 2)).cast("int"), "q": (F.col("volume") >= 5).cast("int")})
+    x = bars(spark, sf_dir).withColumns({"y": (F.col("close") > mean_n("close", w, 24, 2)).cast("int"), "q": (F.col("volume") >= 2).cast("int")})
     return x.withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
 
 
-_MARKED = f"""{BARS}, m AS (SELECT *, coalesce(close > {mean('close', 24, 2)}, false) AS y, volume >= 5 AS q, epoch(ts) / 3600 AS hr FROM bars), g AS (SELECT *, coalesce(hr - {lag('hr')} > 1, true) AS gap, {lag('y')} AS py, {lag('q')} AS pq FROM m),
+_MARKED = f"""{BARS}, m AS (SELECT *, coalesce(close > {mean('close', 24, 2)}, false) AS y, volume >= 2 AS q, epoch(ts) / 3600 AS hr FROM bars), g AS (SELECT *, coalesce(hr - {lag('hr')} > 1, true) AS gap, {lag('y')} AS py, {lag('q')} AS pq FROM m),
     o AS (SELECT *, (y AND (gap OR NOT py))::INT AS oy, (q AND (gap OR NOT pq))::INT AS oq FROM g), i AS (SELECT *, sum(oy) OVER w AS iy, sum(oq) OVER w AS iq FROM o WINDOW w AS ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 

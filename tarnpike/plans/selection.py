@@ -25,16 +25,16 @@ def query(sql: str | None = None):
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days with three features, whether the next close is higher, and whether the day rose."""
+    """Days with three features, whether the next close is higher, and whether the day is in the first half of the week."""
     d = src.order_bars(spark, sf_dir).withColumn("_next", F.lead("close").over(ordered("symbol"))).where("_next is not null")
-    return d.select("symbol", "ts", F.col("volume"), (F.col("high") - F.col("low")).alias("range"), (F.col("close") - F.col("open")).alias("body"), (F.col("_next") > F.col("close")).cast("int").alias("y"), (F.col("close") > F.col("open")).cast("int").alias("rose"))
+    return d.select("symbol", "ts", F.col("volume"), (F.col("high") - F.col("low")).alias("range"), (F.col("close") - F.col("open")).alias("body"), (F.col("_next") > F.col("close")).cast("int").alias("y"), (F.weekday("ts") < 3).cast("int").alias("early"))
 
 
 _FEATURES = ["volume", "range", "body"]
 _HASH = "('0x' || substr(md5({p} || '|' || symbol || '|' || epoch_us(ts)), 1, 15))::BIGINT"
 
 
-@query(f"""WITH {DAILY}, l AS (SELECT *, {lead('close')} AS nx FROM days), r AS (SELECT symbol, ts, volume, high - low AS "range", close - open AS body, (nx > close)::INT AS y, CASE WHEN close > open THEN 'signal' ELSE 'other' END AS bucket FROM l WHERE nx IS NOT NULL),
+@query(f"""WITH {DAILY}, l AS (SELECT *, {lead('close')} AS nx FROM days), r AS (SELECT symbol, ts, volume, high - low AS "range", close - open AS body, (nx > close)::INT AS y, CASE WHEN isodow(ts) <= 3 THEN 'signal' ELSE 'other' END AS bucket FROM l WHERE nx IS NOT NULL),
     b AS (SELECT symbol, ts, row_number() OVER (ORDER BY {_HASH.format(p=0)}) AS k FROM r), p AS (SELECT p, y, row_number() OVER (PARTITION BY p ORDER BY {_HASH.format(p='p')}) AS k FROM r, (SELECT unnest(range(1, 6)) AS p)),
     perm AS (SELECT p, symbol, ts, y AS yp FROM b JOIN p USING (k)),
     f AS (SELECT 0 AS place, 'volume' AS feature, symbol, ts, bucket, y, volume AS x FROM r UNION ALL SELECT 1, 'range', symbol, ts, bucket, y, "range" FROM r UNION ALL SELECT 2, 'body', symbol, ts, bucket, y, body FROM r),
@@ -44,19 +44,19 @@ _HASH = "('0x' || substr(md5({p} || '|' || symbol || '|' || epoch_us(ts)), 1, 15
     c AS (SELECT place, feature, bucket, p, bin, y, count(*) AS n FROM n GROUP BY ALL),
     t AS (SELECT *, n / sum(n) OVER a * ln(n * sum(n) OVER a / (sum(n) OVER (PARTITION BY feature, bucket, p, bin) * sum(n) OVER (PARTITION BY feature, bucket, p, y))) AS t FROM c WINDOW a AS (PARTITION BY feature, bucket, p)),
     m AS (SELECT place, feature, bucket, p, sum(t) AS mi, sum(n)::BIGINT AS n FROM t GROUP BY ALL), o AS (SELECT place, feature, bucket, max(CASE WHEN p = 0 THEN n END) AS n_eff, max(CASE WHEN p = 0 THEN mi END) AS mi, quantile_cont(mi, 0.95) FILTER (p > 0) AS floor FROM m GROUP BY ALL),
-    i AS (SELECT *, mi > floor AND mi >= 0.001 AS informative FROM o)
-    SELECT place, feature, bucket, (SELECT count(*) FROM r WHERE r.bucket = i.bucket) AS n, n_eff, round(mi, 6) + 0.0 AS mi, round(floor, 6) + 0.0 AS floor, true AS evaluable, informative, true AS votes, bool_or(informative) OVER (PARTITION BY feature) AS kept FROM i""")
+    v AS (SELECT feature, bucket, count(*) >= 50 AND min(x) < max(x) AND min(y) < max(y) AS ok FROM g GROUP BY ALL), i AS (SELECT o.*, ok, ok AND coalesce(mi > floor AND mi >= 0.001, false) AS informative FROM o JOIN v USING (feature, bucket))
+    SELECT place, feature, bucket, (SELECT count(*) FROM r WHERE r.bucket = i.bucket) AS n, n_eff, round(CASE WHEN ok THEN mi END, 6) + 0.0 AS mi, round(CASE WHEN ok THEN floor END, 6) + 0.0 AS floor, ok AS evaluable, informative, true AS votes, bool_or(informative OR NOT ok) OVER (PARTITION BY feature) AS kept FROM i""")
 def information_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three features of days against the direction of the next one, by rising and other days, with given permutations of labels."""
+    """Three features of days against the direction of the next one, by first and other days of the week, with given permutations of labels."""
     rows = _rows(spark, sf_dir)
     permuted = selection.permuted_labels(rows, "y", ["symbol"], "ts", 5)
-    return rounded(selection.information_filter(rows, _FEATURES, "y", ["symbol"], "ts", F.col("rose"), permuted=permuted))
+    return rounded(selection.information_filter(rows, _FEATURES, "y", ["symbol"], "ts", F.col("early"), permuted=permuted))
 
 
 @query()
 def information_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the floor drawn from the tables' margins."""
-    return rounded(selection.information_filter(_rows(spark, sf_dir), _FEATURES, "y", ["symbol"], "ts", F.col("rose")))
+    return rounded(selection.information_filter(_rows(spark, sf_dir), _FEATURES, "y", ["symbol"], "ts", F.col("early")))
 
 
 @query()
