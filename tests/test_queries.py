@@ -6,6 +6,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from oracle import assert_same, connection
 
@@ -55,3 +56,24 @@ def test_the_rest_works_without_the_text_operators(tmp_path):
         shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache", *([] if pipeline else ["corpus_pipeline.py"])))
         done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
         assert done.returncode == 0, done.stderr
+
+
+def test_deflated_sharpe_by_hand(spark, duck):
+    """Bailey and Lopez de Prado's formula on the strategies' returns."""
+    from statistics import NormalDist
+
+    norm = NormalDist()
+    returns = {}
+    for k, v in duck.sql("SELECT o_orderpriority, o_totalprice - 150000 FROM orders").fetchall():
+        returns.setdefault(k, []).append(v)
+    ratio, shape = {}, {}
+    for k, v in returns.items():
+        x = np.array(v)
+        z = (x - x.mean()) / x.std()
+        ratio[k], shape[k] = x.mean() / x.std(ddof=1), ((z**3).mean(), (z**4).mean())
+    n, euler = len(ratio), 0.5772156649015329
+    best = np.std(list(ratio.values()), ddof=1) * ((1 - euler) * norm.inv_cdf(1 - 1 / n) + euler * norm.inv_cdf(1 - 1 / (n * np.e)))
+    for r in registry.QUERIES["deflated_sharpe"](spark, SF).collect():
+        s, (skew, kurt) = ratio[r.strategy], shape[r.strategy]
+        assert r.n == len(returns[r.strategy]) and r.sharpe == pytest.approx(s, abs=1e-6)
+        assert r.deflated == pytest.approx(norm.cdf((s - best) * np.sqrt(r.n - 1) / np.sqrt(1 - skew * s + (kurt - 1) / 4 * s * s)), abs=1e-5)
