@@ -1,6 +1,6 @@
 """Null-safe expressions and row windows with minimum counts.
 
-Missing is always null: no division, logarithm or gate here makes NaN or infinity, and null never turns into 0 or false.
+Missing is always null: no division, logarithm or gate here makes NaN or infinity (but ``fdiv`` and ``fpow``), and null never turns into 0 or false.
 """
 
 from __future__ import annotations
@@ -21,6 +21,16 @@ def sdiv(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
+def fdiv(a: Column, b: Column) -> Column:
+    """a / b of doubles as IEEE 754 and DuckDB have it: infinite where b is 0, by the signs of both, NaN where a is 0 too."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(sdiv(a, b))
+
+
+def fpow(a: Column, b: Column) -> Column:
+    """a to the power of b as C and DuckDB have it: 1 where a is 1, or -1 with an infinite b, which are NaN in Java."""
+    return F.when((a == 1) | (a == -1) & (F.abs(b) == math.inf), 1.0).otherwise(F.pow(a, b))
+
+
 def sln(x: Column) -> Column:
     """ln(x); null unless x > 0."""
     return F.when(x > 0, F.ln(x))

@@ -6,9 +6,11 @@ import subprocess
 import sys
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from oracle import assert_same, connection
+from pyspark.sql import functions as F
 
 from tarnpike.plans import registry
 
@@ -77,3 +79,30 @@ def test_deflated_sharpe_by_hand(spark, duck):
         s, (skew, kurt) = ratio[r.strategy], shape[r.strategy]
         assert r.n == len(returns[r.strategy]) and r.sharpe == pytest.approx(s, abs=1e-6)
         assert r.deflated == pytest.approx(norm.cdf((s - best) * np.sqrt(r.n - 1) / np.sqrt(1 - skew * s + (kurt - 1) / 4 * s * s)), abs=1e-5)
+
+
+@pytest.mark.parametrize(
+    "orders",
+    [
+        [("1995-01-01", 250000.0), ("1995-01-03", 160000.0), ("1996-01-01", 150001.0)],  # no loss: infinite ratios
+        [("1995-01-01", 250000.0), ("1995-01-03", 1000.0), (None, 7.0), ("1995-01-09", None)],
+        [("1995-01-01", 150000.0), ("1995-01-02", 150000.0)],  # nothing won or lost: 0 / 0
+        [("1995-01-01", 150000.0)],  # one day
+        [("1995-01-01", 250000.0)],
+        [("1995-01-01", 1000.0)],
+        [("1995-01-01", 250000.0), ("1995-01-05", -2e9)],  # ends below nothing
+        [("1995-01-01", 250000.0), ("1995-01-05", 150000.0 - 1e9 - 1e5)],  # ends at nothing
+        [("1995-01-01", 1e30), ("1995-01-05", 1e30)],  # the capital is lost in rounding
+        [(None, 5.0)],
+        [],
+    ],
+)
+def test_equity_metrics_have_the_limits_of_their_sql(spark, tmp_path, orders):
+    df = spark.createDataFrame(orders, "day string, o_totalprice double")
+    df.select(F.to_timestamp_ntz("day").alias("o_orderdate"), "o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    for name in ("equity_metrics", "daily_equity"):
+        want = duck.sql(registry.ORACLE_SQL[name])
+        got = registry.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
+        assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, want.fetchall()))  # tells null from NaN
