@@ -43,13 +43,34 @@ def _selectors(bits: np.ndarray, left: np.ndarray) -> np.ndarray:
         return widest[n]
 
     best = np.full(len(bits), 15, np.uint8)
-    for s in range(14, -1, -1):
-        fits = (most(int(COUNTS[s])) <= BITS[s]) & (left >= COUNTS[s])
-        if fits.any():
-            best[fits] = s
+    for s in range(14, -1, -1):  # where one fits, all after it do: they take fewer integers of more bits
+        fits = (most(int(COUNTS[s])) <= np.uint8(BITS[s])) & (left >= np.uint8(COUNTS[s]))
+        if not fits.any():
+            break
+        best -= fits
     return best
 
 
+def _firsts(steps: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of the first integers of words: from each document's first one by the steps there, in many documents at a time."""
+    is_first = np.zeros(len(steps), bool)
+    on = sizes > 0
+    at, end = (ends - sizes)[on], ends[on]
+    while len(at) > 16:
+        is_first[at] = True
+        at = at + steps[at]
+        on = at < end
+        if not on.all():
+            at, end = at[on], end[on]
+    for a, b in zip(at.tolist(), end.tolist(), strict=True):
+        held, own, i = steps[a:b].tobytes(), [], 0
+        while i < b - a:
+            own.append(i)
+            i += held[i]
+        is_first[a + np.array(own)] = True
+    return np.flatnonzero(is_first)
+
+
 def pack(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Documents of ``sizes`` integers each, given one after another: (words, words of each document, escapes, escapes of each document)."""
     ids = np.ascontiguousarray(ids, np.uint64)
@@ -61,12 +82,7 @@ def pack(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     fields = np.where(large, ESCAPE, ids)
     left = np.minimum(np.repeat(ends, sizes) - np.arange(len(ids)), 255).astype(np.uint8)
     selector = _selectors(_bits(fields), left)
-    steps = COUNTS[selector].astype(np.uint8).tobytes()
-    firsts, at, n = [], 0, len(ids)
-    while at < n:
-        firsts.append(at)
-        at += steps[at]
-    first = np.array(firsts)
+    first = _firsts(COUNTS.astype(np.uint8)[selector], ends, np.asarray(sizes))
     own = selector[first]
     words = own.astype(np.uint64) << np.uint64(60)
     for s in np.unique(own):

@@ -21,7 +21,8 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,18 @@ from ._shared import own_folder, ready
 MAGIC = b"S8B1"
 #: words between two offsets of a block; bytes of words in a block, about
 STRIDE, BLOCK_BYTES = 1_024, 1 << 20
-#: words, and runs between spaces, that a worker keeps, and the longest of them; texts encoded together, in characters
-CACHED, LONGEST, TOGETHER = 600_000, 64, 1 << 22
+#: words, and runs between spaces, that a worker keeps, and the longest of them; texts whose runs are looked up together, in characters, and runs coded at once
+CACHED, LONGEST, TOGETHER, AT_ONCE = 600_000, 64, 1 << 23, 1 << 18
 
 #: words, digits and other signs of lower-cased texts below U+0100: what the tokenizer's own pattern finds there
 _LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\t-\\r \\x85\\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 #: signs that often end a word, and are a pre-token of their own there
 _SIGNS = frozenset(",.;:!?|)")
+#: the code point that byte-level models have for each byte: its own if it prints, else the next from 256 on
+_SIGN_OF = np.arange(256, dtype="<u4")
+_unprinted = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_SIGN_OF[_unprinted] = 256 + np.arange(len(_unprinted))
+_SIGN_OF[0x20] = 0x20
 #: fixed values: the normaliser and the splitter that this pattern stands for
 _NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -59,23 +65,24 @@ def splits_into_words(definition: dict) -> bool:
 
 
 class _Encoder:
-    """The ids of whole texts by the tokenizer's library, as bytes. Where words are encoded apart, the library sees each distinct word of a worker once."""
+    """The ids of whole texts by the tokenizer's library. Where words are encoded apart, the library sees each distinct word once while a worker keeps it."""
 
     _kept: tuple[str, _Encoder] | None = None
 
     def __init__(self, raw: str, by_word: bool, special: list[str]):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer, self.by_word, self.special = Tokenizer.from_str(raw), by_word, special
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}  #: of words, and of runs of some between spaces
+        self.known: dict[str, int] = {}  #: rows of words, and of runs of some between spaces, in the arrays below
+        self.pieces, self.starts, self.lengths, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if by_word:
-            # words that are split and in lower case already need the model alone
+            # words that are split, in lower case and in the signs for bytes already need the model alone
             self.plain = Tokenizer(self.tokenizer.model)
-            self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.plain.pre_tokenizer = WhitespaceSplit()
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(1 + max(vocabulary.values(), default=0), bool)
             self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
@@ -86,48 +93,89 @@ class _Encoder:
             cls._kept = key, cls(*shared.value)
         return cls._kept[1]
 
-    def _whole(self, texts: list[str], tokenizer=None) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        encode = (tokenizer or self.tokenizer).encode_batch_fast
+        return [np.array(x.ids, np.uint32) for i in range(0, len(texts), 64) for x in encode(texts[i : i + 64], add_special_tokens=False)]
 
-    def _apart(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of distinct words, many encoded in one text that is cut after the pieces that end words."""
-        out: dict[str, bytes] = {}
+    def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, ids of each) of distinct words, many encoded in one text that is cut after the pieces that end words."""
+        ids, sizes = [], []
         parts = [words[i : i + 300] for i in range(0, len(words), 300)]
-        for part, held in zip(parts, self._whole([" ".join(p) for p in parts], self.plain), strict=True):
-            cuts = (np.flatnonzero(self.ends[np.frombuffer(held, np.uint32)]) + 1) * 4
+        texts = [" ".join(p) for p in parts]
+        for part, held in zip(parts, self._whole([x if x.isascii() and x.isprintable() else _as_signs(x) for x in texts], self.plain), strict=True):
+            cuts = np.flatnonzero(self.ends[held]) + 1
             if len(cuts) == len(part) and cuts[-1] == len(held):
-                edges = [0, *cuts.tolist()]
-                out.update((w, held[a:b]) for w, a, b in zip(part, edges, edges[1:], strict=False))
+                ids.append(held)
+                sizes.append(np.diff(cuts, prepend=0))
             else:  # a word with a piece that ends words inside it
-                out.update(zip(part, self._whole(part), strict=True))
-        return out
-
-    def _learnt(self, runs: set[str]) -> dict[str, bytes]:
-        """The ids of runs between spaces, of their words if they are plain, else of the whole run; and of those words."""
-        words, ended, compound, other = set(), [], {}, []
+                held, n = self._joined(self._whole(part))
+                ids.append(held)
+                sizes.append(n)
+        return (np.concatenate(ids), np.concatenate(sizes)) if ids else self._joined([])
+
+    def _keep(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New rows of names that are not known."""
+        self.known.update(zip(names, range(len(self.starts), len(self.starts) + len(names)), strict=True))
+        self.starts = np.append(self.starts, len(self.pieces) + np.cumsum(sizes) - sizes)
+        self.pieces, self.lengths, self.met = np.append(self.pieces, ids), np.append(self.lengths, sizes), np.append(self.met, np.zeros(len(names), np.int64))
+
+    def _of_rows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, ids of each) of rows."""
+        starts, sizes = self.starts[rows], self.lengths[rows]
+        before = np.cumsum(sizes) - sizes
+        return self.pieces[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))], sizes
+
+    def _rows(self, names: Iterable[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, names), np.int64)
+
+    def _learn(self, runs: list[str]) -> list[str]:
+        """Keep the ids of runs between spaces, of their words if they are plain, else of the whole run; and of those words. Returns what is new."""
+        words, other = [], []
+        compound, parts, sizes = [], [], []  # runs, their words one after another, words of each
         for x in runs:
             if not (x.isascii() or _below(x)):
                 other.append(x)
             elif x.isalpha() and x.islower():
-                words.add(x)
+                words.append(x)
             elif x[-1:] in _SIGNS and x[:-1].isalpha() and x[:-1].islower():
-                ended.append(x)
+                compound.append(x)
+                parts.append(x[:-1])
+                parts.append(x[-1])
+                sizes.append(2)
+            elif (found := _LATIN.findall(x.lower())) == [x]:
+                words.append(x)
             else:
-                compound[x] = _LATIN.findall(x.lower())
-        known = self.known
-        words.update(w for x in ended for w in (x[:-1], x[-1]) if w not in known)
-        words.update(w for found in compound.values() for w in found if w not in known)
-        out = self._apart(list(words))
-        get = lambda w: out[w] if w in out else known[w]
-        out.update([(x, get(x[:-1]) + get(x[-1])) for x in ended])
-        out.update([(x, b"".join(map(get, found))) for x, found in compound.items()])
-        out.update(zip(other, self._whole(other) if other else [], strict=True))
-        return out
-
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids one after another, ids of each text)."""
+                compound.append(x)
+                parts.extend(found)
+                sizes.append(len(found))
+        words.extend(set(parts).difference(self.known, words))
+        self._keep(words, *self._apart(words))
+        ids, n = self._of_rows(self._rows(parts))
+        self._keep(compound, ids, np.diff(np.append(0, np.cumsum(n))[np.cumsum([0, *sizes])]))
+        self._keep(other, *self._joined(self._whole(other)))
+        return words + compound + other
+
+    def _forget(self) -> None:
+        """Where much is kept, keep what was met in most batches of texts, at most half of it."""
+        if len(self.known) <= CACHED and len(self.pieces) <= 16 * CACHED:
+            return
+        names, rows = list(self.known), np.fromiter(self.known.values(), np.int64, len(self.known))
+        met, least = self.met[rows], 2
+        while (stays := met >= least).sum() > CACHED // 2:
+            least *= 2
+        ids, sizes = self._of_rows(rows[stays])
+        if len(ids) > 8 * CACHED:
+            stays[:], ids, sizes = False, ids[:0], sizes[:0]
+        names = list(compress(names, stays.tolist()))
+        self.known, self.pieces, self.starts, self.lengths, self.met = {}, *(x[:0] for x in (self.pieces, self.starts, self.lengths, self.met))
+        self._keep(names, ids, sizes)
+        self.met = met[stays] // 2  # of late counts more
+
+    def ids(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids one after another, ids of each text) of some texts at a time, in order."""
         if not self.by_word:
-            return self._joined(self._whole(texts))
+            yield self._joined(self._whole(texts))
+            return
         # plain texts in lower case; others keep theirs: the library lowers each run, which may have marks to be composed first
         special = [i for i, t in enumerate(texts) if any(x in t for x in self.special)]
         held = [t.lower() if t.isascii() or _below(t) else t for t in texts]
@@ -136,30 +184,38 @@ class _Encoder:
         split = pc.split_pattern(pc.replace_substring(pa.array(held, pa.string()), "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
         runs, place = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)
-        found = list(map(self.known.get, runs))
-        if None in found:
-            learnt = self._learnt({x for x, y in zip(runs, found, strict=True) if y is None})
-            found = [y if y is not None else learnt[x] for x, y in zip(runs, found, strict=True)]
-            if len(self.known) + len(learnt) > CACHED:
-                self.known = {}
-            self.known.update(learnt)
-            for x in [x for x in learnt if len(x) > LONGEST]:
-                del self.known[x]
-        ids, n = self._joined(found)
-        starts, lengths = (np.cumsum(n) - n)[place], n[place]
-        before = np.cumsum(lengths) - lengths
-        ids = ids[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
-        sizes = np.diff(np.append(0, np.cumsum(lengths))[np.asarray(split.offsets) - split.offsets[0].as_py()])
-        if special:
-            parts = np.split(ids, np.cumsum(sizes)[:-1])
-            for i in special:
-                parts[i] = np.frombuffer(self._whole([texts[i]])[0], np.uint32)
-            ids, sizes = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
-        return ids, sizes
+        self._forget()
+        rows = np.fromiter(map(self.known.get, runs, repeat(-1)), np.int64, len(runs))
+        if len(new := np.flatnonzero(rows < 0)):
+            unknown = [runs[i] for i in new.tolist()]
+            learnt = self._learn(unknown)
+            rows[new] = self._rows(unknown)
+            for x in learnt:
+                if len(x) > LONGEST:
+                    self.known.pop(x, None)
+        self.met[rows] += 1
+        edges = np.asarray(split.offsets) - split.offsets[0].as_py()
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(edges, edges[a] + AT_ONCE, side="right")) - 1)
+            ids, lengths = self._of_rows(rows[place[edges[a] : edges[b]]])
+            sizes = np.diff(np.append(0, np.cumsum(lengths))[edges[a : b + 1] - edges[a]])
+            if own := [i for i in special if a <= i < b]:
+                parts = np.split(ids, np.cumsum(sizes)[:-1])
+                for i in own:
+                    parts[i - a] = self._whole([texts[i]])[0]
+                ids, sizes = self._joined(parts)
+            yield ids, sizes
+            a = b
 
     @staticmethod
-    def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(b"".join(parts), np.uint32), np.array(list(map(len, parts)), np.int64) // 4
+    def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([np.zeros(0, np.uint32), *parts]), np.array(list(map(len, parts)), np.int64)
+
+
+def _as_signs(text: str) -> str:
+    """A text's bytes as the signs that byte-level models have for them; spaces stay."""
+    return _SIGN_OF[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")
 
 
 def _below(text: str) -> bool:
@@ -171,16 +227,19 @@ def _below(text: str) -> bool:
     return True
 
 
-def _together(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about TOGETHER characters."""
-    a, size = 0, 0
-    for i, x in enumerate(texts):
-        size += len(x)
-        if size > TOGETHER:
-            yield a, i + 1
-            a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of about TOGETHER characters, across batches."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids.append(i)
+            texts.append(x or "")
+            size += len(texts[-1])
+            if size > TOGETHER:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
 
 
 def _filled(x: bytes) -> bytes:
@@ -252,17 +311,17 @@ def _blocks(key: str, shared, end_id: int | None, block_bytes: int):
                 ["shard", "block", "first", "n_ids", "payload"],
             )
 
-        for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in _together(texts):
-                ids, sizes = encoder.ids(texts[a:b])
+        for doc_ids, texts in _together(batches):
+            at = 0
+            for ids, sizes in encoder.ids(texts):
+                own = doc_ids[at : at + len(sizes)]
+                at += len(sizes)
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(sizes), end_id)
                     sizes = sizes + 1
                 words, n_words, escapes, n_escapes = simple8b.pack(ids, sizes)
                 cut = lambda x, n: [x[j - m : j].tobytes() for j, m in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
-                for row in zip(doc_ids[a:b], sizes.tolist(), cut(words, n_words), cut(escapes, n_escapes), strict=True):
+                for row in zip(own, sizes.tolist(), cut(words, n_words), cut(escapes, n_escapes), strict=True):
                     held.append(row)
                     size += len(row[2])
                     if size >= block_bytes or len(held) >= 1 << 16:

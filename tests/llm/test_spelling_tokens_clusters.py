@@ -1,6 +1,7 @@
 """Spelling variants, token files and centroid clusters against brute force, the tokenizer's library, round trips and their edges."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -131,6 +132,16 @@ def test_simple8b_round_trip(documents):
         a, b = a + m, b + e
 
 
+def test_simple8b_words_of_many_documents_are_those_of_each():
+    r = random.Random(4)
+    documents = [[r.choice([0, 1, 7, 300, 49_000, 2**61]) if i % 3 else 0 for _ in range(r.choice([0, 1, 3, 50, 700]))] for i in range(120)]
+    ids, sizes = np.array([x for d in documents for x in d], np.uint64), np.array([len(d) for d in documents], np.int64)
+    words, n_words, escapes, _ = simple8b.pack(ids, sizes)
+    alone = [simple8b.pack(np.array(d, np.uint64), np.array([len(d)])) for d in documents]
+    assert words.tolist() == [w for x in alone for w in x[0].tolist()] and n_words.tolist() == [len(x[0]) for x in alone]
+    assert simple8b.unpack(words, escapes).tolist() == ids.tolist()
+
+
 def test_simple8b_words_by_hand():
     words, *_ = simple8b.pack(np.array([1] * 60 + [0] * 120 + [7] * 20, np.uint64), np.array([200]))
     assert [int(w) >> 60 for w in words] == [2, 1, 4] and int(words[0]) & (2**60 - 1) == 2**60 - 1
@@ -179,6 +190,52 @@ def test_token_files_of_an_empty_table(spark, empty):
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == 0
 
 
+def encoder_of_words():
+    with open(WORD_MODEL, encoding="utf-8") as f:
+        raw = f.read()
+    return token_files._Encoder(raw, True, [x["content"] for x in json.loads(raw).get("added_tokens", [])])
+
+
+def held_ids(encoder, texts):
+    found = encoder.ids(texts)
+    out = []
+    for ids, sizes in [found] if isinstance(found, tuple) else found:
+        out += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    return out
+
+
+def test_frequent_words_are_encoded_once_though_rare_ones_overflow(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED", 200)
+    r, encoder, tokenizer, seen = random.Random(3), encoder_of_words(), Tokenizer.from_file(WORD_MODEL), Counter()
+    apart = encoder._apart
+    monkeypatch.setattr(encoder, "_apart", lambda words: (seen.update(words), apart(words))[1])
+    word = lambda: "".join(r.choice("abcdeéß") for _ in range(9))
+    common = [word() for _ in range(20)]
+    for _ in range(12):
+        texts = [" ".join(common), " ".join(word() + "," for _ in range(40))]
+        assert held_ids(encoder, texts) == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [seen[x] for x in common] == [1] * 20
+
+
+@pytest.mark.parametrize(("cached", "at_once"), [(1, 1), (10, 5), (60, 1 << 18)])
+def test_ids_are_the_librarys_while_words_are_forgotten(monkeypatch, cached, at_once):
+    monkeypatch.setattr(token_files, "CACHED", cached)
+    monkeypatch.setattr(token_files, "AT_ONCE", at_once, raising=False)
+    encoder, tokenizer = encoder_of_words(), Tokenizer.from_file(WORD_MODEL)
+    texts = odd_texts(300, 5) + ["", " ", "A" * 100 + ", b", "ab" * 5_000, "x\x00y\x01 \x1c \x7f, \xad\xad.", "it, it. it; ,,, , 5 5, #"] * 2
+    for i in range(0, len(texts), 8):
+        part = texts[i : i + 8]
+        assert held_ids(encoder, part) == [tokenizer.encode(x, add_special_tokens=False).ids for x in part]
+        assert max(map(len, encoder.known)) <= token_files.LONGEST
+
+
+def test_signs_of_bytes_are_the_librarys():
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    text = "".join(map(chr, [*range(0x20), *range(0x21, 0x100)])) + "日́😀"
+    assert token_files._as_signs(text) == "".join(x for x, _ in ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(text))
+
+
 def test_blocks_decode_by_document_and_by_run(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     folder = str(tmp_path / "tokens")
